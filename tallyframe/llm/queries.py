@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.near_dup import op1_order_minhash
 from tallyframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op10_toxicity": op10_toxicity,
 }
 
