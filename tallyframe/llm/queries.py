@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tallyframe.llm.near_dup import op1_order_minhash
+from tallyframe.llm.substring_dedup import op7_substring_dedup
 from tallyframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
