@@ -5,7 +5,7 @@ document. Each window has one anchor, the GRAM-word gram in it with the smallest
 anchors, and only one gram in five is one.
 
 1. Recurring passages: anchors that occur in more than one document (a hash, so only a filter: it can let too
-   much through, never too little). One exchange of (anchor, id) serves the aggregate and the semi-join after it.
+   much through, never too little).
 2. Pieces: from every document, the runs of windows around a recurring anchor, as texts of at most 2 * WINDOW words.
    Equal pieces are merged before they are moved, with the smallest id that holds them.
 3. Automata: pieces are dealt to shards by anchor, so that all pieces that can share a window meet. A shard
@@ -144,7 +144,7 @@ def _with_hits(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The key is never null: a filter on nulls, pushed under one exchange only, would keep it from being reused.
     base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(others)])
-    rows = base.where("id is not null and text is not null").select("id", "text").mapInArrow(_anchor_rows, "anchor long, id long").where("anchor is not null and id is not null").repartition(n, "anchor")
+    rows = base.where("id is not null and text is not null").select("id", "text").mapInArrow(_anchor_rows, "anchor long, id long").where("anchor is not null and id is not null")
     recurring = rows.groupBy("anchor").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 < i1").select("anchor")
     by_document = rows.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     dealt = base.repartition(n, "key")
