@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tallyframe.llm.decontaminate import OP2_SQL, op2_decontaminate
 from tallyframe.llm.near_dup import op1_order_minhash
+from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
 from tallyframe.llm.substring_dedup import op7_substring_dedup
 from tallyframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontaminate": op2_decontaminate,
+    "op4_sentencepiece": op4_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
