@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.chat_format import OP6_SQL, op6_chat_format
 from tallyframe.llm.decontaminate import OP2_SQL, op2_decontaminate
 from tallyframe.llm.near_dup import op1_order_minhash
 from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
@@ -12,10 +13,12 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontaminate": op2_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_chat_format": op6_chat_format,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op6_chat_format": OP6_SQL,
 }
