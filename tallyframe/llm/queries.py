@@ -8,10 +8,12 @@ from tallyframe.llm.near_dup import op1_order_minhash
 from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
 from tallyframe.llm.substring_dedup import op7_substring_dedup
 from tallyframe.llm.toxicity import op10_toxicity
+from tallyframe.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_substring_dedup": op7_substring_dedup,
@@ -20,5 +22,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op6_chat_format": OP6_SQL,
 }
