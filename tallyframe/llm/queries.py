@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallyframe.llm.chat_format import OP6_SQL, op6_chat_format
 from tallyframe.llm.decontaminate import OP2_SQL, op2_decontaminate
 from tallyframe.llm.flac import op8_flac
+from tallyframe.llm.maxent_lm import op9_maxent_lm
 from tallyframe.llm.near_dup import op1_order_minhash
 from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
 from tallyframe.llm.substring_dedup import op7_substring_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_flac": op8_flac,
+    "op9_maxent_lm": op9_maxent_lm,
     "op10_toxicity": op10_toxicity,
 }
 
