@@ -7,6 +7,7 @@ from tallyframe.llm.decontaminate import OP2_SQL, op2_decontaminate
 from tallyframe.llm.flac import op8_flac
 from tallyframe.llm.maxent_lm import op9_maxent_lm
 from tallyframe.llm.near_dup import op1_order_minhash
+from tallyframe.llm.quality import op5_quality
 from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
 from tallyframe.llm.substring_dedup import op7_substring_dedup
 from tallyframe.llm.toxicity import op10_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
     "op6_chat_format": op6_chat_format,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_flac": op8_flac,
