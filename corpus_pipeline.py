@@ -1,10 +1,15 @@
-"""The corpus pipeline: STAGES in order, each over all that the one before kept."""
+"""The corpus pipeline: STAGES in order, each over all that the one before kept.
+
+Every stage but the last returns the columns of documents; the last adds token ids and their number. ``run`` writes
+each result as Parquet in the shared folder and reads it again, so that no stage's lineage reaches into another.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import toxicity
+from tallyframe.llm import decontaminate, near_dup, sentencepiece_bpe, substring_dedup, toxicity
 from tallyframe.llm.spark import read, written
 
 
@@ -13,8 +18,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, toxicity.training_labels(read(spark, sf_dir, "labels"))))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the document with the smallest id."""
+    return near_dup.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has; n_chars follows the text."""
+    cut = substring_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their token ids, which decode to their texts."""
+    return sentencepiece_bpe.tokenize(docs, sentencepiece_bpe.model_path())
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
 ]
 
 #: Neither the models nor sketching, alignment and merge-dropout can be said in SQL.
@@ -22,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    """All stages over documents."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
