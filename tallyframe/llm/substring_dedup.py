@@ -4,17 +4,20 @@ Words are runs of bytes other than ASCII white space, unchanged; a window is WIN
 document. Each window has one anchor, the GRAM-word gram in it with the smallest hash, so equal windows have equal
 anchors, and only one gram in five is one.
 
+0. Copies: of equal texts the smallest id represents all; the others lose every word if they have a window. Only
+   representatives go on.
 1. Recurring passages: anchors that occur in more than one document (a hash, so only a filter: it can let too
    much through, never too little).
 2. Pieces: from every document, the runs of windows around a recurring anchor, as texts of at most 2 * WINDOW words.
-   Equal pieces are merged before they are moved, with the smallest id that holds them.
+   Equal pieces are merged before they are moved, with the smallest and largest id that hold them.
 3. Automata: pieces are dealt to shards by anchor, so that all pieces that can share a window meet. A shard
-   compiles its windows into one automaton over its own word codes, each with the smallest id of a document that
-   has it, and streams the pieces through it: every occurrence of every window, compared word by word.
+   confirms which passages recur (whole pieces where an anchor has one, else single windows), compiles them into
+   one automaton over its own word codes, each with the smallest id of a document that has it, and streams the
+   pieces through it: every occurrence is located, compared word by word.
 4. Documents: located windows return to their documents, by the piece; a word covered by a window that a
    document with a smaller id has too goes.
 
-The exchange of the texts by id is made once and reused for steps 2 and 4.
+The texts are dealt by id in one exchange that all steps reuse.
 """
 
 from __future__ import annotations
@@ -64,6 +67,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64)), pa.array(ids[i:j][pairs[:, 0].astype(int)].astype(np.int64))], ["anchor", "id"])
 
 
+def _representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, ..., copy): ids and texts of those that are no copies. In Python, so that no filter or pruning is pushed below the exchange of the texts."""
+    for batch in batches:
+        keep = pa.array([a is not None and not c for a, c in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)], pa.bool_())
+        yield batch.select([0, 1]).filter(keep)
+
+
 def _canonical(w: tb.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All words with one space after each, and where each begins."""
     size = w.end - w.start + 1
@@ -74,67 +84,103 @@ def _canonical(w: tb.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-_PIECES = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())])
-
-
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text, ..., recurring anchors)."""
     for batch in batches:
-        ids, texts, known = batch.column(0).to_pylist(), batch.column(1), batch.column(batch.num_columns - 1)
+        ids, texts, known = batch.column(0), batch.column(1), batch.column(batch.num_columns - 1)
         for i, j, data, at in tb.chunks(texts):
             w = tb.words(data, at, tb.PLAIN)
-            if not len(w.start):
-                continue
             windows, where, g = _anchors(w)
-            canonical, begins = _canonical(w, data)
+            if not len(windows):
+                continue
             text = np.searchsorted(w.first, windows, "right") - 1
-            runs = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (text[1:] != text[:-1])))) if len(where) else np.empty(0, int)
+            runs = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (text[1:] != text[:-1]))))
             ends = np.append(runs[1:], len(windows))
-            of = text[runs]
-            rows: tuple[list, list, list, list] = ([], [], [], [])
-            for d in np.unique(of).tolist():
-                if ids[i + d] is None:
+            of, anchor = text[runs].astype(np.uint64), g[where[runs]]
+            lists = known.slice(i, j - i)
+            recurring = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            size = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
+            spread = np.uint64(0x9E3779B97F4A7C15)
+            hit = np.flatnonzero(np.isin(tb.mix(anchor + of * spread), tb.mix(recurring + np.repeat(np.arange(j - i, dtype=np.uint64), size) * spread)))
+            if not len(hit):
+                continue
+            first, last, doc = windows[runs[hit]], windows[ends[hit] - 1] + WINDOW, text[runs[hit]]
+            canonical, begins = _canonical(w, data)
+            length = begins[last] - 1 - begins[first]
+            edge = np.concatenate(([0], np.cumsum(length)))
+            gathered = canonical[np.arange(edge[-1]) - np.repeat(edge[:-1] - begins[first], length)]
+            pieces = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(gathered)])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[hit].view(np.int64)), ids.slice(i, j - i).take(pa.array(doc)), pa.array((first - w.first[doc]).astype(np.int32)), pieces], ["anchor", "id", "start", "piece"])
+
+
+def _shard(groups: list[list[tuple[bytes, int, int, int]]]) -> tuple[list[int], list[list[int]]]:
+    """groups: by anchor, (piece, key, first id, last id). The keys, and the first ids of the windows of each piece."""
+    codes: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton()
+    owner: dict[str, int] = {}
+    streams = []
+    for group in groups:
+        spelled = []
+        for piece, key, first, last in group:
+            s = "".join([chr(codes.setdefault(x, len(codes) + 1 if len(codes) < 0xD7FF else len(codes) + 0x801)) for x in piece.split(b" ")])
+            spelled.append((s, key, first, last))
+        streams += spelled
+        if len(group) == 1:
+            s, _, first, _ = spelled[0]
+            automaton.add_word(s, (len(s), first))
+            continue
+        owner.clear()
+        again = set()
+        for s, _, first, last in spelled:
+            for k in range(len(s) - WINDOW + 1):
+                x = s[k : k + WINDOW]
+                o = owner.get(x)
+                if o is None:
+                    owner[x] = first
+                else:
+                    again.add(x)
+                    if first < o:
+                        owner[x] = first
                     continue
-                own = slice(*np.searchsorted(of, [d, d + 1]))
-                first, last, anchor = windows[runs[own]], windows[ends[own] - 1] + WINDOW, g[where[runs[own]]].view(np.int64)
-                hit = np.flatnonzero(np.isin(anchor, known[i + d].values.to_numpy(zero_copy_only=False)))
-                base = int(w.first[d])
-                for k in hit.tolist():
-                    rows[0].append(int(anchor[k]))
-                    rows[1].append(ids[i + d])
-                    rows[2].append(int(first[k]) - base)
-                    rows[3].append(canonical[begins[first[k]] : begins[last[k]] - 1].tobytes())
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
+                if last > first:
+                    again.add(x)
+        for x in again:
+            automaton.add_word(x, (WINDOW, owner[x]))
+    automaton.make_automaton()
+    none = np.iinfo(np.int64).max
+    keys, owners = [], []
+    for s, key, _, _ in streams:
+        found = [none] * (len(s) - WINDOW + 1)
+        for end, (size, first) in automaton.iter(s):
+            for k in range(end + 1 - size, end + 2 - WINDOW):
+                if first < found[k]:
+                    found[k] = first
+        keys.append(key)
+        owners.append(found)
+    return keys, owners
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, piece, key, first id), with the rows of an anchor together: for each piece, the first id of each of its windows."""
-
-    def shard(anchors: list, pieces: list, keys: list, ids: list) -> pa.RecordBatch:
-        codes: dict[bytes, str] = {}
-        automaton = ahocorasick.Automaton()
-        texts = []
-        for p, owner in zip(pieces, ids, strict=True):
-            s = "".join([codes.setdefault(x, chr(len(codes) + 1 if len(codes) < 0xD7FF else len(codes) + 0x801)) for x in p.split(b" ")])
-            texts.append(s)
-            for k in range(len(s) - WINDOW + 1):
-                window = s[k : k + WINDOW]
-                if automaton.get(window, owner) >= owner:
-                    automaton.add_word(window, owner)
-        automaton.make_automaton()
-        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(keys, pa.int64()), pa.array([[owner for _, owner in automaton.iter(s)] for s in texts], pa.list_(pa.int64()))], ["anchor", "key", "owners"])
+    """Rows (anchor, piece, key, first id, last id), with those of an anchor together: for each piece, by key, the first id of each of its windows."""
+    groups: list[list[tuple[bytes, int, int, int]]] = []
+    held, anchor = 0, None
+
+    def done() -> pa.RecordBatch:
+        keys, owners = _shard(groups)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.list_(pa.int64()))], ["key", "owners"])
 
-    held: tuple[list, list, list, list] = ([], [], [], [])
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(held[0]) >= SHARD_PIECES and row[0] != held[0][-1]:
-                yield shard(*held)
-                held = ([], [], [], [])
-            for x, v in zip(held, row, strict=True):
-                x.append(v)
-    if held[0]:
-        yield shard(*held)
+        for a, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if a != anchor:
+                if held >= SHARD_PIECES:
+                    yield done()
+                    groups, held = [], 0
+                groups.append([])
+                anchor = a
+            groups[-1].append(tuple(row))
+            held += 1
+    if groups:
+        yield done()
 
 
 def _with_hits(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -144,17 +190,24 @@ def _with_hits(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The key is never null: a filter on nulls, pushed under one exchange only, would keep it from being reused.
     base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(others)])
-    rows = base.where("id is not null and text is not null").select("id", "text").mapInArrow(_anchor_rows, "anchor long, id long").where("anchor is not null and id is not null")
-    recurring = rows.groupBy("anchor").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 < i1").select("anchor")
-    by_document = rows.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     dealt = base.repartition(n, "key")
-    pieces = dealt.join(by_document.withColumnRenamed("id", "key"), "key").select(*base.columns, "anchors").mapInArrow(_piece_rows, "anchor long, id long, start int, piece binary")
-    distinct = pieces.groupBy("anchor", "piece").agg(F.min("id").alias("first"))
-    located = distinct.select("anchor", "piece", F.xxhash64("piece").alias("key"), "first").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_locate, "anchor long, key long, owners array<long>")
-    hits = pieces.select("anchor", "id", "start", F.xxhash64("piece").alias("key")).join(located, ["anchor", "key"])
+    # Copies: (key, id of the first of the equal texts), from the ids and digests alone.
+    digests = base.where("id is not null and text is not null").select("key", F.md5("text").alias("same"))
+    first = digests.groupBy("same").agg(F.min("key").alias("i0"), F.max("key").alias("i1")).where("i0 < i1").select("same", "i0")
+    copies = digests.join(first, "same").where("key > i0").select("key", F.lit(True).alias("copy")).distinct()
+    marked = dealt.join(copies, "key", "left")
+    single = lambda df: df.mapInArrow(_representatives, base.select("id", "text").schema)
+    rows = single(marked.select("id", "text", "key", *[c for c in base.columns if c not in ("id", "text", "key")], "copy")).mapInArrow(_anchor_rows, "anchor long, id long").where("anchor is not null and id is not null")
+    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    by_document = rows.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    pieces = dealt.join(by_document.withColumnRenamed("id", "key"), "key").select(*base.columns, "anchors").mapInArrow(_piece_rows, "anchor long, id long, start int, piece binary").where("id is not null")
+    distinct = pieces.groupBy("anchor", "piece").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    located = distinct.select("anchor", "piece", F.xxhash64("anchor", "piece").alias("key"), "first", "last").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_locate, "key long, owners array<long>")
+    hits = pieces.select("id", "start", F.xxhash64("anchor", "piece").alias("key")).join(located, "key")
     starts = F.filter(F.transform("owners", lambda o, k: F.when(o < F.col("id"), F.col("start") + k)), lambda x: x.isNotNull())
     hits = hits.select("id", starts.alias("starts")).where("size(starts) > 0").groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
-    out = dealt.join(hits.withColumnRenamed("id", "key"), "key", "left").withColumn("starts", F.when(F.col("id").isNotNull(), F.col("starts")))
+    # A copy has the starts [-1]: all windows.
+    out = marked.join(hits.withColumnRenamed("id", "key"), "key", "left").withColumn("starts", F.when(F.col("id").isNotNull(), F.when(F.col("copy"), F.array(F.lit(-1))).otherwise(F.col("starts"))))
     return out.select(*[c for c in base.columns if c != "key"], "starts"), others
 
 
@@ -164,6 +217,8 @@ def _removed(w: tb.Words, starts: pa.Array, i: int) -> np.ndarray:
     for d in range(len(w.first) - 1):
         if starts[i + d].is_valid:
             s = np.unique(starts[i + d].values.to_numpy(zero_copy_only=False)) + w.first[d]
+            if s[0] < w.first[d]:
+                s = np.arange(w.first[d], w.first[d + 1])
             s = s[s + WINDOW <= w.first[d + 1]]
             np.add.at(edge, s, 1)
             np.add.at(edge, s + WINDOW, -1)
