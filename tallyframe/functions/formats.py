@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def compact(x: float, digits: int = 4, max_scale: int = 10) -> str:
     """A short text of a number that isn't negative: up to two truncated decimals from 1 on, else d.ddddE-n.
 
-    A run of one repeated digit at the end of the small form is shortened to one.
+    A run of three or more equal digits at the end of the small form is shortened to two.
     """
     if not x > 0:
         return "0"
@@ -28,8 +28,8 @@ def compact(x: float, digits: int = 4, max_scale: int = 10) -> str:
     lead = math.floor(x)
     tail = _digits(x - lead, digits)
     run = len(tail) - len(tail.rstrip(tail[-1]))
-    if run > 2 or (run > 1 and run < len(tail)):
-        tail = tail[: len(tail) - run + 1] if run > 2 else tail
+    if run > 2:
+        tail = tail[: len(tail) - run + 2]
     return f"{int(lead)}.{tail}E-{scale}"
 
 

@@ -30,7 +30,7 @@ def is_number(text: Column | str) -> Column:
 def java_hash(text: Column | str) -> Column:
     """String.hashCode as an int in a bigint: 31 h + c over UTF-16 units, wrapped to 32 bits."""
     t = col(text)
-    point = lambda i: F.conv(F.hex(F.encode(F.substr(t, i, F.lit(1)), "UTF-32BE")), 16, 10).cast("bigint")
+    point = lambda i: F.ascii(F.substr(t, i, F.lit(1))).cast("bigint")
     step = lambda h, u: F.pmod(h * 31 + u, F.lit(1 << 32))
 
     def add(h: Column, i: Column) -> Column:
@@ -153,9 +153,11 @@ def ngrams(namespace: Column, values: Column, n: int) -> Column:
     """Keys of the n-grams that begin at each value; those at the end are shorter."""
     if n < 1:
         raise ValueError("n must be positive")
-    size = F.size(values)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.concat(namespace, F.lit(DELIMITER), F.array_join(F.slice(values, i, n), DELIMITER), F.lit(DELIMITER)))
-    return F.when(size > 0, grams).otherwise(F.array().cast("array<string>"))
+    # Shifted copies side by side: nothing is evaluated again for each element.
+    shifted = F.arrays_zip(*[F.slice(values, j + 1, F.greatest(F.size(values), F.lit(0))) for j in range(n)])
+    # Missing ends are null, which array_join leaves out.
+    joined = lambda z: F.array_join(F.array(*[z.getField(str(j)) for j in range(n)]), DELIMITER)
+    return F.transform(shifted, lambda z: F.concat(namespace, F.lit(DELIMITER), joined(z), F.lit(DELIMITER)))
 
 
 def hashed_feature(key: Column, bits: int) -> Column:

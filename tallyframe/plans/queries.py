@@ -1,4 +1,482 @@
-"""The engine's queries by name, and their SQL."""
+"""The engine's queries over the test tables by name, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.functions import formats
+from tallyframe.functions import scalar as S
+from tallyframe.operators import noise as N
+from tallyframe.operators import sketch as K
+from tallyframe.operators import windows as W
+from tallyframe.operators.counts import Blocks, Criteria, Model, Spec, exact_counts, key_of, label_counts
+from tallyframe.prepare import features as P
+from tallyframe.privacy import sensitivity as D
+from tallyframe.sources import sinks, text
+from tallyframe.streaming import counts as streaming
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Line items as labelled observations: quantity bucket, discount, status; label 1 for returned ones.
+
+LINES = Spec(3, (-1.0, 1.0), ((1, 2),))
+QUANTITY = [10.0, 20.0, 30.0, 40.0, 50.0]
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    bounds = F.array(*[F.lit(b) for b in QUANTITY])
+    features = F.array(S.bucketize("l_quantity", bounds).cast("string"), F.col("l_discount").cast("string"), F.col("l_linestatus"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0).alias("label"), features.alias("features"))
+
+
+_OBS = """obs AS (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label,
+    CAST(CASE WHEN l_quantity <= 10 THEN 10.0::DOUBLE WHEN l_quantity <= 20 THEN 20.0 WHEN l_quantity <= 30 THEN 30.0 WHEN l_quantity <= 40 THEN 40.0 ELSE 50.0 END AS VARCHAR) AS f0,
+    CAST(l_discount AS VARCHAR) AS f1, l_linestatus AS f2 FROM lineitem
+), keyed AS (
+  SELECT *, f0 AS k0, f1 AS k1, f2 AS k2, f1 || chr(31) || f2 AS k3 FROM obs
+), counts AS (
+  SELECT 0 AS table_id, k0 AS key, label, count(*)::DOUBLE AS cnt FROM keyed GROUP BY ALL
+  UNION ALL SELECT 1, k1, label, count(*)::DOUBLE FROM keyed GROUP BY ALL
+  UNION ALL SELECT 2, k2, label, count(*)::DOUBLE FROM keyed GROUP BY ALL
+  UNION ALL SELECT 3, k3, label, count(*)::DOUBLE FROM keyed GROUP BY ALL
+), wide AS (
+  SELECT table_id, key, coalesce(sum(cnt) FILTER (label = -1), 0) AS c0, coalesce(sum(cnt) FILTER (label = 1), 0) AS c1 FROM counts GROUP BY ALL
+), prior AS (SELECT avg((label = 1)::INT)::DOUBLE AS p1, avg((label = -1)::INT)::DOUBLE AS p0 FROM obs
+), looked AS (
+  SELECT k.*, a.c0 AS a0, a.c1 AS a1, b.c0 AS b0, b.c1 AS b1, c.c0 AS c0, c.c1 AS c1, e.c0 AS e0, e.c1 AS e1 FROM keyed k
+  LEFT JOIN wide a ON a.table_id = 0 AND a.key = k0 LEFT JOIN wide b ON b.table_id = 1 AND b.key = k1
+  LEFT JOIN wide c ON c.table_id = 2 AND c.key = k2 LEFT JOIN wide e ON e.table_id = 3 AND e.key = k3
+)"""
+
+
+@query(f"WITH {_OBS} SELECT table_id, key, label, cnt FROM counts WHERE table_id < 3")
+def exact_count_tables(spark, d):
+    return Model.fit(lines(spark, d), Spec(3, (-1.0, 1.0))).counts
+
+
+@query(f"WITH {_OBS} SELECT key, label, cnt FROM counts WHERE table_id = 3")
+def combo_counts(spark, d):
+    return exact_counts(lines(spark, d), LINES).where("table_id = 3").select("key", "label", "cnt")
+
+
+@query("SELECT o_orderstatus AS label, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 9) AS prior FROM orders GROUP BY 1")
+def label_prior(spark, d):
+    counted = label_counts(table(spark, d, "orders").select(F.col("o_orderstatus").alias("label")))
+    total = counted.agg(F.sum("cnt").alias("total"))
+    return counted.join(F.broadcast(total)).select("label", F.col("cnt").cast("long").alias("cnt"), F.round(S.prior_probability("cnt", "total"), 9).alias("prior"))
+
+
+def _columns(df: DataFrame, arrays: dict[str, int]) -> DataFrame:
+    """Arrays as columns, so that rows compare by value."""
+    return df.select("l_orderkey", "l_linenumber", "label", *[F.round(F.get(a, F.lit(i)), 9).alias(f"{a[:1]}{i}") for a, n in arrays.items() for i in range(n)])
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, round(a1 / (a0 + a1), 9) AS p0, round(b1 / (b0 + b1), 9) AS p1, round(c1 / (c0 + c1), 9) AS p2, round(e1 / (e0 + e1), 9) AS p3 FROM looked")
+def featurize_prob(spark, d):
+    rows = lines(spark, d)
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(remove_first_label=True)), {"probabilities": 4})
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a0 AS c0, a1 AS c1, b0 AS c2, b1 AS c3, c0 AS c4, c1 AS c5, e0 AS c6, e1 AS c7 FROM looked")
+def featurize_counts(spark, d):
+    rows = lines(spark, d)
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, counts=True)), {"counts": 8})
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a0 + a1 AS t0, b0 + b1 AS t1, c0 + c1 AS t2, e0 + e1 AS t3 FROM looked")
+def featurize_totals(spark, d):
+    rows = lines(spark, d)
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, totals=True)), {"totals": 4})
+
+
+@query(f"""WITH {_OBS} SELECT l_orderkey, l_linenumber, label, round(a0 / (a0 + a1), 9) AS p0, round(a1 / (a0 + a1), 9) AS p1, round(b0 / (b0 + b1), 9) AS p2, round(b1 / (b0 + b1), 9) AS p3,
+  round(c0 / (c0 + c1), 9) AS p4, round(c1 / (c0 + c1), 9) AS p5, round(e0 / (e0 + e1), 9) AS p6, round(e1 / (e0 + e1), 9) AS p7,
+  a0 AS c0, a1 AS c1, b0 AS c2, b1 AS c3, looked.c0 AS c4, looked.c1 AS c5, e0 AS c6, e1 AS c7, a0 + a1 AS t0, b0 + b1 AS t1, looked.c0 + looked.c1 AS t2, e0 + e1 AS t3 FROM looked""")
+def featurize_blocks(spark, d):
+    rows = lines(spark, d)
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(True, True, True)), {"probabilities": 8, "counts": 8, "totals": 4})
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a1 AS c0, b1 AS c1, c1 AS c2, e1 AS c3 FROM looked")
+def remove_first_label(spark, d):
+    rows = lines(spark, d)
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, counts=True, remove_first_label=True)), {"counts": 4})
+
+
+def _with_scale(spark, d, b: float, criteria: Criteria) -> DataFrame:
+    rows = lines(spark, d)
+    model = Model.fit(rows, LINES)
+    model.b = b
+    return _columns(model.transform(rows, Blocks(remove_first_label=True), criteria), {"probabilities": 4})
+
+
+#: The noise scale at which some tables' totals stop meaning anything, by the criterion, on any scale factor.
+_B = 1500.0
+
+
+def _total(x: str) -> str:
+    return f"CASE WHEN {x}0 + {x}1 < sqrt(4 * {_B} * {_B}) THEN p1 ELSE {x}1 / ({x}0 + {x}1) END"
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, {', '.join(f'round({_total(x)}, 9) AS p{i}' for i, x in enumerate('abce'))} FROM (SELECT l_orderkey, l_linenumber, label, a0, a1, b0, b1, looked.c0 AS c0, looked.c1 AS c1, e0, e1, prior.p1 AS p1 FROM looked, prior)".replace(" AS p1 FROM looked, prior", " AS p1 FROM looked, prior"))
+def prob_total_criterion(spark, d):
+    return _with_scale(spark, d, _B, Criteria())
+
+
+def _variance(x: str) -> str:
+    n, p = f"({x}0 + {x}1)", f"({x}1 / ({x}0 + {x}1))"
+    return f"CASE WHEN abs({p} - p1) <= sqrt(({n} * {p} * (1 - {p})) / ({n} * {n})) THEN p1 ELSE {p} END"
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, {', '.join(f'round({_variance(x)}, 9) AS p{i}' for i, x in enumerate('abce'))} FROM (SELECT l_orderkey, l_linenumber, label, a0, a1, b0, b1, looked.c0 AS c0, looked.c1 AS c1, e0, e1, prior.p1 AS p1 FROM looked, prior)")
+def prob_variance_criterion(spark, d):
+    return _with_scale(spark, d, 0.0, Criteria(variance=True))
+
+
+@query("SELECT p_partkey, CASE WHEN p_retailprice <= 950 THEN 950.0::DOUBLE WHEN p_retailprice <= 1000 THEN 1000.0 WHEN p_retailprice <= 1100 THEN 1100.0 ELSE 1500.0 END AS bucket FROM part")
+def discretize(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.bucketize("p_retailprice", F.array(*map(F.lit, (950.0, 1000.0, 1100.0, 1500.0)))).alias("bucket"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_totalprice <= 50000 THEN 50000.0::DOUBLE WHEN o_totalprice <= 150000 THEN 150000.0 ELSE 300000.0 END AS VARCHAR) AS price, o_orderpriority AS priority FROM orders")
+def bucket_string(spark, d):
+    bounds = F.array(*map(F.lit, (50000.0, 150000.0, 300000.0)))
+    return table(spark, d, "orders").select("o_orderkey", S.bucket_to_string(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), bounds).alias("price"), S.bucket_to_string("o_orderpriority", bounds).alias("priority"))
+
+
+@query("""WITH c AS (SELECT o_totalprice AS v, count(*) AS n FROM orders GROUP BY 1), u AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto, n, (SELECT count(*) FROM orders) // 10 AS step FROM c)
+SELECT i AS bound, min(v) AS value FROM u, (SELECT unnest(range(1, 10)) AS i) WHERE upto > i * step GROUP BY i""")
+def percentile_bounds(spark, d):
+    rows = table(spark, d, "orders").groupBy(F.col("o_totalprice").alias("value")).agg(F.count("*").alias("cnt")).withColumn("feature", F.lit(0))
+    return P.equi_depth_bounds(rows, 10).select(F.posexplode("bounds").alias("p", "value")).select((F.col("p") + 1).cast("long").alias("bound"), "value")
+
+
+def _java(x: str) -> str:
+    folded = f"list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, length({x}) + 1), lambda i: ord(substr({x}, i, 1))::HUGEINT)), lambda h, u: (h * 31 + u) % 4294967296)"
+    return f"CAST(CASE WHEN {folded} >= 2147483648 THEN {folded} - 4294967296 ELSE {folded} END AS BIGINT)"
+
+
+@query(f"SELECT DISTINCT s AS text, {_java('s')} AS hash FROM (SELECT c_mktsegment AS s FROM customer UNION ALL SELECT p_type FROM part UNION ALL SELECT lang || source FROM documents)")
+def java_hash(spark, d):
+    s = table(spark, d, "customer").select(F.col("c_mktsegment").alias("text")).union(table(spark, d, "part").select("p_type")).union(table(spark, d, "documents").select(F.concat("lang", "source"))).distinct()
+    return s.select("text", S.java_hash("text").alias("hash"))
+
+
+# Sketches over part keys.
+
+SKETCHES = {kind: K.Sketch(0.01, 0.01, kind) for kind in ("cms", "count_median", "count_sketch")}
+
+
+def _cells_sql(s: K.Sketch) -> str:
+    hashed = lambda d: f"((({S.coefficients(d)[0]} * k + {S.coefficients(d)[1]}) % 2147483647) % {s.width})"
+    sign = lambda d: "1.0" if s.kind != "count_sketch" else f"(CASE WHEN (({S.coefficients(d + 1000)[0]} * k + {S.coefficients(d + 1000)[1]}) % 2147483647) % 2 = 0 THEN 1.0 ELSE -1.0 END)"
+    placed = " UNION ALL ".join(f"SELECT k, n, {d} AS d, {hashed(d)} AS w, {sign(d)}::DOUBLE AS sign FROM exact" for d in range(s.depth))
+    reduce = "min(sign * s)" if s.kind == "cms" else f"list_sort(list(sign * s))[{s.depth // 2 + 1}]"
+    return f"""exact AS (SELECT l_partkey AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), placed AS ({placed}),
+cells AS (SELECT d, w, sum(sign * n) AS s FROM placed GROUP BY ALL), estimates AS (SELECT k, n, greatest(0, {reduce}) AS estimate FROM placed JOIN cells USING (d, w) GROUP BY k, n)"""
+
+
+def _partkeys(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.lit(0).alias("table_id"), F.col("l_partkey").alias("k"), F.lit(1.0).alias("cnt"))
+
+
+def _points(kind: str):
+    def run(spark, d):
+        s, rows = SKETCHES[kind], _partkeys(spark, d)
+        return s.query(rows.select("table_id", "k").distinct(), s.build(rows)).select("k", "estimate")
+
+    run.__name__ = {"cms": "cms_point", "count_median": "count_median_point", "count_sketch": "count_sketch_point"}[kind]
+    return run
+
+
+for _kind, _s in SKETCHES.items():
+    query(f"WITH {_cells_sql(_s)} SELECT k, estimate FROM estimates")(_points(_kind))
+
+
+@query(f"WITH {_cells_sql(SKETCHES['cms'])} SELECT count(*) AS keys, sum(n)::BIGINT AS exact, sum(estimate)::BIGINT AS estimated, count(*) FILTER (estimate < n) AS below FROM estimates")
+def cms_error(spark, d):
+    s, rows = SKETCHES["cms"], _partkeys(spark, d)
+    exact = rows.groupBy("table_id", "k").agg(F.sum("cnt").alias("n"))
+    found = s.query(exact.select("table_id", "k"), s.build(rows)).join(exact, ["table_id", "k"])
+    return found.agg(F.count("*").alias("keys"), F.sum("n").cast("long").alias("exact"), F.sum("estimate").cast("long").alias("estimated"), F.count_if(F.col("estimate") < F.col("n")).alias("below"))
+
+
+@query(f"WITH {_cells_sql(SKETCHES['cms'])} SELECT d, w, s FROM cells")
+def cms_merge(spark, d):
+    rows = _partkeys(spark, d)
+    s = SKETCHES["cms"]
+    halves = [s.build(rows.where(F.pmod("k", F.lit(2)) == i)) for i in (0, 1)]
+    return K.merge_cells(*halves).select("d", "w", "s")
+
+
+# Noise.
+
+
+def _uniform_sql(k: str, seed: int) -> str:
+    a, b = S.coefficients(seed)
+    return f"(((({a} * ({k}) + {b}) % 2147483647) * {b | 1} + {a}) % 2147483647 + 0.5) / 2147483647.0"
+
+
+def _laplace_sql(u: str, b: float) -> str:
+    return f"(-{b} * sign({u} - 0.5) * ln(1 - 2 * abs({u} - 0.5)))"
+
+
+_COUNT_KEY = "(('0x' || substr(md5(table_id::VARCHAR || '|' || key || '|' || label::INT::VARCHAR), 1, 8))::BIGINT % 2147483647)"
+
+
+@query(f"WITH {_OBS} SELECT table_id, key, label, round(cnt + {_laplace_sql(_uniform_sql(_COUNT_KEY, 5), 10.0)} + {_laplace_sql(_uniform_sql(_COUNT_KEY, 36), 10.0)}, 6) AS cnt FROM counts")
+def noisy_counts(spark, d):
+    counted = exact_counts(lines(spark, d), LINES)
+    return N.noisy(counted, 10.0, seed=5, draws=2).withColumn("cnt", F.round("cnt", 6))
+
+
+@query(f"WITH {_OBS} SELECT table_id, key, label, cnt AS clean, round(cnt + {_laplace_sql(_uniform_sql(_COUNT_KEY, 9), 10.0)}, 6) AS noisy FROM counts")
+def backing_noise(spark, d):
+    counted = N.noisy(exact_counts(lines(spark, d), LINES), 10.0, seed=9, backing=True)
+    return counted.select("table_id", "key", "label", F.col("cnt").alias("clean"), F.round(F.col("cnt") + F.col("noise"), 6).alias("noisy"))
+
+
+@query("WITH t AS (SELECT * FROM (VALUES (0, 2.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1, 1.0, 10.0, 1.0), (2, 1.0, 100.0, 2.0)) x(i, q, s, m)), v AS (SELECT i, q, 1 / (1 + s / m) AS v FROM t) SELECT i AS table_id, round((SELECT sum(q * v) FROM v) / (q * v * (SELECT sum(q) FROM v)), 9) AS multiplier FROM v")
+def noise_multipliers(spark, d):
+    found = N.multipliers([2.0, 1.0, 1.0], [1.0, 10.0, 100.0], [1.0, 1.0, 2.0])
+    return spark.createDataFrame([(i, round(m, 9)) for i, m in enumerate(found)], "table_id int, multiplier double")
+
+
+@query("SELECT f AS feature, key, label, count(*)::DOUBLE AS cnt FROM (SELECT 0 AS f, o_orderpriority AS key, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label FROM orders) GROUP BY ALL")
+def merge_models(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(-1.0).alias("label"), F.array("o_orderpriority").alias("features"))
+    spec = Spec(1, (-1.0, 1.0))
+    a, b = (Model.fit(rows.where(F.pmod("o_orderkey", F.lit(2)) == i), spec) for i in (0, 1))
+    return a.merge(b).counts.select(F.col("table_id").alias("feature"), "key", "label", "cnt")
+
+
+# Events by arrival.
+
+EVENTS = Spec(1, (-1.0, 1.0))
+SIZE, KEEP = 1000, 3
+
+
+def arrivals(spark, d) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "purchase", 1.0).otherwise(-1.0).alias("label"), F.array(F.pmod("user_id", F.lit(10)).cast("string")).alias("features"))
+    return W.with_ordinal(e, "event_id").withColumn("window_id", W.window_of("ordinal", SIZE))
+
+
+_EVENTS = f"""e AS (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, CAST(user_id % 10 AS VARCHAR) AS key, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events),
+w AS (SELECT *, ordinal // {SIZE} AS window_id FROM e), c AS (SELECT window_id, key, label, count(*)::DOUBLE AS cnt FROM w GROUP BY ALL)"""
+
+
+@query(f"WITH {_EVENTS} SELECT window_id, key, label, cnt FROM c")
+def window_counts(spark, d):
+    return W.WindowedModel(EVENTS, arrivals(spark, d)).by_window.select("window_id", "key", "label", "cnt")
+
+
+@query(f"""WITH {_EVENTS}, x AS (SELECT window_id, key, sum(cnt) AS t, coalesce(sum(cnt) FILTER (label = 1), 0) AS n FROM c GROUP BY ALL), f AS (SELECT key, sum(t) AS ft, sum(n) AS fn FROM x GROUP BY ALL)
+SELECT event_id, ft AS full_total, fn AS full_positive, t AS window_total, n AS window_positive FROM w JOIN x USING (window_id, key) JOIN f USING (key)""")
+def window_featurize(spark, d):
+    rows = arrivals(spark, d)
+    model = W.WindowedModel(EVENTS, rows)
+    own = model.own_window_counts(rows).withColumnRenamed("t0", "w")
+    both = model.full.lookup(own)
+    total = lambda c: F.get(c, F.lit(0)) + F.get(c, F.lit(1))
+    return both.select("event_id", total("t0").alias("full_total"), F.get("t0", F.lit(1)).alias("full_positive"), total("w").alias("window_total"), F.get("w", F.lit(1)).alias("window_positive"))
+
+
+@query(f"""WITH {_EVENTS}, v AS (SELECT unnest(range(1, (SELECT max(window_id) FROM c) + 2)) AS view_id)
+SELECT view_id, key, label, sum(cnt) AS cnt FROM v JOIN c ON window_id < view_id AND window_id >= view_id - {KEEP} GROUP BY ALL""")
+def hot_window_merge(spark, d):
+    rows = arrivals(spark, d)
+    return W.hot_view(W.WindowedModel(EVENTS, rows).by_window, KEEP).select("view_id", "key", "label", "cnt")
+
+
+@query(f"""WITH {_EVENTS}, n AS (SELECT count(*) AS n FROM e), m AS (SELECT key, sum(cnt) AS t, coalesce(sum(cnt) FILTER (label = 1), 0) AS p FROM c, n WHERE window_id < n // {SIZE} AND window_id >= n // {SIZE} - {KEEP} GROUP BY ALL)
+SELECT event_id, coalesce(t, 0) AS total, coalesce(p, 0) AS positive FROM e LEFT JOIN m USING (key), n WHERE ordinal >= n // 500 * 500 - 500""")
+def hot_window_featurize(spark, d):
+    rows = arrivals(spark, d)
+    n = rows.count()
+    model = W.hot_model(EVENTS, rows, count_table_size=SIZE, keep=KEEP, n=n)
+    held = W.hot_points(rows, hot_window_size=500, n=n)
+    return model.lookup(held).select("event_id", (F.get("t0", F.lit(0)) + F.get("t0", F.lit(1))).alias("total"), F.get("t0", F.lit(1)).alias("positive"))
+
+
+@query("SELECT event_type AS key, CAST(sum(round(value)) AS DOUBLE) AS cnt FROM events GROUP BY 1")
+def weighted_counts(spark, d):
+    rows = table(spark, d, "events").select(F.lit(1.0).alias("label"), F.array("event_type").alias("features"), F.round("value").alias("weight"))
+    return exact_counts(rows, Spec(1, (1.0,)), use_weights=True).select("key", "cnt")
+
+
+# Text.
+
+
+def _line_texts(spark, d) -> DataFrame:
+    t = table(spark, d, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.when(F.col("l_returnflag") == "R", "1").otherwise("-1"), F.lit(" |f "), F.col("l_quantity").cast("string"), F.lit(" q:"), F.col("l_discount").cast("string"), F.lit(" "), F.col("l_linestatus")).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, CASE WHEN l_quantity <= 25 THEN 25.0::DOUBLE ELSE 50.0 END AS f0, l_discount AS f1, ascii(l_linestatus)::DOUBLE AS f2, 0.0::DOUBLE AS f3 FROM lineitem")
+def vw_parse(spark, d):
+    parsed = text.parse_dense(_line_texts(spark, d), 4, {0: [25.0, 50.0]})
+    return parsed.select("l_orderkey", "l_linenumber", "l_partkey", "label", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(4)])
+
+
+@query()
+def vw_format(spark, d):
+    rows = lines(spark, d)
+    done = Model.fit(rows, LINES).transform(rows, Blocks(remove_first_label=True, totals=True))
+    line = sinks.vw_line(F.col("label"), [(F.col("probabilities"), 4), (F.col("totals"), 4)])
+    return done.select(sinks.keep_original(line, F.array_join("features", " "), [0, 2]).alias("value"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, ns, k, v FROM orders, LATERAL (VALUES
+  ('a', '0', o_custkey::DOUBLE), ('a', 'x', 2.0::DOUBLE), ('a', '2', 7.0::DOUBLE), ('', '0', floor(o_totalprice)::DOUBLE)) t(ns, k, v)""")
+def namespaced_parse(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.select("o_orderkey", F.concat(F.when(F.col("o_orderstatus") == "F", "1").otherwise("0"), F.lit(" |a "), F.col("o_custkey").cast("string"), F.lit(" x:2 | "), F.floor("o_totalprice").cast("string"), F.lit(" |a 7")).alias("value"))
+    parsed = text.parse_namespaced(rows).select("o_orderkey", "label", F.explode("namespaces").alias("ns", "fs"))
+    return parsed.select("o_orderkey", "label", "ns", F.inline("fs"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i AS place, 'text^' || array_to_string(w[i:i + 1], '^') || '^' AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d))
+SELECT doc_id, CAST(place - 1 AS INT) AS place, ((('0x' || substr(md5(key), 1, 8))::BIGINT % 2147483647) % 1024)::DOUBLE AS feature FROM g""")
+def ngram_hash(spark, d):
+    words = F.filter(F.split(F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    grams = S.ngrams(F.lit("text"), words, 2)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(grams).alias("place", "key")).select("doc_id", "place", S.hashed_feature(F.col("key"), 10).alias("feature"))
+
+
+@query("""WITH o AS (SELECT doc_id, quality, lang AS k0, source AS k1, CASE WHEN n_chars <= 500 THEN '500.0' WHEN n_chars <= 2000 THEN '2000.0' ELSE '8000.0' END AS k2 FROM documents JOIN labels USING (doc_id)),
+a AS (SELECT k0, avg(quality) AS p FROM o GROUP BY 1), b AS (SELECT k1, avg(quality) AS p FROM o GROUP BY 1), c AS (SELECT k2, avg(quality) AS p FROM o GROUP BY 1)
+SELECT doc_id, round(a.p, 9) AS p0, round(b.p, 9) AS p1, round(c.p, 9) AS p2 FROM o JOIN a USING (k0) JOIN b USING (k1) JOIN c USING (k2)""")
+def doc_quality_features(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    size = S.bucketize(F.col("n_chars").cast("double"), F.array(*map(F.lit, (500.0, 2000.0, 8000.0)))).cast("string")
+    rows = docs.select("doc_id", F.col("quality").cast("double").alias("label"), F.array("lang", "source", size).alias("features"))
+    done = Model.fit(rows, Spec(3, (0.0, 1.0))).transform(rows, Blocks(remove_first_label=True))
+    return done.select("doc_id", *[F.round(F.get("probabilities", F.lit(i)), 9).alias(f"p{i}") for i in range(3)])
+
+
+_TYPES = ["A", "N", "R"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'(l_returnflag = {g!r})::INT::DOUBLE AS hot{i}' for i, g in enumerate(_TYPES))}, CASE WHEN {_uniform_sql('l_orderkey', 3)} < 0.6 THEN 'train' WHEN {_uniform_sql('l_orderkey', 3)} < 0.8 THEN 'count' ELSE 'test' END AS split FROM lineitem")
+def onehot_split(spark, d):
+    rows = P.split_by_hash(table(spark, d, "lineitem"), "l_orderkey", 0.6, 0.2, seed=3)
+    hot = P.one_hot(F.array("l_returnflag"), _TYPES)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.get(hot, F.lit(i)).alias(f"hot{i}") for i in range(3)], "split")
+
+
+# Private statistics.
+
+_LOW, _HIGH, _BETA, _Q = -1000.0, 10000.0, 0.05, 0.3
+_SMOOTH = f"""WITH x AS (SELECT s_nationkey AS g, greatest(least(s_acctbal, {_HIGH}), {_LOW}) AS v FROM supplier), n AS (SELECT g, count(*) AS n FROM x GROUP BY 1 HAVING count(*) > 2),
+z AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS i FROM x JOIN n USING (g) UNION ALL SELECT g, {_LOW}, 0 FROM n UNION ALL SELECT g, {_HIGH}, n + 1 FROM n),
+q AS (SELECT g, n, CAST(floor(n * {_Q} + 1) AS BIGINT) AS at FROM n)
+SELECT q.g AS nation, q.n AS n, any_value(m.v) AS quantile, round(max((j.v - b.v) * exp({_BETA} * (b.i - j.i + 1))), 6) AS sensitivity
+FROM q JOIN z b ON b.g = q.g AND b.i <= q.at JOIN z j ON j.g = q.g AND j.i >= q.at JOIN z m ON m.g = q.g AND m.i = q.at GROUP BY q.g, q.n"""
+
+
+def _smooth(spark, d, fast: bool) -> DataFrame:
+    found = D.quantile_sensitivity(table(spark, d, "supplier"), "s_acctbal", _Q, _LOW, _HIGH, _BETA, by=("s_nationkey",), fast=fast)
+    return found.select(F.col("s_nationkey").alias("nation"), "n", "quantile", F.round("sensitivity", 6).alias("sensitivity"))
+
+
+@query(_SMOOTH)
+def smooth_quantile_slow(spark, d):
+    return _smooth(spark, d, False)
+
+
+@query(_SMOOTH)
+def smooth_quantile_fast(spark, d):
+    return _smooth(spark, d, True)
+
+
+@query("""WITH x AS (SELECT c_nationkey AS g, greatest(least(c_acctbal, 5000.0), 0.0)::DOUBLE AS z FROM customer), k AS (SELECT g, count(*) AS k FROM x GROUP BY 1 HAVING count(*) > 1),
+a AS (SELECT g, 0 AS o, z FROM x JOIN k USING (g) UNION ALL SELECT g, -1, 0.0 FROM k UNION ALL SELECT g, 1, 5000.0 FROM k),
+i AS (SELECT g, z, row_number() OVER (PARTITION BY g ORDER BY o, z) - 1 AS i, lead(z) OVER (PARTITION BY g ORDER BY o, z) AS nx FROM a),
+w AS (SELECT g, z, i, nx, k, (nx - z) * exp(-0.1 * abs(i - 0.5 * k)) AS w FROM i JOIN k USING (g) WHERE nx IS NOT NULL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY i) AS upto, sum(w) OVER (PARTITION BY g) AS whole FROM w),
+m AS (SELECT g, min(i) AS i FROM c WHERE upto > 0.4 * whole GROUP BY g)
+SELECT g AS nation, k, round(z + 0.25 * (nx - z), 4) AS estimate FROM c JOIN m USING (g, i)""")
+def private_quantile(spark, d):
+    found = D.private_quantile(table(spark, d, "customer"), "c_acctbal", 0.5, 5000.0, 0.1, by=("c_nationkey",), u=0.4, inside=0.25)
+    return found.select(F.col("c_nationkey").alias("nation"), "k", F.round("estimate", 4).alias("estimate"))
+
+
+_SAMPLE = "label = 0 AND vec_id % 8 = 0"
+
+
+@query(f"WITH s AS (SELECT * FROM embeddings WHERE {_SAMPLE}) SELECT a.vec_id AS id, b.vec_id AS other, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS distance FROM s a JOIN s b ON a.vec_id <> b.vec_id")
+def pairwise_distance(spark, d):
+    """All distances within one cluster's test sample, as the smooth sensitivity of a center needs them."""
+    return D.pairwise(table(spark, d, "embeddings").where(_SAMPLE), "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH s AS (SELECT * FROM embeddings WHERE {_SAMPLE}), p AS (SELECT a.vec_id AS id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS distance FROM s a JOIN s b ON a.vec_id <> b.vec_id),
+r AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS r FROM p) SELECT id, round(coalesce(max(distance) FILTER (r = 3), 100.0), 6) AS radius FROM r GROUP BY id""")
+def t_radius(spark, d):
+    rows = D.pairwise(table(spark, d, "embeddings").where(_SAMPLE), "vec_id", "embedding").select("id", "distance")
+    return D.t_radius(rows, 2, 100.0).withColumn("radius", F.round("radius", 6))
+
+
+@query()
+def sample_aggregate(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return D.sample_aggregate(rows, "o_totalprice", "o_orderkey", lambda x: float(x.mean()), count=16, low=0.0, high=600000.0, epsilon=1.0)
+
+
+@query()
+def noise_weights(spark, d):
+    rows = lines(spark, d)
+    model = Model.fit(rows, LINES)
+    totals = model.transform(rows.withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "features")), Blocks(probabilities=False, totals=True)).select("row_id", "totals")
+    return D.noise_weights(totals, 0.25, 1.0, groups=4)
+
+
+# Streams.
+
+
+@query(f"SELECT CAST(user_id % 10 AS VARCHAR) AS key, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, count(*)::DOUBLE AS cnt FROM events GROUP BY ALL")
+def stream_counts(spark, d):
+    def observe(events: DataFrame) -> DataFrame:
+        return events.select(F.when(F.col("event_type") == "purchase", 1.0).otherwise(-1.0).alias("label"), F.array(F.pmod("user_id", F.lit(10)).cast("string")).alias("features"))
+
+    return streaming.count_stream(spark, d, "events.parquet", EVENTS, observe).select("key", "label", "cnt")
+
+
+@query(f"""WITH {_EVENTS}, n AS (SELECT count(*) AS n FROM e) SELECT key, label, count(*)::DOUBLE AS cnt FROM w, n WHERE window_id < n // {SIZE} AND window_id >= n // {SIZE} - {KEEP} GROUP BY ALL""")
+def stream_hot_window(spark, d):
+    def observe(events: DataFrame) -> DataFrame:
+        return events.select("event_id", F.when(F.col("event_type") == "purchase", 1.0).otherwise(-1.0).alias("label"), F.pmod("user_id", F.lit(10)).cast("string").alias("key"))
+
+    return streaming.hot_window_stream(spark, d, "events.parquet", observe, order="event_id", count_table_size=SIZE, keep=KEEP)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1 THEN 1 ELSE 0 END AS whole FROM orders")
+def compact_format(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", formats.compact_text(F.col("o_totalprice")).alias("t"))
+    return rows.select("o_orderkey", F.when(F.col("t").rlike(r"^\d+(\.\d{1,2})?$"), 1).otherwise(0).alias("whole"))
+
+
+del math, key_of
