@@ -10,9 +10,15 @@ Candidates are verified by aligning their k-mer sequences within a band: with M
 B, the similarity is M / (A + B - M), and 0.8 or more is a link. At that similarity at most (A + B) / 9 k-mers stay
 unaligned, so no alignment that counts leaves a band of that width.
 
-Exact copies of a text are one member of the search. Within a bucket each member is first compared with the
-bucket's pivot, then the members of different components found so far with each other, if their lengths and
-signatures allow a link. Classes are the connected components of the links.
+Exact copies of a text are one member of the search. Within a bucket each member is compared with the bucket's
+pivot, the member that shares most and largest buckets: in a family of copies, one with few edits of its own, to
+which most others link. Where members of a bucket are then still in different components, the rest is done exactly
+and without pairing a bucket with itself: at similarity s, texts of A >= B k-mers share s / (1 + s) * (A + B) of them
+at least, so in the order from rare to common they share one among the first A - s * A + 1 of the longer text and the
+first B - 2 s / (1 + s) * B + 1 of the shorter, at places that leave that many after them (a prefix filter with
+positions). Members of different components that share such a k-mer are aligned. A text's own edits come first in
+that order, so a family that only its common text holds together meets in few pairs. Classes are the connected
+components of the links.
 """
 
 from __future__ import annotations
@@ -33,8 +39,7 @@ K = 5
 SIMILARITY = 0.8
 ELL = 5
 SKETCHES = 24
-SIGNATURE = 64
-_ODD = tb.mix(np.arange(1, SKETCHES + SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = tb.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def kmers(w: tb.Words) -> list[np.ndarray]:
@@ -80,7 +85,10 @@ def sketch(x: np.ndarray) -> np.ndarray:
 
 
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
-    """Similarity of two k-mer sequences aligned in order, or 0 where it is below ``similarity``."""
+    """Similarity of two k-mer sequences aligned in order, or 0 where it is below ``similarity``.
+
+    Occurrence numbers make an alignment a longest increasing run of places. Where k-mers repeat that is a lower bound
+    (enough to accept), and the alignment over all equal k-mers of the band decides."""
     na, nb = len(a), len(b)
     if not na or not nb or min(na, nb) < similarity * max(na, nb):
         return 0.0
@@ -152,23 +160,41 @@ def _banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, at in tb.chunks(batch.column(2)):
-            ids, same, n, keys, sign = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), [], [], []
+            ids, same, n, keys = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), [], []
             for g in kmers(tb.words(data, at, tb.FOLDED, fold=True)):
                 n.append(len(g))
-                x = labelled(g)
-                keys.append(sketch(x).view(np.int64) if len(g) else None)
-                sign.append(_signature(x) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([ids, same, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sign, pa.binary())], ["id", "same", "n", "keys", "sign"])
+                keys.append(sketch(labelled(g)).view(np.int64) if len(g) else None)
+            yield pa.RecordBatch.from_arrays([ids, same, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "same", "n", "keys"])
 
 
-def _signature(x: np.ndarray) -> bytes:
-    """One byte of each of SIGNATURE further minima: equal bytes estimate the similarity."""
-    out = np.empty(SIGNATURE, np.uint8)
-    step = max(1, 400_000 // len(x))
-    for i in range(0, SIGNATURE, step):
-        v = x[None, :] * _ODD[SKETCHES + i : SKETCHES + min(i + step, SIGNATURE), None]
-        out[i : i + step] = (tb.mix(v.min(axis=1)) >> np.uint64(56)).astype(np.uint8)
-    return out.tobytes()
+def _member_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, c, n, text) as rows (s, id, c, n), one for each labelled k-mer."""
+    for batch in batches:
+        ids, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for i, j, data, at in tb.chunks(batch.column(2)):
+            found = [labelled(g) if len(g) else g for g in kmers(tb.words(data, at, tb.FOLDED, fold=True))]
+            n = np.array([len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids[i:j], n)), pa.array(np.repeat(c[i:j], n)), pa.array(np.repeat(n, n))], ["s", "id", "c", "n"])
+
+
+def _rest(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (id, c, text) of different c that can be similar enough, by prefix filter."""
+    rows = members.mapInArrow(_member_kmers, "s long, id long, c long, n long")
+    shared = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("df > 1")
+    own = rows.join(shared, "s").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s", (F.col("c0") != F.col("c1")).alias("mixed")))).alias("shared"))
+    # A k-mer's place in the order: those of this member alone come first.
+    places = own.select("id", "c", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("p", "k")).select("id", "c", "n", (F.col("own") + F.col("p")).alias("i"), "k.s", "k.mixed")
+    first = lambda share: F.col("i") <= F.col("n") * (1 - share) + 1e-9
+    share = 2 * similarity / (1 + similarity)
+    prefix = places.where(F.col("mixed") & first(similarity)).drop("mixed")
+    # A k-mer counts only where prefixes of different components hold it.
+    meets = prefix.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s")
+    prefix = prefix.join(meets, "s", "left_semi")
+    short = prefix.where(first(share)).select("s", *[F.col(x).alias(f"{x}_") for x in ("id", "n", "i", "c")])
+    longer = (F.col("n") > F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") > F.col("id_")))
+    left = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= share / 2 * (F.col("n") + F.col("n_")) - 1e-9
+    near = longer & (F.col("c") != F.col("c_")) & (F.col("n_") >= similarity * F.col("n")) & left
+    return prefix.join(short, "s").where(near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
 def _verify(similarity: float):
@@ -201,27 +227,28 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     # The id's own type comes back at the end; inside, ids are longs.
     slim = documents.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col))).alias("same"), F.col(text_col).alias("text"))
-    sketched = slim.mapInArrow(_sketches, "id long, same binary, n long, keys array<long>, sign binary")
+    sketched = slim.mapInArrow(_sketches, "id long, same binary, n long, keys array<long>")
     sketched = written(sketched, "sketches")
-    reps = sketched.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign"))
+    reps = sketched.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = written(reps, "representatives")
     member = reps.select("id", "n", F.explode("keys").alias("key"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("pivot")).where("size > 1")
-    in_bucket = written(member.join(buckets, "key").select("key", "size", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
+    sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(member.join(sizes, "key").select("key", "size", "id", "n"), "shared-buckets")
+    central = shared.groupBy("id").agg(F.round(F.sum(F.log2("size")), 6).alias("central"))
+    ranked = shared.join(central, "id")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("central", "id", "n")).alias("pivot"))
+    in_bucket = written(ranked.join(pivots, "key").select("key", "size", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
     bound = (F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")) & (F.col("id") != F.col("pivot"))
     tried = written(in_bucket.where(bound).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     # Only documents that share a bucket are aligned.
-    texts = written(slim.select("id", "text").join(in_bucket.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = written(slim.select("id", "text").join(in_bucket.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     links = written(_links(tried, texts, similarity), "links")
     root = components(links)
     # Members of one bucket that are still in different components.
     named = in_bucket.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "size", "id", "n", F.coalesce("root", "id").alias("c"))
     mixed = named.where("size > 2").groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    left = named.join(mixed, "key", "left_semi").select("key", "id", "n", "c")
-    left = left.join(reps.select("id", "sign"), "id")
-    other = left.select("key", *[F.col(x).alias(f"{x}_") for x in ("id", "n", "c", "sign")])
-    more = left.join(other, "key").where((F.col("id") < F.col("id_")) & (F.col("c") != F.col("c_")) & (F.least("n", "n_") >= similarity * F.greatest("n", "n_")))
-    more = more.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
+    left = named.join(mixed, "key", "left_semi").select("id", "c").distinct().join(texts, "id").select("id", "c", "text")
+    more = _rest(left, similarity)
     more = more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links(more, texts, similarity)))
     classes = reps.select("same", "id").join(root.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("class_id"))
