@@ -387,6 +387,51 @@ def onehot_split(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.get(hot, F.lit(i)).alias(f"hot{i}") for i in range(3)], "split")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, CASE WHEN o_totalprice <= 100000 THEN '100000.0' ELSE '500000.0' END AS f0, '' AS f1, o_orderpriority[1:1] AS f2, o_orderpriority[3:3] AS f3 FROM orders""")
+def string_parse(spark, d):
+    o = table(spark, d, "orders")
+    value = F.concat(F.when(F.col("o_orderstatus") == "F", "1").otherwise("-1"), F.lit(" | "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" 3:"), F.substring("o_orderpriority", 3, 1), F.lit(" "), F.substring("o_orderpriority", 1, 1))
+    parsed = text.parse_strings(o.select("o_orderkey", value.alias("value")), 4, {0: [100000.0, 500000.0]})
+    return parsed.select("o_orderkey", "label", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(4)])
+
+
+@query("SELECT 0 AS feature, l_quantity AS value, count(*) AS cnt FROM lineitem GROUP BY 2 UNION ALL SELECT 1, l_discount, count(*) FROM lineitem GROUP BY 2")
+def numeric_histogram(spark, d):
+    """A feature that isn't always a number (the status) is left out."""
+    rows = table(spark, d, "lineitem").select(F.array(F.col("l_quantity").cast("string"), F.col("l_discount").cast("string"), "l_linestatus").alias("features"))
+    return P.numeric_histogram(rows)
+
+
+@query("SELECT o_orderkey, CASE WHEN t <= c[1] THEN 'train' WHEN t <= c[2] THEN 'count' ELSE 'test' END AS split FROM (SELECT o_orderkey, epoch(o_orderdate)::DOUBLE AS t FROM orders), (SELECT [quantile_cont(epoch(o_orderdate)::DOUBLE, 0.6), quantile_cont(epoch(o_orderdate)::DOUBLE, 0.8)] AS c FROM orders)")
+def time_split(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.unix_timestamp("o_orderdate").cast("double").alias("t"))
+    return P.split_by_time(rows, "t", 0.6, 0.2).select("o_orderkey", "split")
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a0 AS v0, round(a0 / (a0 + a1), 9) AS v1, a1 AS v2, round(a1 / (a0 + a1), 9) AS v3 FROM looked")
+def interleaved(spark, d):
+    rows = lines(spark, d)
+    done = Model.fit(rows, LINES).interleaved(rows)
+    return done.select("l_orderkey", "l_linenumber", "label", *[F.round(F.get("vector", F.lit(i)), 9).alias(f"v{i}") for i in range(4)])
+
+
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, e1 AS cnt FROM looked")
+def count_for_feature(spark, d):
+    rows = lines(spark, d)
+    return Model.fit(rows, LINES).count_for(rows, (1, 2), 1.0).select("l_orderkey", "l_linenumber", "label", "cnt")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, '1 | f1:' || l_quantity::VARCHAR || ' ' || l_linestatus || ' f3:0' AS value FROM lineitem")
+def named_numbers(spark, d):
+    t = table(spark, d, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("1 |"), P.name_numeric(F.concat(F.lit(" "), F.col("l_quantity").cast("string"), F.lit(" "), F.col("l_linestatus"), F.lit(" 0")))).alias("value"))
+
+
+@query("SELECT user_id % 10 AS k, count(*) AS appearances, median(value) AS middle FROM events GROUP BY 1")
+def appearances_and_median(spark, d):
+    return table(spark, d, "events").groupBy(F.pmod("user_id", F.lit(10)).alias("k")).agg(F.count("*").alias("appearances"), F.median("value").alias("middle"))
+
+
 # Private statistics.
 
 _LOW, _HIGH, _BETA, _Q = -1000.0, 10000.0, 0.05, 0.3
