@@ -274,4 +274,5 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """documents without those whose class has a smaller id. Rows without an id stay."""
     found = near_duplicates(documents, id_col=id_col, text_col=text_col)
     gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return documents.join(gone, documents[id_col] == gone["_gone"], "left_anti")
+    # The same join at every size: the list of what goes grows with the input.
+    return documents.join(gone.hint("merge"), documents[id_col] == gone["_gone"], "left_anti")
