@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from tallyframe.functions import scalar as S
 from tallyframe.operators import noise as N
 from tallyframe.operators import sketch as K
 from tallyframe.operators import windows as W
-from tallyframe.operators.counts import Blocks, Criteria, Model, Spec, exact_counts, key_of, label_counts
+from tallyframe.operators.counts import Blocks, Criteria, Model, Spec, exact_counts, label_counts
 from tallyframe.prepare import features as P
 from tallyframe.privacy import sensitivity as D
 from tallyframe.sources import sinks, text
@@ -469,19 +467,16 @@ def private_quantile(spark, d):
     return found.select(F.col("c_nationkey").alias("nation"), "k", F.round("estimate", 4).alias("estimate"))
 
 
-_SAMPLE = "label = 0 AND vec_id % 8 = 0"
-
-
-@query(f"WITH s AS (SELECT * FROM embeddings WHERE {_SAMPLE}) SELECT a.vec_id AS id, b.vec_id AS other, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS distance FROM s a JOIN s b ON a.vec_id <> b.vec_id")
+@query("WITH s AS (SELECT * FROM embeddings) SELECT a.vec_id AS id, b.vec_id AS other, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS distance FROM s a JOIN s b ON a.vec_id <> b.vec_id")
 def pairwise_distance(spark, d):
-    """All distances within one cluster's test sample, as the smooth sensitivity of a center needs them."""
-    return D.pairwise(table(spark, d, "embeddings").where(_SAMPLE), "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+    """All distances, as the smooth sensitivity of a center needs them: quadratic by definition."""
+    return D.pairwise(table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH s AS (SELECT * FROM embeddings WHERE {_SAMPLE}), p AS (SELECT a.vec_id AS id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS distance FROM s a JOIN s b ON a.vec_id <> b.vec_id),
+@query("""WITH s AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS distance FROM s a JOIN s b ON a.vec_id <> b.vec_id),
 r AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS r FROM p) SELECT id, round(coalesce(max(distance) FILTER (r = 3), 100.0), 6) AS radius FROM r GROUP BY id""")
 def t_radius(spark, d):
-    rows = D.pairwise(table(spark, d, "embeddings").where(_SAMPLE), "vec_id", "embedding").select("id", "distance")
+    rows = D.pairwise(table(spark, d, "embeddings"), "vec_id", "embedding").select("id", "distance")
     return D.t_radius(rows, 2, 100.0).withColumn("radius", F.round("radius", 6))
 
 
@@ -523,5 +518,3 @@ def compact_format(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", formats.compact_text(F.col("o_totalprice")).alias("t"))
     return rows.select("o_orderkey", F.when(F.col("t").rlike(r"^\d+(\.\d{1,2})?$"), 1).otherwise(0).alias("whole"))
 
-
-del math, key_of
