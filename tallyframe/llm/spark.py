@@ -13,12 +13,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; one is set only where none is."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/tallyframe-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tallyframe-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")
