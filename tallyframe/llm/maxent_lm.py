@@ -41,6 +41,7 @@ END = np.uint64(0x656E64)
 FOLDS, HELD = 7, 2
 HEAD_WORDS = 1 << 19
 RATE = 0.3
+FAN = 16
 _BLOCK = 1 << 16
 _SIZE = FEATURES * GROUPS + FEATURES * GROUPS * MEMBERS
 
@@ -203,12 +204,12 @@ def _steps(start: np.ndarray, counts: Counts):
                 m[np.arange(n), member] -= 1
                 gradient = np.zeros(_SIZE, np.float32)
                 own = Weights(gradient)
-                for rows, error, into in [(x, g, own.group) for x in f] + [(x * GROUPS + group, m, own.member) for x in f]:
-                    # Rows of one feature are summed where they lie together; the order is the batch's.
-                    order = np.argsort(rows, kind="stable")
-                    sorted_rows = rows[order]
-                    begin = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-                    into[sorted_rows[begin]] += np.add.reduceat(error[order], begin, axis=0)
+                columns = np.ascontiguousarray(g.T, np.float64), np.ascontiguousarray(m.T, np.float64)
+                for errors, into, of in ((columns[0], own.group, lambda x: x), (columns[1], own.member, lambda x: x * GROUPS + group)):
+                    for x in f:
+                        rows = of(x)
+                        for k, error in enumerate(errors):
+                            into[:, k] += np.bincount(rows, error, len(into))
                 gradient /= n
                 squares += gradient * gradient
                 w.vector -= RATE * gradient / np.sqrt(squares)
@@ -222,12 +223,12 @@ def _steps(start: np.ndarray, counts: Counts):
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, tuple[int, np.ndarray]] = {}
+    total: dict[int, tuple[int, np.ndarray | float]] = {}
     for batch in batches:
         for b, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seen, change = total.get(b, (0, 0))
-            total[b] = seen + n, change + np.frombuffer(x, np.float32).astype(np.float64)
-    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([x.tobytes() for _, x in total.values()], pa.binary())], ["block", "tokens", "change"])
+            seen, change = total.get(b, (0, np.float64(0)))
+            total[b] = seen + n, change + np.frombuffer(x, np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([x.astype(np.float32).tobytes() for _, x in total.values()], pa.binary())], ["block", "tokens", "change"])
 
 
 def train(training: DataFrame, counts: Counts, rounds: int = 2) -> np.ndarray:
@@ -243,12 +244,15 @@ def train(training: DataFrame, counts: Counts, rounds: int = 2) -> np.ndarray:
             yield from _steps(*state.value)(batches)
 
         shape = "block int, tokens long, change binary"
-        summed = training.where(part == r).select("text").mapInArrow(run, shape).repartition(blocks, "block").mapInArrow(_sum_blocks, shape).collect()
+        changes = training.where(part == r).select("text").mapInArrow(run, shape)
+        # Summed in two steps, so that no task reads what all others made.
+        some = changes.repartition(blocks * FAN, "block", F.spark_partition_id() % FAN).mapInArrow(_sum_blocks, shape)
+        summed = some.repartition(blocks, "block").mapInArrow(_sum_blocks, shape).collect()
         seen: dict[int, int] = {}
         change = np.zeros(_SIZE)
         for row in summed:
             i = row["block"] * _BLOCK
-            x = np.frombuffer(row["change"], np.float64)
+            x = np.frombuffer(row["change"], np.float32)
             change[i : i + len(x)] += x
             seen[row["block"]] = seen.get(row["block"], 0) + row["tokens"]
         if seen:

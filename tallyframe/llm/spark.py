@@ -33,12 +33,6 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc32_of_id(name: str = "doc_id"):
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")))
