@@ -171,9 +171,9 @@ def _softmaxes(w: Weights, f: list[np.ndarray], group: np.ndarray) -> tuple[np.n
         z = table[rows[0]]
         for r in rows[1:]:
             z += table[r]
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -60, 60, out=z)  # sums of weights this large don't occur; it keeps exp finite
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= np.einsum("ij->i", z)[:, None]
         out.append(z)
     return out[0], out[1]
 
@@ -205,11 +205,9 @@ def _steps(start: np.ndarray, counts: Counts):
                 gradient = np.zeros(_SIZE, np.float32)
                 own = Weights(gradient)
                 columns = np.ascontiguousarray(g.T, np.float64), np.ascontiguousarray(m.T, np.float64)
-                for errors, into, of in ((columns[0], own.group, lambda x: x), (columns[1], own.member, lambda x: x * GROUPS + group)):
-                    for x in f:
-                        rows = of(x)
-                        for k, error in enumerate(errors):
-                            into[:, k] += np.bincount(rows, error, len(into))
+                for errors, into, rows in ((columns[0], own.group, np.concatenate(f)), (columns[1], own.member, np.concatenate([x * GROUPS + group for x in f]))):
+                    for k, error in enumerate(errors):
+                        into[:, k] = np.bincount(rows, np.tile(error, len(f)), len(into))
                 gradient /= n
                 squares += gradient * gradient
                 w.vector -= RATE * gradient / np.sqrt(squares)
@@ -281,7 +279,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         log_mass = np.log10(counts.class_mass)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i, j, data, at in tb.chunks(batch.column(1), 1 << 19):
+            for i, j, data, at in tb.chunks(batch.column(1), 1 << 17):
                 t = tokens_of(data, at)
                 c, head = _classes(counts, t)
                 group, member = c // MEMBERS, c % MEMBERS
