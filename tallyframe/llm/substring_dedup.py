@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +53,18 @@ def _anchors(w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.where(better, here, least)
         at = np.where(better, np.arange(j, j + n), at)
     whole = np.arange(n) + WINDOW <= np.repeat(w.first[1:], w.counts)[:n]
-    return np.flatnonzero(whole), at[whole], g
+    # 48 bits are enough for a filter, and are what is moved.
+    return np.flatnonzero(whole), at[whole], g >> np.uint64(16)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, ..., copy): the anchors of those that have an id and are no copies.
+
+    Rows are left out here, so that no filter or pruning is pushed below the exchange of the texts.
+    """
     for batch in batches:
+        copy = pc.fill_null(batch.column(batch.num_columns - 1), False)
+        batch = batch.select([0, 1]).filter(pc.and_(batch.column(0).is_valid(), pc.invert(copy)))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j, data, at in tb.chunks(batch.column(1)):
             w = tb.words(data, at, tb.PLAIN)
@@ -67,13 +75,6 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64)), pa.array(ids[i:j][pairs[:, 0].astype(int)].astype(np.int64))], ["anchor", "id"])
 
 
-def _representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, ..., copy): ids and texts of those that are no copies. In Python, so that no filter or pruning is pushed below the exchange of the texts."""
-    for batch in batches:
-        keep = pa.array([a is not None and not c for a, c in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)], pa.bool_())
-        yield batch.select([0, 1]).filter(keep)
-
-
 def _canonical(w: tb.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All words with one space after each, and where each begins."""
     size = w.end - w.start + 1
@@ -196,8 +197,7 @@ def _with_hits(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     first = digests.groupBy("same").agg(F.min("key").alias("i0"), F.max("key").alias("i1")).where("i0 < i1").select("same", "i0")
     copies = digests.join(first, "same").where("key > i0").select("key", F.lit(True).alias("copy")).distinct()
     marked = dealt.join(copies, "key", "left")
-    single = lambda df: df.mapInArrow(_representatives, base.select("id", "text").schema)
-    rows = single(marked.select("id", "text", "key", *[c for c in base.columns if c not in ("id", "text", "key")], "copy")).mapInArrow(_anchor_rows, "anchor long, id long").where("anchor is not null and id is not null")
+    rows = marked.select("id", "text", "key", *[c for c in base.columns if c not in ("id", "text", "key")], "copy").mapInArrow(_anchor_rows, "anchor long, id long").where("anchor is not null and id is not null")
     recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     by_document = rows.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     pieces = dealt.join(by_document.withColumnRenamed("id", "key"), "key").select(*base.columns, "anchors").mapInArrow(_piece_rows, "anchor long, id long, start int, piece binary").where("id is not null")
