@@ -3,7 +3,8 @@
 A text is its set of lower-cased words. Each class has a modified Kneser-Ney estimate of every word that backs
 off to the word's first five bytes, and from there to counts that both classes share; counts are continuation
 counts: in how many texts of the class an expression occurs. How a word goes on after its first bytes is shared
-too. An expression that neither class has seen therefore adds nothing, and an unseen inflected form of a known
+too. How far an estimate leaves its backoff is how probable it is that the classes differ there, given the counts:
+there is no least count, and no count of one class alone is without effect. An expression that neither class has seen therefore adds nothing, and an unseen inflected form of a known
 stem adds what the stem says. The log-likelihood ratio of a text is divided by a power of its length (1 would be
 the mean by word; at 0.75 a few telling words still count in a long text), and the score is a logistic function of
 that, fitted on labelled rows that gave no counts.
@@ -30,7 +31,6 @@ from tallyframe.llm.spark import crc32_of_id, read
 WORD, STEM = 0, 1
 STEM_BYTES = 5
 FOLDS = 5
-BAND = 3.0
 POWER = 0.75
 
 
@@ -52,6 +52,8 @@ class Level:
     counts: np.ndarray  # (2, n)
     discounts: np.ndarray  # (2, 4): for counts 0, 1, 2 and more
     totals: np.ndarray  # (2,)
+    handed: np.ndarray  # (2,): the share of the discounts, which the lower level gets
+    prior: float  # the share of keys whose classes differ
 
     def find(self, k: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -59,18 +61,47 @@ class Level:
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[at] == k, at, -1)
 
-    def refine(self, c: int, at: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Class c's probabilities, given those that the lower level hands up.
+    def refine(self, at: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Both classes' probabilities (2, n), given those that the lower level hands up.
 
-        A count keeps what lies beyond its Kneser-Ney discount and beyond BAND standard errors of what the lower
-        level expects; the rest is handed back, so that only real differences of the classes leave the backoff.
+        A seen key's estimate is mixed from its Kneser-Ney estimate and the lower level's by how probable it is, given
+        its counts, that its classes differ otherwise than the lower level says. An unseen key keeps the lower level's:
+        the classes' backoff mass says how much text a class has, and nothing about this one.
         """
-        n = np.where(at >= 0, self.counts[c][at] if len(self.keys) else 0, 0)
-        expected = lower * self.totals[c]
-        beyond = n - expected
-        band = self.discounts[c][np.minimum(n, 3).astype(int)] + BAND * np.sqrt(expected)
-        kept = np.sign(beyond) * np.maximum(np.abs(beyond) - band, 0)
-        return np.maximum(expected + kept, 1e-300) / self.totals[c]
+        seen = at >= 0
+        n, low, total = self.counts[:, at[seen]].astype(np.int64), lower[:, seen], self.totals[:, None]
+        own = np.stack([n[c] - self.discounts[c][np.minimum(n[c], 3)] for c in (0, 1)]) / total + self.handed[:, None] * low
+        r = _differs(n, low * total, self.prior)
+        out = lower.copy()
+        out[:, seen] = r * own + (1 - r) * low
+        return out
+
+
+def _differs(n: np.ndarray, expected: np.ndarray, prior: float) -> np.ndarray:
+    """The probability that keys with counts n (2, k) aren't split over the classes in the ratio of ``expected``.
+
+    Against that ratio stands any other, with Jeffreys' density; ``prior`` is the share of keys of which that holds.
+    """
+    most = int(n.sum(0).max(initial=0)) + 1
+    half = np.cumsum(np.log(np.concatenate(([1.0], np.arange(most) + 0.5))))  # log gamma(k + 1/2) / gamma(1/2)
+    whole = np.cumsum(np.log(np.concatenate(([1.0], np.arange(most) + 1.0))))  # log k!
+    share = np.log(expected) - np.log(expected.sum(0))
+    odds = half[n[0]] + half[n[1]] - whole[n.sum(0)] - (n * share).sum(0) + np.log(prior) - np.log1p(-prior)
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def _prior(n: np.ndarray, totals: np.ndarray) -> float:
+    """The share of keys whose classes differ, by expectation and maximisation over all keys."""
+    if not n.shape[1] or not totals.all():
+        return 0.5
+    pairs, times = np.unique(n, axis=1, return_counts=True)
+    prior = 0.1
+    for _ in range(100):
+        r = _differs(pairs, np.repeat(totals[:, None], pairs.shape[1], 1), prior)
+        prior, old = float((1 + (r * times).sum()) / (2 + times.sum())), prior
+        if abs(prior - old) < 1e-3 * old:
+            break
+    return prior
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -84,7 +115,11 @@ def _level(keys: np.ndarray, counts: np.ndarray) -> Level:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[:, order].astype(np.float64)
     discounts = np.stack([_discounts(counts[c]) for c in (0, 1)])
-    return Level(keys, counts, discounts, np.maximum(counts.sum(1), 1))
+    totals = np.maximum(counts.sum(1), 1)
+    taken = np.array([discounts[c][np.minimum(counts[c], 3).astype(int)].sum() for c in (0, 1)])
+    # A class without counts hands everything down.
+    handed = np.where(counts.sum(1) > 0, taken / totals, 1.0)
+    return Level(keys, counts, discounts, totals, handed, _prior(counts.astype(np.int64), counts.sum(1)))
 
 
 @dataclass
@@ -107,7 +142,7 @@ class ToxicityModel:
         both_word = np.where(at_word >= 0, self.word.counts.sum(0)[at_word] if len(self.word.keys) else 0, 0)
         shared_stem = (both_stem + 0.5) / (self.stem.totals.sum() + 0.5 * (len(self.stem.keys) + 1))
         spelled = (both_word + 0.5) / (both_stem + 1.0)
-        p = [self.word.refine(c, at_word, self.stem.refine(c, at_stem, shared_stem) * spelled) for c in (0, 1)]
+        p = self.word.refine(at_word, self.stem.refine(at_stem, np.stack([shared_stem] * 2)) * spelled)
         llr = np.log(p[1]) - np.log(p[0])
         sums = np.concatenate(([0.0], np.cumsum(llr)))
         at = np.concatenate(([0], np.cumsum(n)))

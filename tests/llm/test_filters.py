@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tallyframe.llm import decontaminate, quality, toxicity
+from tallyframe.llm import textbytes as tb
 
 
 def folded(t):
@@ -93,6 +94,17 @@ def test_toxicity_on_held_out_rows(labelled):
     assert clean.count() == sum(1 - r["predicted"] for r in got)
 
 
+def test_toxicity_counts_words_of_few_texts():
+    """Words of toxic texts only have an effect from the first text on, and more with each."""
+    n = np.array([[1000] * 40 + [0] * 6, [1000] * 40 + [1, 2, 4, 8, 12, 18]])
+    texts = [f"{i:03}plain" for i in range(40)] + [f"{i:03}rude" for i in range(6)]
+    w = tb.words(*tb.raw(pa.array(texts)), tb.FOLDED, fold=True)
+    model = toxicity.ToxicityModel(toxicity._level(w.hashes(), n), toxicity._level(w.hashes(most=toxicity.STEM_BYTES), n))
+    ratio = model.ratio(w)
+    assert (np.abs(ratio[:40]) < 1e-2).all()
+    assert (np.diff(ratio[40:]) > 0).all() and ratio[40] > 0 and ratio[-2] > 1
+
+
 def test_toxicity_edges(spark, labelled, documents, clashing, empty):
     _, labels = labelled
     none = labels.where("false")
