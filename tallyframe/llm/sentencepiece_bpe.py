@@ -2,13 +2,14 @@
 
 A merge-type model joins neighbouring symbols, best score first and the leftmost of equals, until no join is in its
 vocabulary. With merge-dropout a candidate that reaches the head of the agenda is skipped for good if its keyed
-hash falls below ``dropout``: the key holds the seed, the unit's spelling, the candidate's span in it, and which of
-``variants`` draws the unit's place in the document gets (also by keyed hash). A document thus has the same
-segmentation wherever and however often it is encoded, another seed gives another one, and equal words differ
-from place to place. With dropout 0 the ids are those of the model's own library.
-
-No piece holds a space after another character, so texts are cut into units before each run of spaces, and equal
-units of a chunk (with equal draws) are segmented once. Short units are merged together, one merge of each in a
+hash falls below ``dropout``: the key holds the seed, the document, the unit's place in it and spelling, and the
+candidate's span in the unit. A document thus has the same segmentation wherever and however often it is encoded,
+another seed gives another one, and every place of a word has a draw of its own (with ``variants``, one of so many
+for each spelling). With dropout 0 the ids are those of the model's own library.
+
+No piece holds a space after another character, so texts are cut into units before each run of spaces. Equal units
+of a chunk are segmented once without dropout; a unit whose key skips none of the candidates met on that way has that
+segmentation, and each of the others is segmented by its own key. Short units are merged together, one merge of each in a
 round, on numpy arrays; long ones by a heap. Characters outside the vocabulary, and the model's own space mark,
 become byte pieces, so that decoding gives back every byte of any text.
 """
@@ -121,8 +122,11 @@ def _merge_heap(m: Model, ids: np.ndarray, key: np.uint64, limit: np.uint64) ->
     return np.array(sym, np.int32)[keep], keep
 
 
-def _merge_rounds(m: Model, ids: np.ndarray, size: np.ndarray, key: np.ndarray, limit: np.uint64) -> np.ndarray:
-    """ids: (units, width), NONE beyond size; returns which symbols stay, with ids changed in place."""
+def _merge_rounds(m: Model, ids: np.ndarray, size: np.ndarray, key: np.ndarray, limit: np.uint64, met: list | None = None) -> np.ndarray:
+    """ids: (units, width), NONE beyond size; returns which symbols stay, with ids changed in place.
+
+    met: gets the candidates that were tried, as arrays of unit, start and end.
+    """
     n, width = ids.shape
     wide = width + 1
     sym = np.full((n, wide), NONE, np.int32)
@@ -142,6 +146,8 @@ def _merge_rounds(m: Model, ids: np.ndarray, size: np.ndarray, key: np.ndarray,
     stop = np.where(nxt[nxt[:-1]] % wide == 0, start[:-1], follow)
     ok = got != NONE
     at = np.flatnonzero(ok)
+    if met is not None:
+        met.append((at // wide, start[at], stop[at]))
     ok[at] = ~_skipped(own[at], start[at], stop[at], limit)
     flat = rank.ravel()
     flat[ok] = m.rank[got[ok]]
@@ -167,6 +173,8 @@ def _merge_rounds(m: Model, ids: np.ndarray, size: np.ndarray, key: np.ndarray,
             g = m.join(sym[a], sym[b])
             r = np.where(g != NONE, m.rank[np.where(g != NONE, g, 0)], FAR)
             hit = np.flatnonzero(g != NONE)
+            if met is not None:
+                met.append((rows[hit], start[a[hit]], start[nxt[b[hit]]]))
             drop = _skipped(key[rows[hit]], start[a[hit]], start[nxt[b[hit]]], limit)
             r[hit[drop]] = FAR
             flat[a], got[a] = r, g
@@ -175,7 +183,7 @@ def _merge_rounds(m: Model, ids: np.ndarray, size: np.ndarray, key: np.ndarray,
     return alive[:-1].reshape(n, wide)[:, :width] & (np.arange(width) < size[:, None])
 
 
-def encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, *, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, *, dropout: float, seed: int, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a chunk and where each text's begin. owner: a 64-bit key of each text's document."""
     raw = data.tobytes()
     texts = [b" " + raw[a:b] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -201,12 +209,17 @@ def encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, *, dro
     limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
     if limit:
         place = np.arange(len(unit)) - first[of]
-        draw = tb.mix(owner[of] + tb.mix(np.full(1, seed, np.uint64)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(variants)
+        draw = tb.mix(owner[of] + tb.mix(np.full(1, seed, np.uint64)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if variants is not None:
+            draw %= np.uint64(variants)
         key = tb.mix(spelled + (draw + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
     else:
         key = spelled
-    _, one, which = np.unique(key, return_index=True, return_inverse=True)
-    tokens, counts = _segment(m, cps, unit[one], size[one], key[one], limit)
+    if limit and variants is None:
+        tokens, counts, which = _segment_each(m, cps, unit, size, spelled, key, limit)
+    else:
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        tokens, counts = _segment(m, cps, unit[one], size[one], key[one], limit)
     token_at = np.concatenate(([0], np.cumsum(counts)))
     n = counts[which]
     total = np.concatenate(([0], np.cumsum(n)))
@@ -214,8 +227,39 @@ def encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, *, dro
     return ids, total[first]
 
 
-def _segment(m: Model, cps: np.ndarray, unit: np.ndarray, size: np.ndarray, key: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all units, one after the other, and how many each has."""
+def _segment_each(m: Model, cps: np.ndarray, unit: np.ndarray, size: np.ndarray, spelled: np.ndarray, key: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _segment for all units with a key each; also which of the segmentations is each unit's."""
+    own = size > LONG_UNIT
+    short = np.flatnonzero(~own)
+    _, one, of = np.unique(spelled[short], return_index=True, return_inverse=True)
+    one = short[one]
+    met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    tokens, counts = _segment(m, cps, unit[one], size[one], key[one], np.uint64(0), met) if len(one) else (np.empty(0, np.int32), np.empty(0, np.int64))
+    if met:
+        row, start, end = (np.concatenate(x) for x in zip(*met, strict=True))
+        order = np.argsort(row, kind="stable")
+        start, end = start[order], end[order]
+        tried = np.bincount(row, minlength=len(one))
+        begin = np.cumsum(tried) - tried
+        # Some units at a time: long texts of one chunk have no bound.
+        for k in range(0, len(short), 100_000):
+            here, mine = short[k : k + 100_000], of[k : k + 100_000]
+            n = tried[mine]
+            at = np.arange(int(n.sum())) + np.repeat(begin[mine] - (np.cumsum(n) - n), n)
+            hit = _skipped(np.repeat(key[here], n), start[at], end[at], limit)
+            own[np.repeat(here, n)[hit]] = True
+    which = np.zeros(len(unit), np.int64)
+    which[short] = of
+    others = np.flatnonzero(own)
+    if len(others):
+        which[others] = len(one) + np.arange(len(others))
+        more, each = _segment(m, cps, unit[others], size[others], key[others], limit)
+        tokens, counts = np.concatenate((tokens, more)), np.concatenate((counts, each))
+    return tokens, counts, which
+
+
+def _segment(m: Model, cps: np.ndarray, unit: np.ndarray, size: np.ndarray, key: np.ndarray, limit: np.uint64, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units, one after the other, and how many each has. met: as in _merge_rounds, of short units."""
     symbols, starts, owners = [], [], []
     widths = [4, 8, 12, 16, 24, 32, LONG_UNIT]
     for low, high in zip([0, *widths[:-1]], widths, strict=True):
@@ -225,7 +269,10 @@ def _segment(m: Model, cps: np.ndarray, unit: np.ndarray, size: np.ndarray, key:
             column = np.arange(high)
             where = np.minimum(unit[own][:, None] + column, len(cps) - 1)
             ids = np.where(column < size[own][:, None], m.of_char[cps[where]], NONE).astype(np.int32)
-            alive = _merge_rounds(m, ids, size[own], key[own], limit)
+            tried: list | None = None if met is None else []
+            alive = _merge_rounds(m, ids, size[own], key[own], limit, tried)
+            if tried:
+                met.extend((own[r], a, b) for r, a, b in tried)
             r, c = np.nonzero(alive)
             symbols.append(ids[r, c])
             starts.append(unit[own][r] + c)
@@ -264,7 +311,7 @@ def _owner(ids: pa.Array) -> np.ndarray:
     return np.array(w, np.uint64)
 
 
-def tokenize(documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 1, variants: int = 4, prefix: str = "") -> DataFrame:
+def tokenize(documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 1, variants: int | None = None, prefix: str = "") -> DataFrame:
     """documents with ``token_ids`` and ``n_tokens`` (their names after ``prefix``), which replace columns so named.
 
     Null and empty texts have no tokens. Repeated rows get equal ids. An empty table gives an empty result.

@@ -171,6 +171,35 @@ def test_rounds_are_the_heap(model):
         assert ids[alive].tolist() == sp._merge_heap(model, model.of_char[cps], key[0], limit)[0].tolist()
 
 
+def test_each_place_has_a_draw_of_its_own(spark, model):
+    """A frequent word varies beyond a few variants, and sharing segmentations changes nothing."""
+    word, times = "international", 400
+    rows = spark.createDataFrame([(1, " ".join([word] * times))], "doc_id long, text string")
+    ids = sp.tokenize(rows, sp.model_path()).first()["token_ids"]
+    pieces = sp.decode(model, np.array([0, *ids]), np.array([0, len(ids) + 1]))[0].decode()
+    assert pieces.endswith(word)
+    units, seen = [], 0
+    for i in ids:
+        if seen % (len(word) + 1) == 0:
+            units.append([])
+        units[-1].append(i)
+        seen += int(model.spelled_at[i + 1] - model.spelled_at[i])
+    assert len(units) == times
+    assert len({tuple(u) for u in units}) > 8
+    # The same keys, each unit segmented alone.
+    cps = np.array([ord(c) for c in f" {word} the a" + " x" * 30], np.uint32)
+    unit = np.flatnonzero(cps == 0x20)
+    size = np.diff(np.append(unit, len(cps)))
+    unit, size = np.tile(unit, 50), np.tile(size, 50)
+    key = tb.mix(np.arange(len(unit), dtype=np.uint64))
+    spelled = tb.mix(np.array([hash(tuple(cps[u : u + n])) % 2**63 for u, n in zip(unit, size, strict=True)], np.uint64))
+    limit = np.uint64(int(0.1 * 2.0**64))
+    tokens, counts, which = sp._segment_each(model, cps, unit, size, spelled, key, limit)
+    alone, each = sp._segment(model, cps, unit, size, key, limit)
+    a, b = np.split(tokens, np.cumsum(counts)[:-1]), np.split(alone, np.cumsum(each)[:-1])
+    assert [a[w].tolist() for w in which] == [x.tolist() for x in b]
+
+
 def test_token_columns(documents, clashing, empty):
     a = {r["doc_id"]: r["token_ids"] for r in sp.tokenize(documents.repartition(2), sp.model_path()).collect()}
     out = sp.detokenize(sp.tokenize(clashing.withColumn("token_ids", F.lit(1)), sp.model_path()), sp.model_path())
