@@ -17,7 +17,9 @@ and without pairing a bucket with itself: at similarity s, texts of A >= B k-mer
 at least, so in the order from rare to common they share one among the first A - s * A + 1 of the longer text and the
 first B - 2 s / (1 + s) * B + 1 of the shorter, at places that leave that many after them (a prefix filter with
 positions). Members of different components that share such a k-mer are aligned. A text's own edits come first in
-that order, so a family that only its common text holds together meets in few pairs. Classes are the connected
+that order, so a family that only its common text holds together meets in few pairs. Sketches draw k-mers without
+replacement, and a text of under ELL has another sketch than one with a k-mer more: the bound above is one for long
+texts. All texts of under SHORT k-mers, and those that can be similar to them, go through the filter too. Classes are the connected
 components of the links.
 """
 
@@ -39,6 +41,7 @@ K = 5
 SIMILARITY = 0.8
 ELL = 5
 SKETCHES = 24
+SHORT = 30
 _ODD = tb.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -251,6 +254,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     more = _rest(left, similarity)
     more = more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links(more, texts, similarity)))
+    # Short texts have too few k-mers for the sketches' bound, whether they share a bucket or not.
+    brief = reps.where(F.col("n") < SHORT / similarity).join(root.withColumnRenamed("node", "id"), "id", "left").select("id", "same", F.coalesce("root", "id").alias("c"))
+    brief = written(slim.join(brief.hint("merge"), ["id", "same"]).select("id", "c", "text").distinct(), "short-texts")
+    root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links(_rest(brief, similarity), brief.select("id", "text"), similarity)))
     classes = reps.select("same", "id").join(root.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("class_id"))
     out = sketched.select("id", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(classes, "same", "left")
     kind = documents.schema[id_col].dataType

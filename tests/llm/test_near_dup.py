@@ -95,6 +95,17 @@ def test_members_left_in_a_bucket_are_compared(spark, monkeypatch):
     assert len(set(got.values())) > 1
 
 
+def test_short_texts_are_compared_without_a_bucket(spark):
+    """8 and 9 words have 4 and 5 k-mers: similar at 0.8, with sketches that can't be equal."""
+    rows = []
+    for c in range(20):
+        w = [f"s{c}x{k}" for k in range(9)]
+        rows += [(2 * c, " ".join(w)), (2 * c + 1, " ".join(w[:8] if c % 2 else w[1:]))]
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert set(got.values()) == set(range(0, 40, 2))
+
+
 def test_edges(documents, clashing, empty, spark):
     assert nd.near_duplicates(empty).collect() == []
     want = sorted(map(tuple, nd.near_duplicates(documents).collect()))
