@@ -33,8 +33,8 @@ _INDEX = "page_id {id}, path string, offset long, length long, url string, diges
 _RECORD = "page_id {id}, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {id}, intact boolean"
 
 
-def _urn(page_id: object) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr(page_id).encode()).digest())}>"
+def _urn(page_id: object, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id!r} {digest}'.encode()).digest())}>"
 
 
 def _header_text(value: object) -> str:
@@ -52,11 +52,11 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, size:
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header_text(url)}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Refers-To: {_urn(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     if page_id is not None:
         lines.append(f"X-Page: {page_id}")
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -83,15 +83,18 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     """Writes a record per row to archives below path, and their index to ``path``/index; returns the index.
 
     A null payload is empty, a null URL is left out. Rows without an id are responses. Repeated rows have a record
-    each; those of the smallest id are all responses. Other columns aren't read. An empty table has an empty index.
+    each; those of the smallest id are all responses. Rows of one id with different payloads have a record each, and
+    each is a response or revisit by its own payload. Other columns aren't read. An empty table has an empty index.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    slim = base.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size")).where((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull())
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    slim = base.select("page_id", "digest", F.octet_length("payload").alias("size")).where((F.col("size") >= MIN_REVISIT) & F.col("page_id").isNotNull())
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    revisits = slim.join(first, "digest").where(F.col("page_id") != F.col("first")).select("page_id", "first").distinct()
-    rows = base.join(revisits, "page_id", "left").select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"), "first", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
+    # By id and digest: a repeated id may have several payloads.
+    revisits = slim.join(first, "digest").where(F.col("page_id") != F.col("first")).select("page_id", "digest", "first").distinct()
+    rows = base.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"), "first", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
@@ -130,7 +133,8 @@ def read_records(index: DataFrame, path: str, *, payloads: bool = True) -> DataF
     """The records of the given index rows of archives below path, with digests of what was read.
 
     A response's size and digest are those of its payload as read, and ``intact`` says whether they are the header's;
-    a revisit's are those that its headers state. Without ``payloads`` the payload column is null.
+    a revisit's are those that its headers state. Without ``payloads`` the payload column is null. Index rows that
+    repeat are read as often; an index without rows gives none. A record without id or URL has nulls there.
     """
     spark = index.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
