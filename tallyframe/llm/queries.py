@@ -9,7 +9,7 @@ from tallyframe.llm.maxent_lm import op9_maxent_lm
 from tallyframe.llm.near_dup import op1_order_minhash
 from tallyframe.llm.quality import op5_quality
 from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
-from tallyframe.llm.substring_dedup import op7_substring_dedup
+from tallyframe.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from tallyframe.llm.toxicity import op10_toxicity
 from tallyframe.llm.warc import OP3_SQL, op3_warc
 
@@ -30,4 +30,5 @@ SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op6_chat_format": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }

@@ -9,8 +9,10 @@ anchors, and only one gram in five is one.
 1. Recurring passages: anchors that occur in more than one document (a hash, so only a filter: it can let too
    much through, never too little).
 2. Pieces: from every document, the runs of windows around a recurring anchor, as texts of at most 2 * WINDOW words.
-   Equal pieces are merged before they are moved, with the smallest and largest id that hold them.
-3. Automata: pieces are dealt to shards by anchor, so that all pieces that can share a window meet. A shard
+   Equal pieces are merged before they are moved, with the smallest and largest id that hold them. A frequent phrase
+   inside differing text would make one unbounded group: an anchor that occurs more than HOT_PIECES times has a piece
+   for each window, and these are dealt to parts of the anchor by their own hash, so that equal ones still meet.
+3. Automata: pieces are dealt to shards by anchor and part, so that all pieces that can share a window meet. A shard
    confirms which passages recur (whole pieces where an anchor has one, else single windows), compiles them into
    one automaton over its own word codes, each with the smallest id of a document that has it, and streams the
    pieces through it: every occurrence is located, compared word by word.
@@ -33,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textbytes as tb
-from tallyframe.llm.spark import read
+from tallyframe.llm.spark import read, written
 
 WINDOW = 13
 GRAM = 5
 SHARD_PIECES = 20_000
+HOT_PIECES = 2048
 
 
 def _anchors(w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +61,7 @@ def _anchors(w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, ..., copy): the anchors of those that have an id and are no copies.
+    """Rows (id, text, ..., copy): the anchors of those that have an id and are no copies, with how often each occurs.
 
     Rows are left out here, so that no filter or pruning is pushed below the exchange of the texts.
     """
@@ -71,8 +74,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, where, g = _anchors(w)
             where = np.unique(where)
             text = np.searchsorted(w.first, where, "right") - 1
-            pairs = np.unique(np.stack([text.astype(np.uint64), g[where]], 1), axis=0) if len(where) else np.empty((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64)), pa.array(ids[i:j][pairs[:, 0].astype(int)].astype(np.int64))], ["anchor", "id"])
+            anchor = g[where]
+            order = np.lexsort((anchor, text))
+            text, anchor = text[order], anchor[order]
+            new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))) if len(anchor) else np.empty(0, int)
+            times = np.diff(np.append(new, len(anchor))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[i:j][text[new]].astype(np.int64)), pa.array(times)], ["anchor", "id", "times"])
 
 
 def _canonical(w: tb.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +93,9 @@ def _canonical(w: tb.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, ..., recurring anchors)."""
+    """Rows (id, text, ..., recurring anchors, those of them that are hot with their number of parts)."""
     for batch in batches:
-        ids, texts, known = batch.column(0), batch.column(1), batch.column(batch.num_columns - 1)
+        ids, texts, known, hot = batch.column(0), batch.column(1), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         for i, j, data, at in tb.chunks(texts):
             w = tb.words(data, at, tb.PLAIN)
             windows, where, g = _anchors(w)
@@ -105,13 +112,34 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.flatnonzero(np.isin(tb.mix(anchor + of * spread), tb.mix(recurring + np.repeat(np.arange(j - i, dtype=np.uint64), size) * spread)))
             if not len(hit):
                 continue
-            first, last, doc = windows[runs[hit]], windows[ends[hit] - 1] + WINDOW, text[runs[hit]]
+            parts = _parts(hot.slice(i, j - i), anchor[hit], of[hit])
+            # A hot anchor's run of windows is a piece for each of them.
+            each = np.where(parts > 1, ends[hit] - runs[hit], 1)
+            nth = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            hit, parts, many = np.repeat(hit, each), np.repeat(parts, each), np.repeat(parts > 1, each)
+            first = windows[runs[hit] + nth]
+            last, doc = np.where(many, first, windows[ends[hit] - 1]) + WINDOW, text[runs[hit]]
             canonical, begins = _canonical(w, data)
             length = begins[last] - 1 - begins[first]
             edge = np.concatenate(([0], np.cumsum(length)))
             gathered = canonical[np.arange(edge[-1]) - np.repeat(edge[:-1] - begins[first], length)]
             pieces = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(gathered)])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[hit].view(np.int64)), ids.slice(i, j - i).take(pa.array(doc)), pa.array((first - w.first[doc]).astype(np.int32)), pieces], ["anchor", "id", "start", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[hit].view(np.int64)), ids.slice(i, j - i).take(pa.array(doc)), pa.array((first - w.first[doc]).astype(np.int32)), pieces, pa.array(parts.astype(np.int32))], ["anchor", "id", "start", "piece", "parts"])
+
+
+def _parts(lists: pa.Array, anchor: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The number of parts of each (anchor, row). lists: by row, the hot anchors and their parts."""
+    out = np.ones(len(anchor), np.int64)
+    entries = lists.flatten()
+    if len(entries):
+        size = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
+        spread = np.uint64(0x9E3779B97F4A7C15)
+        key = tb.mix(entries.field(0).to_numpy(zero_copy_only=False).view(np.uint64) + np.repeat(np.arange(len(lists), dtype=np.uint64), size) * spread)
+        order = np.argsort(key)
+        mine = tb.mix(anchor + of * spread)
+        at = np.minimum(np.searchsorted(key[order], mine), len(key) - 1)
+        out = np.where(key[order][at] == mine, entries.field(1).to_numpy(zero_copy_only=False)[order][at], 1)
+    return out
 
 
 def _shard(groups: list[list[tuple[bytes, int, int, int]]]) -> tuple[list[int], list[list[int]]]:
@@ -162,22 +190,22 @@ def _shard(groups: list[list[tuple[bytes, int, int, int]]]) -> tuple[list[int],
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, piece, key, first id, last id), with those of an anchor together: for each piece, by key, the first id of each of its windows."""
+    """Rows (anchor, part, piece, key, first id, last id), with those of an anchor's part together: for each piece, by key, the first id of each of its windows."""
     groups: list[list[tuple[bytes, int, int, int]]] = []
-    held, anchor = 0, None
+    held, group = 0, None
 
     def done() -> pa.RecordBatch:
         keys, owners = _shard(groups)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.list_(pa.int64()))], ["key", "owners"])
 
     for batch in batches:
-        for a, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if a != anchor:
+        for anchor, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (anchor, part) != group:
                 if held >= SHARD_PIECES:
                     yield done()
                     groups, held = [], 0
                 groups.append([])
-                anchor = a
+                group = anchor, part
             groups[-1].append(tuple(row))
             held += 1
     if groups:
@@ -197,12 +225,17 @@ def _with_hits(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     first = digests.groupBy("same").agg(F.min("key").alias("i0"), F.max("key").alias("i1")).where("i0 < i1").select("same", "i0")
     copies = digests.join(first, "same").where("key > i0").select("key", F.lit(True).alias("copy")).distinct()
     marked = dealt.join(copies, "key", "left")
-    rows = marked.select("id", "text", "key", *[c for c in base.columns if c not in ("id", "text", "key")], "copy").mapInArrow(_anchor_rows, "anchor long, id long").where("anchor is not null and id is not null")
-    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    by_document = rows.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    pieces = dealt.join(by_document.withColumnRenamed("id", "key"), "key").select(*base.columns, "anchors").mapInArrow(_piece_rows, "anchor long, id long, start int, piece binary").where("id is not null")
-    distinct = pieces.groupBy("anchor", "piece").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    located = distinct.select("anchor", "piece", F.xxhash64("anchor", "piece").alias("key"), "first", "last").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_locate, "key long, owners array<long>")
+    rows = marked.select("id", "text", "key", *[c for c in base.columns if c not in ("id", "text", "key")], "copy").mapInArrow(_anchor_rows, "anchor long, id long, times int").where("anchor is not null and id is not null")
+    parts = (1 + F.floor(F.sum("times") * (WINDOW - GRAM + 1) / HOT_PIECES)).cast("int")
+    # Written: the join with it then has two exchanges of its own, whose hot anchors are split.
+    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.when(F.sum("times") > HOT_PIECES, parts).alias("parts")).where("n > 1").select("anchor", "parts")
+    recurring = written(recurring, "recurring-anchors")
+    hot = F.collect_set(F.when(F.col("parts").isNotNull(), F.struct("anchor", "parts")))
+    by_document = rows.join(recurring, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"), hot.alias("hot"))
+    pieces = dealt.join(by_document.withColumnRenamed("id", "key"), "key").select(*base.columns, "anchors", "hot").mapInArrow(_piece_rows, "anchor long, id long, start int, piece binary, parts int").where("id is not null")
+    distinct = pieces.groupBy("anchor", "piece", "parts").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    distinct = distinct.select("anchor", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("piece"), "parts").cast("int")).otherwise(0).alias("part"), "piece", F.xxhash64("anchor", "piece").alias("key"), "first", "last")
+    located = distinct.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_locate, "key long, owners array<long>")
     hits = pieces.select("id", "start", F.xxhash64("anchor", "piece").alias("key")).join(located, "key")
     starts = F.filter(F.transform("owners", lambda o, k: F.when(o < F.col("id"), F.col("start") + k)), lambda x: x.isNotNull())
     hits = hits.select("id", starts.alias("starts")).where("size(starts) > 0").groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
@@ -255,7 +288,11 @@ def report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents with repeated passages cut from the texts, each with the white space after it; other columns as they are."""
+    """documents with repeated passages cut from the texts, each with the white space after it; other columns as they are.
+
+    Null, empty and other texts without a repeated window stay as they are, byte for byte. A row without an id loses
+    nothing; repeated rows lose the same words. Other columns may have any names. An empty table gives an empty result.
+    """
     found, others = _with_hits(documents, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,3 +322,21 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM windows GROUP BY s
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (s) WHERE first < doc_id
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -61,6 +61,26 @@ def test_repeats_are_brute_force(documents, clashing, corpus, monkeypatch):
             assert sha(" ".join(SPACED.findall(r["text"]))) == digest
 
 
+def test_hot_anchors_are_dealt_by_window(spark, documents, corpus, monkeypatch):
+    """A phrase in many texts that differ around it: its pieces go by window, with the same result."""
+    monkeypatch.setattr(substring_dedup, "HOT_PIECES", 3)
+    rows = [(i, f"{' '.join(f'a{i % 7}x{k}' for k in range(6))} one common phrase of six words {' '.join(f'b{i % 5}y{k}' for k in range(9))} " * (1 + i % 3)) for i in range(60)]
+    for table, texts in ((documents, corpus), (spark.createDataFrame(rows, "doc_id long, text string"), rows)):
+        want = {i: (len(w), sum(g), sha(" ".join(x for x, y in zip(w, g, strict=True) if not y))) for i, (w, g) in cut(texts).items()}
+        assert {r[0]: tuple(r)[1:] for r in substring_dedup.report(table).collect()} == want
+
+
+def test_sql_of_repeats(spark, tmp_path, corpus):
+    """The operator's rows are those of its SQL."""
+    import duckdb
+
+    spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = substring_dedup.op7_substring_dedup(spark, str(tmp_path)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(substring_dedup.OP7_SQL).fetchall())
+
+
 def test_repeats_edges(spark, empty):
     assert substring_dedup.report(empty).collect() == []
     long = " ".join(map(str, range(40)))
@@ -97,6 +117,18 @@ def test_archives(spark, pages, tmp_path):
     assert sum(gzip.open(tmp_path / "w" / f).read().count(b"WARC-Type: ") for f in names) == pages.count()
 
 
+def test_archives_of_repeated_ids(spark, tmp_path):
+    """A record for each row; rows of one id go by their own payloads, and none is lost."""
+    x = {k: k * 120 for k in "ABC"}
+    rows = [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (6, "A"), (6, "C"), (6, "C")]
+    path = f"file://{tmp_path}/w"
+    index = warc.write_archives(spark.createDataFrame([(i, "u", x[k]) for i, k in rows], "page_id long, url string, html string"), path)
+    of = {sha(v): k for k, v in x.items()}
+    got = sorted(str((r["page_id"], of[r["payload_digest"]], r["payload"] is not None, r["record_type"], r["refers_to"])) for r in warc.read_records(index, path).collect())
+    want = [(1, "A", None), (2, "B", None), (5, "A", 1), (5, "B", 2), (6, "A", 1), (6, "C", None), (6, "C", None)]
+    assert got == sorted(str((i, k, to is None, "response" if to is None else "revisit", to)) for i, k, to in want)
+
+
 def test_archive_of_nothing(spark, pages, tmp_path):
     path = f"file://{tmp_path}/w"
     assert warc.read_records(warc.write_archives(pages.where("false"), path), path).collect() == []
