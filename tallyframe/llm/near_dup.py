@@ -12,7 +12,7 @@ unaligned, so no alignment that counts leaves a band of that width.
 
 Exact copies of a text are one member of the search. Within a bucket each member is compared with the bucket's
 pivot, the member that shares most and largest buckets: in a family of copies, one with few edits of its own, to
-which most others link. Where members of a bucket are then still in different components, the rest is done exactly
+which most others link. A member is named by its text's digest, so ids may repeat. Where members of a bucket are then still in different components, the rest is done exactly
 and without pairing a bucket with itself: at similarity s, texts of A >= B k-mers share s / (1 + s) * (A + B) of them
 at least, so in the order from rare to common they share one among the first A - s * A + 1 of the longer text and the
 first B - 2 s / (1 + s) * B + 1 of the shorter, at places that leave that many after them (a prefix filter with
@@ -167,42 +167,42 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for g in kmers(tb.words(data, at, tb.FOLDED, fold=True)):
                 n.append(len(g))
                 keys.append(sketch(labelled(g)).view(np.int64) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([ids, same, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "same", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, same, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "m", "n", "keys"])
 
 
 def _member_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, c, n, text) as rows (s, id, c, n), one for each labelled k-mer."""
+    """Rows (m, c, text) as rows (s, m, c, n), one for each labelled k-mer."""
     for batch in batches:
-        ids, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for i, j, data, at in tb.chunks(batch.column(2)):
             found = [labelled(g) if len(g) else g for g in kmers(tb.words(data, at, tb.FOLDED, fold=True))]
             n = np.array([len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids[i:j], n)), pa.array(np.repeat(c[i:j], n)), pa.array(np.repeat(n, n))], ["s", "id", "c", "n"])
+            of = pa.array(np.repeat(np.arange(i, j), n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.repeat(n, n))], ["s", "m", "c", "n"])
 
 
 def _rest(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members (id, c, text) of different c that can be similar enough, by prefix filter."""
-    rows = members.mapInArrow(_member_kmers, "s long, id long, c long, n long")
+    """Pairs (a, b) of members (m, c, text) of different c that can be similar enough, by prefix filter."""
+    rows = members.mapInArrow(_member_kmers, "s long, m binary, c binary, n long")
     shared = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("df > 1")
-    own = rows.join(shared, "s").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s", (F.col("c0") != F.col("c1")).alias("mixed")))).alias("shared"))
+    own = rows.join(shared, "s").groupBy("m", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s", (F.col("c0") != F.col("c1")).alias("mixed")))).alias("shared"))
     # A k-mer's place in the order: those of this member alone come first.
-    places = own.select("id", "c", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("p", "k")).select("id", "c", "n", (F.col("own") + F.col("p")).alias("i"), "k.s", "k.mixed")
+    places = own.select("m", "c", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("p", "k")).select("m", "c", "n", (F.col("own") + F.col("p")).alias("i"), "k.s", "k.mixed")
     first = lambda share: F.col("i") <= F.col("n") * (1 - share) + 1e-9
     share = 2 * similarity / (1 + similarity)
     prefix = places.where(F.col("mixed") & first(similarity)).drop("mixed")
     # A k-mer counts only where prefixes of different components hold it.
     meets = prefix.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s")
-    prefix = prefix.join(meets, "s", "left_semi")
-    short = prefix.where(first(share)).select("s", *[F.col(x).alias(f"{x}_") for x in ("id", "n", "i", "c")])
-    longer = (F.col("n") > F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") > F.col("id_")))
+    prefix = written(prefix.join(meets, "s", "left_semi"), "prefixes")
+    short = prefix.where(first(share)).select("s", *[F.col(x).alias(f"{x}_") for x in ("m", "n", "i", "c")])
+    longer = (F.col("n") > F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("m") > F.col("m_")))
     left = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= share / 2 * (F.col("n") + F.col("n_")) - 1e-9
     near = longer & (F.col("c") != F.col("c_")) & (F.col("n_") >= similarity * F.col("n")) & left
-    return prefix.join(short, "s").where(near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    return prefix.join(short.hint("merge"), "s").where(near).select(F.least("m", "m_").alias("a"), F.greatest("m", "m_").alias("b")).distinct()
 
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, np.ndarray] = {}
+        memo: dict[bytes, np.ndarray] = {}
         for batch in batches:
             a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             ta, tb_ = batch.column(2), batch.column(3)
@@ -225,50 +225,56 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     """(id, class_id) of every row; class_id is the smallest id of the class.
 
     A null text and a text without words are in no class but their own; of equal texts all are in one class.
-    A null id has the class of its text, or null. Repeated rows are returned as often as they occur. Other columns
-    aren't read. An empty table gives an empty result.
+    A null id has the class of its text, or null. Members are texts, not ids: repeated rows are returned as often as
+    they occur, and rows of one id with different texts are classed each by its own text. Other columns aren't read.
+    An empty table gives an empty result.
     """
-    # The id's own type comes back at the end; inside, ids are longs.
-    slim = documents.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col))).alias("same"), F.col(text_col).alias("text"))
-    sketched = slim.mapInArrow(_sketches, "id long, same binary, n long, keys array<long>")
-    sketched = written(sketched, "sketches")
-    reps = sketched.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = written(reps, "representatives")
-    member = reps.select("id", "n", F.explode("keys").alias("key"))
-    sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(member.join(sizes, "key").select("key", "size", "id", "n"), "shared-buckets")
-    central = shared.groupBy("id").agg(F.round(F.sum(F.log2("size")), 6).alias("central"))
-    ranked = shared.join(central, "id")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("central", "id", "n")).alias("pivot"))
-    in_bucket = written(ranked.join(pivots, "key").select("key", "size", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
-    bound = (F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")) & (F.col("id") != F.col("pivot"))
-    tried = written(in_bucket.where(bound).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    # Only documents that share a bucket are aligned.
-    texts = written(slim.select("id", "text").join(in_bucket.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
-    links = written(_links(tried, texts, similarity), "links")
-    root = components(links)
-    # Members of one bucket that are still in different components.
-    named = in_bucket.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "size", "id", "n", F.coalesce("root", "id").alias("c"))
-    mixed = named.where("size > 2").groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    left = named.join(mixed, "key", "left_semi").select("id", "c").distinct().join(texts, "id").select("id", "c", "text")
-    more = _rest(left, similarity)
-    more = more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return _classified(documents, id_col, text_col, similarity).drop("_text")
+
+
+def _classified(documents: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, class_id, _text: the digest of the row's text, null for a null text) of every row."""
+    # A member is a distinct text, named by its digest. The id's own type comes back at the end; inside, ids are longs.
+    slim = documents.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col))).alias("m"), F.col(text_col).alias("text"))
+    sketched = written(slim.mapInArrow(_sketches, "id long, m binary, n long, keys array<long>"), "sketches")
+    reps = written(sketched.where("n > 0 and id is not null").groupBy("m").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "representatives")
+    member = reps.select("m", "n", F.explode("keys").alias("key"))
+    # What is joined by bucket is a written table each, so that both sides are exchanges of their own and hot buckets are split.
+    sizes = written(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = written(member.join(sizes.hint("merge"), "key").select("key", "size", "m", "n"), "shared-buckets")
+    central = shared.groupBy("m").agg(F.round(F.sum(F.log2("size")), 6).alias("central"))
+    ranked = shared.join(central.hint("merge"), "m")
+    pivots = written(ranked.groupBy("key").agg(F.max(F.struct("central", "m", "n")).alias("pivot")), "pivots")
+    in_bucket = written(shared.join(pivots.hint("merge"), "key").select("key", "size", "m", "n", F.col("pivot.m").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
+    bound = (F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")) & (F.col("m") != F.col("pivot"))
+    tried = written(in_bucket.where(bound).select(F.col("m").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    # Only documents that share a bucket, and short ones, are aligned. Short texts have too few k-mers for the sketches' bound.
+    wanted = in_bucket.select("m").distinct().join(reps.where(F.col("n") < SHORT / similarity).select("m", F.lit(True).alias("brief")), "m", "full")
+    texts = slim.where("id is not null").select("m", "text").join(wanted.hint("merge"), "m").groupBy("m").agg(F.first("text").alias("text"), F.first("brief").alias("brief"))
+    texts = written(texts, "texts")
+    root = components(_links(tried, texts, similarity))
+    # Members of one bucket that are still in different components, and all short texts, whether they share a bucket or not.
+    named = in_bucket.where("size > 2").select("key", "m").join(root.withColumnRenamed("node", "m"), "m", "left").select("key", "m", F.coalesce("root", "m").alias("c"))
+    mixed = written(named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key"), "mixed")
+    left = named.join(mixed.hint("merge"), "key", "left_semi").select("m").distinct().withColumn("open", F.lit(True))
+    left = texts.join(left.hint("merge"), "m", "left").where("open or brief").join(root.withColumnRenamed("node", "m"), "m", "left").select("m", F.coalesce("root", "m").alias("c"), "text")
+    more = _rest(left, similarity).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links(more, texts, similarity)))
-    # Short texts have too few k-mers for the sketches' bound, whether they share a bucket or not.
-    brief = reps.where(F.col("n") < SHORT / similarity).join(root.withColumnRenamed("node", "id"), "id", "left").select("id", "same", F.coalesce("root", "id").alias("c"))
-    brief = written(slim.join(brief.hint("merge"), ["id", "same"]).select("id", "c", "text").distinct(), "short-texts")
-    root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links(_rest(brief, similarity), brief.select("id", "text"), similarity)))
-    classes = reps.select("same", "id").join(root.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("class_id"))
-    out = sketched.select("id", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(classes, "same", "left")
+    # The smallest id of each class.
+    named = reps.select("m", "id").join(root.withColumnRenamed("node", "m"), "m", "left").select("m", "id", F.coalesce("root", "m").alias("root"))
+    classes = written(named, "classes")
+    least = written(classes.groupBy("root").agg(F.min("id").alias("class_id")), "class-ids")
+    classes = classes.join(least.hint("merge"), "root").select("m", "class_id")
+    out = sketched.select("id", "m", F.when(F.col("n") > 0, F.col("m")).alias("same")).join(classes.withColumnRenamed("m", "same"), "same", "left")
     kind = documents.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("class_id", "id").cast(kind).alias("class_id"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("class_id", "id").cast(kind).alias("class_id"), F.col("m").alias("_text"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose alignment is similar enough. b may be hot: it is joined last, in splittable joins."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(similarity), "a long, b long")
+    one = pairs.join(texts.select(F.col("m").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(texts.select(F.col("m").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(_verify(similarity), "a binary, b binary")
 
 
 def op1_order_minhash(spark, sf_dir: str) -> DataFrame:
@@ -278,8 +284,14 @@ def op1_order_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents without those whose class has a smaller id. Rows without an id stay."""
-    found = near_duplicates(documents, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct()
+    """documents without those whose class has a smaller id; all columns as they are.
+
+    Rows without an id stay, as do null texts and texts without words. A row goes by its id and its text: of rows of
+    one id with different texts only those go that stand for another id's class, and repeated rows stay or go
+    together. An empty table gives an empty result.
+    """
+    found = _classified(documents, id_col, text_col, SIMILARITY)
+    gone = found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"), F.col("_text")).distinct()
     # The same join at every size: the list of what goes grows with the input.
-    return documents.join(gone.hint("merge"), documents[id_col] == gone["_gone"], "left_anti")
+    same = (documents[id_col] == gone["_gone"]) & (F.unhex(F.md5(documents[text_col])) == gone["_text"])
+    return documents.join(gone.hint("merge"), same, "left_anti")

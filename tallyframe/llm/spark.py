@@ -13,9 +13,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    One of our own is used only where it is unset and everything runs in one process, as in tests; on a cluster a
+    missing setting is an error.
+    """
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tallyframe-checkpoints"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file:///tmp/tallyframe-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")

@@ -118,6 +118,17 @@ def test_edges(documents, clashing, empty, spark):
     assert got == sorted(map(str, [*[r for r in rows.selectExpr("doc_id", "case when text like 'a%' then 1 else doc_id end as class_id").collect()]]))
 
 
+def test_repeated_ids_are_members_by_text(spark):
+    """Rows of one id with different texts are classed by their own texts, and keep_one keeps those that stand for their class."""
+    t = " ".join(f"t{i}" for i in range(60))
+    u = " ".join(f"u{i}" for i in range(60))
+    rows = [(1, t), (7, t), (7, u), (8, u + " more"), (8, u + " more"), (9, u + " more"), (7, u)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, nd.near_duplicates(table).collect()))
+    assert got == sorted([(1, 1), (7, 1), (7, 7), (8, 7), (8, 7), (9, 7), (7, 7)])
+    assert sorted(map(tuple, nd.keep_one(table).collect())) == sorted([(1, t), (7, u), (7, u)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40) if i % 10] + [(99, 5), (5, 99)] + [(1000 + i, 2000) for i in range(50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
