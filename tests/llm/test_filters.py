@@ -32,8 +32,8 @@ def test_decontamination_is_brute_force(spark, documents, corpus, benchmark):
             windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
     sizes = {len(w) for w in windows}
     bench = spark.createDataFrame(benchmark, "item_id int, text string")
-    for limit in (1 << 20, 100):  # one automaton, and several
-        got = {r["doc_id"]: r for r in decontaminate.find(documents, bench, automaton_bytes=limit).collect()}
+    for limit in (1 << 20, 25):  # one automaton, and several
+        got = {r["doc_id"]: r for r in decontaminate.find(documents, bench, most_windows=limit).collect()}
         assert len(got) == len(corpus)
         for i, t in corpus:
             w, hit, items = folded(t), set(), set()
@@ -94,15 +94,67 @@ def test_toxicity_on_held_out_rows(labelled):
     assert clean.count() == sum(1 - r["predicted"] for r in got)
 
 
-def test_toxicity_counts_words_of_few_texts():
+def modelled(spark, rows):
+    """The model of (label, text) rows, without calibration."""
+    table = spark.createDataFrame(rows, "_label int, _text string")
+    counted = toxicity._counted(table).toPandas()
+    pairs = counted[counted.level == toxicity.PAIR]
+    times = toxicity._times(np.stack([pairs.n0.to_numpy(), pairs.n1.to_numpy()]))
+    kept = (counted.level != toxicity.PAIR) | (counted.n0 + counted.n1 >= toxicity.MIN_PAIR)
+    return counted, toxicity.estimate(counted[kept], times)
+
+
+def pairs_of(text):
+    return toxicity.Pairs.of(tb.words(*tb.raw(pa.array([text])), tb.FOLDED, fold=True))
+
+
+def test_toxicity_counts_words_of_few_texts(spark):
     """Words of toxic texts only have an effect from the first text on, and more with each."""
-    n = np.array([[1000] * 40 + [0] * 6, [1000] * 40 + [1, 2, 4, 8, 12, 18]])
-    texts = [f"{i:03}plain" for i in range(40)] + [f"{i:03}rude" for i in range(6)]
-    w = tb.words(*tb.raw(pa.array(texts)), tb.FOLDED, fold=True)
-    model = toxicity.ToxicityModel(toxicity._level(w.hashes(), n), toxicity._level(w.hashes(most=toxicity.STEM_BYTES), n))
-    ratio = model.ratio(w)
-    assert (np.abs(ratio[:40]) < 1e-2).all()
-    assert (np.diff(ratio[40:]) > 0).all() and ratio[40] > 0 and ratio[-2] > 1
+    rows = [(c, " ".join(f"{i:03}plain" for i in range(k % 7, 40))) for k in range(200) for c in (0, 1)]
+    times = {f"{i:03}rude": n for i, n in enumerate((1, 2, 4, 8, 12, 18))}
+    rows += [(1, f"{k:03}word {w} {k:03}word") for w, n in times.items() for k in range(n)]
+    _, model = modelled(spark, rows)
+    p = np.concatenate([model.backoff(x.word, x.stem) for w in times for x in [pairs_of(w)]], axis=1)
+    ratio = np.log(p[1] / p[0])
+    assert (np.diff(ratio) > 0).all() and ratio[0] > 0 and ratio[-2] > 1
+
+
+def test_toxicity_model_is_a_distribution(spark):
+    """Counts by brute force; every distribution sums to 1; a text's ratio is the mean over its pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k % 3 == 0), " ".join(f"t{int(x)}" for x in rng.zipf(1.4, 40) % 200) + (" vile thing" if k % 6 == 0 else "")) for k in range(120)]
+    counted, model = modelled(spark, rows)
+    texts, triples = {}, {}
+    for c, t in rows:
+        w = folded(t)
+        for x in set(w):
+            texts.setdefault(x, [0, 0])[c] += 1
+        for i in range(len(w)):
+            left, before = (w[i - 2] if i > 1 else None), (w[i - 1] if i else None)
+            triples.setdefault((before, w[i]), [set(), set()])[c].add(left)
+    words = counted[counted.level == toxicity.WORD]
+    assert sorted(zip(words.n0, words.n1, strict=True)) == sorted(map(tuple, texts.values()))
+    pairs = counted[counted.level == toxicity.PAIR]
+    assert sorted(zip(pairs.n0, pairs.n1, strict=True)) == sorted((len(a), len(b)) for a, b in triples.values())
+    whole = model.word.p.sum(1) + model.stem.p.sum(1) + model.other
+    assert np.allclose(whole, 1)
+
+    def after(before, x):
+        own = pairs_of(x if before is None else f"{before} {x}")
+        return model.probabilities(own)[:, np.flatnonzero((own.before == 0) == (before is None))[0]]
+
+    for before in ("t1", "t2", "vile", None):
+        key = np.array([0 if before is None else pairs_of(before).word[0]], np.uint64)
+        at = model.context.find(key)[0]
+        scale = model.context.p[:, at] if at >= 0 else 1.0
+        assert np.allclose(sum(after(before, x) for x in texts) + scale * (model.stem.p.sum(1) + model.other), 1)
+    text = "t1 t2 t1 t2 vile thing unknown t1"
+    w = folded(text)
+    want = []
+    for before, x in dict.fromkeys(zip([None, *w[:-1]], w, strict=True)):
+        p = after(before, x)
+        want.append(np.log(p[1] / p[0]))
+    assert np.allclose(model.ratio(tb.words(*tb.raw(pa.array([text])), tb.FOLDED, fold=True)), np.mean(want))
 
 
 def test_toxicity_edges(spark, labelled, documents, clashing, empty):
