@@ -5,13 +5,16 @@ of a benchmark item, or all words of a shorter one. The windows of all items are
 text is scanned once, as the codes of its words, and each hit is compared word by word and mapped back to byte
 offsets of the original text.
 
-Benchmarks are small test sets, but their size is checked: items are dealt to as many automata as keep each under
-``automaton_bytes`` of text, and each further automaton is one more pass over the rows, in the same stage.
+Benchmarks are small test sets, but their size is checked: an automaton holds at most ``most_windows`` windows (about
+0.7 kB each, in every Python worker), what is collected at a time is that much text, and an item's words are kept
+once, windows being places in them. Each further automaton is one more pass over the rows, which are written between
+passes, so that a task holds one automaton at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textbytes as tb
-from tallyframe.llm.spark import read
+from tallyframe.llm.spark import read, written
 
 WINDOW = 10
-AUTOMATON_BYTES = 16 << 20
+MOST_WINDOWS = 1 << 18
 
 _SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 _FOUND = "n_words long, n_hit long, spans array<struct<first: int, last: int, start: bigint, end: bigint>>, items array<string>"
@@ -33,80 +36,117 @@ _FOUND = "n_words long, n_hit long, spans array<struct<first: int, last: int, st
 
 @dataclass
 class Patterns:
-    """Windows as strings of word codes, with their words and items; and the codes by word hash."""
+    """Runs of item words, whose windows are the automaton's: as codes, and as words with one space between them."""
 
-    keys: np.ndarray
-    codes: np.ndarray
-    windows: dict[str, tuple[bytes, list[str]]]
-    automaton: ahocorasick.Automaton | None = None
+    keys: np.ndarray  # hashes of words, sorted
+    codes: np.ndarray  # their codes
+    items: list[str]
+    runs: list[np.ndarray]  # codes of each run's words
+    spelled: list[bytes]
+    window: int
+    compiled: tuple | None = None
 
     def __getstate__(self):
-        return self.keys, self.codes, self.windows
+        return self.keys, self.codes, self.items, self.runs, self.spelled, self.window
 
     def __setstate__(self, state):
-        self.keys, self.codes, self.windows = state
-        self.automaton = None
-
-    def compiled(self) -> ahocorasick.Automaton:
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for s in self.windows:
-                self.automaton.add_word(s, s)
-            self.automaton.make_automaton()
-        return self.automaton
+        self.keys, self.codes, self.items, self.runs, self.spelled, self.window = state
+        self.compiled = None
+
+    def automaton(self) -> tuple[ahocorasick.Automaton, list[int], dict[int, set[int]], list[np.ndarray]]:
+        """Windows with their numbers; the first number of each run; the other runs that have a window; where words begin."""
+        if self.compiled is None:
+            automaton, first, others, n = ahocorasick.Automaton(), [], {}, 0
+            for r, run in enumerate(self.runs):
+                first.append(n)
+                text = run.astype("<u4").tobytes().decode("utf-32-le")
+                for i in range(max(1, len(text) - self.window + 1)):
+                    s = text[i : i + self.window]
+                    k = automaton.get(s, None)
+                    if k is None:
+                        automaton.add_word(s, n + i)
+                    elif bisect_right(first, k) - 1 != r:
+                        others.setdefault(k, set()).add(r)
+                n += max(1, len(text) - self.window + 1)
+            automaton.make_automaton()
+            begins = [np.concatenate(([0], np.flatnonzero(np.frombuffer(x, np.uint8) == 0x20) + 1, [len(x) + 1])) for x in self.spelled]
+            self.compiled = automaton, first, others, begins
+        return self.compiled
 
     def find(self, w: tb.Words) -> tuple[np.ndarray, list[set[str]]]:
         """Which words of the chunk are hit, and the items found in each text."""
         n = len(w.first) - 1
         edge, items = np.zeros(len(w.start) + 1, np.int64), [set() for _ in range(n)]
-        if not self.windows or not len(w.start):
+        if not self.runs or not len(w.start):
             return np.zeros(len(w.start), bool), items
         h = w.hashes()
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         known = self.keys[at] == h
         text = np.where(known, self.codes[at], 1).astype("<u4").tobytes().decode("utf-32-le")
-        automaton = self.compiled()
+        automaton, begin, others, begins = self.automaton()
         counts = np.concatenate(([0], np.cumsum(known)))
         for d in np.flatnonzero(counts[w.first[1:]] > counts[w.first[:-1]]).tolist():
             base = int(w.first[d])
-            for e, s in automaton.iter(text[base : int(w.first[d + 1])]):
+            for e, k in automaton.iter(text[base : int(w.first[d + 1])]):
+                r = bisect_right(begin, k) - 1
+                at_word, size = k - begin[r], min(self.window, len(self.runs[r]))
                 last = base + e + 1
-                first = last - len(s)
-                spelled, own = self.windows[s]
+                first = last - size
+                spelled = self.spelled[r][begins[r][at_word] : begins[r][at_word + size] - 1]
                 if b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start[first:last].tolist(), w.end[first:last].tolist(), strict=True)) == spelled:
                     edge[first] += 1
                     edge[last] -= 1
-                    items[d].update(own)
+                    items[d].add(self.items[r])
+                    items[d].update(self.items[x] for x in others.get(k, ()))
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def patterns(items: list[tuple[object, str | None]], window: int = WINDOW) -> Patterns:
+def patterns(items: list[tuple[object, str | None]], window: int = WINDOW, most: int = MOST_WINDOWS) -> Iterator[Patterns]:
+    """Patterns of at most ``most`` windows each; an item with more is cut into runs that overlap by window - 1 words."""
     codes: dict[bytes, int] = {}
-    windows: dict[str, tuple[bytes, list[str]]] = {}
     hashes: dict[int, int] = {}
+    names: list[str] = []
+    runs: list[np.ndarray] = []
+    texts: list[bytes] = []
+    held = 0
+
+    def done() -> Patterns:
+        keys = np.array(sorted(hashes), np.uint64)
+        return Patterns(keys, np.array([hashes[k] for k in sorted(hashes)], np.uint32), names, runs, texts, window)
+
     for item, text in items:
         w = tb.words(*tb.raw(pa.array([text], pa.string())), tb.FOLDED, fold=True)
         spelled = [w.data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-        for x, h in zip(spelled, w.hashes().tolist(), strict=True):
-            k = codes.setdefault(x, len(codes) + 2)
-            hashes[h] = k if k < 0xD800 else k + 0x800
-        own = [hashes[h] for h in w.hashes().tolist()]
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            s = "".join(map(chr, own[i : i + window]))
-            found = windows.setdefault(s, (b" ".join(spelled[i : i + window]), []))[1]
-            if str(item) not in found:
-                found.append(str(item))
-    keys = np.array(sorted(hashes), np.uint64)
-    return Patterns(keys, np.array([hashes[k] for k in sorted(hashes)], np.uint32), windows)
-
-
-def compile_benchmark(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> Iterator[Patterns]:
-    """The automata's patterns, one at a time. Items without id or text, or without words, have no windows."""
+        hashed = w.hashes().tolist()
+        i = 0
+        while i < max(1, len(spelled) - window + 1) and spelled:
+            n = min(most - held, max(1, len(spelled) - window + 1) - i)
+            if not n:
+                yield done()
+                codes, hashes, names, runs, texts, held = {}, {}, [], [], [], 0
+                continue
+            own = slice(i, i + n + window - 1)
+            for x, h in zip(spelled[own], hashed[own], strict=True):
+                k = codes.setdefault(x, len(codes) + 2)
+                hashes[h] = k if k < 0xD800 else k + 0x800
+            names.append(str(item))
+            runs.append(np.array([hashes[h] for h in hashed[own]], np.uint32))
+            texts.append(b" ".join(spelled[own]))
+            held, i = held + n, i + n
+    yield done()
+
+
+def compile_benchmark(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> Iterator[Patterns]:
+    """The automata's patterns, one at a time. Items without id or text, or without words, have no windows.
+
+    Items of one id count as one item in results. Items are collected in parts of about ``most_windows`` words.
+    """
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // automaton_bytes
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    n = 1 + words // most_windows
     for k in range(n):
-        yield patterns([(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()], window)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+        yield from patterns([(r["id"], r["text"]) for r in part.collect()], window, most_windows)
 
 
 def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -140,15 +180,19 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                         spans.append([{"first": a, "last": b, "start": int(w.start[base + a]) - zero, "end": int(w.end[base + b - 1]) - zero} for a, b in turns.tolist()])
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(w.counts), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "text", "n_words", "n_hit", "spans", "items"])
 
-        out = out.mapInArrow(scan, shape)
+        out = (written(out, "scanned") if k else out).mapInArrow(scan, shape)
     return out.drop("text").withColumnRenamed("id", id_col)
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows of documents, all columns as they are, in whose text no window of the benchmark occurs."""
+    """The rows of documents, all columns as they are, in whose text no window of the benchmark occurs.
+
+    Null and empty texts stay, as does everything with an empty benchmark; repeated rows stay or go together. Other
+    columns may have any names. An empty table gives an empty result.
+    """
     at = documents.columns.index(text_col)
     out = documents
-    for one in compile_benchmark(benchmark, **options):
+    for k, one in enumerate(compile_benchmark(benchmark, **options)):
         shared = documents.sparkSession.sparkContext.broadcast(one)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -156,7 +200,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "t
                 clean = [not x for _, _, data, begins in tb.chunks(batch.column(at)) for x in shared.value.find(tb.words(data, begins, tb.FOLDED, fold=True))[1]]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(keep, documents.schema)
+        out = (written(out, "scanned") if k else out).mapInArrow(keep, documents.schema)
     return out
 
 
