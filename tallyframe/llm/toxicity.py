@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,15 +187,16 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.bias, -500, 500)))
 
 
-def _of_level(counted: pd.DataFrame, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _of_level(counted: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys in order, counts (2, n), and the keys of the context and the word."""
-    own = counted[counted.level == level]
-    key, context, word = (own[c].to_numpy(np.int64).view(np.uint64) for c in ("key", "context", "word"))
+    own = np.flatnonzero(counted["level"].to_numpy() == level)
+    column = lambda name: counted[name].to_numpy()[own].astype(np.int64)
+    key, context, word = (column(c).view(np.uint64) for c in ("key", "context", "word"))
     order = np.argsort(key)
-    return key[order], np.stack([own.n0.to_numpy(np.int64), own.n1.to_numpy(np.int64)])[:, order], context[order], word[order]
+    return key[order], np.stack([column("n0")[order], column("n1")[order]]), context[order], word[order]
 
 
-def estimate(counted: pd.DataFrame, pair_times: np.ndarray) -> ToxicityModel:
+def estimate(counted: pa.Table, pair_times: np.ndarray) -> ToxicityModel:
     """counted: (level, key, n0, n1, context, word), with pairs from MIN_PAIR on and one in RARE of the others, which
     only count for the prior. pair_times: as _discounts takes it, by class, of all pairs.
     """
@@ -268,7 +268,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
     return keys.unionByName(contexts)
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 4096) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 2048) -> ToxicityModel:
     """Fits on the rows of ``labels`` as given (leave held-out rows out before). Rows without id or label don't count.
 
     A repeated id counts once, as toxic if any of its rows says so. Without rows of either class the model says 0
@@ -291,8 +291,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     for r in pairs.groupBy(F.least("n0", F.lit(5)).alias("n0"), F.least("n1", F.lit(5)).alias("n1")).agg(F.count("*").alias("c")).collect():
         times[0, r["n0"]] += r["c"]
         times[1, r["n1"]] += r["c"]
-    kept = F.col("level").isin(STEM, WORD, CONTEXT) | (F.col("n0") + F.col("n1") >= MIN_PAIR) | (F.pmod("key", F.lit(RARE)) == 0)
-    model = estimate(counted.where(kept).toPandas(), times)
+    some = (F.col("n0") + F.col("n1") >= MIN_PAIR) | (F.pmod("key", F.lit(RARE)) == 0)
+    begins = pairs.where(some).select(F.lit(CONTEXT).alias("level"), F.col("context").alias("key")).distinct()
+    parts = counted.where(F.col("level").isin(STEM, WORD) | ((F.col("level") == PAIR) & some)).unionByName(counted.where(F.col("level") == CONTEXT).join(begins, ["level", "key"], "left_semi"))
+    model = estimate(parts.toArrow(), times)
     if not totals.get(0) or not totals.get(1):
         model.slope, model.bias = 0.0, -20.0 if not totals.get(1) else 20.0
         return model
@@ -303,15 +305,14 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             for i, j, data, at in tb.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shared.value.ratio(tb.words(data, at, tb.FOLDED, fold=True)))], ["_label", "x"])
 
-    held = rows.where("_fold = 0").select("_label", "_text").mapInArrow(ratios, "_label int, x double").toPandas()
-    model.slope, model.bias = _calibrate(held, totals)
+    held = rows.where("_fold = 0").select("_label", "_text").mapInArrow(ratios, "_label int, x double").toArrow()
+    model.slope, model.bias = _calibrate(held["x"].to_numpy(), held["_label"].to_numpy().astype(float), totals)
     shared.destroy()
     return model
 
 
-def _calibrate(held: pd.DataFrame, totals: dict[int, int]) -> tuple[float, float]:
-    """Logistic fit by Newton steps; rows weigh as their class does among all labelled rows."""
-    x, y = held.x.to_numpy(), held["_label"].to_numpy(float)
+def _calibrate(x: np.ndarray, y: np.ndarray, totals: dict[int, int]) -> tuple[float, float]:
+    """Logistic fit of labels y on ratios x by Newton steps; rows weigh as their class does among all labelled rows."""
     n = [max(1, int((y == c).sum())) for c in (0, 1)]
     weight = np.where(y == 1, totals[1] / n[1], totals[0] / n[0])
     weight = weight / weight.mean() if len(weight) else weight

@@ -101,7 +101,7 @@ def modelled(spark, rows):
     pairs = counted[counted.level == toxicity.PAIR]
     times = toxicity._times(np.stack([pairs.n0.to_numpy(), pairs.n1.to_numpy()]))
     kept = (counted.level != toxicity.PAIR) | (counted.n0 + counted.n1 >= toxicity.MIN_PAIR)
-    return counted, toxicity.estimate(counted[kept], times)
+    return counted, toxicity.estimate(pa.Table.from_pandas(counted[kept]), times)
 
 
 def pairs_of(text):
