@@ -1,6 +1,7 @@
 """Toxicity, decontamination, quality."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -237,6 +238,48 @@ def test_quality(spark, documents, clashing, empty):
     assert quality.classify(empty, labels).collect() == []
 
 
+def test_perplexity_is_the_same_for_any_head(spark, documents, corpus):
+    """Count joins give what the head doesn't settle: probabilities still sum to 1, and no n-gram is cut."""
+    texts = spark.createDataFrame([(t,) for _, t in corpus[:40]], "text string")
+    slim = documents.selectExpr("doc_id id", "coalesce(lang, '') lang", "text")
+    found = []
+    for head in (1 << 20, 300, 0):
+        model = quality.kneser_ney(texts, head)
+        assert model.complete == (head > 300)
+        found.append({r["id"]: r["perplexity"] for r in quality.perplexities(slim, model).collect()})
+    assert len(found[0]) == len(corpus)
+    for other in found[1:]:
+        assert all(other[i] == pytest.approx(x, rel=1e-9) for i, x in found[0].items())
+    keys = [int.from_bytes(b"w12" + bytes([c, x]), "big") for c in (ord("3"), 0) for x in range(256)]
+    p = quality._joined(spark.createDataFrame([(k,) for k in keys], "k long"), model).collect()
+    assert sum(10 ** r["p"] for r in p) == pytest.approx(2, abs=1e-6)
+
+
+def test_thresholds_are_brute_force(spark):
+    """Over all trusted documents that gave no counts, whatever the sample that is counted."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, int(rng.integers(1, 300))) % 90), ("en", "de", None)[0 if i % 10 < 7 else 1 + i % 2]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(450)], "doc_id long, quality int")
+    got = quality.classify(docs, labels, max_trusted=60, quantile=0.9).collect()
+    picked = spark.createDataFrame([(i,) for i in range(450) if i % 4], "id long").selectExpr("id", "xxhash64(id) h", "pmod(xxhash64(id, 7), 5) f").orderBy("h").collect()
+    counted = {r["id"] for r in picked[:60] if r["f"]}
+    size = {i: len(t.encode()) for i, t, _ in rows}
+    band = lambda n: (n >= 256) + (n >= 1024)
+    held = [(r["lang"], band(r["n_bytes"]), r["perplexity"]) for r in got if r["doc_id"] < 450 and r["doc_id"] % 4 and r["doc_id"] not in counted]
+    q = lambda x: sorted(x)[math.ceil(0.9 * len(x)) - 1]
+    every = q([x for _, _, x in held])
+    assert len({r["threshold"] for r in got}) > 2
+    for r in got:
+        assert r["n_bytes"] == size[r["doc_id"]]
+        of_lang = [x for l, _, x in held if l == r["lang"]]
+        wide = q(of_lang) if len(of_lang) >= 40 else every
+        own = [x for l, b, x in held if (l, b) == (r["lang"], band(r["n_bytes"]))]
+        want = q(own) if len(own) >= 40 else max([wide, *own])
+        assert (r["threshold"], r["keep"]) == (want, r["perplexity"] <= want)
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
-    assert toxicity.ToxicityModel(*[toxicity._level(np.empty(0, np.uint64), np.zeros((2, 0)))] * 2).score(pa.array(["a b", None])).tolist() == [0.5, 0.5]
+    none = toxicity.estimate(pa.table({c: pa.array([], pa.int64()) for c in ("level", "key", "n0", "n1", "context", "word")}), np.zeros((2, 6), np.int64))
+    assert none.score(pa.array(["a b", None])).tolist() == [0.5, 0.5]
