@@ -249,8 +249,10 @@ def _classified(documents: DataFrame, id_col: str, text_col: str, similarity: fl
     bound = (F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")) & (F.col("m") != F.col("pivot"))
     tried = written(in_bucket.where(bound).select(F.col("m").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     # Only documents that share a bucket, and short ones, are aligned. Short texts have too few k-mers for the sketches' bound.
-    wanted = in_bucket.select("m").distinct().join(reps.where(F.col("n") < SHORT / similarity).select("m", F.lit(True).alias("brief")), "m", "full")
-    texts = slim.where("id is not null").select("m", "text").join(wanted.hint("merge"), "m").groupBy("m").agg(F.first("text").alias("text"), F.first("brief").alias("brief"))
+    # One row of each: by id as well, so that the copies of a text don't meet in a task.
+    wanted = in_bucket.select("m").distinct().withColumn("met", F.lit(True))
+    wanted = reps.select("m", "id", (F.col("n") < SHORT / similarity).alias("brief")).join(wanted.hint("merge"), "m", "left").where("met or brief").drop("met")
+    texts = slim.select("m", "id", "text").join(wanted.hint("merge"), ["m", "id"]).groupBy("m", "id").agg(F.first("text").alias("text"), F.first("brief").alias("brief")).drop("id")
     texts = written(texts, "texts")
     root = components(_links(tried, texts, similarity))
     # Members of one bucket that are still in different components, and all short texts, whether they share a bucket or not.
