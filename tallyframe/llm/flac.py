@@ -1,7 +1,7 @@
 """FLAC: a lossless media column of 8-bit samples, its checks, and PCM blocks with sample offsets.
 
 A payload is cut into frames of BLOCK samples, coded and decoded many frames at a time on numpy arrays. The encoder
-takes the cheapest of a constant, a fixed predictor of order 0 or 1, a second-order linear predictor (on request)
+takes the cheapest of a constant, a fixed predictor of order 0 or 1, a second-order linear predictor (``linear``)
 and the plain samples; residuals are Rice-coded. The decoder reads these subframes (fixed orders 0 to 4, linear
 predictors of any order), finds frames by their sync code, header checksum and number, and verifies the CRC-8 and
 CRC-16 of every frame and the MD5 of the stream. A seek table has a point for every SEEK frames.
@@ -27,6 +27,8 @@ from tallyframe.llm.spark import new_path, read
 
 BLOCK = 192
 SEEK = 64
+RUN = 2048  # frames coded or decoded at a time
+PCM_SAMPLES = 4096
 RATE = 8000
 MAP = b"tfm1"
 #: Bytes by falling frequency in text; the rest follow in their own order.
@@ -190,8 +192,13 @@ def encode(payloads: list[bytes], linear: bool = False) -> list[bytes]:
     frames = np.array([len(p) // BLOCK for p in payloads])
     first = np.concatenate(([0], np.cumsum(frames)))
     samples = TO_SAMPLE[data]
-    out, at = encode_frames(samples.reshape(-1, BLOCK), np.arange(first[-1]) - np.repeat(first[:-1], frames), linear)
-    raw = out.tobytes()
+    number = np.arange(first[-1]) - np.repeat(first[:-1], frames)
+    parts, at = [], np.zeros(1, np.int64)
+    for k in range(0, len(number), RUN):  # long payloads have no bound
+        out, own = encode_frames(samples.reshape(-1, BLOCK)[k : k + RUN], number[k : k + RUN], linear)
+        parts.append(out.tobytes())
+        at = np.concatenate((at, at[-1] + own[1:]))
+    raw = b"".join(parts)
     return [stream_header(samples[a * BLOCK : b * BLOCK], at[a : b + 1] - at[a]) + raw[at[a] : at[b]] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
@@ -227,7 +234,11 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
     stored = body[end - 2].astype(np.uint16) << np.uint16(8) | body[end - 1]
     if len(start) and ((_crc(body, start, end - start - 2, CRC16) != stored).any() or (number != np.arange(first[-1]) - np.repeat(first[:-1], wanted)).any()):
         raise ValueError("a frame's checksum or number is wrong")
-    x = _subframes(body, start + head)
+    runs = []
+    for k in range(0, len(start), RUN):
+        a, b = int(start[k]), int(end[min(k + RUN, len(start)) - 1])
+        runs.append(_subframes(body[a : b + 16], (start + head)[k : k + RUN] - a))
+    x = np.concatenate(runs) if runs else np.empty((0, BLOCK), np.int8)
     out = [x[a:b].reshape(-1) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     for s, m in zip(out, meta, strict=True):
         if hashlib.md5(s.tobytes()).digest() != m[2]:
@@ -235,8 +246,8 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _frames(body: np.ndarray, edge: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, numbers and header sizes of the frames of all streams."""
+def _frames(body: np.ndarray, edge: np.ndarray, wanted: np.ndarray, begin_at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, numbers and header sizes of the frames of all streams, which begin with frame 0 or with ``begin_at``."""
     at = np.flatnonzero((body[:-16] == 0xFF) & (body[1:-15] == 0xF8) & (body[2:-14] == 0x10) & (body[3:-13] == 0x02))
     lead = body[at + 4]
     size = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC], [1, 2, 3, 4, 5], 6)
@@ -253,12 +264,13 @@ def _frames(body: np.ndarray, edge: np.ndarray, wanted: np.ndarray) -> tuple[np.
         for d in np.flatnonzero(count != wanted).tolist():
             own = np.flatnonzero(of == d)
             keep[own] = False
-            nth, begin = 0, None
+            base = 0 if begin_at is None else int(begin_at[d])
+            nth, begin = base, None
             for k in own.tolist():
                 whole = begin is None or _crc(body, np.array([begin]), np.array([at[k] - begin]), CRC16)[0] == 0
                 if number[k] == nth and whole:
                     keep[k], nth, begin = True, nth + 1, at[k]
-            if nth != wanted[d]:
+            if nth - base != wanted[d]:
                 raise ValueError("a stream has missing frames")
         at, size, number = at[keep], size[keep], number[keep]
     return at, number, 4 + size + 1
@@ -366,6 +378,31 @@ def store(rows: DataFrame, path: str, *, id_col: str = "doc_id", data_col: str =
     return rows.sparkSession.read.parquet(path).withColumnRenamed("id", id_col)
 
 
+def read_samples(stream: bytes, first: int, count: int) -> np.ndarray:
+    """The samples from ``first`` on, decoded from the seek point before them; the frames read are verified."""
+    begin, total, _, _, points = _metadata(stream)
+    count = max(0, min(count, total - first))
+    if not count:
+        return np.empty(0, np.int8)
+    of = np.searchsorted(points[:, 0], [first, first + count - 1], "right") - 1
+    stop = points[of[1] + 1, 1] if of[1] + 1 < len(points) else len(stream) - begin
+    body = np.frombuffer(stream[begin + points[of[0], 1] : begin + stop] + bytes(16), np.uint8)
+    edge = np.array([0, len(body) - 16])
+    wanted = -(-(min(total, int(points[of[1] + 1, 0]) if of[1] + 1 < len(points) else total) - int(points[of[0], 0])) // BLOCK)
+    start, number, head = _frames(body, edge, np.array([wanted]), np.array([points[of[0], 0] // BLOCK]))
+    end = np.append(start[1:], edge[1])
+    if _crc(body, start, end - start, CRC16).any():
+        raise ValueError("a frame's checksum is wrong")
+    skip = first - int(points[of[0], 0])
+    return _subframes(body, start + head).reshape(-1)[skip : skip + count]
+
+
+def blocks(x: np.ndarray, size: int = PCM_SAMPLES) -> Iterator[tuple[int, np.ndarray]]:
+    """PCM blocks of a stream's samples with their sample offsets."""
+    for o in range(0, len(x), size):
+        yield o, x[o : o + size]
+
+
 def _decoded(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], list[np.ndarray]]]:
     for i, j, data, at in tb.chunks(column, 1 << 19):
         raw = data.tobytes()
@@ -373,50 +410,68 @@ def _decoded(column: pa.Array) -> Iterator[tuple[int, int, list[bytes], list[np.
         yield i, j, streams, decode(streams)
 
 
-def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", block_samples: int = 4096) -> DataFrame:
-    """(id, sample_offset, samples, pcm) of verified blocks of at most block_samples samples; pcm is one signed byte per sample."""
+def pcm_blocks(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", block_samples: int = PCM_SAMPLES) -> DataFrame:
+    """(id, sample_offset, samples, pcm) of verified blocks of at most block_samples samples; pcm is one signed byte per sample.
+
+    Null media have no blocks; repeated rows have theirs each. An empty table gives none; a damaged stream is an error.
+    """
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             for i, j, _, found in _decoded(batch.column(1)):
-                rows = [(k, o, x[o : o + block_samples].tobytes()) for k, x in zip(range(i, j), found, strict=True) for o in range(0, len(x), block_samples)]
+                rows = [(k, o, x.tobytes()) for k, y in zip(range(i, j), found, strict=True) for o, x in blocks(y, block_samples)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["id", "sample_offset", "samples", "pcm"])
 
     return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, sample_offset long, samples long, pcm binary").withColumnRenamed("id", id_col)
 
 
-def _feature(x: np.ndarray) -> str:
-    """Peak, energy and changes of sign of the samples, and where the first seek point after half of them is."""
-    v = x.astype(np.int64)
-    return f"peak={np.abs(v).max()};energy={(v * v).sum()};crossings={int(((v[1:] < 0) != (v[:-1] < 0)).sum())}"
+def _feature(pcm: list[tuple[int, np.ndarray]]) -> str:
+    """Peak, energy and changes of sign of the samples, and the sample offset of the loudest PCM block (the first of equals)."""
+    peak, energy, crossings, last, loudest = 0, 0, 0, None, (-1, 0)
+    for offset, x in pcm:
+        v = x.astype(np.int64)
+        own = int((v * v).sum())
+        peak, energy = max(peak, int(np.abs(v).max())), energy + own
+        crossings += int(((v[1:] < 0) != (v[:-1] < 0)).sum()) + int(last is not None and (last < 0) != (v[0] < 0))
+        last, loudest = v[-1], (own, offset) if own > loudest[0] else loudest
+    return f"peak={peak};energy={energy};crossings={crossings};loudest={loudest[1]}"
 
 
 def features(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored bytes."""
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_blocks), all from the stored bytes.
+
+    The streams are verified, decoded and cut into PCM blocks, and everything is computed from those. Null media have
+    nulls; repeated rows have a row each. An empty table gives none; a damaged stream is an error.
+    """
     kind = media.schema[id_col].dataType.simpleString()
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_blocks"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            none = batch.filter(batch.column(2).is_null())
+            if none.num_rows:
+                yield pa.RecordBatch.from_arrays([none.column(0), none.column(1), *[pa.nulls(none.num_rows, k) for k in kinds]], names)
+            batch = batch.filter(batch.column(2).is_valid())
             for i, j, streams, found in _decoded(batch.column(2)):
-                payloads = [TO_BYTE[x.view(np.uint8)].tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        batch.column(1).slice(i, j - i),
-                        pa.array([len(p) for p in payloads], pa.int64()),
-                        pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                        pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
-                        pa.array([len(s) for s in streams], pa.int64()),
-                        pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
-                        pa.array([_feature(x) for x in found]),
-                    ],
-                    ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
-
-    shape = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+                columns: list[list] = [[] for _ in kinds]
+                for s, x in zip(streams, found, strict=True):
+                    pcm = list(blocks(x))
+                    digest, tail = hashlib.sha256(), b""
+                    for _, y in pcm:
+                        data = TO_BYTE[y.view(np.uint8)].tobytes()
+                        digest.update(data)
+                        tail = (tail + data[-16:])[-16:]
+                    row = (pcm[-1][0] + len(pcm[-1][1]), digest.hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), _feature(pcm), len(pcm))
+                    for c, v in zip(columns, row, strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+    shape = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long"
     return media.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, shape).withColumnRenamed("id", id_col)
 
 
 def op8_flac(spark, sf_dir: str) -> DataFrame:
-    return features(store(read(spark, sf_dir, "documents"), new_path(spark, "flac")))
+    return features(store(read(spark, sf_dir, "documents"), new_path(spark, "flac"), linear=True))

@@ -260,6 +260,20 @@ def test_flac_is_lossless(linear):
         assert b"".join(streams[5:6]) != flac.encode(payloads[5:6])[0]
 
 
+def test_flac_is_sought(monkeypatch):
+    """Any run of samples is decoded from the seek points around it; long streams are coded in runs of frames."""
+    rng = np.random.default_rng(7)
+    payload = flac.padded(b"".join([b"some words of a text " * 2000, rng.bytes(30_000), b"x" * 20_000]))
+    stream = flac.encode([payload], True)[0]
+    monkeypatch.setattr(flac, "RUN", 7)
+    assert flac.encode([payload], True)[0] == stream
+    whole = flac.decode([stream])[0]
+    assert flac.TO_BYTE[whole.view(np.uint8)].tobytes() == payload
+    for first, count in ((0, 1), (0, len(whole)), (12_288, 5), (12_287, 2), (len(whole) - 3, 100), (40_000, 30_000), (len(whole), 4), (5, 0)):
+        assert (flac.read_samples(stream, first, count) == whole[first : first + count]).all()
+        assert len(flac.read_samples(stream, first, count)) == len(whole[first : first + count])
+
+
 def test_flac_fixed_orders():
     rng = np.random.default_rng(2)
     x = rng.integers(-50, 50, (5, flac.BLOCK))
@@ -291,6 +305,15 @@ def test_media_column(spark, documents, clashing, empty, corpus, tmp_path):
         p = flac.padded((t or "").encode())
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    for i, t in corpus:
+        x = flac.TO_SAMPLE[np.frombuffer(flac.padded((t or "").encode()), np.uint8)].astype(int)
+        loud = [int((x[o : o + flac.PCM_SAMPLES] ** 2).sum()) for o in range(0, len(x), flac.PCM_SAMPLES)]
+        want = f"peak={abs(x).max()};energy={(x * x).sum()};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))};loudest={loud.index(max(loud)) * flac.PCM_SAMPLES}"
+        r = got[i]
+        assert (r["media_bytes"], r["media_sha256"], r["feature"], r["pcm_blocks"]) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest(), want, len(loud))
+    none = spark.createDataFrame([(1, 5, None)], "doc_id long, n_bytes long, media binary")
+    assert [r["payload_bytes"] for r in flac.features(none).collect()] == [None] and flac.pcm_blocks(none).collect() == []
     blocks = flac.pcm_blocks(media, block_samples=1000).toPandas().sort_values(["doc_id", "sample_offset"])
     for i, own in blocks.groupby("doc_id"):
         assert own.sample_offset.tolist() == [1000 * k for k in range(len(own))]
