@@ -75,10 +75,10 @@ def transform(spark: SparkSession, conf: C.Registry) -> DataFrame:
     rows = observations(spark, conf.get("transformDataFilePath", "string"), conf.get("featureCount", "int"), conf.option("percentilesFile", "string"))
     blocks = Blocks(conf.option("featurizeWithProbabilities", "boolean"), conf.option("featurizeWithCounts", "boolean"), conf.option("featurizeWithTotalCounts", "boolean"), conf.option("removeFirstLabel", "boolean"))
     criteria = Criteria(conf.option("defaultProbabilityTotalCriterion", "boolean"), conf.option("defaultProbabilityVarianceCriterion", "boolean"), conf.option("defaultProbabilityMultiple", "double"))
-    done = model.transform(rows, blocks, criteria)
+    done = model.texts(rows, blocks, criteria, conf.option("decimalDigits", "int"))
     tables, shown = len(model.spec.tables), len(model.spec.labels) - blocks.remove_first_label
     sizes = {"probabilities": tables * shown, "counts": tables * shown, "totals": tables}
-    line = sinks.vw_line(F.col("label"), [(F.col(c), sizes[c]) for c in sizes if c in done.columns], conf.option("decimalDigits", "int"))
+    line = sinks.vw_texts(F.col("label"), [(F.col(c), sizes[c]) for c in sizes if c in done.columns])
     if conf.option("keepOriginalFeatures", "boolean"):
         line = sinks.keep_original(line, F.col("raw"), conf.option("originalFeaturesToKeep", "int_seq"))
     out = done.select(line.alias("value"))

@@ -38,8 +38,12 @@ def java_hash(text: Column | str) -> Column:
         pair = step(step(h, F.lit(0xD800) + F.floor((c - 0x10000) / 0x400)), F.lit(0xDC00) + F.pmod(c - 0x10000, F.lit(0x400)))
         return F.when(c < 0x10000, step(h, c)).otherwise(pair)
 
-    h = F.when(F.length(t) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), F.lit(0).cast("bigint"), add))
-    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+    # One byte is its own hash; bytes only are read one after the other, other characters by their places.
+    ascii_only = F.aggregate(F.split(t, ""), F.lit(0).cast("bigint"), lambda h, c: step(h, F.ascii(c).cast("bigint")))
+    any_text = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), F.lit(0).cast("bigint"), add)
+    size = F.octet_length(t)
+    h = F.when(size == 0, F.lit(0).cast("bigint")).when(size == 1, F.ascii(t).cast("bigint")).when(size == F.length(t), ascii_only).otherwise(any_text)
+    return F.when(t.isNotNull(), F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
 
 
 def bucketize(x: Column | str, bounds: Column) -> Column:
@@ -49,9 +53,25 @@ def bucketize(x: Column | str, bounds: Column) -> Column:
     return F.when(bounds.isNull() | (F.size(bounds) == 0), value).otherwise(F.coalesce(F.when(~F.isnan(value), up), F.element_at(bounds, -1)))
 
 
+def bucketize_fixed(x: Column | str, bounds: list[float]) -> Column:
+    """As bucketize with the same bounds for all rows: comparisons in compiled code, halving the bounds."""
+    value, bounds = col(x), sorted(bounds)
+    if not bounds:
+        return value
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(float(bounds[low]))
+        mid = (low + high) // 2
+        return F.when(value <= bounds[mid], search(low, mid)).otherwise(search(mid + 1, high))
+
+    return F.when(F.isnan(value), F.lit(float(bounds[-1]))).when(value.isNotNull(), search(0, len(bounds) - 1))
+
+
 def bucket_or_hash(text: Column | str, bounds: Column) -> Column:
-    """A number bucketed (itself without bounds); anything else by its string hash."""
-    return F.coalesce(bucketize(number(text), bounds), java_hash(text).cast("double"))
+    """A number bucketed (itself without bounds); anything else by its string hash. The number is read once, for all bounds."""
+    read = F.transform(F.array(number(text)), lambda v: F.coalesce(bucketize(v, bounds), java_hash(text).cast("double")))
+    return F.get(read, F.lit(0))
 
 
 def number_or_hash(text: Column | str) -> Column:

@@ -94,18 +94,28 @@ class Model:
 
     @classmethod
     def fit(cls, observations: DataFrame, spec: Spec, **options) -> Model:
-        return cls(spec, exact_counts(observations, spec, **options), label_counts(observations, **options))
+        """One scan of the observations: each is counted once in the first table, so its labels are the model's."""
+        counts = exact_counts(observations, spec, **options)
+        if not spec.tables:
+            return cls(spec, counts, label_counts(observations, **options))
+        # Not a filter on the table: that would be pushed below the counts and keep their exchange from being reused.
+        labels = counts.groupBy("label").agg(F.sum(F.when(F.col("table_id") == 0, F.col("cnt"))).alias("cnt"))
+        return cls(spec, counts, labels)
 
     def merge(self, other: Model) -> Model:
         if self.spec != other.spec:
             raise ValueError("models of different tables don't merge")
         return Model(self.spec, merge(self.counts, other.counts), merge(self.labels, other.labels), self.b)
 
+    def prior_row(self) -> DataFrame:
+        """One row (prior: array in the order of the declared labels); labels that aren't declared count in the total."""
+        total = F.sum("cnt")
+        shares = [F.when(total > 0, F.coalesce(F.sum(F.when(F.col("label") == v, F.col("cnt"))), F.lit(0.0)) / total).otherwise(0.0) for v in self.spec.labels]
+        return self.labels.agg(F.array(*shares).alias("prior"))
+
     def priors(self) -> dict[float, float]:
-        """Prior of each declared label; labels that aren't declared count in the total. One row is collected."""
-        total = F.sum("cnt").alias("total")
-        row = self.labels.agg(total, *[F.sum(F.when(F.col("label") == v, F.col("cnt"))).alias(f"l{i}") for i, v in enumerate(self.spec.labels)]).first()
-        return {v: (row[f"l{i}"] or 0.0) / row["total"] if row["total"] else 0.0 for i, v in enumerate(self.spec.labels)}
+        """The prior of each declared label, collected."""
+        return dict(zip(self.spec.labels, self.prior_row().first()["prior"], strict=True))
 
     def wide(self, by: tuple[str, ...] = ()) -> DataFrame:
         """(by..., table_id, key, c: counts of the declared labels in their order), never below 0."""
@@ -118,7 +128,7 @@ class Model:
         One left join per table on its key, so that rows are never multiplied or regrouped: the planner broadcasts
         the tables that are small when it gets there and shuffles for the others, splitting hot keys.
         """
-        wide = self.wide(by).persist()
+        wide = self.wide(by)
         zeros = F.array(*[F.lit(0.0)] * len(self.spec.labels))
         out = points
         for t, table in enumerate(self.spec.tables):
@@ -129,33 +139,74 @@ class Model:
             out = out.join(own, match, "left").drop("_key", *[f"_b{i}" for i in range(len(by))]).withColumn(f"t{t}", F.coalesce(f"t{t}", zeros))
         return out
 
-    def values(self, blocks: Blocks, criteria: Criteria = Criteria()) -> dict[str, Column]:
-        """The arrays that the blocks ask for, over the columns of ``lookup``: by table, then by label."""
-        prior, labels = self.priors(), self.spec.labels
+    def values(self, t: int, blocks: Blocks, criteria: Criteria, counts: str = "c", prior: str = "prior") -> dict[str, Column]:
+        """The arrays that the blocks ask for of a key of table t, over its counts and the priors."""
+        labels = self.spec.labels
         shown = range(1 if blocks.remove_first_label else 0, len(labels))
-        total = lambda t: F.aggregate(f"t{t}", F.lit(0.0), lambda s, x: s + x)
-        n = range(len(self.spec.tables))
+        c = [F.get(counts, F.lit(i)) for i in range(len(labels))]
+        total = sum(c[1:], c[0]) if c else F.lit(0.0)
         out = {}
         if blocks.probabilities:
-            out["probabilities"] = [S.conditional_probability(F.get(f"t{t}", F.lit(i)), total(t), prior[labels[i]], b=self.scale(t), labels=len(labels), multiple=criteria.multiple, total_criterion=criteria.total, variance_criterion=criteria.variance) for t in n for i in shown]
+            out["probabilities"] = [S.conditional_probability(c[i], total, F.get(prior, F.lit(i)), b=self.scale(t), labels=len(labels), multiple=criteria.multiple, total_criterion=criteria.total, variance_criterion=criteria.variance) for i in shown]
         if blocks.counts:
-            out["counts"] = [F.get(f"t{t}", F.lit(i)) for t in n for i in shown]
+            out["counts"] = [c[i] for i in shown]
         if blocks.totals:
-            out["totals"] = [total(t) for t in n]
+            out["totals"] = [total]
         if not all(out.values()) or not out:
             raise ValueError("a block without values")
         return {k: F.array(*v) for k, v in out.items()}
 
-    def transform(self, points: DataFrame, blocks: Blocks = Blocks(), criteria: Criteria = Criteria()) -> DataFrame:
-        """points with an array column for each block, in the order probabilities, counts, totals."""
-        values = self.values(blocks, criteria)
-        return self.lookup(points).select(*points.columns, *[v.alias(k) for k, v in values.items()])
+    def _looked_up(self, points: DataFrame, of_key) -> DataFrame:
+        """points with ``v0``, ``v1``, ...: what ``of_key`` (table, counts, prior to a struct) makes of each table's key.
+
+        It is computed once for each key of the tables, and once for a key that isn't there; a row only joins it.
+        """
+        zeros = F.array(*[F.lit(0.0)] * len(self.spec.labels))
+        prior = self.prior_row()
+        none = prior.select(*[of_key(t, zeros, "prior").alias(f"_n{t}") for t in range(len(self.spec.tables))])
+        out = points.join(F.broadcast(none))  # one row
+        for t, table in enumerate(self.spec.tables):
+            own = self.counts_of(t, points).join(F.broadcast(prior)).select(F.col("key").alias("_key"), of_key(t, "c", "prior").alias("_v"))
+            out = out.join(own, key_of(table) == F.col("_key"), "left").withColumn(f"v{t}", F.coalesce("_v", f"_n{t}")).drop("_key", "_v", f"_n{t}")
+        return out
+
+    def counts_of(self, t: int, points: DataFrame) -> DataFrame:
+        """(key, c) of a table. points: those that are looked up, for tables that answer any key."""
+        return self.wide().where(F.col("table_id") == t).select("key", "c")
+
+    def _arrays(self, points: DataFrame, blocks: Blocks, criteria: Criteria, change=lambda c: c) -> DataFrame:
+        def of_key(t: int, counts: Column | str, prior: str) -> Column:
+            return F.struct(*[change(v).alias(k) for k, v in self.values(t, blocks, criteria, counts, prior).items()])
+
+        names = [k for k, wanted in (("probabilities", blocks.probabilities), ("counts", blocks.counts), ("totals", blocks.totals)) if wanted]
+        if not self.spec.tables or not names or (blocks.remove_first_label and len(self.spec.labels) < 2 and names != ["totals"]):
+            raise ValueError("a block without values")
+        found = self._looked_up(points, of_key)
+        return found.select(*points.columns, *[F.concat(*[F.col(f"v{t}")[k] for t in range(len(self.spec.tables))]).alias(k) for k in names])
+
+    def transform(self, points: DataFrame, blocks: Blocks = Blocks(), criteria: Criteria = Criteria(), places: int | None = None) -> DataFrame:
+        """points with an array column for each block, in the order probabilities, counts, totals: by table, then by label.
+
+        places: decimals to round to, once for each key."""
+        change = (lambda v: v) if places is None else lambda v: F.transform(v, lambda x: F.round(x, places))
+        return self._arrays(points, blocks, criteria, change)
+
+    def texts(self, points: DataFrame, blocks: Blocks = Blocks(), criteria: Criteria = Criteria(), digits: int = 4) -> DataFrame:
+        """As transform, with the compact texts of the numbers, which are made once for each key."""
+        from tallyframe.functions import formats
+
+        return self._arrays(points, blocks, criteria, lambda v: formats.compact_array(v, digits))
+
+    def interleaved(self, points: DataFrame, criteria: Criteria = Criteria(), places: int | None = None) -> DataFrame:
+        """points with ``vector``: for each table and label the count, then the probability, rounded for each key to ``places``."""
+
+        def of_key(t: int, counts: Column | str, prior: str) -> Column:
+            v = self.values(t, Blocks(counts=True), criteria, counts, prior)
+            both = F.flatten(F.zip_with(v["counts"], v["probabilities"], lambda c, p: F.array(c, p)))
+            return both if places is None else F.transform(both, lambda x: F.round(x, places))
 
-    def interleaved(self, points: DataFrame, criteria: Criteria = Criteria()) -> DataFrame:
-        """points with ``vector``: for each table and label the count, then the probability."""
-        values = self.values(Blocks(counts=True), criteria)
-        both = F.flatten(F.zip_with(values["counts"], values["probabilities"], lambda c, p: F.array(c, p)))
-        return self.lookup(points).select(*points.columns, both.alias("vector"))
+        found = self._looked_up(points, of_key)
+        return found.select(*points.columns, F.concat(*[f"v{t}" for t in range(len(self.spec.tables))]).alias("vector"))
 
     def count_for(self, points: DataFrame, indices: tuple[int, ...], label: float) -> DataFrame:
         """points with ``cnt`` of one table and label; 0.0 for a table that there isn't."""

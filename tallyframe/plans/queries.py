@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return text.dealt(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 # Line items as labelled observations: quantity bucket, discount, status; label 1 for returned ones.
@@ -88,25 +88,25 @@ def label_prior(spark, d):
 
 def _columns(df: DataFrame, arrays: dict[str, int]) -> DataFrame:
     """Arrays as columns, so that rows compare by value."""
-    return df.select("l_orderkey", "l_linenumber", "label", *[F.round(F.get(a, F.lit(i)), 9).alias(f"{a[:1]}{i}") for a, n in arrays.items() for i in range(n)])
+    return df.select("l_orderkey", "l_linenumber", "label", *[F.get(a, F.lit(i)).alias(f"{a[:1]}{i}") for a, n in arrays.items() for i in range(n)])
 
 
 @query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, round(a1 / (a0 + a1), 9) AS p0, round(b1 / (b0 + b1), 9) AS p1, round(c1 / (c0 + c1), 9) AS p2, round(e1 / (e0 + e1), 9) AS p3 FROM looked")
 def featurize_prob(spark, d):
     rows = lines(spark, d)
-    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(remove_first_label=True)), {"probabilities": 4})
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(remove_first_label=True), places=9), {"probabilities": 4})
 
 
 @query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a0 AS c0, a1 AS c1, b0 AS c2, b1 AS c3, c0 AS c4, c1 AS c5, e0 AS c6, e1 AS c7 FROM looked")
 def featurize_counts(spark, d):
     rows = lines(spark, d)
-    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, counts=True)), {"counts": 8})
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, counts=True), places=9), {"counts": 8})
 
 
 @query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a0 + a1 AS t0, b0 + b1 AS t1, c0 + c1 AS t2, e0 + e1 AS t3 FROM looked")
 def featurize_totals(spark, d):
     rows = lines(spark, d)
-    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, totals=True)), {"totals": 4})
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, totals=True), places=9), {"totals": 4})
 
 
 @query(f"""WITH {_OBS} SELECT l_orderkey, l_linenumber, label, round(a0 / (a0 + a1), 9) AS p0, round(a1 / (a0 + a1), 9) AS p1, round(b0 / (b0 + b1), 9) AS p2, round(b1 / (b0 + b1), 9) AS p3,
@@ -114,20 +114,20 @@ def featurize_totals(spark, d):
   a0 AS c0, a1 AS c1, b0 AS c2, b1 AS c3, looked.c0 AS c4, looked.c1 AS c5, e0 AS c6, e1 AS c7, a0 + a1 AS t0, b0 + b1 AS t1, looked.c0 + looked.c1 AS t2, e0 + e1 AS t3 FROM looked""")
 def featurize_blocks(spark, d):
     rows = lines(spark, d)
-    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(True, True, True)), {"probabilities": 8, "counts": 8, "totals": 4})
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(True, True, True), places=9), {"probabilities": 8, "counts": 8, "totals": 4})
 
 
 @query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a1 AS c0, b1 AS c1, c1 AS c2, e1 AS c3 FROM looked")
 def remove_first_label(spark, d):
     rows = lines(spark, d)
-    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, counts=True, remove_first_label=True)), {"counts": 4})
+    return _columns(Model.fit(rows, LINES).transform(rows, Blocks(probabilities=False, counts=True, remove_first_label=True), places=9), {"counts": 4})
 
 
 def _with_scale(spark, d, b: float, criteria: Criteria) -> DataFrame:
     rows = lines(spark, d)
     model = Model.fit(rows, LINES)
     model.b = b
-    return _columns(model.transform(rows, Blocks(remove_first_label=True), criteria), {"probabilities": 4})
+    return _columns(model.transform(rows, Blocks(remove_first_label=True), criteria, places=9), {"probabilities": 4})
 
 
 #: The noise scale at which some tables' totals stop meaning anything, by the criterion, on any scale factor.
@@ -138,7 +138,7 @@ def _total(x: str) -> str:
     return f"CASE WHEN {x}0 + {x}1 < sqrt(4 * {_B} * {_B}) THEN p1 ELSE {x}1 / ({x}0 + {x}1) END"
 
 
-@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, {', '.join(f'round({_total(x)}, 9) AS p{i}' for i, x in enumerate('abce'))} FROM (SELECT l_orderkey, l_linenumber, label, a0, a1, b0, b1, looked.c0 AS c0, looked.c1 AS c1, e0, e1, prior.p1 AS p1 FROM looked, prior)".replace(" AS p1 FROM looked, prior", " AS p1 FROM looked, prior"))
+@query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, {', '.join(f'round({_total(x)}, 9) AS p{i}' for i, x in enumerate('abce'))} FROM (SELECT l_orderkey, l_linenumber, label, a0, a1, b0, b1, looked.c0 AS c0, looked.c1 AS c1, e0, e1, prior.p1 AS p1 FROM looked, prior)")
 def prob_total_criterion(spark, d):
     return _with_scale(spark, d, _B, Criteria())
 
@@ -340,9 +340,10 @@ def vw_parse(spark, d):
 
 @query()
 def vw_format(spark, d):
+    """Lines of probabilities and totals, with two of the features kept; every text is made once for each key of a table."""
     rows = lines(spark, d)
-    done = Model.fit(rows, LINES).transform(rows, Blocks(remove_first_label=True, totals=True))
-    line = sinks.vw_line(F.col("label"), [(F.col("probabilities"), 4), (F.col("totals"), 4)])
+    done = Model.fit(rows, LINES).texts(rows, Blocks(remove_first_label=True, totals=True))
+    line = sinks.vw_texts(F.col("label"), [(F.col("probabilities"), 4), (F.col("totals"), 4)])
     return done.select(sinks.keep_original(line, F.array_join("features", " "), [0, 2]).alias("value"))
 
 
@@ -409,8 +410,8 @@ def time_split(spark, d):
 @query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, a0 AS v0, round(a0 / (a0 + a1), 9) AS v1, a1 AS v2, round(a1 / (a0 + a1), 9) AS v3 FROM looked")
 def interleaved(spark, d):
     rows = lines(spark, d)
-    done = Model.fit(rows, LINES).interleaved(rows)
-    return done.select("l_orderkey", "l_linenumber", "label", *[F.round(F.get("vector", F.lit(i)), 9).alias(f"v{i}") for i in range(4)])
+    done = Model.fit(rows, LINES).interleaved(rows, places=9)
+    return done.select("l_orderkey", "l_linenumber", "label", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(4)])
 
 
 @query(f"WITH {_OBS} SELECT l_orderkey, l_linenumber, label, e1 AS cnt FROM looked")
@@ -513,8 +514,8 @@ def stream_hot_window(spark, d):
     return streaming.hot_window_stream(spark, d, "events.parquet", observe, order="event_id", count_table_size=SIZE, keep=KEEP)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1 THEN 1 ELSE 0 END AS whole FROM orders")
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice AS x, floor(o_totalprice) AS n, o_totalprice - floor(o_totalprice) AS r FROM orders WHERE o_totalprice >= 1),
+y AS (SELECT *, floor(r * 10) AS d1, r * 10 - floor(r * 10) AS r1 FROM x)
+SELECT o_orderkey, CAST(n AS BIGINT)::VARCHAR || CASE WHEN r = 0 THEN '' WHEN r1 > 0 THEN '.' || d1::INT || floor(r1 * 10)::INT ELSE '.' || d1::INT END AS t FROM y""")
 def compact_format(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", formats.compact_text(F.col("o_totalprice")).alias("t"))
-    return rows.select("o_orderkey", F.when(F.col("t").rlike(r"^\d+(\.\d{1,2})?$"), 1).otherwise(0).alias("whole"))
-
+    return table(spark, d, "orders").where("o_totalprice >= 1").select("o_orderkey", formats.compact_text(F.col("o_totalprice")).alias("t"))

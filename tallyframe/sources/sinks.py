@@ -16,9 +16,15 @@ def numbered(vector: Column, start: int | Column = 0) -> Column:
 def vw_line(label: Column, vectors: list[tuple[Column, int]], digits: int = 4) -> Column:
     """``<label> |1 0:v 1:v |5 0:v ...``: a namespace per vector, named by the running length; vectors are (array of
     doubles, length)."""
+    return vw_texts(label, [(formats.compact_array(v, digits), n) for v, n in vectors])
+
+
+def vw_texts(label: Column, vectors: list[tuple[Column, int]]) -> Column:
+    """The same of vectors whose numbers are texts already."""
     parts, offset = [label.cast("double").cast("string"), F.lit(" ")], 1
     for vector, size in vectors:
-        parts += [F.lit(f"|{offset} "), numbered(formats.compact_array(vector, digits)), F.lit(" ")]
+        places = [F.concat(F.lit(f"{i}:"), F.get(vector, F.lit(i))) for i in range(size)] if size <= 64 else None
+        parts += [F.lit(f"|{offset} "), F.concat_ws(" ", *places) if places else numbered(vector), F.lit(" ")]
         offset += size
     return F.concat(*parts)
 

@@ -18,6 +18,18 @@ from tallyframe.functions import scalar as S
 #: A bar with what is glued to it parts label and features.
 BAR = r"\|\S*"
 EMPTY_BOUNDS = "array<double>"
+#: Features of a line up to which each place is an expression of its own.
+UNROLLED = 64
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores (one row group, a few small files), dealt round to all of them.
+
+    What follows is bound by the CPU; a table with splits enough is left as it is, without a shuffle. For scans only:
+    the splits are counted without running anything.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def lines(spark: SparkSession, path: str, *, sniff: bool = False) -> DataFrame:
@@ -59,7 +71,9 @@ def bounds_of(by_feature: dict[int, list[float]], i: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
+    """Tokens between white space; what the bare trim leaves at the ends is cut before the split."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(bare != "", F.split(bare, r"\s+")).otherwise(F.array().cast("array<string>"))
 
 
 def _checked(ok: Column, value: Column, message: str) -> Column:
@@ -82,10 +96,19 @@ def parse_dense(rows: DataFrame, feature_count: int, by_feature: dict[int, list[
     pieces = F.split("value", BAR)
     label, weight = _head(pieces)
     tokens = _tokens(F.get(pieces, F.lit(1)))
-    value = lambda t, i: S.bucket_or_hash(F.substring_index(t, ":", -1), bounds_of(by_feature or {}, i))
-    padded = F.slice(F.concat(F.transform(tokens, value), F.array_repeat(F.lit(0.0), feature_count)), 1, feature_count)
-    ok = (F.size(pieces) == 2) & (F.size(tokens) <= feature_count)
-    return rows.select("*", label.alias("label"), weight.alias("weight"), _checked(ok, padded, "a line has another shape").alias("features"), F.trim(F.get(pieces, F.lit(1))).alias("raw"))
+    out = rows.select("*", label.alias("label"), weight.alias("weight"), tokens.alias("_t"), F.size(pieces).alias("_n"), F.trim(F.get(pieces, F.lit(1))).alias("raw"))
+    if feature_count <= UNROLLED:  # a column for each place: compiled code, and each token is read once
+        bounds = by_feature or {}
+        at = [F.substring_index(F.get("_t", F.lit(i)), ":", -1) for i in range(feature_count)]
+        out = out.select("*", *[x.alias(f"_x{i}") for i, x in enumerate(at)])
+        out = out.select("*", *[S.number(f"_x{i}").alias(f"_v{i}") for i in range(feature_count)])
+        each = [F.coalesce(S.bucketize_fixed(f"_v{i}", bounds.get(i, [])), S.java_hash(f"_x{i}").cast("double"), F.lit(0.0)) for i in range(feature_count)]
+        padded = F.array(*each)
+    else:
+        value = lambda t, i: S.bucket_or_hash(F.substring_index(t, ":", -1), bounds_of(by_feature or {}, i))
+        padded = F.slice(F.concat(F.transform("_t", value), F.array_repeat(F.lit(0.0), feature_count)), 1, feature_count)
+    ok = (F.col("_n") == 2) & (F.size("_t") <= feature_count)
+    return out.select(*rows.columns, "label", "weight", _checked(ok, padded, "a line has another shape").alias("features"), "raw")
 
 
 def parse_strings(rows: DataFrame, feature_count: int, by_feature: dict[int, list[float]] | None = None) -> DataFrame:
