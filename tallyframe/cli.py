@@ -62,8 +62,19 @@ def build(spark: SparkSession, conf: C.Registry) -> Model:
     weights = [conf.option(t, "double_seq") for t in ("tableSpecificNumberOfQueries", "dpNoiseShareWeights", "featureImportanceWeights")]
     scales = [b * m for m in N.multipliers(*weights, tables=n)] if any(weights) else [b] * n
     kinds = conf.option("perFeatureCountTableConfig", "json_seq") or [conf.get("countTableConfig", "json")] * n
+    seed, draws, backing = conf.option("noiseSeed", "int"), conf.option("sumNNoiseDraws", "int"), conf.option("isBackingNoise", "boolean")
+    if seed is None and any(scales):
+        raise ValueError("noiseSeed is required with noise, and must be secret for privacy")
+    seed = seed or 0
+    first = kinds[0]
+    if all(k == first for k in kinds) and first["type"] not in ("exact", "precise") and not backing and not conf.option("useWeights", "boolean"):
+        # One kind of sketch for all tables: the cells are the model.
+        name = {"unbiased_cms": "count_median"}.get(first["type"], first["type"])
+        model = K.SketchModel.fit(rows, spec, K.Sketch(first["epsilon"], first["delta"], name), b=tuple(scales), seed=seed, draws=draws)
+        storage.save(model, conf.get("countTableFile", "string"))
+        return model
     exact = Model.fit(rows, spec, use_weights=conf.option("useWeights", "boolean"))
-    model = Model(spec, _table_counts(exact, kinds, scales, conf.option("sumNNoiseDraws", "int"), conf.option("noiseSeed", "int"), conf.option("isBackingNoise", "boolean")), exact.labels, tuple(scales))
+    model = Model(spec, _table_counts(exact, kinds, scales, draws, seed, backing), exact.labels, tuple(scales))
     storage.save(model, conf.get("countTableFile", "string"))
     return model
 

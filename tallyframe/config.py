@@ -122,7 +122,7 @@ def build_config() -> Registry:
         {
             "percentilesFile": ("string", None), "featureCombinations": ("int_seq_seq", []), "dependentFeatures": ("int_seq_seq", []), "featurizerName": ("string", "featurizer"), "name": ("string", None),
             "isBackingNoise": ("boolean", False), "noiseLaplaceB": ("double", 0.0), "sumNNoiseDraws": ("int", 1), "tableSpecificNumberOfQueries": ("double_seq", None),
-            "dpNoiseShareWeights": ("double_seq", None), "featureImportanceWeights": ("double_seq", None), "perFeatureCountTableConfig": ("json_seq", None), "windowSize": ("int", None), "useWeights": ("boolean", False), "noiseSeed": ("int", 1),
+            "dpNoiseShareWeights": ("double_seq", None), "featureImportanceWeights": ("double_seq", None), "perFeatureCountTableConfig": ("json_seq", None), "windowSize": ("int", None), "useWeights": ("boolean", False), "noiseSeed": ("int", None),
         },
     )
 

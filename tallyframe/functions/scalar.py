@@ -54,7 +54,7 @@ def bucketize(x: Column | str, bounds: Column) -> Column:
 
 
 def bucketize_fixed(x: Column | str, bounds: list[float]) -> Column:
-    """As bucketize with the same bounds for all rows: comparisons in compiled code, halving the bounds."""
+    """As bucketize with the same bounds for all rows: comparisons in compiled code, halving the bounds. Null stays null."""
     value, bounds = col(x), sorted(bounds)
     if not bounds:
         return value

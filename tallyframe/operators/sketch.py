@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalar as S
+from tallyframe.operators import noise as N
+from tallyframe.operators.counts import Model, Spec, key_of, label_counts
 
 #: Cells in a sketch side of a join that is broadcast at most (24 bytes each); larger ones are shuffled.
 BROADCAST_CELLS = 1 << 20
@@ -82,6 +84,75 @@ def merge_cells(*cells: DataFrame) -> DataFrame:
     return out.groupBy("table_id", "d", "w").agg(F.sum("s").alias("s"))
 
 
+def cell_values(cells: DataFrame, table_id: int, places: DataFrame) -> DataFrame:
+    """places (d, w) with ``value``, the raw cell; 0.0 where nothing was added."""
+    own = cells.where(F.col("table_id") == table_id).select("d", "w", F.col("s").alias("value"))
+    return places.join(own, ["d", "w"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def add_to_cells(cells: DataFrame, changes: DataFrame) -> DataFrame:
+    """Cells with changes (table_id, d, w, s) added directly."""
+    return merge_cells(cells, changes.select("table_id", "d", "w", "s"))
+
+
+class SketchModel(Model):
+    """A model whose tables are sketches: cells are all that it keeps, whatever the number of keys.
+
+    A lookup computes the cells of the keys that are asked for, so keys that were never seen have the estimate of
+    their cells. Noise of scale ``b`` by table is a function of the cell, and is in cells that nothing was added to
+    as well. Models merge by their cells.
+    """
+
+    def __init__(self, spec: Spec, sketch: Sketch, cells: DataFrame, labels: DataFrame, b: float | tuple[float, ...] = 0.0, seed: int = 1, draws: int = 1):
+        super().__init__(spec, cells, labels, b)
+        self.sketch, self.cells, self.seed, self.draws = sketch, cells, seed, draws
+
+    @staticmethod
+    def cell_key(key: Column, label: Column) -> Column:
+        return S.string_key(F.concat_ws("|", key, label.cast("int").cast("string")))
+
+    @classmethod
+    def fit(cls, observations: DataFrame, spec: Spec, sketch: Sketch, **noise) -> SketchModel:
+        """Rows that repeat are merged before they are multiplied by tables; keys are never a table of their own."""
+        merged = observations.groupBy("label", "features").agg(F.count("*").cast("double").alias("cnt"))
+        keys = F.array(*[F.struct(F.lit(t).alias("table_id"), key_of(table).alias("key")) for t, table in enumerate(spec.tables)])
+        rows = merged.select("label", "cnt", F.inline(keys)).select("table_id", cls.cell_key(F.col("key"), F.col("label")).alias("k"), "cnt")
+        return cls(spec, sketch, sketch.build(rows), label_counts(observations), **noise)
+
+    def merge(self, other: Model) -> SketchModel:
+        if not isinstance(other, SketchModel) or (self.spec, self.sketch, self.seed, self.draws, self.b) != (other.spec, other.sketch, other.seed, other.draws, other.b):
+            raise ValueError("models of different tables, sketches or noise don't merge")
+        labels = self.labels.unionByName(other.labels).groupBy("label").agg(F.sum("cnt").alias("cnt"))
+        return SketchModel(self.spec, self.sketch, merge_cells(self.cells, other.cells), labels, self.b, self.seed, self.draws)
+
+    def estimates(self, t: int, keys: DataFrame) -> DataFrame:
+        """(key, label, cnt) of the given keys (key) for each declared label."""
+        asked = keys.select("key").distinct().select(F.lit(t).alias("table_id"), "key", F.explode(F.array(*[F.lit(v) for v in self.spec.labels])).alias("label"))
+        asked = asked.withColumn("k", self.cell_key(F.col("key"), F.col("label")))
+        noise = N.noise(N.cell_key(), self.scale(t), seed=self.seed, draws=self.draws) if self.scale(t) else None
+        return self.sketch.query(asked, self.cells.where(F.col("table_id") == t), 1, noise).select("key", "label", F.col("estimate").alias("cnt"))
+
+    def counts_of(self, t: int, points: DataFrame) -> DataFrame:
+        found = self.estimates(t, points.select(key_of(self.spec.tables[t]).alias("key")))
+        return found.groupBy("key").agg(F.array(*[F.max(F.when(F.col("label") == v, F.col("cnt"))) for v in self.spec.labels]).alias("c"))
+
+    def lookup(self, points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        if by:
+            raise ValueError("a sketch model has no windows")
+        out = points
+        for t, table in enumerate(self.spec.tables):
+            own = self.counts_of(t, points).select(F.col("key").alias("_key"), F.col("c").alias(f"t{t}"))
+            out = out.join(own, key_of(table) == F.col("_key"), "left").drop("_key")
+        return out
+
+    def count_for(self, points: DataFrame, indices: tuple[int, ...], label: float) -> DataFrame:
+        if tuple(indices) not in self.spec.tables or label not in self.spec.labels:
+            return points.withColumn("cnt", F.lit(0.0))
+        t = self.spec.tables.index(tuple(indices))
+        found = self.estimates(t, points.select(key_of(tuple(indices)).alias("key"))).where(F.col("label") == label).select(F.col("key").alias("_key"), "cnt")
+        return points.join(found, key_of(tuple(indices)) == F.col("_key"), "left").drop("_key")
+
+
 def dense_bytes(rows: DataFrame, depth: int, width: int, epsilon: float, delta: float) -> DataFrame:
     """Rows (d, m: map of w to s) as (d, bytes)."""
 

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import Model, Spec
+from tallyframe.operators.sketch import Sketch, SketchModel, dense_bytes
 
 
 def save(model: Model, path: str) -> None:
     """Counts are partitioned by table, so that a lookup of one feature reads one partition."""
     spark = model.counts.sparkSession
-    model.counts.repartition("table_id", F.pmod(F.xxhash64("key"), F.lit(16))).write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/counts")
+    within = "w" if isinstance(model, SketchModel) else "key"
+    model.counts.repartition("table_id", F.pmod(F.xxhash64(within), F.lit(16))).write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/counts")
     model.labels.write.mode("overwrite").parquet(f"{path}/labels")
     meta = {"feature_count": model.spec.feature_count, "labels": model.spec.labels, "combinations": model.spec.combinations, "b": model.b}
+    if isinstance(model, SketchModel):
+        meta |= {"sketch": [model.sketch.epsilon, model.sketch.delta, model.sketch.kind], "seed": model.seed, "draws": model.draws}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -23,17 +27,20 @@ def load(spark: SparkSession, path: str) -> Model:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     spec = Spec(meta["feature_count"], tuple(meta["labels"]), tuple(map(tuple, meta["combinations"])))
     b = tuple(meta["b"]) if isinstance(meta["b"], list) else meta["b"]
-    return Model(spec, spark.read.parquet(f"{path}/counts").withColumn("table_id", F.col("table_id").cast("int")), spark.read.parquet(f"{path}/labels"), b)
+    counts, labels = spark.read.parquet(f"{path}/counts").withColumn("table_id", F.col("table_id").cast("int")), spark.read.parquet(f"{path}/labels")
+    if "sketch" in meta:
+        return SketchModel(spec, Sketch(*meta["sketch"]), counts, labels, b, meta["seed"], meta["draws"])
+    return Model(spec, counts, labels, b)
 
 
 def update(model: Model, observations: DataFrame) -> Model:
     """The model with further observations, as of after a transform with the old one."""
+    if isinstance(model, SketchModel):
+        return model.merge(SketchModel.fit(observations, model.spec, model.sketch, b=model.b, seed=model.seed, draws=model.draws))
     return model.merge(Model.fit(observations, model.spec))
 
 
 def dump_sketch(cells: DataFrame, table_id: int, depth: int, width: int, epsilon: float, delta: float) -> DataFrame:
     """A sketch as one row of bytes for each of its rows: big-endian doubles, the first row led by epsilon and delta."""
     own = cells.where(F.col("table_id") == table_id).groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "s"))).alias("m"))
-    from tallyframe.operators.sketch import dense_bytes
-
     return dense_bytes(own, depth, width, epsilon, delta)

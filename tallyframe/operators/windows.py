@@ -16,9 +16,14 @@ def with_ordinal(rows: DataFrame, order: str, name: str = "ordinal", parts: int
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
-    part = F.lit(0)
-    for i, c in enumerate(cuts, 1):
-        part = F.when(F.col(order) > c, i).otherwise(part)
+
+    def place(low: int, high: int) -> Column:  # how many cuts lie below, by halving
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(order) <= cuts[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    part = place(0, len(cuts))
     sizes = {r["_part"]: r["n"] for r in rows.select(part.alias("_part")).groupBy("_part").agg(F.count("*").alias("n")).collect()}
     before, offsets = 0, []
     for i in range(len(cuts) + 1):

@@ -229,6 +229,31 @@ def cms_merge(spark, d):
     return K.merge_cells(*halves).select("d", "w", "s")
 
 
+# A model whose tables are sketches, asked for keys that it has seen and others.
+
+SMALL = K.Sketch(0.05, 0.1, "cms")
+
+
+def _model_cells_sql(s: K.Sketch) -> str:
+    k = "(('0x' || substr(md5(key || '|' || label::INT::VARCHAR), 1, 8))::BIGINT % 2147483647)"
+    hashed = lambda d: f"((({S.coefficients(d)[0]} * k + {S.coefficients(d)[1]}) % 2147483647) % {s.width})"
+    at = lambda rows: " UNION ALL ".join(f"SELECT *, {d} AS d, {hashed(d)} AS w FROM {rows}" for d in range(s.depth))
+    return f"""o AS (SELECT o_custkey::VARCHAR AS key, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label FROM orders),
+seen AS (SELECT key, label, {k} AS k, count(*)::DOUBLE AS n FROM o GROUP BY ALL), cells AS (SELECT d, w, sum(n) AS s FROM ({at('seen')}) GROUP BY ALL),
+asked AS (SELECT key, label, {k} AS k FROM (SELECT c_custkey::VARCHAR AS key FROM customer), (VALUES (1.0::DOUBLE), (-1.0)) v(label)), placed AS ({at('asked')})"""
+
+
+@query(f"WITH {_model_cells_sql(SMALL)} SELECT key::BIGINT AS c_custkey, min(coalesce(s, 0)) FILTER (label = -1) AS c0, min(coalesce(s, 0)) FILTER (label = 1) AS c1 FROM placed LEFT JOIN cells USING (d, w) GROUP BY key")
+def sketch_model_counts(spark, d):
+    """Of two models merged by their cells; most customers asked for have orders, the others only have cells."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(-1.0).alias("label"), F.array(F.col("o_custkey").cast("string")).alias("features"))
+    spec = Spec(1, (-1.0, 1.0))
+    a, b = (K.SketchModel.fit(rows.where(F.pmod("o_orderkey", F.lit(2)) == i), spec, SMALL) for i in (0, 1))
+    asked = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_custkey").cast("string")).alias("features"))
+    done = a.merge(b).transform(asked, Blocks(probabilities=False, counts=True))
+    return done.select("c_custkey", F.get("counts", F.lit(0)).alias("c0"), F.get("counts", F.lit(1)).alias("c1"))
+
+
 # Noise.
 
 

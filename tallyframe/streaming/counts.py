@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyframe.operators.counts import Spec, exact_counts, merge
+from tallyframe.operators.windows import with_ordinal
 
 
 def state_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tallyframe-checkpoints"
+    """The folder that driver and executors share; one is set only where none is and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file:///tmp/tallyframe-checkpoints"
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -37,8 +42,13 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, folder: str, pattern: str, files: int) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
+    """The table as a stream of its files, whether it is one file or a folder of part files."""
+    path = f"{folder}/{pattern}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def count_stream(spark: SparkSession, folder: str, pattern: str, spec: Spec, observe: Callable[[DataFrame], DataFrame], *, files: int = 100) -> DataFrame:
@@ -85,16 +95,25 @@ def hot_window_updates(stream: DataFrame, *, order: str, count_table_size: int,
     return stream.groupBy("group").applyInPandasWithState(step, shape, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def hot_window_stream(spark: SparkSession, folder: str, pattern: str, observe: Callable[[DataFrame], DataFrame], *, order: str, count_table_size: int, keep: int, group: str = "all") -> DataFrame:
-    """(key, label, cnt): the hot window's merged view after all that is there now."""
+def hot_window_stream(spark: SparkSession, folder: str, pattern: str, observe: Callable[[DataFrame], DataFrame], *, order: str, count_table_size: int, keep: int, files: int = 100) -> DataFrame:
+    """(key, label, cnt): the hot window's merged view after all that is there now, over one sequence of arrivals.
+
+    A micro-batch is numbered in parallel, after the arrivals of the batches before it, and counted by window, key and
+    label in Spark; what is kept is a table of window counts and the number of arrivals for each batch, so a batch
+    that is run again replaces itself. No task holds a batch, and windows that have left the view aren't read.
+    """
     path = state_dir(spark)
-    stream = observe(_stream(spark, folder, pattern, 100)).withColumn("group", F.lit(group))
-    updates = hot_window_updates(stream, order=order, count_table_size=count_table_size, keep=keep)
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/view/batch={number}")
-
-    updates.writeStream.foreachBatch(add).outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    view = spark.read.parquet(f"{path}/view")
-    last = view.agg(F.max("arrivals").alias("last"))
-    return view.join(F.broadcast(last), F.col("arrivals") == F.col("last")).select("key", "label", "cnt")
+        before = 0
+        if number:
+            before = spark.read.parquet(f"{path}/arrivals").where(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = with_ordinal(observe(batch), order).withColumn("window_id", F.floor((F.col("ordinal") + before) / count_table_size))
+        rows.groupBy("window_id", "key", "label").agg(F.count("*").cast("double").alias("cnt")).write.mode("overwrite").parquet(f"{path}/windows/batch={number}")
+        spark.read.parquet(f"{path}/windows/batch={number}").agg(F.coalesce(F.sum("cnt"), F.lit(0.0)).cast("long").alias("n")).write.mode("overwrite").parquet(f"{path}/arrivals/batch={number}")
+
+    stream = _stream(spark, folder, pattern, files)
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    now = spark.read.parquet(f"{path}/arrivals").agg(F.sum("n")).first()[0] // count_table_size
+    frozen = spark.read.parquet(f"{path}/windows").where((F.col("window_id") < now) & (F.col("window_id") >= now - keep))
+    return frozen.groupBy("key", "label").agg(F.sum("cnt").alias("cnt"))

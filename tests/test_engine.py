@@ -306,3 +306,57 @@ def test_delimited_sources(spark, tmp_path):
 def test_named_numbers(spark):
     got = P.prepare_label_file(lines(spark, "1 | 5 a 0")).first()["value"]
     assert got == "1 | f1:5 a f3:0"
+
+
+def test_sketch_models_keep_cells(spark, tmp_path):
+    """Cells answer seen and unseen keys, merge, are stored, and hold noise that is a function of the cell."""
+    from tallyframe.operators.sketch import Sketch, SketchModel, add_to_cells, cell_values
+
+    spec, sketch = Spec(2, (0.0, 1.0), ((0, 1),)), Sketch(0.001, 0.01)
+    rows = spark.createDataFrame([(float(i % 2), [str(i % 50), str(i % 3)]) for i in range(600)], "label double, features array<string>")
+    whole = SketchModel.fit(rows, spec, sketch)
+    parts = [SketchModel.fit(rows.where(f"features[0] % 2 = {i}"), spec, sketch) for i in (0, 1)]
+    asked = spark.createDataFrame([(["7", "1"],), (["never", "seen"],)], "features array<string>")
+    blocks = Blocks(probabilities=False, counts=True, totals=True)
+    exact = {tuple(r["features"]): (r["counts"], r["totals"]) for r in Model.fit(rows, spec).transform(asked, blocks).collect()}
+    storage.save(whole, str(tmp_path / "m"))
+    for model in (whole, parts[0].merge(parts[1]), storage.load(spark, str(tmp_path / "m"))):
+        found = {tuple(r["features"]): (r["counts"], r["totals"]) for r in model.transform(asked, blocks).collect()}
+        assert found == exact  # the sketch is wide enough for these keys
+    noisy = SketchModel.fit(rows, spec, sketch, b=5.0, seed=9)
+    values = [sorted(map(str, noisy.transform(asked, blocks).collect())) for _ in range(2)]
+    assert values[0] == values[1] and values[0] != sorted(map(str, whole.transform(asked, blocks).collect()))
+    with pytest.raises(ValueError):
+        whole.merge(noisy)
+    place = spark.createDataFrame([(0, 5), (1, 7)], "d int, w long")
+    changed = add_to_cells(whole.cells, spark.createDataFrame([(0, 0, 5, 3.0)], "table_id int, d int, w long, s double"))
+    before, after = ({(r["d"], r["w"]): r["value"] for r in cell_values(c, 0, place).collect()} for c in (whole.cells, changed))
+    assert after[0, 5] == before[0, 5] + 3.0 and after[1, 7] == before[1, 7]
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    """What Spark writes is a folder of part files; batches of arrivals are numbered one after the other."""
+    from tallyframe.streaming import counts as streaming
+
+    rows = [(i, f"k{i % 3}", float(i % 2)) for i in range(97)]
+    spark.createDataFrame(rows, "event_id long, key string, label double").repartitionByRange(4, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    found = streaming.hot_window_stream(spark, str(tmp_path), "events.parquet", lambda e: e, order="event_id", count_table_size=10, keep=3)
+    want = {}
+    for _, k, label in rows[60:90]:
+        want[k, label] = want.get((k, label), 0) + 1
+    assert {(r["key"], r["label"]): r["cnt"] for r in found.collect()} == want
+
+
+def test_noise_needs_a_seed(spark, tmp_path):
+    (tmp_path / "data").write_text("1 | 2\n0 | 3\n")
+    conf = '{"command": "build", "featureCount": 1, "labels": [0, 1], "countTableConfig": {"type": "exact"}, "countDataFile": "%s", "countTableFile": "%s", "noiseLaplaceB": 2.0}' % (tmp_path / "data", tmp_path / "m")
+    with pytest.raises(ValueError, match="noiseSeed"):
+        cli.run(spark, conf)
+
+
+def test_fixed_bounds_are_those_of_an_array(spark):
+    values = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 1.0, 1.5, 4.0, 9.0, 15.0, 99.0, float("nan"), float("inf"), None)], "x double")
+    for bounds in ([], [1.0], [1.0, 4.0, 15.0], [0.0, 0.0, 2.0, 3.0, 9.0]):
+        arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+        for r in values.select(S.bucketize_fixed("x", bounds).alias("a"), S.bucketize("x", arr).alias("b"), "x").collect():
+            assert r["a"] is None if r["x"] is None else str(r["a"]) == str(r["b"])
