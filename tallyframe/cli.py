@@ -1,5 +1,5 @@
 """Commands with a JSON configuration: ``python -m tallyframe.cli <config>``, whose ``command`` is build, transform,
-discretize or computeNoiseWeights."""
+discretize, computeNoiseWeights, buildHotWindow or transformHotWindow."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from tallyframe.functions import scalar as S
 from tallyframe.operators import noise as N
 from tallyframe.operators import sketch as K
 from tallyframe.operators import storage
+from tallyframe.operators import windows as W
 from tallyframe.operators.counts import Blocks, Criteria, Model, Spec
 from tallyframe.privacy import sensitivity as D
 from tallyframe.sources import sinks, text
@@ -54,12 +55,12 @@ def _table_counts(model: Model, kinds: list[dict], scales: list[float], draws: i
     return out
 
 
-def build(spark: SparkSession, conf: C.Registry) -> Model:
+def build(spark: SparkSession, conf: C.Registry) -> Model | W.WindowedModel:
     combos = [*conf.option("featureCombinations", "int_seq_seq"), *conf.option("dependentFeatures", "int_seq_seq")]
     spec = Spec(conf.get("featureCount", "int"), tuple(conf.get("labels", "double_seq")), tuple(map(tuple, combos)))
     rows = observations(spark, conf.get("countDataFile", "string"), spec.feature_count, conf.option("percentilesFile", "string"))
     b, n = conf.option("noiseLaplaceB", "double"), len(spec.tables)
-    weights = [conf.option(t, "double_seq") for t in ("tableSpecificNumberOfQueries", "dpNoiseShareWeights", "featureImportanceWeights")]
+    weights = [conf.option("tableSpecificNumberOfQueries", "double_seq"), *[C.numbers(spark, conf.option(t, "json")) for t in ("dpNoiseShareWeights", "featureImportanceWeights")]]
     scales = [b * m for m in N.multipliers(*weights, tables=n)] if any(weights) else [b] * n
     kinds = conf.option("perFeatureCountTableConfig", "json_seq") or [conf.get("countTableConfig", "json")] * n
     seed, draws, backing = conf.option("noiseSeed", "int"), conf.option("sumNNoiseDraws", "int"), conf.option("isBackingNoise", "boolean")
@@ -67,6 +68,12 @@ def build(spark: SparkSession, conf: C.Registry) -> Model:
         raise ValueError("noiseSeed is required with noise, and must be secret for privacy")
     seed = seed or 0
     first = kinds[0]
+    if conf.option("windowSize", "int"):
+        if any(scales) or any(k["type"] not in ("exact", "precise") for k in kinds) or conf.option("useWeights", "boolean"):
+            raise ValueError("windowed models have exact counts, without noise or weights")
+        windowed = W.WindowedModel.fit(W.with_ordinal(rows, "row_id"), spec, conf.option("windowSize", "int"))
+        storage.save_windowed(windowed, conf.get("countTableFile", "string"))
+        return windowed
     if all(k == first for k in kinds) and first["type"] not in ("exact", "precise") and not backing and not conf.option("useWeights", "boolean"):
         # One kind of sketch for all tables: the cells are the model.
         name = {"unbiased_cms": "count_median"}.get(first["type"], first["type"])
@@ -79,26 +86,67 @@ def build(spark: SparkSession, conf: C.Registry) -> Model:
     return model
 
 
-def transform(spark: SparkSession, conf: C.Registry) -> DataFrame:
-    model = storage.load(spark, conf.get("countTableFile", "string"))
-    if "noise" in model.counts.columns:
-        model.counts = N.with_backing(model.counts, conf.option("addBackingTableNoise", "boolean"))
-    rows = observations(spark, conf.get("transformDataFilePath", "string"), conf.get("featureCount", "int"), conf.option("percentilesFile", "string"))
+def _blocks(conf: C.Registry) -> tuple[Blocks, Criteria]:
     blocks = Blocks(conf.option("featurizeWithProbabilities", "boolean"), conf.option("featurizeWithCounts", "boolean"), conf.option("featurizeWithTotalCounts", "boolean"), conf.option("removeFirstLabel", "boolean"))
-    criteria = Criteria(conf.option("defaultProbabilityTotalCriterion", "boolean"), conf.option("defaultProbabilityVarianceCriterion", "boolean"), conf.option("defaultProbabilityMultiple", "double"))
-    done = model.texts(rows, blocks, criteria, conf.option("decimalDigits", "int"))
-    tables, shown = len(model.spec.tables), len(model.spec.labels) - blocks.remove_first_label
+    return blocks, Criteria(conf.option("defaultProbabilityTotalCriterion", "boolean"), conf.option("defaultProbabilityVarianceCriterion", "boolean"), conf.option("defaultProbabilityMultiple", "double"))
+
+
+def _write_lines(done: DataFrame, spec: Spec, blocks: Blocks, conf: C.Registry) -> DataFrame:
+    """Lines of all blocks that done has, those of the own window last."""
+    tables, shown = len(spec.tables), len(spec.labels) - blocks.remove_first_label
     sizes = {"probabilities": tables * shown, "counts": tables * shown, "totals": tables}
+    sizes |= {f"window_{c}": n for c, n in sizes.items()}
     line = sinks.vw_texts(F.col("label"), [(F.col(c), sizes[c]) for c in sizes if c in done.columns])
     if conf.option("keepOriginalFeatures", "boolean"):
         line = sinks.keep_original(line, F.col("raw"), conf.option("originalFeaturesToKeep", "int_seq"))
     out = done.select(line.alias("value"))
     sinks.write_text(out, conf.get("outDataFile", "string"))
+    return out
+
+
+def transform(spark: SparkSession, conf: C.Registry) -> DataFrame:
+    blocks, criteria = _blocks(conf)
+    rows = observations(spark, conf.get("transformDataFilePath", "string"), conf.get("featureCount", "int"), conf.option("percentilesFile", "string"))
+    if conf.option("windowSize", "int"):
+        windowed = storage.load_windowed(spark, conf.get("countTableFile", "string"))
+        if windowed.size != conf.option("windowSize", "int"):
+            raise ValueError(f"the model's windows are of {windowed.size}")
+        if conf.option("updateCountFile", "string"):
+            raise ValueError("windowed models aren't updated by a transform")
+        points = W.with_ordinal(rows, "row_id").withColumn("window_id", W.window_of("ordinal", windowed.size))
+        return _write_lines(windowed.texts(points, blocks, criteria, conf.option("decimalDigits", "int")), windowed.spec, blocks, conf)
+    model = storage.load(spark, conf.get("countTableFile", "string"))
+    if "noise" in model.counts.columns:
+        model.counts = N.with_backing(model.counts, conf.option("addBackingTableNoise", "boolean"))
+    out = _write_lines(model.texts(rows, blocks, criteria, conf.option("decimalDigits", "int")), model.spec, blocks, conf)
     if conf.option("updateCountFile", "string"):
         storage.save(storage.update(model, rows), conf.option("updateCountFile", "string"))
     return out
 
 
+def build_hot(spark: SparkSession, conf: C.Registry) -> W.HotWindow:
+    """The hot window after all lines of a file, in their order, stored with the points that it holds."""
+    spec = Spec(conf.get("featureCount", "int"), tuple(conf.get("labels", "double_seq")), tuple(map(tuple, conf.get("featureCombinations", "int_seq_seq"))))
+    rows = observations(spark, conf.get("countDataFile", "string"), spec.feature_count, conf.option("percentilesFile", "string"))
+    b, seed = conf.option("windowNoiseLaplaceB", "double"), conf.option("noiseSeed", "int")
+    if seed is None and b:
+        raise ValueError("noiseSeed is required with noise, and must be secret for privacy")
+    sizes = {"hot_window_size": conf.get("hotWindowSize", "int"), "count_table_size": conf.get("countTableSize", "int"), "keep": conf.option("countTableCount", "int")}
+    hot = W.HotWindow.start(W.with_ordinal(rows, "row_id"), spec, b=b, seed=seed or 0, **sizes)
+    storage.save_hot(hot, conf.get("countTableFile", "string"))
+    return hot
+
+
+def transform_hot(spark: SparkSession, conf: C.Registry) -> DataFrame:
+    """The lines of a file over all tables that the hot window keeps; or (without transformDataFilePath) the points held, over its frozen ones."""
+    blocks, criteria = _blocks(conf)
+    hot = storage.load_hot(spark, conf.get("countTableFile", "string"))
+    path = conf.option("transformDataFilePath", "string")
+    points = hot.points if path is None else observations(spark, path, conf.get("featureCount", "int"), conf.option("percentilesFile", "string"))
+    model = hot.merged(include_current=path is not None)
+    return _write_lines(model.texts(points, blocks, criteria, conf.option("decimalDigits", "int")), hot.spec, blocks, conf)
+
+
 def discretize(spark: SparkSession, conf: C.Registry) -> DataFrame:
     by_feature = _bounds(spark, conf.get("percentilesFile", "string"))
     parsed = text.parse_strings(text.lines(spark, conf.get("dataFile", "string")), conf.get("featureCount", "int"), by_feature)
@@ -110,6 +158,8 @@ def discretize(spark: SparkSession, conf: C.Registry) -> DataFrame:
 def compute_noise_weights(spark: SparkSession, conf: C.Registry) -> DataFrame:
     model = storage.load(spark, conf.get("countTableFile", "string"))
     rows = observations(spark, conf.get("transformDataFilePath", "string"), conf.get("featureCount", "int"), conf.option("percentilesFile", "string"))
+    if conf.option("windowSize", "int"):
+        raise ValueError("noise weights are of models without windows")
     totals = model.transform(rows, Blocks(probabilities=False, totals=True)).select("row_id", "totals")
     groups = D.groups_for(totals.count(), conf.option("multiGroups", "boolean"))
     found = D.noise_weights(totals, conf.get("percentile", "double"), conf.get("epsilonDP", "double"), groups=groups)
@@ -117,7 +167,7 @@ def compute_noise_weights(spark: SparkSession, conf: C.Registry) -> DataFrame:
     return found
 
 
-COMMANDS = {"build": (C.build_config, build), "transform": (C.transform_config, transform), "discretize": (C.discretize_config, discretize), "computeNoiseWeights": (C.noise_weights_config, compute_noise_weights)}
+COMMANDS = {"build": (C.build_config, build), "transform": (C.transform_config, transform), "discretize": (C.discretize_config, discretize), "computeNoiseWeights": (C.noise_weights_config, compute_noise_weights), "buildHotWindow": (C.hot_build_config, build_hot), "transformHotWindow": (C.hot_transform_config, transform_hot)}
 
 
 def run(spark: SparkSession, config: str):

@@ -107,6 +107,15 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
 
+def numbers(spark: SparkSession, value: Any) -> list[float] | None:
+    """An array of numbers, or the file that holds one (as JSON); None stays None."""
+    if isinstance(value, str):
+        value = lenient_json(read_text(spark, value))
+    if value is not None and not isinstance(value, list):
+        raise ValueError(f"{value!r} is no array of numbers")
+    return None if value is None else [float(v) for v in value]
+
+
 def _declare(required: dict[str, str], optional: dict[str, tuple[str, Any]]) -> Registry:
     out = Registry()
     for tag, kind in required.items():
@@ -122,20 +131,35 @@ def build_config() -> Registry:
         {
             "percentilesFile": ("string", None), "featureCombinations": ("int_seq_seq", []), "dependentFeatures": ("int_seq_seq", []), "featurizerName": ("string", "featurizer"), "name": ("string", None),
             "isBackingNoise": ("boolean", False), "noiseLaplaceB": ("double", 0.0), "sumNNoiseDraws": ("int", 1), "tableSpecificNumberOfQueries": ("double_seq", None),
-            "dpNoiseShareWeights": ("double_seq", None), "featureImportanceWeights": ("double_seq", None), "perFeatureCountTableConfig": ("json_seq", None), "windowSize": ("int", None), "useWeights": ("boolean", False), "noiseSeed": ("int", None),
+            "dpNoiseShareWeights": ("json", None), "featureImportanceWeights": ("json", None), "perFeatureCountTableConfig": ("json_seq", None), "windowSize": ("int", None), "useWeights": ("boolean", False), "noiseSeed": ("int", None),
         },
     )
 
 
+def hot_build_config() -> Registry:
+    return _declare(
+        {"featureCount": "int", "labels": "double_seq", "featureCombinations": "int_seq_seq", "hotWindowSize": "int", "countTableSize": "int", "countDataFile": "string", "countTableFile": "string"},
+        {"percentilesFile": ("string", None), "countTableCount": ("int", None), "windowNoiseLaplaceB": ("double", 0.0), "noiseSeed": ("int", None), "name": ("string", None)},
+    )
+
+
+#: What a featurized line has.
+_LINE = {
+    "percentilesFile": ("string", None), "removeFirstLabel": ("boolean", False), "keepOriginalFeatures": ("boolean", False), "originalFeaturesToKeep": ("int_seq", []), "featurizeWithCounts": ("boolean", False),
+    "featurizeWithTotalCounts": ("boolean", False), "featurizeWithProbabilities": ("boolean", True), "defaultProbabilityTotalCriterion": ("boolean", True), "defaultProbabilityVarianceCriterion": ("boolean", False),
+    "defaultProbabilityMultiple": ("double", 1.0), "decimalDigits": ("int", 4),
+}
+
+
 def transform_config() -> Registry:
     return _declare(
         {"featureCount": "int", "countTableFile": "string", "transformDataFilePath": "string", "outDataFile": "string"},
-        {
-            "percentilesFile": ("string", None), "removeFirstLabel": ("boolean", False), "keepOriginalFeatures": ("boolean", False), "originalFeaturesToKeep": ("int_seq", []), "featurizeWithCounts": ("boolean", False),
-            "featurizeWithTotalCounts": ("boolean", False), "featurizeWithProbabilities": ("boolean", True), "updateCountFile": ("string", None), "defaultProbabilityTotalCriterion": ("boolean", True),
-            "defaultProbabilityVarianceCriterion": ("boolean", False), "defaultProbabilityMultiple": ("double", 1.0), "decimalDigits": ("int", 4), "addBackingTableNoise": ("boolean", False), "windowSize": ("int", None),
-        },
-    )
+        _LINE | {"updateCountFile": ("string", None), "addBackingTableNoise": ("boolean", False), "windowSize": ("int", None)},
+    )
+
+
+def hot_transform_config() -> Registry:
+    return _declare({"featureCount": "int", "countTableFile": "string", "outDataFile": "string"}, _LINE | {"transformDataFilePath": ("string", None)})
 
 
 def discretize_config() -> Registry:

@@ -183,3 +183,27 @@ def ngrams(namespace: Column, values: Column, n: int) -> Column:
 def hashed_feature(key: Column, bits: int) -> Column:
     """A feature's place below 2 ** bits."""
     return F.pmod(string_key(key), F.lit(1 << bits)).cast("double")
+
+
+def feature_set(spaces: Column, ngram_sizes: dict[str, int], bits: int) -> Column:
+    """The features of all namespaces as one array of (key, value).
+
+    spaces: map of namespace to array of (key, value). A namespace with an n-gram size gives (namespace, place) for the
+    n-gram of values from each value on, its place below 2 ** bits; any other gives its keys with the namespace before.
+    """
+    if any(n < 1 for n in ngram_sizes.values()):
+        raise ValueError("n must be positive")
+    pair = lambda key, value: F.struct(key.alias("key"), value.cast("double").alias("value"))
+
+    def plain(e: Column) -> Column:
+        return F.transform(e["value"], lambda f: pair(namespaced(e["key"], f["key"]), f["value"]))
+
+    def of_entry(e: Column) -> Column:
+        out = plain(e)
+        for name, n in ngram_sizes.items():
+            texts = F.transform(e["value"], lambda f: f["value"].cast("string"))
+            grams = F.transform(ngrams(e["key"], texts, n), lambda k: pair(e["key"], hashed_feature(k, bits)))
+            out = F.when(e["key"] == name, grams).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(F.map_entries(spaces), of_entry))

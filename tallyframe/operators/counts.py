@@ -109,9 +109,12 @@ class Model:
 
     def prior_row(self) -> DataFrame:
         """One row (prior: array in the order of the declared labels); labels that aren't declared count in the total."""
+        return self.labels.agg(self.prior_shares().alias("prior"))
+
+    def prior_shares(self) -> Column:
+        """An aggregate over label counts: the share of each declared label, 0 without any count."""
         total = F.sum("cnt")
-        shares = [F.when(total > 0, F.coalesce(F.sum(F.when(F.col("label") == v, F.col("cnt"))), F.lit(0.0)) / total).otherwise(0.0) for v in self.spec.labels]
-        return self.labels.agg(F.array(*shares).alias("prior"))
+        return F.array(*[F.when(total > 0, F.coalesce(F.sum(F.when(F.col("label") == v, F.col("cnt"))), F.lit(0.0)) / total).otherwise(0.0) for v in self.spec.labels])
 
     def priors(self) -> dict[float, float]:
         """The prior of each declared label, collected."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import Model, Spec
 from tallyframe.operators.sketch import Sketch, SketchModel, dense_bytes
+from tallyframe.operators.windows import HotWindow, WindowedModel
 
 
 def save(model: Model, path: str) -> None:
@@ -20,11 +21,13 @@ def save(model: Model, path: str) -> None:
     meta = {"feature_count": model.spec.feature_count, "labels": model.spec.labels, "combinations": model.spec.combinations, "b": model.b}
     if isinstance(model, SketchModel):
         meta |= {"sketch": [model.sketch.epsilon, model.sketch.delta, model.sketch.kind], "seed": model.seed, "draws": model.draws}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    _save_meta(spark, meta, path)
 
 
 def load(spark: SparkSession, path: str) -> Model:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    if "window_size" in meta:
+        raise ValueError(f"the model at {path} has windows")
     spec = Spec(meta["feature_count"], tuple(meta["labels"]), tuple(map(tuple, meta["combinations"])))
     b = tuple(meta["b"]) if isinstance(meta["b"], list) else meta["b"]
     counts, labels = spark.read.parquet(f"{path}/counts").withColumn("table_id", F.col("table_id").cast("int")), spark.read.parquet(f"{path}/labels")
@@ -44,3 +47,42 @@ def dump_sketch(cells: DataFrame, table_id: int, depth: int, width: int, epsilon
     """A sketch as one row of bytes for each of its rows: big-endian doubles, the first row led by epsilon and delta."""
     own = cells.where(F.col("table_id") == table_id).groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "s"))).alias("m"))
     return dense_bytes(own, depth, width, epsilon, delta)
+
+
+def _save_meta(spark: SparkSession, meta: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def save_windowed(model: WindowedModel, path: str, **more) -> None:
+    """Counts are partitioned by table, within it sorted by window, so that a range of windows skips row groups."""
+    spec = model.spec
+    model.by_window.repartition("table_id", F.pmod(F.xxhash64("window_id", "key"), F.lit(16))).sortWithinPartitions("table_id", "window_id").write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/counts")
+    model.labels_by_window.write.mode("overwrite").parquet(f"{path}/labels")
+    meta = {"feature_count": spec.feature_count, "labels": spec.labels, "combinations": spec.combinations, "window_size": model.size}
+    _save_meta(model.by_window.sparkSession, meta | more, path)
+
+
+def _load_windowed(spark: SparkSession, path: str) -> tuple[WindowedModel, dict]:
+    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    if "window_size" not in meta:
+        raise ValueError(f"the model at {path} has no windows")
+    spec = Spec(meta["feature_count"], tuple(meta["labels"]), tuple(map(tuple, meta["combinations"])))
+    counts = spark.read.schema("window_id bigint, key string, label double, cnt double, table_id int").parquet(f"{path}/counts")
+    labels = spark.read.parquet(f"{path}/labels")
+    return WindowedModel(spec, counts.select("window_id", "table_id", "key", "label", "cnt"), labels, meta["window_size"]), meta
+
+
+def load_windowed(spark: SparkSession, path: str) -> WindowedModel:
+    return _load_windowed(spark, path)[0]
+
+
+def save_hot(hot: HotWindow, path: str) -> None:
+    """The tables by window and the points that are held."""
+    hot.points.write.mode("overwrite").parquet(f"{path}/points")
+    save_windowed(hot.tables, path, hot={"n": hot.n, "hot_window_size": hot.hot_window_size, "keep": hot.keep, "first": hot.first, "b": hot.b})
+
+
+def load_hot(spark: SparkSession, path: str, seed: int = 0) -> HotWindow:
+    """seed: of further noise; it is secret and isn't stored."""
+    tables, meta = _load_windowed(spark, path)
+    return HotWindow(tables.spec, tables, spark.read.parquet(f"{path}/points"), seed=seed, **meta["hot"])

@@ -312,14 +312,14 @@ w AS (SELECT *, ordinal // {SIZE} AS window_id FROM e), c AS (SELECT window_id,
 
 @query(f"WITH {_EVENTS} SELECT window_id, key, label, cnt FROM c")
 def window_counts(spark, d):
-    return W.WindowedModel(EVENTS, arrivals(spark, d)).by_window.select("window_id", "key", "label", "cnt")
+    return W.WindowedModel.fit(arrivals(spark, d), EVENTS).by_window.select("window_id", "key", "label", "cnt")
 
 
 @query(f"""WITH {_EVENTS}, x AS (SELECT window_id, key, sum(cnt) AS t, coalesce(sum(cnt) FILTER (label = 1), 0) AS n FROM c GROUP BY ALL), f AS (SELECT key, sum(t) AS ft, sum(n) AS fn FROM x GROUP BY ALL)
 SELECT event_id, ft AS full_total, fn AS full_positive, t AS window_total, n AS window_positive FROM w JOIN x USING (window_id, key) JOIN f USING (key)""")
 def window_featurize(spark, d):
     rows = arrivals(spark, d)
-    model = W.WindowedModel(EVENTS, rows)
+    model = W.WindowedModel.fit(rows, EVENTS)
     own = model.own_window_counts(rows).withColumnRenamed("t0", "w")
     both = model.full.lookup(own)
     total = lambda c: F.get(c, F.lit(0)) + F.get(c, F.lit(1))
@@ -330,7 +330,7 @@ def window_featurize(spark, d):
 SELECT view_id, key, label, sum(cnt) AS cnt FROM v JOIN c ON window_id < view_id AND window_id >= view_id - {KEEP} GROUP BY ALL""")
 def hot_window_merge(spark, d):
     rows = arrivals(spark, d)
-    return W.hot_view(W.WindowedModel(EVENTS, rows).by_window, KEEP).select("view_id", "key", "label", "cnt")
+    return W.hot_view(W.WindowedModel.fit(rows, EVENTS).by_window, KEEP).select("view_id", "key", "label", "cnt")
 
 
 @query(f"""WITH {_EVENTS}, n AS (SELECT count(*) AS n FROM e), m AS (SELECT key, sum(cnt) AS t, coalesce(sum(cnt) FILTER (label = 1), 0) AS p FROM c, n WHERE window_id < n // {SIZE} AND window_id >= n // {SIZE} - {KEEP} GROUP BY ALL)
@@ -343,6 +343,44 @@ def hot_window_featurize(spark, d):
     return model.lookup(held).select("event_id", (F.get("t0", F.lit(0)) + F.get("t0", F.lit(1))).alias("total"), F.get("t0", F.lit(1)).alias("positive"))
 
 
+@query(f"""WITH {_EVENTS}, x AS (SELECT window_id, key, sum(cnt) AS t, coalesce(sum(cnt) FILTER (label = 1), 0) AS n FROM c GROUP BY ALL), f AS (SELECT key, sum(t) AS t, sum(n) AS n FROM x GROUP BY ALL), p AS (SELECT window_id, sum(n) / sum(t) AS prior FROM x GROUP BY ALL)
+SELECT event_id, round(f.n / f.t, 9) AS full_probability, round(coalesce(x.n / x.t, p.prior, 0), 9) AS next_probability FROM w JOIN f USING (key) LEFT JOIN x ON x.window_id = w.window_id + 1 AND x.key = w.key LEFT JOIN p ON p.window_id = w.window_id + 1""")
+def window_transform(spark, d):
+    """Probabilities over all windows and in the window after the point's own, which for the last one has no counts."""
+    rows = arrivals(spark, d)
+    found = W.WindowedModel.fit(rows, EVENTS).transform(rows.withColumn("window_id", F.col("window_id") + 1), Blocks(remove_first_label=True), places=9)
+    return found.select("event_id", F.get("probabilities", F.lit(0)).alias("full_probability"), F.get("window_probabilities", F.lit(0)).alias("next_probability"))
+
+
+@query(f"""WITH {_EVENTS}, n AS (SELECT count(*) AS n FROM e), m AS (SELECT key, coalesce(sum(cnt) FILTER (window_id < n // {SIZE}), 0) AS t, sum(cnt) AS tc FROM c, n WHERE window_id >= n // {SIZE} - {KEEP} GROUP BY ALL)
+SELECT event_id, coalesce(t, 0) AS frozen_total, coalesce(tc, 0) AS total FROM e LEFT JOIN m USING (key), n WHERE ordinal >= n // 500 * 500 - 500""")
+def hot_window_state(spark, d):
+    """The points held after two runs of arrivals, over the frozen tables and with the current one."""
+    rows, cut = arrivals(spark, d).select("event_id", "ordinal", "label", "features"), SIZE + SIZE // 2
+    hot = W.HotWindow.start(rows.where(F.col("ordinal") < cut), EVENTS, hot_window_size=500, count_table_size=SIZE, keep=KEEP)
+    hot = hot.observe(rows.where(F.col("ordinal") >= cut).withColumn("ordinal", F.col("ordinal") - cut))
+    totals = Blocks(probabilities=False, totals=True)
+    frozen = hot.transform(blocks=totals).withColumnRenamed("totals", "frozen")
+    return hot.transform(frozen, totals).select("event_id", F.get("frozen", F.lit(0)).alias("frozen_total"), F.get("totals", F.lit(0)).alias("total"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority AS p, o_totalprice::DOUBLE AS v, o_custkey::DOUBLE::VARCHAR AS a, (o_custkey % 7)::DOUBLE::VARCHAR AS b FROM orders),
+g AS (SELECT o_orderkey, 1 AS place, 'ids^' || a || '^' || b || '^' AS key FROM o UNION ALL SELECT o_orderkey, 2, 'ids^' || b || '^' FROM o)
+SELECT o_orderkey, CAST(place AS INT) AS place, 'ids' AS key, ((('0x' || substr(md5(key), 1, 8))::BIGINT % 2147483647) % 1024)::DOUBLE AS value FROM g
+UNION ALL SELECT o_orderkey, 0, 'price^' || p, v FROM o""")
+def feature_set(spark, d):
+    """A namespace of keys and a namespace of 2-grams of values."""
+    pair = lambda k, v: F.struct(k.alias("key"), S.col(v).cast("double").alias("value"))
+    spaces = F.create_map(F.lit("price"), F.array(pair(F.col("o_orderpriority"), "o_totalprice")), F.lit("ids"), F.array(pair(F.lit("c"), "o_custkey"), pair(F.lit("s"), F.pmod("o_custkey", F.lit(7)))))
+    return table(spark, d, "orders").select("o_orderkey", F.posexplode(S.feature_set(spaces, {"ids": 2}, 10)).alias("place", "f")).select("o_orderkey", "place", "f.key", "f.value")
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS n, list_sort(list(l_extendedprice))[CAST(floor(count(*) * 0.25) AS INT) + 1]::DOUBLE AS low, list_sort(list(l_extendedprice))[CAST(floor(count(*) * 0.5) AS INT) + 1]::DOUBLE AS middle FROM lineitem")
+def values_by_rank(spark, d):
+    found = P.by_rank(table(spark, d, "lineitem"), "l_extendedprice", [0.25, 0.5])
+    return found.groupBy("n").agg(F.max(F.when(F.col("share") == 0.25, F.col("value"))).alias("low"), F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("middle"))
+
+
 @query("SELECT event_type AS key, CAST(sum(round(value)) AS DOUBLE) AS cnt FROM events GROUP BY 1")
 def weighted_counts(spark, d):
     rows = table(spark, d, "events").select(F.lit(1.0).alias("label"), F.array("event_type").alias("features"), F.round("value").alias("weight"))

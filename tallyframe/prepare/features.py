@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalar as S
+from tallyframe.operators.windows import ranges
 
 
 def numeric_histogram(rows: DataFrame, features: str = "features", *, fraction: float | None = None, seed: int = 1) -> DataFrame:
@@ -43,6 +44,23 @@ def split_by_hash(rows: DataFrame, id_col: str, train: float, count: float, seed
     return rows.withColumn("split", F.when(u < train, "train").when(u < train + count, "count").otherwise("test"))
 
 
+def by_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(n, share, value): of n values that aren't null, in order, the one at place floor(n * share), the last for 1.
+
+    Equal values are counted first and summed up in ranges, so no task holds all values.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("cnt"))
+    # What is before each range: one number for each range is all that a single task sees.
+    ranged = counted.withColumn("part", ranges(counted, "value")[0])
+    sizes = ranged.groupBy("part").agg(F.sum("cnt").alias("size"))
+    edges = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("n"))
+    within = F.sum("cnt").over(Window.partitionBy("part").orderBy("value"))
+    upto = ranged.withColumn("upto", within).join(F.broadcast(edges), "part").withColumn("upto", F.col("upto") + F.col("before"))
+    asked = upto.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    place = F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1)
+    return asked.where((place < F.col("upto")) & (place >= F.col("upto") - F.col("cnt"))).select("n", "share", "value")
+
+
 def one_hot(value: Column, universe: list[str]) -> Column:
     """1.0 or 0.0 for each member of the universe; value is an array or a string."""
     return F.array(*[F.when(F.array_contains(value, g), 1.0).otherwise(0.0) for g in universe])

@@ -108,6 +108,16 @@ def samples(rows: DataFrame, id_col: str, count: int, size: int, *, seed: int =
     return dealt.where(F.col("sample") < count).drop("_h", "_o", "_t")
 
 
+def samples_with_replacement(rows: DataFrame, id_col: str, count: int, size: int, *, seed: int = 1) -> DataFrame:
+    """rows with ``sample`` and ``draw``: ``count`` samples of ``size`` draws, each of any row; none of an empty table."""
+    from tallyframe.operators.windows import with_ordinal
+
+    places = with_ordinal(rows.withColumn("_h", F.xxhash64(id_col, F.lit(seed))), "_h", "_o").drop("_h")
+    n = rows.count()
+    draws = rows.sparkSession.range(count * size).select(F.floor(F.col("id") / size).cast("int").alias("sample"), F.pmod("id", F.lit(size)).cast("int").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).alias("_o"))
+    return places.join(draws, "_o").drop("_o")
+
+
 def partition_ways(rows: DataFrame, id_col: str, m: int, *, seed: int = 1) -> DataFrame:
     """rows with ``part``: a random partition in m parts of equal size (give or take one)."""
     from tallyframe.operators.windows import with_ordinal

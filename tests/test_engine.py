@@ -170,7 +170,7 @@ def test_ordinals(spark):
 
 def test_windows_differ_from_all(spark):
     rows = W.with_ordinal(spark.range(240).select("id", F.when(F.col("id") < 120, 1.0).otherwise(-1.0).alias("label"), F.array((F.col("id") % 2).cast("string")).alias("features")), "id")
-    model = W.WindowedModel(Spec(1, (-1.0, 1.0)), rows.withColumn("window_id", W.window_of("ordinal", 100)))
+    model = W.WindowedModel.fit(rows, Spec(1, (-1.0, 1.0)), 100)
     assert model.full.priors() == {-1.0: 0.5, 1.0: 0.5}
     assert model.window(0).priors() == {-1.0: 0.0, 1.0: 1.0}
     assert model.window(99).priors() == {-1.0: 0.0, 1.0: 0.0}
@@ -360,3 +360,96 @@ def test_fixed_bounds_are_those_of_an_array(spark):
         arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
         for r in values.select(S.bucketize_fixed("x", bounds).alias("a"), S.bucketize("x", arr).alias("b"), "x").collect():
             assert r["a"] is None if r["x"] is None else str(r["a"]) == str(r["b"])
+
+
+def test_own_windows(spark, tmp_path):
+    rows = W.with_ordinal(spark.range(30).select("id", F.when(F.col("id") < 15, 1.0).otherwise(-1.0).alias("label"), F.array((F.col("id") % 2).cast("string")).alias("features")), "id")
+    spec = Spec(1, (-1.0, 1.0))
+    storage.save_windowed(W.WindowedModel.fit(rows, spec, 10), f"file://{tmp_path}/model")
+    model = storage.load_windowed(spark, f"file://{tmp_path}/model")
+    points = spark.createDataFrame([(0, ["0"]), (1, ["0"]), (1, ["x"]), (2, ["1"]), (9, ["1"])], "window_id bigint, features array<string>")
+    got = {(r.window_id, r.features[0]): (r.probabilities[0], r.window_probabilities[0]) for r in model.transform(points, Blocks(remove_first_label=True)).collect()}
+    # In window 1, ids 10 to 14 are positive: of the even ones 10, 12, 14. An unseen key has its window's prior.
+    assert got == {(0, "0"): (8 / 15, 1.0), (1, "0"): (8 / 15, 3 / 5), (1, "x"): (0.5, 0.5), (2, "1"): (7 / 15, 0.0), (9, "1"): (7 / 15, 0.0)}
+    with pytest.raises(ValueError):
+        storage.load(spark, f"file://{tmp_path}/model")
+    storage.save(Model.fit(rows, spec), f"file://{tmp_path}/plain")
+    with pytest.raises(ValueError):
+        storage.load_windowed(spark, f"file://{tmp_path}/plain")
+
+
+def hot_rows(spark, low, high):
+    return spark.range(low, high).select((F.col("id") - low).alias("ordinal"), F.when(F.col("id") % 4 < 2, -1.0).otherwise(1.0).alias("label"), F.array((F.col("id") % 2).cast("string")).alias("features"))
+
+
+def test_hot_window_state(spark, tmp_path):
+    spec = Spec(1, (-1.0, 1.0))
+    hot = W.HotWindow.start(hot_rows(spark, 0, 100), spec, hot_window_size=30, count_table_size=40, keep=2)
+    assert (hot.n, hot.length, hot.first, hot.current) == (100, 40, 60, 2)
+    assert hot.merged().labels.agg(F.sum("cnt")).first()[0] == 80 and hot.merged(True).labels.agg(F.sum("cnt")).first()[0] == 100
+    taken, rest = hot.pop(5)
+    assert sorted(r.ordinal for r in taken.collect()) == [60, 61, 62, 63, 64] and rest.length == rest.points.count() == 35
+    with pytest.raises(ValueError):
+        rest.pop(36)
+    storage.save_hot(rest, f"file://{tmp_path}/hot")
+    more = storage.load_hot(spark, f"file://{tmp_path}/hot").observe(hot_rows(spark, 100, 170))
+    # Tables 0 and 1 are dropped: 2 and 3 are frozen, 4 has 10 arrivals.
+    assert (more.n, more.first, more.length, more.points.count()) == (170, 120, 50, 50)
+    assert more.merged().labels.agg(F.sum("cnt")).first()[0] == 80 and more.merged(True).labels.agg(F.sum("cnt")).first()[0] == 90
+    plain = W.hot_model(spec, hot_rows(spark, 0, 170), count_table_size=40, keep=2, include_current=True)
+    assert sorted(map(tuple, more.merged(True).counts.collect())) == sorted(map(tuple, plain.counts.collect()))
+    assert more.transform().count() == 50 and more.transform(hot_rows(spark, 0, 3)).count() == 3
+
+
+def test_noise_of_hot_windows_comes_once(spark):
+    spec, sizes = Spec(1, (-1.0, 1.0)), {"hot_window_size": 30, "count_table_size": 40, "b": 5.0, "seed": 7}
+    once = W.HotWindow.start(hot_rows(spark, 0, 130), spec, **sizes)
+    steps = W.HotWindow.start(hot_rows(spark, 0, 50), spec, **sizes).observe(hot_rows(spark, 50, 95)).observe(hot_rows(spark, 95, 130))
+    a, b = ({tuple(r)[:4]: r.cnt for r in h.tables.by_window.collect()} for h in (once, steps))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert all((v == int(v)) == (k[0] == 3) for k, v in a.items())  # the current table is still clean
+
+
+def test_hot_and_windowed_commands(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    lines(spark, *["1 |f 5 a"] * 20, *["-1 |f 5 b"] * 20).coalesce(1).write.text(f"{d}/in")
+    common = f'"featureCount": 2, "countTableFile": "{d}/%s"'
+    cli.run(spark, f'{{"command": "build", {common % "w"}, "labels": [-1, 1], "countTableConfig": {{"type": "exact"}}, "countDataFile": "{d}/in", "windowSize": 20}}')
+    cli.run(spark, f'{{"command": "transform", {common % "w"}, "transformDataFilePath": "{d}/in", "outDataFile": "{d}/w_out", "removeFirstLabel": true, "windowSize": 20}}')
+    assert {r["value"].split(" |")[0]: len(r["value"].split(":")) - 1 for r in spark.read.text(f"{d}/w_out").collect()} == {"1.0": 4, "-1.0": 4}
+    with pytest.raises(ValueError):
+        cli.run(spark, f'{{"command": "transform", {common % "w"}, "transformDataFilePath": "{d}/in", "outDataFile": "{d}/x", "windowSize": 10}}')
+    cli.run(spark, f'{{"command": "buildHotWindow", {common % "h"}, "labels": [-1, 1], "featureCombinations": [], "hotWindowSize": 15, "countTableSize": 20, "countTableCount": 1, "countDataFile": "{d}/in"}}')
+    cli.run(spark, f'{{"command": "transformHotWindow", {common % "h"}, "outDataFile": "{d}/held", "featurizeWithCounts": true}}')
+    assert spark.read.text(f"{d}/held").count() == 25  # from ordinal 15 on
+    cli.run(spark, f'{{"command": "transformHotWindow", {common % "h"}, "outDataFile": "{d}/new", "transformDataFilePath": "{d}/in"}}')
+    assert spark.read.text(f"{d}/new").count() == 40
+
+
+def test_feature_sets(spark):
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.lit(float(v)).alias("value"))
+    spaces = F.create_map(F.lit("ns1"), F.array(*[pair(str(i), i) for i in range(11)]), F.lit("ns2"), F.array(pair("a", 1), pair("b", 12), pair("c", 15)))
+    plain = one(spark, S.feature_set(spaces, {}, 28))
+    assert len(plain) == 14 and {f.key: f.value for f in plain}["ns2^b"] == 12.0 and plain[0].key == "ns1^0"
+    for n in (1, 2, 3):
+        got = one(spark, S.feature_set(spaces, {"ns1": n}, 28))
+        assert len(got) == 14 and [f.key for f in got] == ["ns1"] * 11 + ["ns2^a", "ns2^b", "ns2^c"]
+    assert got[10].value == one(spark, S.hashed_feature(F.lit("ns1^10.0^"), 28))
+    with pytest.raises(ValueError):
+        S.feature_set(spaces, {"ns1": 0}, 28)
+
+
+def test_ranks_and_draws(spark):
+    rows = spark.range(101).select("id", (F.col("id") % 50).alias("v"))
+    values = sorted(i % 50 for i in range(101))
+    assert {r.share: r.value for r in P.by_rank(rows, "v", [0.0, 0.3, 1.0]).collect()} == {0.0: 0.0, 0.3: float(values[30]), 1.0: 49.0}
+    assert P.by_rank(rows.limit(0), "v", [0.5]).count() == 0
+    drawn = D.samples_with_replacement(rows, "id", 5, 40).toPandas()
+    assert drawn.groupby("sample").size().tolist() == [40] * 5 and drawn.groupby("sample").id.nunique().max() < 40
+    assert D.samples_with_replacement(rows.limit(0), "id", 2, 3).count() == 0
+    assert C.numbers(spark, [1, 2]) == [1.0, 2.0] and C.numbers(spark, None) is None
+
+
+def test_numbers_from_a_file(spark, tmp_path):
+    (tmp_path / "shares.json").write_text("[1, // one\n 2.5]")
+    assert C.numbers(spark, f"file://{tmp_path}/shares.json") == [1.0, 2.5]
