@@ -33,6 +33,8 @@ MARK = 0x2581
 NONE = np.int32((1 << 21) - 1)
 OTHER = np.int32((1 << 21) - 2)
 LONG_UNIT = 48
+DECODED = 1 << 20  # tokens spelled at a time
+_NO_SPACE = np.arange(256) != 0x20
 FAR = np.int32(2**31 - 1)
 
 
@@ -184,16 +186,32 @@ def _merge_rounds(m: Model, ids: np.ndarray, size: np.ndarray, key: np.ndarray,
 
 
 def encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, *, dropout: float, seed: int, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts of a chunk and where each text's begin. owner: a 64-bit key of each text's document."""
+    """Ids of all texts of a chunk and where each text's begin. owner: a 64-bit key of each text's document.
+
+    A text longer than a chunk goes by pieces cut before spaces, where units begin, with equal results.
+    """
+    if len(at) == 2 and len(data) > tb.CHUNK_BYTES:
+        runs, units = [], 0
+        for a, b in tb.pieces(data, _NO_SPACE):
+            ids, _, n = _encode(m, data[a:b], np.array([0, b - a]), owner, dropout, seed, variants, b"" if a else b" ", units)
+            runs.append(ids)
+            units += n
+        ids = np.concatenate(runs)
+        return ids, np.array([0, len(ids)])
+    return _encode(m, data, at, owner, dropout, seed, variants, b" ", 0)[:2]
+
+
+def _encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, dropout: float, seed: int, variants: int | None, before: bytes, units: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Also the number of units; before: what goes before each text; units: how many of a text came before."""
     raw = data.tobytes()
-    texts = [b" " + raw[a:b] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    texts = [before + raw[a:b] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     joined = b"".join(texts)
     cps = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(t) for t in texts])
     lead = np.concatenate(([0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)))
     borders = np.concatenate(([0], lead[ends])).astype(np.int64) if len(ends) else np.zeros(1, np.int64)
     if not len(cps):
-        return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64), 0
     space = cps == 0x20
     begins = space.copy()
     begins[1:] &= ~space[:-1]
@@ -208,7 +226,7 @@ def encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, *, dro
     spelled = tb.mix((prefix[unit + size] - prefix[unit]) * powers[1][unit])
     limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
     if limit:
-        place = np.arange(len(unit)) - first[of]
+        place = np.arange(len(unit)) - first[of] + units
         draw = tb.mix(owner[of] + tb.mix(np.full(1, seed, np.uint64)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         if variants is not None:
             draw %= np.uint64(variants)
@@ -224,7 +242,7 @@ def encode(m: Model, data: np.ndarray, at: np.ndarray, owner: np.ndarray, *, dro
     n = counts[which]
     total = np.concatenate(([0], np.cumsum(n)))
     ids = tokens[np.arange(total[-1]) - np.repeat(total[:-1] - token_at[which], n)]
-    return ids, total[first]
+    return ids, total[first], len(unit)
 
 
 def _segment_each(m: Model, cps: np.ndarray, unit: np.ndarray, size: np.ndarray, spelled: np.ndarray, key: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,7 +318,11 @@ def decode(m: Model, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     """The texts of token runs at[i]:at[i + 1]."""
     begins, size = m.spelled_at[ids], m.spelled_at[ids + 1] - m.spelled_at[ids]
     total = np.concatenate(([0], np.cumsum(size)))
-    out = m.spelled[np.arange(total[-1]) - np.repeat(total[:-1] - begins, size)].tobytes()
+    runs = []
+    for k in range(0, len(ids), DECODED):
+        here, first = slice(k, k + DECODED), total[min(k + DECODED, len(ids))] - total[k]
+        runs.append(m.spelled[np.arange(first) - np.repeat(total[:-1][here] - total[k] - begins[here], size[here])].tobytes())
+    out = b"".join(runs)
     edge = total[at].tolist()
     return [out[a + 1 : b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 

@@ -146,5 +146,25 @@ def chunks(array: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
+def pieces(data: np.ndarray, table: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of about ``most`` bytes of one text, cut where a gap begins; a longer word stays whole."""
+    a = 0
+    while len(data) - a > most:
+        size, cuts = most, np.empty(0, np.int64)
+        while True:
+            inside = table[data[a : a + size]]
+            cuts = np.flatnonzero(inside[:-1] & ~inside[1:])
+            if len(cuts) or a + size >= len(data):
+                break
+            size *= 2
+        if not len(cuts):
+            break
+        b = a + int(cuts[-1]) + 1
+        yield a, b
+        a = b
+    if a < len(data):
+        yield a, len(data)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
