@@ -6,7 +6,8 @@ classes: the most frequent words (and the end) have one each, the others share b
     p(word | before) = p(group | features) * p(class | group, features) * p(word | class)
 
 with both softmaxes over sums of hashed weights: the word before, the pair before, and the word before that (a
-skip). Within its class a word has its add-one share of training counts, with one unit for all unknown words.
+skip). Within its class a word has its add-one share of training counts, with one unit for all unknown words. The
+buckets that each kind of feature is hashed to grow with the square root of the distinct words (``buckets_for``).
 
 Counts: one aggregate of (word hash, count) over all training texts. The most frequent words, at
 most ``head_words`` of them, are broadcast; what is left of a text's tokens is joined with the
@@ -14,8 +15,9 @@ counts by hash. A count enters a score only as log10(count + 1), so the join add
 the texts has computed.
 
 Training: every training text is read once, in ``rounds`` disjoint parts. In a round each task starts from the
-broadcast weights, takes AdaGrad steps on sparse batches, and hands out its change; the changes are
-averaged by tokens, block by block, and the sum goes into the next round.
+broadcast weights, takes AdaGrad steps on the rows that a batch touches, and hands out its change, as half-precision
+blocks; the changes are averaged by tokens, block by block, and the mean goes into the next round. A long text is read
+in pieces cut between words and learned and scored in slices of tokens.
 """
 
 from __future__ import annotations
@@ -35,15 +37,25 @@ from tallyframe.llm.spark import crc32_of_id, read, written
 
 GROUPS, MEMBERS = 16, 16
 OWN = 128  # classes of one word each; class 0 is the end's
-BUCKETS = 1024
-FEATURES = 3 * BUCKETS + 1
+LEAST_BUCKETS = 1024
 END = np.uint64(0x656E64)
 FOLDS, HELD = 7, 2
 HEAD_WORDS = 1 << 19
 RATE = 0.3
 FAN = 16
+SLICE = 1 << 16
 _BLOCK = 1 << 16
-_SIZE = FEATURES * GROUPS + FEATURES * GROUPS * MEMBERS
+_ROW = GROUPS + GROUPS * MEMBERS
+
+
+def buckets_for(distinct: int) -> int:
+    """Buckets of each kind of feature: the power of two at or above twice the square root of the distinct words."""
+    return max(LEAST_BUCKETS, 1 << int(np.ceil(np.log2(2 * np.sqrt(max(distinct, 1))))))
+
+
+def size_of(buckets: int) -> int:
+    """Weights in all: a row for each bucket of the three kinds, and one that is always on."""
+    return (3 * buckets + 1) * _ROW
 
 
 @dataclass
@@ -77,6 +89,15 @@ class Tokens:
 
 
 def tokens_of(data: np.ndarray, at: np.ndarray) -> Tokens:
+    if len(at) == 2 and len(data) > tb.CHUNK_BYTES:
+        parts = [_tokens(data[a:b], np.array([0, b - a])) for a, b in tb.pieces(data, tb.PLAIN)]
+        # Only the last piece keeps its end.
+        h = np.concatenate([p.hash[:-1] for p in parts] + [parts[-1].hash[-1:]])
+        return Tokens(h, np.concatenate([p.share[:-1] for p in parts] + [parts[-1].share[-1:]]), np.array([0, len(h)]))
+    return _tokens(data, at)
+
+
+def _tokens(data: np.ndarray, at: np.ndarray) -> Tokens:
     w = tb.words(data, at, tb.PLAIN, fold=True)
     n = len(w.first) - 1
     first = w.first + np.arange(n + 1)
@@ -152,22 +173,33 @@ def count(training: DataFrame, head_words: int = HEAD_WORDS) -> tuple[DataFrame,
 class Weights:
     """Both softmaxes' weights, as views of one vector."""
 
-    def __init__(self, vector: np.ndarray | None = None):
-        self.vector = np.zeros(_SIZE, np.float32) if vector is None else vector
-        self.group = self.vector[: FEATURES * GROUPS].reshape(FEATURES, GROUPS)
-        self.member = self.vector[FEATURES * GROUPS :].reshape(FEATURES * GROUPS, MEMBERS)
+    def __init__(self, vector: np.ndarray):
+        features = len(vector) // _ROW
+        self.vector = vector
+        self.buckets = (features - 1) // 3
+        self.group = self.vector[: features * GROUPS].reshape(features, GROUPS)
+        self.member = self.vector[features * GROUPS :].reshape(features * GROUPS, MEMBERS)
 
 
-def _features(t: Tokens) -> list[np.ndarray]:
+def _features(t: Tokens, buckets: int) -> list[np.ndarray]:
     one, two = t.before(1), t.before(2)
-    n = np.uint64(BUCKETS)
+    n = np.uint64(buckets)
     pair = tb.mix(one * np.uint64(0x9E3779B97F4A7C15) + two) % n
-    return [(one % n).astype(np.int64), pair.astype(np.int64) + BUCKETS, (tb.mix(two) % n).astype(np.int64) + 2 * BUCKETS, np.full(len(one), 3 * BUCKETS)]
+    return [(one % n).astype(np.int32), pair.astype(np.int32) + np.int32(buckets), (tb.mix(two) % n).astype(np.int32) + np.int32(2 * buckets), np.full(len(one), 3 * buckets, np.int32)]
+
 
+def _slices(t: Tokens, group: np.ndarray, buckets: int) -> Iterator[tuple[slice, list[np.ndarray], list[np.ndarray]]]:
+    """Runs of tokens, with their rows in the weights of groups and of members."""
+    f = _features(t, buckets)
+    for i in range(0, len(group), SLICE):
+        part = slice(i, min(i + SLICE, len(group)))
+        rows = [x[part].astype(np.int64) for x in f]
+        yield part, rows, [x * GROUPS + group[part] for x in rows]
 
-def _softmaxes(w: Weights, f: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _softmaxes(w: Weights, of_group: list[np.ndarray], of_member: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for table, rows in ((w.group, f), (w.member, [x * GROUPS + group for x in f])):
+    for table, rows in ((w.group, of_group), (w.member, of_member)):
         z = table[rows[0]]
         for r in rows[1:]:
             z += table[r]
@@ -187,54 +219,70 @@ def _classes(counts: Counts, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.where(known, counts.classes[at], t.share), np.where(known, at, -1)
 
 
+def _step(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], errors: np.ndarray) -> None:
+    """One AdaGrad step on the rows that the tokens' features touch; errors: by token and column."""
+    flat = np.concatenate(rows)
+    place = np.zeros(len(table), np.int32)
+    place[flat] = 1
+    touched = np.flatnonzero(place)
+    place[touched] = np.arange(len(touched), dtype=np.int32)
+    at = place[flat]
+    columns = np.ascontiguousarray(errors.T, np.float64)
+    gradient = np.empty((len(touched), table.shape[1]), np.float32)
+    for k, error in enumerate(columns):
+        gradient[:, k] = np.bincount(at, np.tile(error, len(rows)), len(touched))
+    gradient /= len(errors)
+    squares[touched] += gradient * gradient
+    table[touched] -= RATE * gradient / np.sqrt(squares[touched])
+
+
 def _steps(start: np.ndarray, counts: Counts):
-    """A task's part of a round: its change of the weights, times its tokens, in blocks."""
+    """A task's part of a round: its change of the weights, with its tokens, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, squares, seen = Weights(start.copy()), np.full(_SIZE, 1e-8, np.float32), 0
+        w, squares, seen = Weights(start.copy()), Weights(np.full(len(start), 1e-8, np.float32)), 0
         for batch in batches:
             for _, _, data, at in tb.chunks(batch.column(0), 1 << 18):
                 t = tokens_of(data, at)
-                n = len(t.hash)
                 c, _ = _classes(counts, t)
                 group, member = c // MEMBERS, c % MEMBERS
-                f = _features(t)
-                g, m = _softmaxes(w, f, group)
-                g[np.arange(n), group] -= 1
-                m[np.arange(n), member] -= 1
-                gradient = np.zeros(_SIZE, np.float32)
-                own = Weights(gradient)
-                columns = np.ascontiguousarray(g.T, np.float64), np.ascontiguousarray(m.T, np.float64)
-                for errors, into, rows in ((columns[0], own.group, np.concatenate(f)), (columns[1], own.member, np.concatenate([x * GROUPS + group for x in f]))):
-                    for k, error in enumerate(errors):
-                        into[:, k] = np.bincount(rows, np.tile(error, len(f)), len(into))
-                gradient /= n
-                squares += gradient * gradient
-                w.vector -= RATE * gradient / np.sqrt(squares)
-                seen += n
+                for part, of_group, of_member in _slices(t, group, w.buckets):
+                    g, m = _softmaxes(w, of_group, of_member)
+                    every = np.arange(len(g))
+                    g[every, group[part]] -= 1
+                    m[every, member[part]] -= 1
+                    _step(w.group, squares.group, of_group, g)
+                    _step(w.member, squares.member, of_member, m)
+                seen += len(t.hash)
         if seen:
-            change = (w.vector - start) * np.float32(seen)
-            k = range(0, _SIZE, _BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([*range(len(k))], pa.int32()), pa.array([seen] * len(k), pa.int64()), pa.array([change[i : i + _BLOCK].tobytes() for i in k], pa.binary())], ["block", "tokens", "change"])
+            w.vector -= start
+            for k, i in enumerate(range(0, len(start), _BLOCK)):
+                yield _block_row([k], [seen], [w.vector[i : i + _BLOCK]])
 
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, tuple[int, np.ndarray | float]] = {}
+def _block_row(blocks: list[int], tokens: list[int], changes: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(tokens, pa.int64()), pa.array([x.astype(np.float16).tobytes() for x in changes], pa.binary())], ["block", "tokens", "change"])
+
+
+def _mean_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: the mean of its changes, each weighted by its tokens."""
+    total: dict[int, tuple[int, np.ndarray]] = {}
     for batch in batches:
-        for b, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seen, change = total.get(b, (0, np.float64(0)))
-            total[b] = seen + n, change + np.frombuffer(x, np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([x.astype(np.float32).tobytes() for _, x in total.values()], pa.binary())], ["block", "tokens", "change"])
+        for b, n, x in zip(*batch.columns, strict=True):
+            b, n = b.as_py(), n.as_py()
+            x = np.frombuffer(x.as_buffer(), np.float16).astype(np.float32) * np.float32(n)
+            seen, change = total.get(b, (0, np.float32(0)))
+            total[b] = seen + n, change + x
+    yield _block_row([*total], [n for n, _ in total.values()], [x / np.float32(n) for n, x in total.values()])
 
 
-def train(training: DataFrame, counts: Counts, rounds: int = 2) -> np.ndarray:
-    """The weights. training: (id, text)."""
+def train(training: DataFrame, counts: Counts, rounds: int = 2, buckets: int | None = None) -> np.ndarray:
+    """The weights. training: (id, text); buckets: of each kind of feature, else by the distinct words."""
     spark = training.sparkSession
-    vector = np.zeros(_SIZE, np.float32)
+    vector = np.zeros(size_of(buckets or buckets_for(counts.distinct)), np.float32)
     part = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rounds))
-    blocks = -(-_SIZE // _BLOCK)
     for r in range(rounds):
         state = spark.sparkContext.broadcast((vector, counts))
 
@@ -243,22 +291,18 @@ def train(training: DataFrame, counts: Counts, rounds: int = 2) -> np.ndarray:
 
         shape = "block int, tokens long, change binary"
         changes = training.where(part == r).select("text").mapInArrow(run, shape)
-        # Summed in two steps, so that no task reads what all others made.
-        some = changes.repartition(blocks * FAN, "block", F.spark_partition_id() % FAN).mapInArrow(_sum_blocks, shape)
-        summed = some.repartition(blocks, "block").mapInArrow(_sum_blocks, shape).collect()
-        seen: dict[int, int] = {}
-        change = np.zeros(_SIZE)
-        for row in summed:
+        # In two steps, so that no task reads what all others made; small shuffle partitions are joined as the session does.
+        some = changes.repartition("block", F.spark_partition_id() % FAN).mapInArrow(_mean_blocks, shape)
+        means = some.repartition("block").mapInArrow(_mean_blocks, shape).collect()
+        for row in means:
             i = row["block"] * _BLOCK
-            x = np.frombuffer(row["change"], np.float32)
-            change[i : i + len(x)] += x
-            seen[row["block"]] = seen.get(row["block"], 0) + row["tokens"]
-        if seen:
-            vector = (vector + change / max(seen.values())).astype(np.float32)
+            x = np.frombuffer(row["change"], np.float16)
+            vector[i : i + len(x)] += x
+        state.destroy()
     return vector
 
 
-def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, rounds: int = 2) -> DataFrame:
+def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, rounds: int = 2, buckets: int | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Null and empty texts are one end. A null id counts as empty text for its fold. Repeated rows train and are
@@ -269,7 +313,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     slim = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (crc32_of_id(id_col) % FOLDS == HELD).alias("held_out"))
     training = slim.where("not held_out")
     table, counts = count(training, head_words)
-    shared = spark.sparkContext.broadcast((train(training, counts, rounds), counts))
+    shared = spark.sparkContext.broadcast((train(training, counts, rounds, buckets), counts))
     tail = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +327,11 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 t = tokens_of(data, at)
                 c, head = _classes(counts, t)
                 group, member = c // MEMBERS, c % MEMBERS
-                g, m = _softmaxes(w, _features(t), group)
-                every = np.arange(len(c))
-                model = np.log10(g[every, group].astype(float)) + np.log10(np.maximum(m[every, member].astype(float), 1e-30)) - log_mass[c]
+                model = -log_mass[c]
+                for part, of_group, of_member in _slices(t, group, w.buckets):
+                    g, m = _softmaxes(w, of_group, of_member)
+                    every = np.arange(len(g))
+                    model[part] += np.log10(np.maximum(g[every, group[part]].astype(float), 1e-30)) + np.log10(np.maximum(m[every, member[part]].astype(float), 1e-30))
                 known = head >= 0
                 of_count = np.where(known, log_count[head] if len(log_count) else 0.0, 0.0)
                 sums = [np.add.reduceat(x, t.first[:-1]) for x in (of_count, model, known.astype(np.int64))]

@@ -345,13 +345,49 @@ def test_model_learns_and_sums_to_one(spark):
     got = maxent_lm.score(rows).toPandas()
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum() + 0.05 * held.n_tokens.sum()
-    w = maxent_lm.Weights(np.random.default_rng(1).normal(size=maxent_lm._SIZE).astype(np.float32))
+    assert got.score.tolist() != maxent_lm.score(rows, buckets=4096).toPandas().score.tolist()
+    w = maxent_lm.Weights(np.random.default_rng(1).normal(size=maxent_lm.size_of(2048)).astype(np.float32))
+    assert w.buckets == 2048
     t = maxent_lm.tokens_of(*tb.raw(pa.array(["a b c"])))
-    f = maxent_lm._features(t)
-    total = sum(g[:, k] * m.sum(1) for k in range(maxent_lm.GROUPS) for g, m in [maxent_lm._softmaxes(w, f, np.full(4, k))])
+    total = sum(g[:, k] * m.sum(1) for k in range(maxent_lm.GROUPS) for _, *f in maxent_lm._slices(t, np.full(4, k), 2048) for g, m in [maxent_lm._softmaxes(w, *f)])
     assert total == pytest.approx(np.ones(4), abs=1e-5)
 
 
+def test_buckets_grow_with_the_words():
+    sizes = [maxent_lm.buckets_for(10**k) for k in range(12)]
+    assert sizes == sorted(sizes) and sizes[0] == maxent_lm.LEAST_BUCKETS
+    assert all(maxent_lm.buckets_for(100 * 10**k) >= 8 * maxent_lm.buckets_for(10**k) for k in range(6, 10))
+
+
+def test_a_step_is_the_dense_one():
+    rng = np.random.default_rng(3)
+    table, squares = rng.normal(size=(50, 4)).astype(np.float32), np.full((50, 4), 1e-8, np.float32)
+    rows, errors = [rng.integers(0, 50, 30), rng.integers(0, 9, 30)], rng.normal(size=(30, 4))
+    gradient = np.zeros((50, 4))
+    for r in rows:
+        np.add.at(gradient, r, errors / 30)
+    want = table - maxent_lm.RATE * gradient / np.sqrt(1e-8 + gradient**2)
+    maxent_lm._step(table, squares, rows, errors)
+    assert table == pytest.approx(want, abs=1e-4)
+
+
+def test_long_texts_go_by_pieces(model):
+    long = "".join(f"wort{i % 977}  naïve\n{'x' * (i % 7)} " for i in range(100_000))
+    raw, at = tb.raw(pa.array([long]))
+    assert len(raw) > 2 * tb.CHUNK_BYTES
+    cut = list(tb.pieces(raw, tb.PLAIN))
+    assert len(cut) > 2 and [b for _, b in cut[:-1]] == [a for a, _ in cut[1:]] and (cut[0][0], cut[-1][1]) == (0, len(raw))
+    a, b = maxent_lm.tokens_of(raw, at), maxent_lm._tokens(raw, at)
+    assert (a.hash == b.hash).all() and (a.share == b.share).all() and (a.first == b.first).all()
+    owner = np.array([5], np.uint64)
+    ids, edge = sp.encode(model, raw, at, owner, dropout=0.1, seed=1)
+    whole, edges, _ = sp._encode(model, raw, at, owner, 0.1, 1, None, b" ", 0)
+    assert (ids == whole).all() and (edge == edges).all()
+    assert sp.decode(model, ids, edge) == [raw.tobytes()]
+    solid, at = tb.raw(pa.array(["y" * (3 * tb.CHUNK_BYTES)]))
+    assert list(tb.pieces(solid, tb.PLAIN)) == [(0, len(solid))]
+
+
 def test_language_model_edges(spark, empty):
     assert maxent_lm.score(empty).collect() == []
     rows = spark.createDataFrame([(None, "a b"), (None, None), (1, "a"), (1, "a")], "doc_id long, text string")
