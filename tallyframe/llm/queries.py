@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tallyframe.llm.chat_format import OP6_SQL, op6_chat_format
 from tallyframe.llm.decontaminate import OP2_SQL, op2_decontaminate
+from tallyframe.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tallyframe.llm.flac import op8_flac
 from tallyframe.llm.maxent_lm import op9_maxent_lm
+from tallyframe.llm.mixing import op13_pivotal_mix
 from tallyframe.llm.near_dup import op1_order_minhash
 from tallyframe.llm.quality import op5_quality
 from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_flac": op8_flac,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_toxicity": op10_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_pivotal_mix": op13_pivotal_mix,
 }
 
 SQL: dict[str, str] = {
@@ -31,4 +35,5 @@ SQL: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op6_chat_format": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
