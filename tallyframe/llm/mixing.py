@@ -79,12 +79,39 @@ def _snap(p):
     return np.where(p < NEAR, 0.0, np.where(p > 1.0 - NEAR, 1.0, p))
 
 
-def pair_up(keys: list[str], sizes: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
+def _settle(keys: list[str], w: np.ndarray, p: np.ndarray, held: int, rest: np.ndarray, seed: int, last: bool) -> None:
+    """Moves mass between held and rest (in place) until held or all of rest is at an end.
+
+    Each of the rest gives or takes the same share of the mass whichever way it moves, so that its expectation stays;
+    the shares go with size and variance, and a move ends where the first of all would leave [0, 1]. If this
+    is the last bucket and the mass of what follows lets held reach one end only, that is where it goes: any other draw
+    would miss the source's target.
+    """
+    last &= len(rest) > 1
+    for step in range(len(rest) + 1):
+        rest = rest[(p[rest] > 0.0) & (p[rest] < 1.0)]
+        if not len(rest) or not 0.0 < p[held] < 1.0:
+            return
+        share = w[rest] * p[rest] * (1.0 - p[rest])
+        total = float(share.sum())
+        up = min(w[held] * (1.0 - p[held]), total / float((1.0 - p[rest]).max()))
+        down = min(w[held] * p[held], total / float(p[rest].max()))
+        lone = w[held] * (1.0 - p[held]) <= float((w[rest] * p[rest]).sum()), w[held] * p[held] <= float((w[rest] * (1.0 - p[rest])).sum())
+        if last and lone[0] != lone[1]:
+            move = up if lone[0] else -down
+        else:
+            move = up if _draw(seed, keys[held], f"{keys[rest[0]]}\x1f{step}") * (up + down) < down else -down
+        p[held] = _snap(p[held] + move / w[held])
+        p[rest] = _snap(p[rest] - move * share / total / w[rest])
+
+
+def pair_up(keys: list[str], sizes: np.ndarray, p: np.ndarray, seed: int, last: bool = False) -> np.ndarray:
     """The fractions p after pairing in the given order, larger documents first: all 0.0 or 1.0 but one at most.
 
     Mass is size times fraction; what one of a pair loses the other gains. Where all that follows is too small to
     bring the document that is held to an end by chance (its variance is below the document's own), the partner is
-    all that follows at once, each taking its share, so that large documents of small sources are settled too.
+    all that follows at once, so that large documents of small sources are settled too. last: no bucket of the source
+    comes after this one.
     """
     p, w = np.array(p, np.float64), np.asarray(sizes, np.float64)
     order = np.flatnonzero((p > 0.0) & (p < 1.0))
@@ -98,22 +125,11 @@ def pair_up(keys: list[str], sizes: np.ndarray, p: np.ndarray, seed: int) -> np.
             held = i
             continue
         pooled = spread[at] < w[held] ** 2 * p[held] * (1.0 - p[held])
-        rest = order[at:] if pooled else order[at : at + 1]
-        give, take = float((w[rest] * p[rest]).sum()), float((w[rest] * (1.0 - p[rest])).sum())
-        up, down = min(w[held] * (1.0 - p[held]), give), min(w[held] * p[held], take)
-        if _draw(seed, keys[held], keys[i]) * (up + down) < down:
-            p[held] += up / w[held]
-            p[rest] *= 1.0 - up / give
-        else:
-            p[held] -= down / w[held]
-            p[rest] += (1.0 - p[rest]) * (down / take)
-        p[held], p[rest] = _snap(p[held]), _snap(p[rest])
+        _settle(keys, w, p, held, order[at:] if pooled else order[at : at + 1], seed, last)
         if pooled:
-            spread[at:] = follows((w * w * p * (1.0 - p))[rest])
+            spread[at:] = follows((w * w * p * (1.0 - p))[order[at:]])
         if not 0.0 < p[held] < 1.0:
-            held = -1
-        if held < 0 and 0.0 < p[i] < 1.0:
-            held = i
+            held = i if 0.0 < p[i] < 1.0 else -1
     return p
 
 
@@ -122,26 +138,27 @@ def rounded(units: DataFrame, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
 
     A source's sum of size times p moves by less than its last document: that one isn't drawn but rounded to the
     nearer end, as nothing is left to balance it. Large documents come first in a bucket, so that those left over are
-    small ones as a rule. The result depends on the units and the seed alone, not on how rows are dealt.
+    small ones as a rule. In the last bucket of a source, a document too large for the rest to balance isn't drawn
+    either. The result depends on the units and the seed alone, not on how rows are dealt.
     """
     spark = units.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by source and bucket; a bucket may span batches."""
         rows: list[tuple] = []
-        last = None
+        before = None
 
         def closed() -> pa.RecordBatch:
-            p = pair_up([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), seed)
+            p = pair_up([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), seed, rows[0][4])
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(p, pa.float64())], ["key", "source", "size", "p"])
 
         for batch in batches:
-            for key, size, p, source, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (source, at) != last:
+            for key, size, p, source, at, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (source, at, last) != before:
                     yield closed()
                     rows = []
-                last = (source, at)
-                rows.append((key, size, p, source))
+                before = (source, at, last)
+                rows.append((key, size, p, source, last))
         if rows:
             yield closed()
 
@@ -151,7 +168,7 @@ def rounded(units: DataFrame, seed: int = 1, bucket: int = BUCKET) -> DataFrame:
         n = left.groupBy("source").agg(F.count("*").alias("n"))
         counted = left.join(n, left["source"].eqNullSafe(n["source"]), "left").drop(n["source"])
         buckets = F.ceil(F.col("n") / bucket)
-        dealt = counted.select("key", "size", "p", "source", F.pmod(F.xxhash64("key", F.lit(seed + level)), buckets).alias("bucket"))
+        dealt = counted.select("key", "size", "p", "source", F.pmod(F.xxhash64("key", F.lit(seed + level)), buckets).alias("bucket"), (buckets == 1).alias("last"))
         sorted_ = dealt.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.col("size").desc(), "key")
         result = written(sorted_.mapInArrow(run, _OUT), "mix-level")
         open_ = (F.col("p") > 0.0) & (F.col("p") < 1.0)
@@ -190,6 +207,8 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def by_row(plan: DataFrame) -> DataFrame:
     """The plan of mix with a row for each row of the documents and ``copies``, which differ by one at most among equal rows."""
     runs = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.lit(RUN).cast("long"))).alias("_from"))
+    # A document that is repeated very often is dealt out by its runs.
+    runs = runs.repartition("id", "digest", "_from")
     each = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + RUN, F.col("n_rows")) - 1))
     rows = runs.select("*", each.alias("_row"))
     low = F.floor(F.col("total") / F.col("n_rows"))

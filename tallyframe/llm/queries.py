@@ -12,6 +12,7 @@ from tallyframe.llm.near_dup import op1_order_minhash
 from tallyframe.llm.quality import op5_quality
 from tallyframe.llm.sentencepiece_bpe import op4_sentencepiece
 from tallyframe.llm.substring_dedup import OP7_SQL, op7_substring_dedup
+from tallyframe.llm.token_alignment import op11_token_alignment
 from tallyframe.llm.toxicity import op10_toxicity
 from tallyframe.llm.warc import OP3_SQL, op3_warc
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_flac": op8_flac,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
     "op12_filter_audit": op12_filter_audit,
     "op13_pivotal_mix": op13_pivotal_mix,
 }
