@@ -1,5 +1,4 @@
-"""Commands with a JSON configuration: ``python -m tallyframe.cli <config>``, whose ``command`` is build, transform,
-discretize, computeNoiseWeights, buildHotWindow or transformHotWindow."""
+"""Commands with a JSON configuration: ``python -m tallyframe.cli <config>``, whose ``command`` is one of COMMANDS."""
 
 from __future__ import annotations
 
@@ -15,6 +14,7 @@ from tallyframe.operators import sketch as K
 from tallyframe.operators import storage
 from tallyframe.operators import windows as W
 from tallyframe.operators.counts import Blocks, Criteria, Model, Spec
+from tallyframe.prepare import features as P
 from tallyframe.privacy import sensitivity as D
 from tallyframe.sources import sinks, text
 
@@ -167,7 +167,45 @@ def compute_noise_weights(spark: SparkSession, conf: C.Registry) -> DataFrame:
     return found
 
 
-COMMANDS = {"build": (C.build_config, build), "transform": (C.transform_config, transform), "discretize": (C.discretize_config, discretize), "computeNoiseWeights": (C.noise_weights_config, compute_noise_weights), "buildHotWindow": (C.hot_build_config, build_hot), "transformHotWindow": (C.hot_transform_config, transform_hot)}
+def prepare(spark: SparkSession, conf: C.Registry) -> None:
+    """Dense lines of tab-separated records, and the percentile file of a sample of them; either may be left out."""
+    rows = text.criteo(spark, conf.get("dataFile", "string"), conf.get("featureCount", "int"))
+    if conf.option("outDataFile", "string"):
+        label = F.when(F.col("label") == 1.0, "1").otherwise("-1")
+        sinks.write_text(rows.select(F.concat(label, F.lit(" |f "), F.array_join("features", " ")).alias("value")), conf.get("outDataFile", "string"))
+    if conf.option("percentilesFile", "string"):
+        lines = P.percentile_lines(rows, conf.get("percentileCount", "int"), fraction=conf.get("sampleFraction", "double"), seed=conf.get("sampleSeed", "int"))
+        sinks.write_text(lines, conf.get("percentilesFile", "string"), compressed=False)
+
+
+def prepare_ratings(spark: SparkSession, conf: C.Registry) -> None:
+    """Ratings and movies as lines in three forms, dealt to ten outputs by time or at random."""
+    ratings, movies = text.ratings(spark, conf.get("ratingsFile", "string")), text.movies(spark, conf.get("moviesFile", "string"))
+    shares = conf.get("countProportion", "double"), conf.get("trainProportion", "double")
+    if conf.option("randomSampling", "boolean"):
+        key = F.pmod(F.xxhash64("userId", "movieId", "timestamp"), F.lit(S.PRIME))
+        split = P.split_by_hash(ratings.withColumn("_k", key), "_k", *shares, seed=conf.get("sampleSeed", "int")).drop("_k")
+    else:
+        split = P.split_by_time(ratings, "timestamp", *shares)
+    lines = P.rating_lines(split, movies, P.genre_universe(movies), conf.get("labelType", "string"))
+    sinks.write_fan_out(lines, P.rating_routes(), conf.get("outDataFile", "string"))
+
+
+def prepare_labels(spark: SparkSession, conf: C.Registry) -> None:
+    sinks.write_text(P.prepare_label_file(text.lines(spark, conf.get("dataFile", "string"))), conf.get("outDataFile", "string"))
+
+
+COMMANDS = {
+    "build": (C.build_config, build),
+    "transform": (C.transform_config, transform),
+    "discretize": (C.discretize_config, discretize),
+    "computeNoiseWeights": (C.noise_weights_config, compute_noise_weights),
+    "buildHotWindow": (C.hot_build_config, build_hot),
+    "transformHotWindow": (C.hot_transform_config, transform_hot),
+    "prepare": (C.prepare_config, prepare),
+    "prepareRatings": (C.prepare_ratings_config, prepare_ratings),
+    "prepareLabels": (C.prepare_labels_config, prepare_labels),
+}
 
 
 def run(spark: SparkSession, config: str):

@@ -171,3 +171,16 @@ def noise_weights_config() -> Registry:
         {"featureCount": "int", "percentile": "double", "countTableFile": "string", "transformDataFilePath": "string", "outDataFile": "string", "epsilonDP": "double"},
         {"percentilesFile": ("string", None), "windowSize": ("int", None), "multiGroups": ("boolean", False)},
     )
+
+
+def prepare_config() -> Registry:
+    """Tab-separated records; sampleFraction is the share of them that percentiles are computed over."""
+    return _declare({"featureCount": "int", "dataFile": "string"}, {"outDataFile": ("string", None), "percentilesFile": ("string", None), "percentileCount": ("int", 100), "sampleFraction": ("double", 0.01), "sampleSeed": ("int", 1)})
+
+
+def prepare_ratings_config() -> Registry:
+    return _declare({"ratingsFile": "string", "moviesFile": "string", "outDataFile": "string", "countProportion": "double", "trainProportion": "double"}, {"randomSampling": ("boolean", False), "labelType": ("string", "raw"), "sampleSeed": ("int", 1)})
+
+
+def prepare_labels_config() -> Registry:
+    return _declare({"dataFile": "string", "outDataFile": "string"}, {})

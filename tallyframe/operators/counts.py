@@ -2,7 +2,8 @@
 
 Observations have ``row_id``, ``label`` (double), ``features`` (array of strings) and optionally ``weight`` (double,
 null: 1) and ``window_id``. Counts are long: (table_id, key, label, cnt). All tables are built by one explode and one
-shuffle, with the map-side part of the aggregate doing most of the work.
+shuffle: each task adds its rows up first, so that what is moved is bounded by its distinct keys, never by its rows.
+For lookups the tables are written once, a folder each.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalar as S
+from tallyframe.operators.tables import Tables
 
 SEPARATOR = "\u001f"
 
@@ -43,9 +45,7 @@ def exact_counts(observations: DataFrame, spec: Spec, *, use_weights: bool = Fal
     """(by..., table_id, key, label, cnt). Weights are ignored unless asked for; a null weight counts 1."""
     keys = F.array(*[F.struct(F.lit(t).alias("table_id"), key_of(table).alias("key")) for t, table in enumerate(spec.tables)])
     one = F.coalesce(F.col("weight"), F.lit(1.0)) if use_weights else F.lit(1.0)
-    # Rows that repeat are merged before they are multiplied by the number of tables.
-    rows = observations.groupBy(*by, "label", "features").agg(F.sum(one).alias("w")) if not by else observations.withColumn("w", one)
-    exploded = rows.select(*by, "label", "w", F.inline(keys))
+    exploded = observations.select(*by, "label", one.alias("w"), F.inline(keys))
     return exploded.groupBy(*by, "table_id", "key", "label").agg(F.sum("w").alias("cnt"))
 
 
@@ -94,53 +94,56 @@ class Model:
 
     @classmethod
     def fit(cls, observations: DataFrame, spec: Spec, **options) -> Model:
-        """One scan of the observations: each is counted once in the first table, so its labels are the model's."""
-        counts = exact_counts(observations, spec, **options)
-        if not spec.tables:
-            return cls(spec, counts, label_counts(observations, **options))
-        # Not a filter on the table: that would be pushed below the counts and keep their exchange from being reused.
-        labels = counts.groupBy("label").agg(F.sum(F.when(F.col("table_id") == 0, F.col("cnt"))).alias("cnt"))
-        return cls(spec, counts, labels)
+        """Labels are counted by themselves: a scan of one column, beside the counts' own."""
+        return cls(spec, exact_counts(observations, spec, **options), label_counts(observations, **options))
 
     def merge(self, other: Model) -> Model:
         if self.spec != other.spec:
             raise ValueError("models of different tables don't merge")
         return Model(self.spec, merge(self.counts, other.counts), merge(self.labels, other.labels), self.b)
 
-    def prior_row(self) -> DataFrame:
-        """One row (prior: array in the order of the declared labels); labels that aren't declared count in the total."""
-        return self.labels.agg(self.prior_shares().alias("prior"))
-
     def prior_shares(self) -> Column:
         """An aggregate over label counts: the share of each declared label, 0 without any count."""
         total = F.sum("cnt")
         return F.array(*[F.when(total > 0, F.coalesce(F.sum(F.when(F.col("label") == v, F.col("cnt"))), F.lit(0.0)) / total).otherwise(0.0) for v in self.spec.labels])
 
+    def prior_values(self) -> list[float]:
+        """The prior of each declared label in their order; labels that aren't declared count in the total.
+
+        One row reaches the driver, once for a model."""
+        if getattr(self, "_priors", (None,))[0] is not self.labels:
+            self._priors = self.labels, self.labels.agg(self.prior_shares().alias("prior")).first()["prior"]
+        return self._priors[1]
+
     def priors(self) -> dict[float, float]:
-        """The prior of each declared label, collected."""
-        return dict(zip(self.spec.labels, self.prior_row().first()["prior"], strict=True))
+        """The prior of each declared label."""
+        return dict(zip(self.spec.labels, self.prior_values(), strict=True))
 
     def wide(self, by: tuple[str, ...] = ()) -> DataFrame:
         """(by..., table_id, key, c: counts of the declared labels in their order), never below 0."""
         sums = [F.greatest(F.coalesce(F.sum(F.when(F.col("label") == v, F.col("cnt"))), F.lit(0.0)), F.lit(0.0)) for v in self.spec.labels]
         return self.counts.groupBy(*by, "table_id", "key").agg(F.array(*sums).alias("c"))
 
-    def lookup(self, points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        """points with ``t0``, ``t1``, ...: the counts of each table's key; zeros where it has none.
+    def prepared(self, points: DataFrame) -> Tables:
+        """The tables as they are looked up, written once for a model's counts. points: those that are looked up."""
+        if getattr(self, "_prepared", (None,))[0] is not self.counts:
+            self.use(Tables.write(self.wide(), len(self.spec.labels)))
+        return self._prepared[1]
 
-        One left join per table on its key, so that rows are never multiplied or regrouped: the planner broadcasts
-        the tables that are small when it gets there and shuffles for the others, splitting hot keys.
-        """
-        wide = self.wide(by)
+    def use(self, tables: Tables) -> None:
+        """Looks up in tables that are written already, until counts are replaced."""
+        self._prepared = self.counts, tables
+
+    def keys(self) -> dict[int, Column]:
+        """The key of a point in each table."""
+        return {t: key_of(table) for t, table in enumerate(self.spec.tables)}
+
+    def lookup(self, points: DataFrame) -> DataFrame:
+        """points with ``t0``, ``t1``, ...: the counts of each table's key; zeros where it has none."""
         zeros = F.array(*[F.lit(0.0)] * len(self.spec.labels))
-        out = points
-        for t, table in enumerate(self.spec.tables):
-            own = wide.where(F.col("table_id") == t).select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("key").alias("_key"), F.col("c").alias(f"t{t}"))
-            match = key_of(table) == F.col("_key")
-            for i, c in enumerate(by):
-                match &= F.col(c) == F.col(f"_b{i}")
-            out = out.join(own, match, "left").drop("_key", *[f"_b{i}" for i in range(len(by))]).withColumn(f"t{t}", F.coalesce(f"t{t}", zeros))
-        return out
+        keys = self.keys()
+        found = self.prepared(points).look_up(points, keys, lambda t: F.col("c"), lambda t: 0)
+        return found.select(*points.columns, *[F.coalesce(f"_v{t}", zeros).alias(f"t{t}") for t in keys])
 
     def values(self, t: int, blocks: Blocks, criteria: Criteria, counts: str = "c", prior: str = "prior") -> dict[str, Column]:
         """The arrays that the blocks ask for of a key of table t, over its counts and the priors."""
@@ -164,18 +167,18 @@ class Model:
 
         It is computed once for each key of the tables, and once for a key that isn't there; a row only joins it.
         """
-        zeros = F.array(*[F.lit(0.0)] * len(self.spec.labels))
-        prior = self.prior_row()
-        none = prior.select(*[of_key(t, zeros, "prior").alias(f"_n{t}") for t in range(len(self.spec.tables))])
-        out = points.join(F.broadcast(none))  # one row
-        for t, table in enumerate(self.spec.tables):
-            own = self.counts_of(t, points).join(F.broadcast(prior)).select(F.col("key").alias("_key"), of_key(t, "c", "prior").alias("_v"))
-            out = out.join(own, key_of(table) == F.col("_key"), "left").withColumn(f"v{t}", F.coalesce("_v", f"_n{t}")).drop("_key", "_v", f"_n{t}")
-        return out
-
-    def counts_of(self, t: int, points: DataFrame) -> DataFrame:
-        """(key, c) of a table. points: those that are looked up, for tables that answer any key."""
-        return self.wide().where(F.col("table_id") == t).select("key", "c")
+        zeros, prior = (F.array(*[F.lit(x) for x in v]) for v in ([0.0] * len(self.spec.labels), self.prior_values()))
+        keys = self.keys()
+        found = self.prepared(points).look_up(points, keys, lambda t: of_key(t, "c", prior), self.scale)
+        none, name = self._defaults(points.sparkSession.range(1), lambda t: of_key(t, zeros, prior), "_n")
+        return found.join(F.broadcast(none)).select(*points.columns, *[F.coalesce(f"_v{t}", name[t]).alias(f"v{t}") for t in keys])
+
+    def _defaults(self, rows: DataFrame, value, prefix: str, *kept: str) -> tuple[DataFrame, dict[int, str]]:
+        """rows with what a key without counts has, a column for each noise scale, and the column of each table."""
+        kinds: dict[float, int] = {}
+        for t in self.keys():
+            kinds.setdefault(self.scale(t), t)
+        return rows.select(*kept, *[value(t).alias(f"{prefix}{t}") for t in kinds.values()]), {t: f"{prefix}{kinds[self.scale(t)]}" for t in self.keys()}
 
     def _arrays(self, points: DataFrame, blocks: Blocks, criteria: Criteria, change=lambda c: c) -> DataFrame:
         def of_key(t: int, counts: Column | str, prior: str) -> Column:

@@ -55,3 +55,19 @@ def multipliers(queries: list[float] | None = None, shares: list[float] | None =
     v = [1 / (1 + a / b) for a, b in zip(s, i, strict=True)]
     whole = sum(a * b for a, b in zip(q, v, strict=True))
     return [whole / (a * b * sum(q)) for a, b in zip(q, v, strict=True)]
+
+
+def multiplier_table(queries: DataFrame, shares: DataFrame | None = None, importances: DataFrame | None = None) -> DataFrame:
+    """(table_id, multiplier): the same of (table_id, value) rows. queries names the tables; a share or importance that is
+    missing counts as 1. Zero or negative values are an error."""
+    out = queries.select("table_id", F.col("value").alias("q"))
+    for name, other in (("s", shares), ("m", importances)):
+        if other is None:
+            out = out.withColumn(name, F.lit(1.0))
+        else:
+            own = other.select(F.col("table_id").alias("_t"), F.col("value").cast("double").alias(name))
+            out = out.join(own, F.col("table_id") == F.col("_t"), "left").drop("_t").na.fill(1.0, [name])
+    ok = (F.col("q") > 0) & (F.col("s") > 0) & (F.col("m") > 0)
+    out = out.select("table_id", F.when(ok, F.col("q")).otherwise(F.raise_error(F.lit("weights must be positive"))).alias("q"), (1 / (1 + F.col("s") / F.col("m"))).alias("v"))
+    whole = out.agg(F.sum(F.col("q") * F.col("v")).alias("qv"), F.sum("q").alias("all_q"))
+    return out.join(F.broadcast(whole)).select("table_id", (F.col("qv") / (F.col("q") * F.col("v") * F.col("all_q"))).alias("multiplier"))  # one row

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import scalar as S
 from tallyframe.operators import noise as N
 from tallyframe.operators.counts import Model, Spec, key_of, label_counts
+from tallyframe.operators.tables import Tables
 
 #: Cells in a sketch side of a join that is broadcast at most (24 bytes each); larger ones are shuffled.
 BROADCAST_CELLS = 1 << 20
@@ -113,10 +114,9 @@ class SketchModel(Model):
 
     @classmethod
     def fit(cls, observations: DataFrame, spec: Spec, sketch: Sketch, **noise) -> SketchModel:
-        """Rows that repeat are merged before they are multiplied by tables; keys are never a table of their own."""
-        merged = observations.groupBy("label", "features").agg(F.count("*").cast("double").alias("cnt"))
+        """Keys are never a table of their own: tasks add them up before cells are made of them."""
         keys = F.array(*[F.struct(F.lit(t).alias("table_id"), key_of(table).alias("key")) for t, table in enumerate(spec.tables)])
-        rows = merged.select("label", "cnt", F.inline(keys)).select("table_id", cls.cell_key(F.col("key"), F.col("label")).alias("k"), "cnt")
+        rows = observations.select("label", F.inline(keys)).select("table_id", cls.cell_key(F.col("key"), F.col("label")).alias("k"), F.lit(1.0).alias("cnt"))
         return cls(spec, sketch, sketch.build(rows), label_counts(observations), **noise)
 
     def merge(self, other: Model) -> SketchModel:
@@ -125,32 +125,32 @@ class SketchModel(Model):
         labels = self.labels.unionByName(other.labels).groupBy("label").agg(F.sum("cnt").alias("cnt"))
         return SketchModel(self.spec, self.sketch, merge_cells(self.cells, other.cells), labels, self.b, self.seed, self.draws)
 
-    def estimates(self, t: int, keys: DataFrame) -> DataFrame:
-        """(key, label, cnt) of the given keys (key) for each declared label."""
-        asked = keys.select("key").distinct().select(F.lit(t).alias("table_id"), "key", F.explode(F.array(*[F.lit(v) for v in self.spec.labels])).alias("label"))
+    def estimates(self, keys: DataFrame) -> DataFrame:
+        """(table_id, key, label, cnt) of the given distinct keys (table_id, key) for each declared label."""
+        asked = keys.select("table_id", "key", F.explode(F.array(*[F.lit(v) for v in self.spec.labels])).alias("label"))
         asked = asked.withColumn("k", self.cell_key(F.col("key"), F.col("label")))
-        noise = N.noise(N.cell_key(), self.scale(t), seed=self.seed, draws=self.draws) if self.scale(t) else None
-        return self.sketch.query(asked, self.cells.where(F.col("table_id") == t), 1, noise).select("key", "label", F.col("estimate").alias("cnt"))
-
-    def counts_of(self, t: int, points: DataFrame) -> DataFrame:
-        found = self.estimates(t, points.select(key_of(self.spec.tables[t]).alias("key")))
-        return found.groupBy("key").agg(F.array(*[F.max(F.when(F.col("label") == v, F.col("cnt"))) for v in self.spec.labels]).alias("c"))
-
-    def lookup(self, points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        if by:
-            raise ValueError("a sketch model has no windows")
-        out = points
-        for t, table in enumerate(self.spec.tables):
-            own = self.counts_of(t, points).select(F.col("key").alias("_key"), F.col("c").alias(f"t{t}"))
-            out = out.join(own, key_of(table) == F.col("_key"), "left").drop("_key")
-        return out
+        noise = None
+        for b in sorted({self.scale(t) for t in range(len(self.spec.tables))} - {0.0}):
+            own = F.col("table_id").isin([t for t in range(len(self.spec.tables)) if self.scale(t) == b])
+            each = N.noise(N.cell_key(), b, seed=self.seed, draws=self.draws)
+            noise = F.when(own, each) if noise is None else noise.when(own, each)
+        found = self.sketch.query(asked, self.cells, len(self.spec.tables), None if noise is None else F.coalesce(noise, F.lit(0.0)))
+        return found.select("table_id", "key", "label", F.col("estimate").alias("cnt"))
+
+    def prepared(self, points: DataFrame) -> Tables:
+        """Estimates of the keys that the points ask for, of all tables by one scan of them."""
+        entries = F.array(*[F.struct(F.lit(t).alias("table_id"), key.alias("key")) for t, key in self.keys().items()])
+        found = self.estimates(points.select(F.inline(entries)).distinct())
+        wide = found.groupBy("table_id", "key").agg(F.array(*[F.max(F.when(F.col("label") == v, F.col("cnt"))) for v in self.spec.labels]).alias("c"))
+        return Tables.write(wide, len(self.spec.labels))
 
     def count_for(self, points: DataFrame, indices: tuple[int, ...], label: float) -> DataFrame:
         if tuple(indices) not in self.spec.tables or label not in self.spec.labels:
             return points.withColumn("cnt", F.lit(0.0))
-        t = self.spec.tables.index(tuple(indices))
-        found = self.estimates(t, points.select(key_of(tuple(indices)).alias("key"))).where(F.col("label") == label).select(F.col("key").alias("_key"), "cnt")
-        return points.join(found, key_of(tuple(indices)) == F.col("_key"), "left").drop("_key")
+        key = key_of(tuple(indices))
+        asked = points.select(F.lit(self.spec.tables.index(tuple(indices))).alias("table_id"), key.alias("key")).distinct()
+        found = self.estimates(asked).where(F.col("label") == label).select(F.col("key").alias("_key"), "cnt")
+        return points.join(found, key == F.col("_key"), "left").drop("_key")
 
 
 def dense_bytes(rows: DataFrame, depth: int, width: int, epsilon: float, delta: float) -> DataFrame:

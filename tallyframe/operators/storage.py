@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import Model, Spec
 from tallyframe.operators.sketch import Sketch, SketchModel, dense_bytes
+from tallyframe.operators.tables import Tables
 from tallyframe.operators.windows import HotWindow, WindowedModel
 
 
 def save(model: Model, path: str) -> None:
-    """Counts are partitioned by table, so that a lookup of one feature reads one partition."""
+    """Counts are partitioned by table, so that a lookup of one feature reads one partition.
+
+    A model of exact counts also has its tables as they are looked up, with their sizes, so that a transform of the
+    loaded model aggregates nothing. Backing noise is added or left out by the reader: such a model has counts only.
+    """
     spark = model.counts.sparkSession
     within = "w" if isinstance(model, SketchModel) else "key"
     model.counts.repartition("table_id", F.pmod(F.xxhash64(within), F.lit(16))).write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/counts")
@@ -21,19 +26,29 @@ def save(model: Model, path: str) -> None:
     meta = {"feature_count": model.spec.feature_count, "labels": model.spec.labels, "combinations": model.spec.combinations, "b": model.b}
     if isinstance(model, SketchModel):
         meta |= {"sketch": [model.sketch.epsilon, model.sketch.delta, model.sketch.kind], "seed": model.seed, "draws": model.draws}
+    elif "noise" not in model.counts.columns:
+        tables = Tables.write(Model(model.spec, _counts(spark, path), model.labels).wide(), len(model.spec.labels), f"{path}/tables")
+        meta["tables"] = {"schema": tables.schema, "sizes": list(tables.sizes.items())}
     _save_meta(spark, meta, path)
 
 
+def _counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/counts").withColumn("table_id", F.col("table_id").cast("int"))
+
+
 def load(spark: SparkSession, path: str) -> Model:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     if "window_size" in meta:
         raise ValueError(f"the model at {path} has windows")
     spec = Spec(meta["feature_count"], tuple(meta["labels"]), tuple(map(tuple, meta["combinations"])))
     b = tuple(meta["b"]) if isinstance(meta["b"], list) else meta["b"]
-    counts, labels = spark.read.parquet(f"{path}/counts").withColumn("table_id", F.col("table_id").cast("int")), spark.read.parquet(f"{path}/labels")
+    counts, labels = _counts(spark, path), spark.read.parquet(f"{path}/labels")
     if "sketch" in meta:
         return SketchModel(spec, Sketch(*meta["sketch"]), counts, labels, b, meta["seed"], meta["draws"])
-    return Model(spec, counts, labels, b)
+    model = Model(spec, counts, labels, b)
+    if "tables" in meta:
+        model.use(Tables(spark, f"{path}/tables", meta["tables"]["schema"], {t: tuple(n) for t, n in meta["tables"]["sizes"]}))
+    return model
 
 
 def update(model: Model, observations: DataFrame) -> Model:

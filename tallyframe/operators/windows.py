@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import noise as N
-from tallyframe.operators.counts import Blocks, Criteria, Model, Spec, exact_counts, key_of, merge
+from tallyframe.operators.counts import SEPARATOR, Blocks, Criteria, Model, Spec, exact_counts, merge
 
 
 def ranges(rows: DataFrame, order: str, parts: int | None = None) -> tuple[Column, int]:
@@ -54,21 +54,30 @@ def window_of(ordinal: Column | str, size: int) -> Column:
 
 
 class OwnWindow(Model):
-    """Looks each point (with window_id) up in the counts and priors of its own window; a window never seen has zeros."""
+    """Looks each point (with window_id) up in the counts and priors of its own window; a window never seen has zeros.
+
+    A window is a part of the key, so that all windows of a table are one table.
+    """
+
+    def prior_by_window(self) -> DataFrame:
+        return self.labels.groupBy(F.col("window_id").alias("_w")).agg(self.prior_shares().alias("prior"))
+
+    def wide(self) -> DataFrame:
+        """(table_id, key, c, prior of the window)."""
+        sums = super().wide(("window_id",)).join(self.prior_by_window(), F.col("window_id") == F.col("_w"))
+        return sums.select("table_id", F.concat_ws(SEPARATOR, F.col("window_id").cast("string"), "key").alias("key"), "c", "prior")
+
+    def keys(self) -> dict[int, Column]:
+        return {t: F.concat_ws(SEPARATOR, F.col("window_id").cast("string"), key) for t, key in super().keys().items()}
 
     def _looked_up(self, points: DataFrame, of_key) -> DataFrame:
-        tables, zeros = range(len(self.spec.tables)), F.array(*[F.lit(0.0)] * len(self.spec.labels))
-        prior = self.labels.groupBy(F.col("window_id").alias("_w")).agg(self.prior_shares().alias("prior"))
+        keys, zeros = self.keys(), F.array(*[F.lit(0.0)] * len(self.spec.labels))
+        found = self.prepared(points).look_up(points, keys, lambda t: of_key(t, "c", "prior"), self.scale)
         # What a key without counts has: in a window that was seen, and in one that wasn't (one row).
-        none = prior.select("_w", *[of_key(t, zeros, "prior").alias(f"_n{t}") for t in tables])
-        unseen = points.sparkSession.range(1).select(*[of_key(t, zeros, zeros).alias(f"_u{t}") for t in tables])
-        out = points.join(none, F.col("window_id") == F.col("_w"), "left").drop("_w").join(F.broadcast(unseen))
-        wide = self.wide(("window_id",)).withColumnRenamed("window_id", "_w").join(prior, "_w")
-        for t, table in enumerate(self.spec.tables):
-            own = wide.where(F.col("table_id") == t).select("_w", F.col("key").alias("_key"), of_key(t, "c", "prior").alias("_v"))
-            out = out.join(own, (F.col("window_id") == F.col("_w")) & (key_of(table) == F.col("_key")), "left")
-            out = out.withColumn(f"v{t}", F.coalesce("_v", f"_n{t}", f"_u{t}")).drop("_w", "_key", "_v", f"_n{t}", f"_u{t}")
-        return out
+        none, name = self._defaults(self.prior_by_window(), lambda t: of_key(t, zeros, "prior"), "_n", "_w")
+        unseen, other = self._defaults(points.sparkSession.range(1), lambda t: of_key(t, zeros, zeros), "_u")
+        out = found.join(none, F.col("window_id") == F.col("_w"), "left").join(F.broadcast(unseen))
+        return out.select(*points.columns, *[F.coalesce(f"_v{t}", name[t], other[t]).alias(f"v{t}") for t in keys])
 
 
 class WindowedModel:
@@ -107,7 +116,7 @@ class WindowedModel:
 
     def own_window_counts(self, points: DataFrame) -> DataFrame:
         """points (with window_id) with ``t0``, ``t1``, ...: their own window's counts of the declared labels."""
-        return self.own.lookup(points, by=("window_id",))
+        return self.own.lookup(points)
 
     def transform(self, points: DataFrame, blocks: Blocks = Blocks(), criteria: Criteria = Criteria(), places: int | None = None) -> DataFrame:
         """points (with window_id) with each block's array over all windows, then ``window_`` the block of their own window."""
@@ -125,17 +134,44 @@ class WindowedModel:
         return whole.select(*points.columns, *blocks, *[f"window_{c}" for c in blocks])
 
 
+#: Views of a block, in which changes are summed up by themselves.
+VIEW_BLOCK = 4096
+
+
+def hot_view_intervals(by_window: DataFrame, keep: int, include_current: bool = False) -> DataFrame:
+    """(table_id, key, label, first_view, last_view, cnt): the merged view of hot windows, a row for each time that a sum changes.
+
+    A count enters the view at the window after its own (or its own, with the current one) and leaves it ``keep`` windows
+    later; sums run over these changes, by blocks of views, so that neither rows nor groups grow with ``keep``.
+    by_window: (window_id, table_id, key, label, cnt).
+    """
+    first = F.col("window_id") + (0 if include_current else 1)
+    ends = F.array(F.struct(first.alias("view"), F.col("cnt").alias("d"), F.lit(1).alias("live")), F.struct((F.col("window_id") + keep + 1).alias("view"), (-F.col("cnt")).alias("d"), F.lit(-1).alias("live")))
+    ids = ["table_id", "key", "label"]
+    changes = by_window.select(*ids, F.inline(ends)).groupBy(*ids, "view").agg(F.sum("d").alias("d"), F.sum("live").alias("live"))
+    changes = changes.withColumn("block", F.floor(F.col("view") / VIEW_BLOCK))
+    blocks = changes.groupBy(*ids, "block").agg(F.sum("d").alias("d"), F.sum("live").alias("live"), F.min("view").alias("begins"))
+    over = Window.partitionBy(*ids).orderBy("block")
+    before = blocks.select(*ids, "block", *[(F.sum(c).over(over) - F.col(c)).alias(f"_{c}") for c in ("d", "live")], F.lead("begins").over(over).alias("_next"))
+    inside = Window.partitionBy(*ids, "block").orderBy("view")
+    sums = changes.select(*ids, "block", "view", *[F.sum(c).over(inside).alias(c) for c in ("d", "live")], F.lead("view").over(inside).alias("next"))
+    same = F.lit(True)
+    for c in (*ids, "block"):
+        same &= sums[c].eqNullSafe(before[c])
+    at = sums.join(before, same).select(*[sums[c] for c in ids], "view", (F.col("d") + F.col("_d")).alias("cnt"), (F.col("live") + F.col("_live")).alias("live"), F.coalesce("next", "_next").alias("next"))
+    last = by_window.agg((F.max("window_id") + (0 if include_current else 1)).alias("last"))
+    known = at.where("live > 0").join(F.broadcast(last))  # one row
+    return known.select(*ids, F.col("view").alias("first_view"), F.least(F.col("next") - 1, "last").alias("last_view"), "cnt").where("first_view <= last_view")
+
+
 def hot_view(by_window: DataFrame, keep: int, include_current: bool = False) -> DataFrame:
     """By window and key: the sum over the ``keep`` windows before it (and itself), as the hot window merges them.
 
     A row stands for each window from a key's first one until it has left the view, so the view is a function of
     the window alone. by_window: (window_id, table_id, key, label, cnt).
     """
-    last = by_window.agg(F.max("window_id").alias("last"))
-    # Each count enters the view at its own window (or the next) and leaves it ``keep`` windows later.
-    reach = by_window.join(F.broadcast(last)).select("*", F.sequence(F.col("window_id") + (0 if include_current else 1), F.col("window_id") + keep).alias("view"))
-    spread = reach.select(F.explode("view").alias("view_id"), "table_id", "key", "label", "cnt", "last").where(F.col("view_id") <= F.col("last") + (0 if include_current else 1))
-    return spread.groupBy("view_id", "table_id", "key", "label").agg(F.sum("cnt").alias("cnt"))
+    spans = hot_view_intervals(by_window, keep, include_current)
+    return spans.select(F.explode(F.sequence("first_view", "last_view")).alias("view_id"), "table_id", "key", "label", "cnt")
 
 
 def hot_model(spec: Spec, observations: DataFrame, *, count_table_size: int, keep: int, n: int | None = None, include_current: bool = False) -> Model:

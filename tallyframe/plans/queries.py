@@ -11,10 +11,13 @@ from tallyframe.operators import noise as N
 from tallyframe.operators import sketch as K
 from tallyframe.operators import windows as W
 from tallyframe.operators.counts import Blocks, Criteria, Model, Spec, exact_counts, label_counts
+from tallyframe.operators.tables import shared_path
 from tallyframe.prepare import features as P
 from tallyframe.privacy import sensitivity as D
+from tallyframe.privacy.neighbours import nearest_radius
 from tallyframe.sources import sinks, text
 from tallyframe.streaming import counts as streaming
+from tallyframe.streaming import hot
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -281,10 +284,17 @@ def backing_noise(spark, d):
     return counted.select("table_id", "key", "label", F.col("cnt").alias("clean"), F.round(F.col("cnt") + F.col("noise"), 6).alias("noisy"))
 
 
-@query("WITH t AS (SELECT * FROM (VALUES (0, 2.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1, 1.0, 10.0, 1.0), (2, 1.0, 100.0, 2.0)) x(i, q, s, m)), v AS (SELECT i, q, 1 / (1 + s / m) AS v FROM t) SELECT i AS table_id, round((SELECT sum(q * v) FROM v) / (q * v * (SELECT sum(q) FROM v)), 9) AS multiplier FROM v")
+@query("""WITH q AS (SELECT s_nationkey AS t, count(*)::DOUBLE AS q FROM supplier GROUP BY 1), s AS (SELECT c_nationkey AS t, count(*)::DOUBLE AS s FROM customer GROUP BY 1),
+m AS (SELECT c_nationkey AS t, count(*)::DOUBLE AS m FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1),
+v AS (SELECT q.t, q, 1 / (1 + coalesce(s, 1) / coalesce(m, 1)) AS v FROM q LEFT JOIN s USING (t) LEFT JOIN m USING (t))
+SELECT t AS table_id, round((SELECT sum(q * v) FROM v) / (q * v * (SELECT sum(q) FROM v)), 9) AS multiplier FROM v""")
 def noise_multipliers(spark, d):
-    found = N.multipliers([2.0, 1.0, 1.0], [1.0, 10.0, 100.0], [1.0, 1.0, 2.0])
-    return spark.createDataFrame([(i, round(m, 9)) for i, m in enumerate(found)], "table_id int, multiplier double")
+    """A count table for each nation: as many queries as it has suppliers, shares by customers, importances by open orders."""
+    count = lambda rows, key: rows.groupBy(F.col(key).alias("table_id")).agg(F.count("*").cast("double").alias("value"))
+    customers = table(spark, d, "customer")
+    open_ = table(spark, d, "orders").where("o_orderstatus = 'P'").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    found = N.multiplier_table(count(table(spark, d, "supplier"), "s_nationkey"), count(customers, "c_nationkey"), count(open_, "c_nationkey"))
+    return found.withColumn("multiplier", F.round("multiplier", 9))
 
 
 @query("SELECT f AS feature, key, label, count(*)::DOUBLE AS cnt FROM (SELECT 0 AS f, o_orderpriority AS key, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label FROM orders) GROUP BY ALL")
@@ -442,7 +452,7 @@ def doc_quality_features(spark, d):
 _TYPES = ["A", "N", "R"]
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'(l_returnflag = {g!r})::INT::DOUBLE AS hot{i}' for i, g in enumerate(_TYPES))}, CASE WHEN {_uniform_sql('l_orderkey', 3)} < 0.6 THEN 'train' WHEN {_uniform_sql('l_orderkey', 3)} < 0.8 THEN 'count' ELSE 'test' END AS split FROM lineitem")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'(l_returnflag = {g!r})::INT::DOUBLE AS hot{i}' for i, g in enumerate(_TYPES))}, CASE WHEN {_uniform_sql('l_orderkey', 3)} < 0.6 THEN 'count' WHEN {_uniform_sql('l_orderkey', 3)} < 0.8 THEN 'train' ELSE 'test' END AS split FROM lineitem")
 def onehot_split(spark, d):
     rows = P.split_by_hash(table(spark, d, "lineitem"), "l_orderkey", 0.6, 0.2, seed=3)
     hot = P.one_hot(F.array("l_returnflag"), _TYPES)
@@ -464,7 +474,7 @@ def numeric_histogram(spark, d):
     return P.numeric_histogram(rows)
 
 
-@query("SELECT o_orderkey, CASE WHEN t <= c[1] THEN 'train' WHEN t <= c[2] THEN 'count' ELSE 'test' END AS split FROM (SELECT o_orderkey, epoch(o_orderdate)::DOUBLE AS t FROM orders), (SELECT [quantile_cont(epoch(o_orderdate)::DOUBLE, 0.6), quantile_cont(epoch(o_orderdate)::DOUBLE, 0.8)] AS c FROM orders)")
+@query("WITH t AS (SELECT o_orderkey, epoch(o_orderdate)::DOUBLE AS t FROM orders), c AS (SELECT list_sort(list(t)) AS l, count(*) AS n FROM t) SELECT o_orderkey, CASE WHEN t < l[floor(n * 0.6)::BIGINT + 1] THEN 'count' WHEN t < l[floor(n * 0.8)::BIGINT + 1] THEN 'train' ELSE 'test' END AS split FROM t, c")
 def time_split(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.unix_timestamp("o_orderdate").cast("double").alias("t"))
     return P.split_by_time(rows, "t", 0.6, 0.2).select("o_orderkey", "split")
@@ -540,8 +550,7 @@ def pairwise_distance(spark, d):
 @query("""WITH s AS (SELECT * FROM embeddings), p AS (SELECT a.vec_id AS id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS distance FROM s a JOIN s b ON a.vec_id <> b.vec_id),
 r AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance) AS r FROM p) SELECT id, round(coalesce(max(distance) FILTER (r = 3), 100.0), 6) AS radius FROM r GROUP BY id""")
 def t_radius(spark, d):
-    rows = D.pairwise(table(spark, d, "embeddings"), "vec_id", "embedding").select("id", "distance")
-    return D.t_radius(rows, 2, 100.0).withColumn("radius", F.round("radius", 6))
+    return nearest_radius(table(spark, d, "embeddings"), "vec_id", "embedding", 2, 100.0).withColumn("radius", F.round("radius", 6))
 
 
 @query()
@@ -577,6 +586,81 @@ def stream_hot_window(spark, d):
     return streaming.hot_window_stream(spark, d, "events.parquet", observe, order="event_id", count_table_size=SIZE, keep=KEEP)
 
 
+GROUP_SIZE, GROUP_HOT, SLICES = 100, 150, 4
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id % 10 AS VARCHAR) AS g, event_type AS key, CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS ordinal, count(*) OVER (PARTITION BY user_id % 10) AS n FROM events)
+SELECT g AS "group", n AS arrivals, 'view' AS kind, NULL::BIGINT AS ordinal, key, label, count(*)::DOUBLE AS cnt FROM e WHERE ordinal // {GROUP_SIZE} < n // {GROUP_SIZE} AND ordinal // {GROUP_SIZE} >= n // {GROUP_SIZE} - {KEEP} GROUP BY ALL
+UNION ALL SELECT g, n, 'point', ordinal, key, label, 1.0 FROM e WHERE ordinal >= n // {GROUP_HOT} * {GROUP_HOT} - {GROUP_HOT}""")
+def stream_hot_groups(spark, d):
+    """Hot windows of ten groups of users over several micro-batches: their merged views and the points they hold."""
+    e = table(spark, d, "events").select(F.pmod("user_id", F.lit(10)).cast("string").alias("group"), "event_id", F.col("event_type").alias("key"), F.when(F.col("value") > 50, 1.0).otherwise(-1.0).alias("label"))
+    path = shared_path(spark, "hot-groups")
+    part, count = W.ranges(e, "event_id", SLICES)
+    for i in range(count):  # files in the order of arrival
+        e.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/arrivals")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrivals")
+    hot.run_hot_windows(hot.hot_windows(stream, order="event_id", count_table_size=GROUP_SIZE, keep=KEEP, hot_window_size=GROUP_HOT), path)
+    return hot.latest(spark, path)
+
+
+# Preparation: line items as ratings of parts by suppliers, the words of a part's name as its genres.
+
+_RATINGS = """u AS (SELECT list_sort(list(DISTINCT g)) AS u FROM (SELECT unnest(string_split(p_name, ' ')) AS g FROM part)),
+m AS (SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) AS g FROM part),
+r AS (SELECT l_orderkey, l_linenumber, l_suppkey::VARCHAR AS u, l_partkey::VARCHAR AS p, CASE WHEN (l_quantity::BIGINT % 10) / 2.0 >= 4 THEN '1' ELSE '-1' END AS label, g, epoch(l_shipdate)::BIGINT AS t FROM lineitem LEFT JOIN m ON l_partkey = p_partkey),
+s AS (SELECT list_sort(list(t)) AS l, count(*) AS n FROM r),
+x AS (SELECT l_orderkey, l_linenumber, label || ' |f user-' || r.u || ' movie-' || p || ' ' || array_to_string(list_transform(u.u, lambda w: CASE WHEN list_contains(coalesce(g, []), w) THEN w ELSE 'no-' || w END), ' ') AS dense,
+  label || ' |g movie-' || p || ' user-' || r.u || ' ' || array_to_string(coalesce(g, []), ' ') || ' |u ' || r.u || '-movie-' || p || ' ' || array_to_string(list_transform(coalesce(g, []), lambda w: r.u || '-' || w), ' ') AS "cross",
+  label || ' |m movie-' || p || ' |u user-' || r.u || ' |g ' || array_to_string(coalesce(g, []), ' ') AS rank,
+  CASE WHEN t < l[floor(n * 0.5)::BIGINT + 1] THEN 'count' WHEN t < l[floor(n * 0.75)::BIGINT + 1] THEN 'train' ELSE 'test' END AS split FROM r, u, s)"""
+
+
+def _rated(spark, d) -> DataFrame:
+    t = table(spark, d, "lineitem")
+    ratings = t.select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("userId"), F.col("l_partkey").cast("string").alias("movieId"), (F.pmod(F.col("l_quantity").cast("long"), F.lit(10)) / 2).alias("rating"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("timestamp"))
+    movies = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("movieId"), F.split("p_name", " ").alias("genres"))
+    return P.rating_lines(P.split_by_time(ratings, "timestamp", 0.5, 0.25), movies, P.genre_universe(movies), "binary")
+
+
+@query(f'WITH {_RATINGS} SELECT l_orderkey, l_linenumber, dense, "cross", rank, split FROM x')
+def rating_texts(spark, d):
+    return _rated(spark, d).select("l_orderkey", "l_linenumber", "dense", "cross", "rank", "split")
+
+
+def _outputs() -> str:
+    wanted = {"": "= 'count'", "Train": "= 'train'", "Test": "= 'test'", "All": "<> 'test'"}
+    return " UNION ALL ".join(f"""SELECT '{name}{k}' AS output, {line} AS value FROM x WHERE split {c}""" for name, line in (("count", "dense"), ("mtr", '"cross"'), ("rank", "rank")) for k, c in wanted.items() if k or name == "count")
+
+
+@query(f"WITH {_RATINGS} {_outputs()}")
+def rating_outputs(spark, d):
+    """Ten outputs written by one pass, each line in three to six of them, and read back."""
+    path = shared_path(spark, "outputs")
+    sinks.write_fan_out(_rated(spark, d), P.rating_routes(), path)
+    return spark.read.text(path).select(F.col("output").cast("string").alias("output"), "value")
+
+
+@query("""WITH c AS (SELECT 0 AS f, l_quantity::DOUBLE AS v FROM lineitem UNION ALL SELECT 1, l_discount::DOUBLE FROM lineitem), h AS (SELECT f, v, count(*) AS n FROM c GROUP BY ALL),
+u AS (SELECT f, v, n, sum(n) OVER (PARTITION BY f ORDER BY v) AS upto, (sum(n) OVER (PARTITION BY f)) // 10 AS step FROM h), b AS (SELECT f, i, min(v) AS v FROM u, range(1, 10) r(i) WHERE upto > i * step GROUP BY ALL)
+SELECT f || ' | ' || string_agg(v::VARCHAR, ' ' ORDER BY i) AS value FROM b GROUP BY f""")
+def percentile_file(spark, d):
+    """The lines of a percentile file; the status is no number and has none."""
+    rows = table(spark, d, "lineitem").select(F.array(F.col("l_quantity").cast("string"), F.col("l_discount").cast("string"), "l_linestatus").alias("features"))
+    return P.percentile_lines(rows, 10)
+
+
+LONG_KEEP = 300
+
+
+@query(f"""WITH {_EVENTS}, c2 AS (SELECT ordinal // 100 AS window_id, key, label, count(*)::DOUBLE AS cnt FROM e GROUP BY ALL), v AS (SELECT unnest(range(1, (SELECT max(window_id) FROM c2) + 2)) AS view_id)
+SELECT view_id, key, label, sum(cnt) AS cnt FROM v JOIN c2 ON window_id < view_id AND window_id >= view_id - {LONG_KEEP} GROUP BY ALL""")
+def hot_window_long_view(spark, d):
+    """Many small tables merged over a long view."""
+    rows = arrivals(spark, d).withColumn("window_id", W.window_of("ordinal", 100))
+    return W.hot_view(W.WindowedModel.fit(rows, EVENTS).by_window, LONG_KEEP).select("view_id", "key", "label", "cnt")
+
+
 @query("""WITH x AS (SELECT o_orderkey, o_totalprice AS x, floor(o_totalprice) AS n, o_totalprice - floor(o_totalprice) AS r FROM orders WHERE o_totalprice >= 1),
 y AS (SELECT *, floor(r * 10) AS d1, r * 10 - floor(r * 10) AS r1 FROM x)
 SELECT o_orderkey, CAST(n AS BIGINT)::VARCHAR || CASE WHEN r = 0 THEN '' WHEN r1 > 0 THEN '.' || d1::INT || floor(r1 * 10)::INT ELSE '.' || d1::INT END AS t FROM y""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import scalar as S
 from tallyframe.operators.windows import ranges
+from tallyframe.sources import sinks
 
 
 def numeric_histogram(rows: DataFrame, features: str = "features", *, fraction: float | None = None, seed: int = 1) -> DataFrame:
@@ -32,16 +33,22 @@ def equi_depth_bounds(histogram: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("feature").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(value, times)")))).alias("bounds"))
 
 
-def split_by_time(rows: DataFrame, time_col: str, train: float, count: float) -> DataFrame:
-    """rows with ``split``: by rank in time, the first ``train`` share, then ``count``, the rest "test"."""
-    a, b = F.lit(train), F.lit(train + count)
-    cuts = rows.agg(F.percentile(time_col, F.array(a, b)).alias("c"))
-    return rows.join(F.broadcast(cuts)).withColumn("split", F.when(F.col(time_col) <= F.get("c", F.lit(0)), "train").when(F.col(time_col) <= F.get("c", F.lit(1)), "count").otherwise("test")).drop("c")
+def _split(x: Column, first: Column | float, second: Column | float) -> Column:
+    return F.when(x < first, "count").when(x < second, "train").otherwise("test")
 
 
-def split_by_hash(rows: DataFrame, id_col: str, train: float, count: float, seed: int = 1) -> DataFrame:
+def split_by_time(rows: DataFrame, time_col: str, count: float, train: float) -> DataFrame:
+    """rows with ``split``: those before the time at rank floor(n * count) are for counting, those before the one at
+    floor(n * (count + train)) for training, the rest "test". Equal times are in one split; a null time is in "test"."""
+    cuts = by_rank(rows, time_col, [count, train + count])
+    at = lambda s: F.max(F.when(F.col("share") == s, F.col("value")))
+    pair = cuts.agg(at(count).alias("_c0"), at(train + count).alias("_c1"))  # one row
+    return rows.join(F.broadcast(pair)).withColumn("split", _split(F.col(time_col), F.col("_c0"), F.col("_c1"))).drop("_c0", "_c1")
+
+
+def split_by_hash(rows: DataFrame, id_col: str, count: float, train: float, seed: int = 1) -> DataFrame:
     u = S.uniform(F.pmod(F.col(id_col), F.lit(S.PRIME)), seed)
-    return rows.withColumn("split", F.when(u < train, "train").when(u < train + count, "count").otherwise("test"))
+    return rows.withColumn("split", _split(u, count, train + count))
 
 
 def by_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
@@ -72,21 +79,46 @@ def genre_universe(movies: DataFrame) -> list[str]:
 
 
 def rating_label(rating: Column, kind: str = "raw") -> Column:
-    """integer: twice the rating; binary: 1 from 4.0 on, else -1; raw."""
-    return {"integer": (rating * 2).cast("int").cast("double"), "binary": F.when(rating >= 4.0, 1.0).otherwise(-1.0)}.get(kind, rating)
+    """The label's text. integer: twice the rating; binary: 1 from 4.0 on, else -1; raw: the rating as it is written."""
+    number = rating.cast("double")
+    return {"integer": (number * 2).cast("int").cast("string"), "binary": F.when(number >= 4.0, "1").otherwise("-1")}.get(kind, rating.cast("string"))
 
 
 def rating_lines(ratings: DataFrame, movies: DataFrame, universe: list[str], kind: str = "raw") -> DataFrame:
-    """ratings with three lines each: dense (one-hot genres), cross (user with each genre), rank (movie, user, genres)."""
-    genres = F.array_sort(F.coalesce("genres", F.array().cast("array<string>")))
-    label = rating_label(F.col("rating"), kind).cast("string")
+    """ratings with three lines each, for a movie that isn't known without genres.
+
+    dense: ``<label> |f user-<u> movie-<m>`` and for each genre of the universe its name or ``no-<name>``; cross:
+    ``<label> |g movie-<m> user-<u> <genres> |u <u>-movie-<m> <u>-<genre> ...``; rank: ``<label> |m movie-<m> |u user-<u>
+    |g <genres>``. A movie's genres come in order.
+    """
+    genres = F.array_sort(F.array_distinct(F.coalesce("genres", F.array().cast("array<string>"))))
+    user, movie = F.col("userId"), F.concat(F.lit("movie-"), F.col("movieId"))
     joined = ratings.join(movies.select("movieId", "genres"), "movieId", "left")
-    dense = F.concat(label, F.lit(" | "), F.col("userId"), F.lit(" "), F.col("movieId"), F.lit(" "), F.array_join(F.transform(one_hot(genres, universe), lambda x: x.cast("int").cast("string")), " "))
-    cross = F.concat(label, F.lit(" |g "), F.array_join(genres, " "), F.lit(" |u "), F.array_join(F.transform(genres, lambda g: F.concat(F.col("userId"), F.lit("_"), g)), " "))
-    rank = F.concat(label, F.lit(" |m "), F.col("movieId"), F.lit(" |u "), F.col("userId"), F.lit(" |g "), F.array_join(genres, " "))
+    text, label = F.array_join(genres, " "), rating_label(F.col("rating"), kind)
+    each = F.array(*[F.when(F.array_contains(genres, g), g).otherwise(f"no-{g}") for g in universe]) if universe else F.array().cast("array<string>")
+    dense = F.concat(label, F.lit(" |f user-"), user, F.lit(" "), movie, F.lit(" "), F.array_join(each, " "))
+    crossed = F.array_join(F.transform(genres, lambda g: F.concat(user, F.lit("-"), g)), " ")
+    cross = F.concat(label, F.lit(" |g "), movie, F.lit(" user-"), user, F.lit(" "), text, F.lit(" |u "), user, F.lit("-"), movie, F.lit(" "), crossed)
+    rank = F.concat(label, F.lit(" |m "), movie, F.lit(" |u user-"), user, F.lit(" |g "), text)
     return joined.select(*ratings.columns, dense.alias("dense"), cross.alias("cross"), rank.alias("rank"))
 
 
+def rating_routes() -> list[sinks.Route]:
+    """The ten outputs of rating lines with ``split``: by line, those for counting, training, testing, and all but testing."""
+    split = F.col("split")
+    out = []
+    for name, line in (("count", "dense"), ("mtr", "cross"), ("rank", "rank")):
+        own = {"Train": split == "train", "Test": split == "test", "All": split != "test"} | ({"": split == "count"} if name == "count" else {})
+        out += [sinks.Route(f"{name}{k}", condition, F.col(line)) for k, condition in own.items()]
+    return out
+
+
+def percentile_lines(rows: DataFrame, count: int, *, fraction: float | None = None, seed: int = 1) -> DataFrame:
+    """(value) a percentile file's lines: equi-depth bounds of each feature that is a number in all sampled rows."""
+    bounds = equi_depth_bounds(numeric_histogram(rows, fraction=fraction, seed=seed), count)
+    return bounds.orderBy("feature").select(sinks.percentile_line(F.col("feature"), F.col("bounds")).alias("value"))
+
+
 def name_numeric(line: Column, numeric: int = 14) -> Column:
     """Tokens of a line with ``f<i>:`` before numbers at places below ``numeric`` and before any 0."""
     named = F.transform(F.split(line, " "), lambda t, i: F.when(((i < numeric) & (t.try_cast("float").isNotNull())) | (t == "0"), F.concat(F.lit("f"), i.cast("string"), F.lit(":"), t)).otherwise(t))

@@ -1,7 +1,7 @@
 """Private quantiles: smooth sensitivity, sample-and-aggregate, and the exponential mechanism.
 
-Samples of one group are small by construction (groups, resamples, one feature of a group), so a group's sorted
-values are one array; groups are spread over tasks. Random numbers come from seeds, so a task run again agrees.
+Groups of up to LARGE_GROUP values are handled whole, spread over tasks; if there is a larger one, all go by ranges
+(``privacy/ranges.py``), with equal results. Random numbers come from seeds, so a task run again agrees.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalar as S
+from tallyframe.privacy import ranges as R
+
+#: Values of a group that one task sorts at most.
+LARGE_GROUP = 100_000
 
 
 def smooth_sensitivity_slow(x: np.ndarray, q: float, low: float, high: float, beta: float) -> float:
@@ -33,25 +37,16 @@ def smooth_sensitivity(x: np.ndarray, q: float, low: float, high: float, beta: f
         raise ValueError("more than two values are needed")
     z = np.concatenate(([low], x, [high]))
     at = min(int((len(z) - 2) * q + 1), len(z) - 2)
-    left, right = np.arange(0, at + 1), np.arange(at, len(z))
-    best, stack = 0.0, [(0, len(left) - 1, 0, len(right) - 1)]
-    while stack:
-        a, b, c, d = stack.pop()
-        if a > b:
-            continue
-        m = (a + b) // 2
-        j = right[c : d + 1]
-        v = (z[j] - z[left[m]]) * np.exp(beta * (left[m] - j + 1.0))
-        k = int(len(v) - 1 - np.argmax(v[::-1]))
-        best = max(best, float(v[k]))
-        stack += [(a, m - 1, c, c + k), (m + 1, b, c + k, d)]
-    return best
+    return R.best_pair(z[: at + 1], np.arange(at + 1.0), z[at:], np.arange(at, len(z), dtype=float), beta)
 
 
 def quantile_sensitivity(rows: DataFrame, value: str, q: float, low: float, high: float, beta: float, *, by: tuple[str, ...], fast: bool = True) -> DataFrame:
     """(by..., n, quantile, sensitivity) of each group of more than two values; values are clamped to [low, high]."""
     fn = smooth_sensitivity if fast else smooth_sensitivity_slow
-    groups = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(S.clamp(F.col(value).cast("double"), low, high))).alias("x")).where("size(x) > 2")
+    clean = rows.where(F.col(value).isNotNull()).select(*by, S.clamp(F.col(value).cast("double"), low, high).alias("z"))
+    if fast and R.has_large(clean, by, LARGE_GROUP):
+        return R.sensitivity_by_range(clean, by, q, low, high, beta)
+    groups = clean.groupBy(*by).agg(F.sort_array(F.collect_list("z")).alias("x")).where("size(x) > 2")
 
     @F.pandas_udf("double")
     def sensitivity(x: pd.Series) -> pd.Series:
@@ -74,13 +69,15 @@ def private_quantile(rows: DataFrame, value: str, alpha: float, bound: float, ep
     if not 0 < alpha < 1 or not epsilon > 0:
         raise ValueError("alpha must be in (0, 1) and epsilon positive")
     clean = rows.where(F.col(value).isNotNull()).select(*by, S.clamp(F.col(value).cast("double"), 0.0, bound).alias("z"))
+    if R.has_large(clean, by, LARGE_GROUP):
+        return R.mechanism_by_range(clean, by, alpha, bound, epsilon, u, inside)
     sizes = clean.groupBy(*by).agg(F.count("*").alias("k")).where("k > 1")
     ends = sizes.select(*by, F.explode(F.array(F.struct(F.lit(-1).alias("o"), F.lit(0.0).alias("z")), F.struct(F.lit(1).alias("o"), F.lit(float(bound)).alias("z")))).alias("e")).select(*by, "e.o", "e.z")
     z = clean.select(*by, F.lit(0).alias("o"), "z").unionByName(ends).join(sizes, list(by))
     w = Window.partitionBy(*by).orderBy("o", "z")
     z = z.withColumn("i", F.row_number().over(w) - 1).withColumn("next", F.lead("z").over(w)).where("next is not null")
     z = z.withColumn("weight", (F.col("next") - F.col("z")) * F.exp(-epsilon * F.abs(F.col("i") - alpha * F.col("k"))))
-    z = z.withColumn("upto", F.sum("weight").over(w)).withColumn("whole", F.sum("weight").over(Window.partitionBy(*by)))
+    z = z.withColumn("upto", F.sum("weight").over(Window.partitionBy(*by).orderBy("i"))).withColumn("whole", F.sum("weight").over(Window.partitionBy(*by)))
     chosen = z.where(F.col("upto") > u * F.col("whole")).groupBy(*by).agg(F.min(F.struct("i", "z", "next", "k")).alias("c"))
     return chosen.select(*by, F.col("c.k").alias("k"), (F.col("c.z") + inside * (F.col("c.next") - F.col("c.z"))).alias("estimate"))
 

@@ -1,7 +1,9 @@
-"""Text sinks: lines of vectors, discretized lines, percentile files and splits."""
+"""Text sinks: lines of vectors, discretized lines, percentile files and rows that go to several outputs."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +57,24 @@ def write_text(rows: DataFrame, path: str, *, compressed: bool = True, mode: str
     rows.write.mode(mode).option("compression", "gzip" if compressed else "none").text(path)
 
 
-def write_splits(rows: DataFrame, path: str, column: str = "split") -> None:
-    """One pass that routes each row (value, split) to its split's folder."""
-    rows.write.mode("overwrite").partitionBy(column).option("compression", "gzip").text(path)
+@dataclass(frozen=True)
+class Route:
+    """An output, which rows go there, and their line."""
+
+    output: str
+    condition: Column
+    line: Column
+
+
+def write_fan_out(rows: DataFrame, routes: list[Route], path: str) -> None:
+    """One pass over rows that writes each to all outputs that want it: lines below ``path``/output=<name>, gzipped.
+
+    A condition that is null is false. An output without rows has no folder.
+    """
+    if len({r.output for r in routes}) != len(routes):
+        raise ValueError("outputs need different names")
+    targets = F.array(*[F.when(r.condition, F.struct(F.lit(r.output).alias("output"), r.line.alias("value"))) for r in routes])
+    rows.select(F.inline(F.array_compact(targets))).write.mode("overwrite").partitionBy("output").option("compression", "gzip").text(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -167,14 +167,5 @@ def movies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="userId string, movieId string, rating double, timestamp bigint")
-
-
-def synthetic_lines(spark: SparkSession, rows: int, features: int, *, namespaces: int = 1, keys: bool = False, seed: int = 1) -> DataFrame:
-    """Lines of random whole numbers, a function of row and seed."""
-    value = lambda n, f: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(n), F.lit(f)), F.lit(1000)).cast("string")
-    spaces = []
-    for n in range(namespaces):
-        tokens = [F.concat(F.lit(f"k{f}:"), value(n, f)) if keys else value(n, f) for f in range(features)]
-        spaces.append(F.concat(F.lit(f"|n{n} " if namespaces > 1 else "| "), F.array_join(F.array(*tokens), " ")))
-    return spark.range(rows).select(F.concat(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)).cast("string"), F.lit(" "), F.concat_ws(" ", *spaces)).alias("value"))
+    """(userId, movieId, rating as it is written, timestamp) of a CSV with a header."""
+    return spark.read.csv(path, header=True, schema="userId string, movieId string, rating string, timestamp bigint")

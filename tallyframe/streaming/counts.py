@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,19 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyframe.operators.counts import Spec, exact_counts, merge
+from tallyframe.operators.tables import shared_path
 from tallyframe.operators.windows import with_ordinal
 
 
-def state_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is and all runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file:///tmp/tallyframe-checkpoints"
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def build_incrementally(stream: DataFrame, spec: Spec, observe: Callable[[DataFrame], DataFrame], path: str):
     """Starts a query that writes each micro-batch's partial counts to ``path``/batch=<id>.
 
@@ -53,7 +43,7 @@ def _stream(spark: SparkSession, folder: str, pattern: str, files: int) -> DataF
 
 def count_stream(spark: SparkSession, folder: str, pattern: str, spec: Spec, observe: Callable[[DataFrame], DataFrame], *, files: int = 100) -> DataFrame:
     """All that is there now, counted as a stream of files."""
-    path = state_dir(spark)
+    path = shared_path(spark, "stream")
     build_incrementally(_stream(spark, folder, pattern, files), spec, observe, path).awaitTermination()
     return current(spark, path)
 
@@ -102,7 +92,7 @@ def hot_window_stream(spark: SparkSession, folder: str, pattern: str, observe: C
     label in Spark; what is kept is a table of window counts and the number of arrivals for each batch, so a batch
     that is run again replaces itself. No task holds a batch, and windows that have left the view aren't read.
     """
-    path = state_dir(spark)
+    path = shared_path(spark, "stream")
 
     def add(batch: DataFrame, number: int) -> None:
         before = 0

@@ -298,9 +298,53 @@ def test_delimited_sources(spark, tmp_path):
     universe = P.genre_universe(movies)
     assert universe == ["Action", "Drama"]
     out = P.rating_lines(ratings, movies, universe, "binary").orderBy("movieId").collect()
-    assert (out[0]["dense"], out[0]["rank"], out[1]["dense"]) == ("1.0 | 7 1 1 1", "1.0 |m 1 |u 7 |g Action Drama", "-1.0 | 7 3 0 0")
+    assert out[0]["dense"] == "1 |f user-7 movie-1 Action Drama" and out[1]["dense"] == "-1 |f user-7 movie-3 no-Action no-Drama"
+    assert out[0]["cross"] == "1 |g movie-1 user-7 Action Drama |u 7-movie-1 7-Action 7-Drama" and out[1]["cross"] == "-1 |g movie-3 user-7  |u 7-movie-3 "
+    assert out[0]["rank"] == "1 |m movie-1 |u user-7 |g Action Drama" and out[1]["rank"] == "-1 |m movie-3 |u user-7 |g "
+    labels = {k: [r["dense"].split(" ")[0] for r in P.rating_lines(ratings, movies, universe, k).orderBy("movieId").collect()] for k in ("integer", "raw")}
+    assert labels == {"integer": ["9", "4"], "raw": ["4.5", "2.0"]}
     split = P.split_by_time(ratings, "timestamp", 0.5, 0.25).orderBy("timestamp").collect()
-    assert [r["split"] for r in split] == ["train", "test"]
+    assert [r["split"] for r in split] == ["count", "test"]
+
+
+def test_splits_take_counting_rows_first(spark):
+    rows = spark.createDataFrame([(t,) for t in [5, 1, 1, 2, 9, 7, 7, 3, 4, None]], "t long")
+    got = {r["t"]: r["split"] for r in P.split_by_time(rows, "t", 0.4, 0.3).collect()}
+    # Of nine times in order, those before the one at place 3 (3) count, those before the one at place 6 (7) train.
+    assert got == {1: "count", 2: "count", 3: "train", 4: "train", 5: "train", 7: "test", 9: "test", None: "test"}
+
+
+def test_rows_go_to_all_their_outputs(spark, tmp_path):
+    rows = spark.range(300).select("id", F.when(F.col("id") % 7 != 0, F.array(F.lit("count"), F.lit("train"), F.lit("test"))[(F.col("id") % 3).cast("int")]).alias("split"), F.concat(F.lit("d"), "id").alias("dense"), F.concat(F.lit("c"), "id").alias("cross"), F.concat(F.lit("r"), "id").alias("rank"))
+    routes = P.rating_routes()
+    sinks.write_fan_out(rows, routes, f"file://{tmp_path}/out")
+    assert len(routes) == 10 and len({r.output for r in routes}) == 10
+    found = spark.read.text(f"file://{tmp_path}/out").groupBy("output").agg(F.collect_list("value").alias("v")).collect()
+    for name, lines_ in {r.output: sorted(x[0] for x in rows.where(r.condition).select(r.line).collect()) for r in routes}.items():
+        assert sorted(next(r["v"] for r in found if r["output"] == name)) == lines_
+    per_split = rows.where("split is not null").groupBy("split").agg(*[F.max(F.when(r.condition, 1).otherwise(0)).alias(r.output) for r in routes]).collect()
+    assert {r["split"]: sum(r[1:]) for r in per_split} == {"count": 4, "train": 6, "test": 3}
+    with pytest.raises(ValueError):
+        sinks.write_fan_out(rows, [routes[0], routes[0]], f"file://{tmp_path}/x")
+
+
+def test_preparation_by_command(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    (tmp_path / "c.tsv").write_text("".join(f"{i % 2}\t{i % 10}\t{'x' if i == 3 else i}\n" for i in range(100)))
+    cli.run(spark, f'{{"command": "prepare", "featureCount": 2, "dataFile": "{d}/c.tsv", "outDataFile": "{d}/lines", "percentilesFile": "{d}/percentiles", "percentileCount": 5, "sampleFraction": 1.0}}')
+    assert sorted(r["value"] for r in spark.read.text(f"{d}/lines").collect())[0] == "-1 |f 0 0"
+    assert text.percentiles(text.lines(spark, f"{d}/percentiles")) == {0: [2.0, 4.0, 6.0, 8.0]}  # the second isn't always a number
+    (tmp_path / "m.csv").write_text("movieId,title,genres\n1,A,Drama\n2,B,Action|Drama\n")
+    (tmp_path / "r.csv").write_text("userId,movieId,rating,timestamp\n" + "".join(f"{i},{i % 3},{i % 5}.0,{i}\n" for i in range(20)))
+    for random, folder in (("false", "a"), ("true", "b")):
+        cli.run(spark, f'{{"command": "prepareRatings", "ratingsFile": "{d}/r.csv", "moviesFile": "{d}/m.csv", "outDataFile": "{d}/{folder}", "countProportion": 0.5, "trainProportion": 0.25, "randomSampling": {random}, "labelType": "binary"}}')
+        sizes = {r["output"]: r["count"] for r in spark.read.text(f"{d}/{folder}").groupBy("output").count().collect()}
+        assert sizes["countAll"] == sizes["mtrAll"] == sizes["rankAll"] == sizes["count"] + sizes["countTrain"] and sizes["countAll"] + sizes["countTest"] == 20
+        if random == "false":
+            assert sizes == {"count": 10, "countTrain": 5, "countTest": 5, "countAll": 15, "mtrAll": 15, "mtrTrain": 5, "mtrTest": 5, "rankAll": 15, "rankTrain": 5, "rankTest": 5}
+    lines(spark, "1 | 5 a 0").coalesce(1).write.text(f"{d}/labels")
+    cli.run(spark, f'{{"command": "prepareLabels", "dataFile": "{d}/labels", "outDataFile": "{d}/named"}}')
+    assert spark.read.text(f"{d}/named").first()["value"] == "1 | f1:5 a f3:0"
 
 
 def test_named_numbers(spark):
@@ -453,3 +497,126 @@ def test_ranks_and_draws(spark):
 def test_numbers_from_a_file(spark, tmp_path):
     (tmp_path / "shares.json").write_text("[1, // one\n 2.5]")
     assert C.numbers(spark, f"file://{tmp_path}/shares.json") == [1.0, 2.5]
+
+
+def wide_rows(spark, n, features):
+    """Rows that are nearly all distinct: some columns of few values, some of as many as there are rows."""
+    row = lambda i: [str((i * (j + 3) * 7919 + j) % (5 + 3 * j if j % 3 else n)) for j in range(features)]
+    return spark.createDataFrame([(float(i % 2), row(i)) for i in range(n)], "label double, features array<string>")
+
+
+@pytest.mark.parametrize("most", [32 << 20, 2000, 0])
+def test_lookup_of_many_tables(spark, monkeypatch, most):
+    """Broadcast tables, one shared exchange and any mixture of both agree with counts by hand; plans don't multiply."""
+    from tallyframe.operators import tables as T
+
+    monkeypatch.setattr(T, "BROADCAST_BYTES", most)
+    rows, spec = wide_rows(spark, 60, 12), Spec(12, (0.0, 1.0), ((0, 1), (2, 3, 4)))
+    model = Model.fit(rows, spec)
+    model.b = tuple(float(t % 2) for t in range(14))
+    asked = rows.unionByName(points(spark, [(1, [f"never{j}" for j in range(12)]), (1, ["1"] * 5)])).withColumn("extra", F.lit("x"))
+    done = model.transform(asked, Blocks(True, True, True))
+    found = done.collect()
+    seen = [(r["label"], r["features"]) for r in rows.collect()]
+    assert done.columns == ["label", "features", "extra", "probabilities", "counts", "totals"] and len(found) == 62
+    for r in found:
+        key = lambda f, t: tuple(x for x in (f[i] if i < len(f) else None for i in t) if x is not None)
+        want = [float(sum(y == v and key(f, t) == key(r["features"], t) for y, f in seen)) for t in spec.tables for v in (0.0, 1.0)]
+        assert r["counts"] == want and r["totals"] == [want[k] + want[k + 1] for k in range(0, 28, 2)]
+    plan = model.transform(asked, Blocks(True, True, True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") <= 1  # not one for each table
+    assert sorted(map(str, model.lookup(asked).collect())) == sorted(map(str, model.lookup(asked.repartition(3)).collect()))
+
+
+def test_stored_tables_are_looked_up_as_they_are(spark, tmp_path):
+    rows = wide_rows(spark, 40, 3)
+    model = Model.fit(rows, Spec(3, (0.0, 1.0)))
+    storage.save(model, f"file://{tmp_path}/m")
+    again = storage.load(spark, f"file://{tmp_path}/m")
+    assert again.prepared(rows).path.endswith("/m/tables")
+    assert sorted(map(str, again.transform(rows).collect())) == sorted(map(str, model.transform(rows).collect()))
+    again.counts = again.counts.withColumn("cnt", F.col("cnt") * 2)  # other counts, other tables
+    assert again.transform(rows, Blocks(False, True)).agg(F.sum(F.get("counts", F.lit(0)))).first()[0] == 2 * model.transform(rows, Blocks(False, True)).agg(F.sum(F.get("counts", F.lit(0)))).first()[0]
+
+
+@pytest.mark.parametrize("keep,current", [(1, False), (3, False), (3, True), (300, False), (300, True)])
+def test_merged_view_by_differences(spark, monkeypatch, keep, current):
+    monkeypatch.setattr(W, "VIEW_BLOCK", 4)
+    held = [(w, t, k, 1.0, float(1 + (w * 7 + len(k)) % 5)) for w in (0, 1, 2, 5, 6, 9, 17, 18) for t, k in ((0, "a"), (0, "bb"), (1, "a")) if (w + len(k)) % 3]
+    by_window = spark.createDataFrame(held, "window_id long, table_id int, key string, label double, cnt double")
+    want = {}
+    for view in range(0, 19 if current else 20):
+        for w, t, k, label, cnt in held:
+            if view - keep <= w <= (view if current else view - 1):
+                want[view, t, k, label] = want.get((view, t, k, label), 0) + cnt
+    got = W.hot_view(by_window, keep, current).collect()
+    assert {(r["view_id"], r["table_id"], r["key"], r["label"]): r["cnt"] for r in got} == want and len(got) == len(want)
+    spans = W.hot_view_intervals(by_window, keep, current).count()
+    assert spans <= 2 * len(held)
+
+
+@pytest.mark.parametrize("per_range", [3, 17, 10**6])
+def test_private_quantiles_by_range(spark, monkeypatch, per_range):
+    """Groups over many ranges have the results of groups in one array."""
+    from tallyframe.privacy import ranges as R
+
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in (("a", 200), ("b", 3), ("c", 2), ("d", 60), ("e", 1)) for v in np.round(rng.normal(50, 40, n), 0 if g == "d" else 3)]
+    rows += [("f", 7.0)] * 50 + [("g", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    monkeypatch.setattr(R, "PER_RANGE", per_range)
+    for q, beta in ((0.3, 0.05), (0.01, 0.5), (0.99, 0.001), (1.0, 0.1)):
+        whole = {r["g"]: tuple(r)[1:] for r in D.quantile_sensitivity(df, "v", q, 0.0, 100.0, beta, by=("g",)).collect()}
+        monkeypatch.setattr(D, "LARGE_GROUP", 10)
+        by_range = {r["g"]: tuple(r)[1:] for r in D.quantile_sensitivity(df, "v", q, 0.0, 100.0, beta, by=("g",)).collect()}
+        assert by_range.keys() == whole.keys() and len(whole) == 4
+        for g in whole:
+            assert by_range[g] == pytest.approx(whole[g], rel=1e-9)
+        monkeypatch.setattr(D, "LARGE_GROUP", 10**6)
+    for alpha, u, inside in ((0.5, 0.4, 0.25), (0.1, 0.0, 0.5), (0.9, 0.99, 0.0)):
+        whole = {r["g"]: tuple(r)[1:] for r in D.private_quantile(df, "v", alpha, 80.0, 0.2, by=("g",), u=u, inside=inside).collect()}
+        monkeypatch.setattr(D, "LARGE_GROUP", 10)
+        by_range = {r["g"]: tuple(r)[1:] for r in D.private_quantile(df, "v", alpha, 80.0, 0.2, by=("g",), u=u, inside=inside).collect()}
+        monkeypatch.setattr(D, "LARGE_GROUP", 10**6)
+        assert by_range.keys() == whole.keys() and len(whole) == 5
+        for g in whole:
+            assert by_range[g] == pytest.approx(whole[g], rel=1e-6)
+
+
+def hot_by_hand(rows, size, keep, hot):
+    """Views and points held of each group after its rows (group, order, key, label) in order."""
+    out = set()
+    for g in {r[0] for r in rows}:
+        own = sorted((o, k, label) for x, o, k, label in rows if x == g)
+        n, view = len(own), {}
+        for i, (_, k, label) in enumerate(own):
+            if n // size - keep <= i // size < n // size:
+                view[k, label] = view.get((k, label), 0) + 1
+        out |= {(g, n, "view", None, k, label, float(c)) for (k, label), c in view.items()}
+        out |= {(g, n, "point", i, k, label, 1.0) for i, (_, k, label) in enumerate(own) if i >= n // hot * hot - hot}
+    return out
+
+
+def test_hot_windows_keep_bounded_state(spark, tmp_path):
+    """Several batches, a restart from the checkpoint, and what is held in the end."""
+    from tallyframe.streaming import hot as H
+
+    rows = [(f"g{i % 3 if i % 4 else 0}", i, f"k{i % 5}", float(i % 2)) for i in range(500)]
+    shape = "group string, o long, key string, label double"
+    source, path = f"file://{tmp_path}/in", f"file://{tmp_path}/state"
+
+    def run(low, high, *cuts):
+        for a, b in zip([low, *cuts], [*cuts, high], strict=True):
+            spark.createDataFrame(rows[a:b], shape).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+        H.run_hot_windows(H.hot_windows(stream, order="o", count_table_size=20, keep=2, hot_window_size=15), path)
+        return {tuple(r[c.split(" ")[0]] for c in H.SHAPE.split(", ")) for r in H.latest(spark, path).collect()}
+
+    assert run(0, 200, 90, 91, 150) == hot_by_hand(rows[:200], 20, 2, 15)
+    assert run(200, 500, 333) == hot_by_hand(rows, 20, 2, 15)
+    states = spark.read.parquet(f"{path}/states")
+    assert states.select("batch").distinct().count() == 6
+    assert states.where("kind = 'point'").groupBy("batch", "group").count().agg(F.max("count")).first()[0] <= 30
+    assert states.where("kind = 'view'").groupBy("batch", "group").count().agg(F.max("count")).first()[0] <= 10
+    with pytest.raises(ValueError):
+        H.HotWindows("o", 0, 1, 1)
