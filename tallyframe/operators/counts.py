@@ -43,10 +43,13 @@ def key_of(table: tuple[int, ...], features: str = "features") -> Column:
 
 def exact_counts(observations: DataFrame, spec: Spec, *, use_weights: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., table_id, key, label, cnt). Weights are ignored unless asked for; a null weight counts 1."""
+    return _exploded(observations, spec, use_weights, by).groupBy(*by, "table_id", "key", "label").agg(F.sum("w").alias("cnt"))
+
+
+def _exploded(observations: DataFrame, spec: Spec, use_weights: bool, by: tuple[str, ...] = ()) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(t).alias("table_id"), key_of(table).alias("key")) for t, table in enumerate(spec.tables)])
     one = F.coalesce(F.col("weight"), F.lit(1.0)) if use_weights else F.lit(1.0)
-    exploded = observations.select(*by, "label", one.alias("w"), F.inline(keys))
-    return exploded.groupBy(*by, "table_id", "key", "label").agg(F.sum("w").alias("cnt"))
+    return observations.select(*by, "label", one.alias("w"), F.inline(keys))
 
 
 def label_counts(observations: DataFrame, *, use_weights: bool = False) -> DataFrame:
@@ -93,9 +96,11 @@ class Model:
         return self.b[table_id] if isinstance(self.b, tuple) else self.b
 
     @classmethod
-    def fit(cls, observations: DataFrame, spec: Spec, **options) -> Model:
+    def fit(cls, observations: DataFrame, spec: Spec, *, use_weights: bool = False) -> Model:
         """Labels are counted by themselves: a scan of one column, beside the counts' own."""
-        return cls(spec, exact_counts(observations, spec, **options), label_counts(observations, **options))
+        out = cls(spec, exact_counts(observations, spec, use_weights=use_weights), label_counts(observations, use_weights=use_weights))
+        out._source = out.counts, lambda: out._sums(_exploded(observations, spec, use_weights).withColumnRenamed("w", "cnt"))
+        return out
 
     def merge(self, other: Model) -> Model:
         if self.spec != other.spec:
@@ -121,13 +126,18 @@ class Model:
 
     def wide(self, by: tuple[str, ...] = ()) -> DataFrame:
         """(by..., table_id, key, c: counts of the declared labels in their order), never below 0."""
+        if not by and getattr(self, "_source", (None,))[0] is self.counts:  # fitted here: one aggregate instead of two
+            return self._source[1]()
+        return self._sums(self.counts, by)
+
+    def _sums(self, rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         sums = [F.greatest(F.coalesce(F.sum(F.when(F.col("label") == v, F.col("cnt"))), F.lit(0.0)), F.lit(0.0)) for v in self.spec.labels]
-        return self.counts.groupBy(*by, "table_id", "key").agg(F.array(*sums).alias("c"))
+        return rows.groupBy(*by, "table_id", "key").agg(F.array(*sums).alias("c"))
 
     def prepared(self, points: DataFrame) -> Tables:
         """The tables as they are looked up, written once for a model's counts. points: those that are looked up."""
         if getattr(self, "_prepared", (None,))[0] is not self.counts:
-            self.use(Tables.write(self.wide(), len(self.spec.labels)))
+            self.use(Tables.write(self.wide(), len(self.spec.tables), len(self.spec.labels)))
         return self._prepared[1]
 
     def use(self, tables: Tables) -> None:

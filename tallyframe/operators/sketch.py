@@ -142,7 +142,7 @@ class SketchModel(Model):
         entries = F.array(*[F.struct(F.lit(t).alias("table_id"), key.alias("key")) for t, key in self.keys().items()])
         found = self.estimates(points.select(F.inline(entries)).distinct())
         wide = found.groupBy("table_id", "key").agg(F.array(*[F.max(F.when(F.col("label") == v, F.col("cnt"))) for v in self.spec.labels]).alias("c"))
-        return Tables.write(wide, len(self.spec.labels))
+        return Tables.write(wide, len(self.spec.tables), len(self.spec.labels))
 
     def count_for(self, points: DataFrame, indices: tuple[int, ...], label: float) -> DataFrame:
         if tuple(indices) not in self.spec.tables or label not in self.spec.labels:

@@ -27,7 +27,7 @@ def save(model: Model, path: str) -> None:
     if isinstance(model, SketchModel):
         meta |= {"sketch": [model.sketch.epsilon, model.sketch.delta, model.sketch.kind], "seed": model.seed, "draws": model.draws}
     elif "noise" not in model.counts.columns:
-        tables = Tables.write(Model(model.spec, _counts(spark, path), model.labels).wide(), len(model.spec.labels), f"{path}/tables")
+        tables = Tables.write(Model(model.spec, _counts(spark, path), model.labels).wide(), len(model.spec.tables), len(model.spec.labels), f"{path}/tables")
         meta["tables"] = {"schema": tables.schema, "sizes": list(tables.sizes.items())}
     _save_meta(spark, meta, path)
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of tables that one lookup broadcasts at most, as they are in memory; smallest tables first.
@@ -45,27 +46,29 @@ class Tables:
     sizes: dict[int, tuple[int, int]]
 
     @classmethod
-    def write(cls, rows: DataFrame, labels: int, path: str | None = None) -> Tables:
-        """rows (table_id, key, c, ...): each key of a table once."""
+    def write(cls, rows: DataFrame, tables: int, labels: int, path: str | None = None) -> Tables:
+        """rows (table_id, key, c, ...): each key of a table once. They are measured as they are written."""
         spark = rows.sparkSession
         path = path or shared_path(spark, "count-tables")
         bucket = F.pmod(F.xxhash64("key"), F.lit(FILES))
+        seen = Observation()
+        of = lambda t: F.col("table_id") == t
+        sizes = [F.struct(F.count_if(of(t)).alias("n"), F.sum(F.when(of(t), F.octet_length("key"))).alias("text")).alias(f"t{t}") for t in range(tables)]
+        if sizes:
+            rows = rows.observe(seen, *sizes)
         rows.repartition("table_id", bucket).sortWithinPartitions("table_id", "key").write.mode("overwrite").partitionBy("table_id").parquet(path)
+        found = seen.get if sizes else {}
+        known = {t: (found[f"t{t}"]["n"], found[f"t{t}"]["text"] + found[f"t{t}"]["n"] * (ROW_BYTES + 16 * labels)) for t in range(tables) if found[f"t{t}"]["n"]}
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "table_id")
-        return cls(spark, path, schema, cls.measured(spark, path, schema, labels))
+        return cls(spark, path, schema, known)
 
-    @staticmethod
-    def measured(spark: SparkSession, path: str, schema: str, labels: int) -> dict[int, tuple[int, int]]:
-        found = spark.read.schema(f"{schema}, table_id int").parquet(path).groupBy("table_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("text"))
-        return {r["table_id"]: (r["n"], r["text"] + r["n"] * (ROW_BYTES + 16 * labels)) for r in found.collect()}
+    @cached_property
+    def all(self) -> DataFrame:
+        """(key, c, ..., table_id): the folders are listed once; a filter on table_id reads the folders that it names."""
+        return self.spark.read.schema(f"{self.schema}, table_id int").parquet(self.path)
 
     def read(self, t: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/table_id={t}")
-
-    def read_all(self, tables: list[int]) -> DataFrame:
-        """(key, c, ..., table_id) of some tables."""
-        folders = [f"{self.path}/table_id={t}" for t in tables]
-        return self.spark.read.schema(f"{self.schema}, table_id int").option("basePath", self.path).parquet(*folders)
+        return self.all.where(F.col("table_id") == t)
 
     def small(self, tables: list[int]) -> list[int]:
         """Which of them are broadcast: the smallest ones, up to the bound together."""
@@ -78,7 +81,7 @@ class Tables:
         return out
 
     def look_up(self, points: DataFrame, keys: dict[int, Column], value: Callable[[int], Column], same: Callable[[int], object], prefix: str = "_v") -> DataFrame:
-        """points with ``<prefix><t>``: the value of each table's key, null where it has none.
+        """points with ``<prefix><t>``: the value of each table's key, null where it has none; and further columns.
 
         keys: of the points, by table. value: of a table, over the columns that tables have; it is made once for each
         key. same: tables of equal ``same`` have the same value expression.
@@ -88,11 +91,11 @@ class Tables:
         small = self.small(present)
         large = [t for t in present if t not in small]
         for t in small:
-            own = self.read(t).select(F.col("key").alias("_key"), value(t).alias(f"{prefix}{t}"))
-            out = out.join(F.broadcast(own), keys[t] == F.col("_key"), "left").drop("_key")
+            own = self.read(t).select(F.col("key").alias(f"_key{t}"), value(t).alias(f"{prefix}{t}"))
+            out = out.join(F.broadcast(own), keys[t] == F.col(f"_key{t}"), "left")
         if len(large) == 1:
             own = self.read(large[0]).select(F.col("key").alias("_key"), value(large[0]).alias(f"{prefix}{large[0]}"))
-            out = out.join(own, keys[large[0]] == F.col("_key"), "left").drop("_key")
+            out = out.join(own, keys[large[0]] == F.col("_key"), "left")
         elif large:
             out = self._together(out, {t: keys[t] for t in large}, value, same, prefix)
         absent = [t for t in keys if t not in self.sizes]
@@ -114,7 +117,7 @@ class Tables:
         kinds: dict[object, list[int]] = {}
         for t in keys:
             kinds.setdefault(same(t), []).append(t)
-        sides = [self.read_all(ts).select("table_id", "key", value(ts[0]).alias("_value")) for ts in kinds.values()]
+        sides = [self.all.where(F.col("table_id").isin(ts)).select("table_id", "key", value(ts[0]).alias("_value")) for ts in kinds.values()]
         values = sides[0]
         for s in sides[1:]:
             values = values.unionByName(s)
@@ -126,5 +129,5 @@ class Tables:
         asked = distinct.select(digest([F.col(n) for n in names.values()]).alias("_row"), F.inline(entries))
         found = asked.join(values, (F.col("_t") == F.col("table_id")) & (F.col("_key") == F.col("key")), "left").select("_row", "_at", "_value")
         rows = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_value"))).alias("_all"))
-        out = points.withColumn("_own", digest(list(keys.values()))).join(rows, F.col("_own") == F.col("_row"), "left").drop("_own", "_row")
-        return out.withColumns({f"{prefix}{t}": F.get("_all", F.lit(i))["_value"] for t, i in place.items()}).drop("_all")
+        out = points.withColumn("_own", digest(list(keys.values()))).join(rows, F.col("_own") == F.col("_row"), "left")
+        return out.withColumns({f"{prefix}{t}": F.get("_all", F.lit(i))["_value"] for t, i in place.items()})

@@ -36,7 +36,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return text.dealt(spark.read.parquet(f"{d}/{name}.parquet"))
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def dealt_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """For work that is bound by the CPU before anything is aggregated."""
+    return text.dealt(table(spark, d, name))
 
 
 # Line items as labelled observations: quantity bucket, discount, status; label 1 for returned ones.
@@ -382,7 +387,7 @@ def feature_set(spark, d):
     """A namespace of keys and a namespace of 2-grams of values."""
     pair = lambda k, v: F.struct(k.alias("key"), S.col(v).cast("double").alias("value"))
     spaces = F.create_map(F.lit("price"), F.array(pair(F.col("o_orderpriority"), "o_totalprice")), F.lit("ids"), F.array(pair(F.lit("c"), "o_custkey"), pair(F.lit("s"), F.pmod("o_custkey", F.lit(7)))))
-    return table(spark, d, "orders").select("o_orderkey", F.posexplode(S.feature_set(spaces, {"ids": 2}, 10)).alias("place", "f")).select("o_orderkey", "place", "f.key", "f.value")
+    return dealt_table(spark, d, "orders").select("o_orderkey", F.posexplode_outer(S.feature_set(spaces, {"ids": 2}, 10)).alias("place", "f")).where("place is not null").select("o_orderkey", "place", "f.key", "f.value")
 
 
 @query("SELECT (SELECT count(*) FROM lineitem) AS n, list_sort(list(l_extendedprice))[CAST(floor(count(*) * 0.25) AS INT) + 1]::DOUBLE AS low, list_sort(list(l_extendedprice))[CAST(floor(count(*) * 0.5) AS INT) + 1]::DOUBLE AS middle FROM lineitem")
@@ -401,7 +406,7 @@ def weighted_counts(spark, d):
 
 
 def _line_texts(spark, d) -> DataFrame:
-    t = table(spark, d, "lineitem")
+    t = dealt_table(spark, d, "lineitem")
     return t.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.when(F.col("l_returnflag") == "R", "1").otherwise("-1"), F.lit(" |f "), F.col("l_quantity").cast("string"), F.lit(" q:"), F.col("l_discount").cast("string"), F.lit(" "), F.col("l_linestatus")).alias("value"))
 
 
@@ -423,10 +428,9 @@ def vw_format(spark, d):
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, ns, k, v FROM orders, LATERAL (VALUES
   ('a', '0', o_custkey::DOUBLE), ('a', 'x', 2.0::DOUBLE), ('a', '2', 7.0::DOUBLE), ('', '0', floor(o_totalprice)::DOUBLE)) t(ns, k, v)""")
 def namespaced_parse(spark, d):
-    o = table(spark, d, "orders")
+    o = dealt_table(spark, d, "orders")
     rows = o.select("o_orderkey", F.concat(F.when(F.col("o_orderstatus") == "F", "1").otherwise("0"), F.lit(" |a "), F.col("o_custkey").cast("string"), F.lit(" x:2 | "), F.floor("o_totalprice").cast("string"), F.lit(" |a 7")).alias("value"))
-    parsed = text.parse_namespaced(rows).select("o_orderkey", "label", F.explode("namespaces").alias("ns", "fs"))
-    return parsed.select("o_orderkey", "label", "ns", F.inline("fs"))
+    return text.namespaced_features(text.parse_namespaced(rows), "o_orderkey", "label")
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
@@ -435,7 +439,7 @@ SELECT doc_id, CAST(place - 1 AS INT) AS place, ((('0x' || substr(md5(key), 1, 8
 def ngram_hash(spark, d):
     words = F.filter(F.split(F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     grams = S.ngrams(F.lit("text"), words, 2)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(grams).alias("place", "key")).select("doc_id", "place", S.hashed_feature(F.col("key"), 10).alias("feature"))
+    return dealt_table(spark, d, "documents").select("doc_id", F.posexplode_outer(grams).alias("place", "key")).where("place is not null").select("doc_id", "place", S.hashed_feature(F.col("key"), 10).alias("feature"))
 
 
 @query("""WITH o AS (SELECT doc_id, quality, lang AS k0, source AS k1, CASE WHEN n_chars <= 500 THEN '500.0' WHEN n_chars <= 2000 THEN '2000.0' ELSE '8000.0' END AS k2 FROM documents JOIN labels USING (doc_id)),
@@ -461,7 +465,7 @@ def onehot_split(spark, d):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, CASE WHEN o_totalprice <= 100000 THEN '100000.0' ELSE '500000.0' END AS f0, '' AS f1, o_orderpriority[1:1] AS f2, o_orderpriority[3:3] AS f3 FROM orders""")
 def string_parse(spark, d):
-    o = table(spark, d, "orders")
+    o = dealt_table(spark, d, "orders")
     value = F.concat(F.when(F.col("o_orderstatus") == "F", "1").otherwise("-1"), F.lit(" | "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" 3:"), F.substring("o_orderpriority", 3, 1), F.lit(" "), F.substring("o_orderpriority", 1, 1))
     parsed = text.parse_strings(o.select("o_orderkey", value.alias("value")), 4, {0: [100000.0, 500000.0]})
     return parsed.select("o_orderkey", "label", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(4)])
@@ -495,7 +499,7 @@ def count_for_feature(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, '1 | f1:' || l_quantity::VARCHAR || ' ' || l_linestatus || ' f3:0' AS value FROM lineitem")
 def named_numbers(spark, d):
-    t = table(spark, d, "lineitem")
+    t = dealt_table(spark, d, "lineitem")
     return t.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("1 |"), P.name_numeric(F.concat(F.lit(" "), F.col("l_quantity").cast("string"), F.lit(" "), F.col("l_linestatus"), F.lit(" 0")))).alias("value"))
 
 
@@ -590,7 +594,7 @@ GROUP_SIZE, GROUP_HOT, SLICES = 100, 150, 4
 
 
 @query(f"""WITH e AS (SELECT CAST(user_id % 10 AS VARCHAR) AS g, event_type AS key, CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS ordinal, count(*) OVER (PARTITION BY user_id % 10) AS n FROM events)
-SELECT g AS "group", n AS arrivals, 'view' AS kind, NULL::BIGINT AS ordinal, key, label, count(*)::DOUBLE AS cnt FROM e WHERE ordinal // {GROUP_SIZE} < n // {GROUP_SIZE} AND ordinal // {GROUP_SIZE} >= n // {GROUP_SIZE} - {KEEP} GROUP BY ALL
+SELECT g AS "group", n AS arrivals, 'view' AS kind, -1::BIGINT AS ordinal, key, label, count(*)::DOUBLE AS cnt FROM e WHERE ordinal // {GROUP_SIZE} < n // {GROUP_SIZE} AND ordinal // {GROUP_SIZE} >= n // {GROUP_SIZE} - {KEEP} GROUP BY ALL
 UNION ALL SELECT g, n, 'point', ordinal, key, label, 1.0 FROM e WHERE ordinal >= n // {GROUP_HOT} * {GROUP_HOT} - {GROUP_HOT}""")
 def stream_hot_groups(spark, d):
     """Hot windows of ten groups of users over several micro-batches: their merged views and the points they hold."""
@@ -601,7 +605,7 @@ def stream_hot_groups(spark, d):
         e.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/arrivals")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrivals")
     hot.run_hot_windows(hot.hot_windows(stream, order="event_id", count_table_size=GROUP_SIZE, keep=KEEP, hot_window_size=GROUP_HOT), path)
-    return hot.latest(spark, path)
+    return hot.latest(spark, path).na.fill(-1, ["ordinal"])
 
 
 # Preparation: line items as ratings of parts by suppliers, the words of a part's name as its genres.
@@ -617,7 +621,7 @@ x AS (SELECT l_orderkey, l_linenumber, label || ' |f user-' || r.u || ' movie-'
 
 
 def _rated(spark, d) -> DataFrame:
-    t = table(spark, d, "lineitem")
+    t = dealt_table(spark, d, "lineitem")
     ratings = t.select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("userId"), F.col("l_partkey").cast("string").alias("movieId"), (F.pmod(F.col("l_quantity").cast("long"), F.lit(10)) / 2).alias("rating"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("timestamp"))
     movies = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("movieId"), F.split("p_name", " ").alias("genres"))
     return P.rating_lines(P.split_by_time(ratings, "timestamp", 0.5, 0.25), movies, P.genre_universe(movies), "binary")
@@ -665,4 +669,4 @@ def hot_window_long_view(spark, d):
 y AS (SELECT *, floor(r * 10) AS d1, r * 10 - floor(r * 10) AS r1 FROM x)
 SELECT o_orderkey, CAST(n AS BIGINT)::VARCHAR || CASE WHEN r = 0 THEN '' WHEN r1 > 0 THEN '.' || d1::INT || floor(r1 * 10)::INT ELSE '.' || d1::INT END AS t FROM y""")
 def compact_format(spark, d):
-    return table(spark, d, "orders").where("o_totalprice >= 1").select("o_orderkey", formats.compact_text(F.col("o_totalprice")).alias("t"))
+    return dealt_table(spark, d, "orders").where("o_totalprice >= 1").select("o_orderkey", formats.compact_text(F.col("o_totalprice")).alias("t"))

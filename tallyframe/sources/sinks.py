@@ -74,7 +74,8 @@ def write_fan_out(rows: DataFrame, routes: list[Route], path: str) -> None:
     if len({r.output for r in routes}) != len(routes):
         raise ValueError("outputs need different names")
     targets = F.array(*[F.when(r.condition, F.struct(F.lit(r.output).alias("output"), r.line.alias("value"))) for r in routes])
-    rows.select(F.inline(F.array_compact(targets))).write.mode("overwrite").partitionBy("output").option("compression", "gzip").text(path)
+    sent = rows.select(F.inline_outer(F.array_compact(targets))).where("output is not null")  # outer: targets are made once
+    sent.write.mode("overwrite").partitionBy("output").option("compression", "gzip").text(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -153,6 +153,16 @@ def parse_namespaced(rows: DataFrame, by_feature: dict[int, list[float]] | None
     return out.withColumn("namespaces", spaces).drop("_n", "_names")
 
 
+def namespaced_features(parsed: DataFrame, *kept: str) -> DataFrame:
+    """What parse_namespaced gives as rows (kept..., ns, k, v), one for each feature.
+
+    Outer generators: inner ones have their input tested for emptiness, and the whole parse for that a second time,
+    where the rows are scanned.
+    """
+    spaces = parsed.select(*kept, F.explode_outer("namespaces").alias("ns", "fs")).where("ns is not null")
+    return spaces.select(*kept, "ns", F.inline_outer("fs")).where("k is not null")
+
+
 def criteo(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """Tab-separated label and ``columns`` features: label 1 stays, all else is -1; an empty or missing field is 0.0."""
     fields = F.split("value", "\t")

@@ -135,6 +135,6 @@ def run_hot_windows(states: DataFrame, path: str) -> None:
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest state of each group."""
-    states = spark.read.schema(SHAPE).parquet(f"{path}/states")
+    states = spark.read.schema(SHAPE).parquet(f"{path}/states").drop("batch")
     newest = states.groupBy("group").max("arrivals").toDF("group", "arrivals")
     return states.join(newest, ["group", "arrivals"], "left_semi")
