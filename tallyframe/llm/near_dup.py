@@ -222,7 +222,7 @@ def _verify(similarity: float):
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id) of every row; class_id is the smallest id of the class.
+    """(id, class_id) of every row; class_id is the smallest id of the class, in the order of the ids' own type.
 
     A null text and a text without words are in no class but their own; of equal texts all are in one class.
     A null id has the class of its text, or null. Members are texts, not ids: repeated rows are returned as often as
@@ -234,9 +234,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 def _classified(documents: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """(id, class_id, _text: the digest of the row's text, null for a null text) of every row."""
-    # A member is a distinct text, named by its digest. The id's own type comes back at the end; inside, ids are longs.
-    slim = documents.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col))).alias("m"), F.col(text_col).alias("text"))
-    sketched = written(slim.mapInArrow(_sketches, "id long, m binary, n long, keys array<long>"), "sketches")
+    # A member is a distinct text, named by its digest. Ids keep their own type and order.
+    kind = documents.schema[id_col].dataType
+    slim = documents.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("m"), F.col(text_col).alias("text"))
+    sketched = written(slim.mapInArrow(_sketches, f"id {kind.simpleString()}, m binary, n long, keys array<long>"), "sketches")
     reps = written(sketched.where("n > 0 and id is not null").groupBy("m").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "representatives")
     member = reps.select("m", "n", F.explode("keys").alias("key"))
     # What is joined by bucket is a written table each, so that both sides are exchanges of their own and hot buckets are split.
@@ -268,8 +269,7 @@ def _classified(documents: DataFrame, id_col: str, text_col: str, similarity: fl
     least = written(classes.groupBy("root").agg(F.min("id").alias("class_id")), "class-ids")
     classes = classes.join(least.hint("merge"), "root").select("m", "class_id")
     out = sketched.select("id", "m", F.when(F.col("n") > 0, F.col("m")).alias("same")).join(classes.withColumnRenamed("m", "same"), "same", "left")
-    kind = documents.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("class_id", "id").cast(kind).alias("class_id"), F.col("m").alias("_text"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.col("m").alias("_text"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

@@ -31,7 +31,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import textbytes as tb
@@ -142,7 +142,7 @@ def _parts(lists: pa.Array, anchor: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shard(groups: list[list[tuple[bytes, int, int, int]]]) -> tuple[list[int], list[list[int]]]:
+def _shard(groups: list[list[tuple[bytes, int, int, int]]], shift: int = 0) -> tuple[list[int], list[list[int]]]:
     """groups: by anchor, (piece, key, first id, last id). The keys, and the first ids of the windows of each piece."""
     codes: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton()
@@ -171,7 +171,7 @@ def _shard(groups: list[list[tuple[bytes, int, int, int]]]) -> tuple[list[int],
                     if first < o:
                         owner[x] = first
                     continue
-                if last > first:
+                if last >> shift > first >> shift:
                     again.add(x)
         for x in again:
             automaton.add_word(x, (WINDOW, owner[x]))
@@ -189,41 +189,84 @@ def _shard(groups: list[list[tuple[bytes, int, int, int]]]) -> tuple[list[int],
     return keys, owners
 
 
-def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, part, piece, key, first id, last id), with those of an anchor's part together: for each piece, by key, the first id of each of its windows."""
-    groups: list[list[tuple[bytes, int, int, int]]] = []
-    held, group = 0, None
+def _locate(shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (anchor, part, piece, key, first id, last id), with those of an anchor's part together: for each piece, by key, the first id of each of its windows."""
+        groups: list[list[tuple[bytes, int, int, int]]] = []
+        held, group = 0, None
 
-    def done() -> pa.RecordBatch:
-        keys, owners = _shard(groups)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.list_(pa.int64()))], ["key", "owners"])
+        def done() -> pa.RecordBatch:
+            keys, owners = _shard(groups, shift)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.list_(pa.int64()))], ["key", "owners"])
 
-    for batch in batches:
-        for anchor, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (anchor, part) != group:
-                if held >= SHARD_PIECES:
-                    yield done()
-                    groups, held = [], 0
-                groups.append([])
-                group = anchor, part
-            groups[-1].append(tuple(row))
-            held += 1
-    if groups:
-        yield done()
-
-
-def _with_hits(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """(id, text, other columns as x0, x1, ..., sorted starts of windows that an earlier document has)."""
+        for batch in batches:
+            for anchor, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (anchor, part) != group:
+                    if held >= SHARD_PIECES:
+                        yield done()
+                        groups, held = [], 0
+                    groups.append([])
+                    group = anchor, part
+                groups[-1].append(tuple(row))
+                held += 1
+        if groups:
+            yield done()
+
+    return run
+
+
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, int]:
+    """documents, the column of whole numbers that names its rows, and how many bits of it don't count when ids are compared.
+
+    Whole-number ids that stand for one text each are that column themselves. Otherwise it is a further column, last:
+    the place of the id in the order of its type, above the place of the text among those of the id. Rows of equal id
+    and text share it; where the id is null it is null.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    known = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.md5(text).alias("same"))
+    if documents.schema[id_col].dataType.simpleString() in INTEGERS:
+        several = known.groupBy("id").agg(F.min("same").alias("s0"), F.max("same").alias("s1")).where("s0 <> s1")
+        if several.limit(1).isEmpty():
+            return documents, id_col, 0
+    spark = documents.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(known.distinct().repartitionByRange(n, "id", "same").withColumn("part", F.spark_partition_id()), "id-ranges")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("id", "same")) - 1
+    places = written(ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("id", "same", (F.col("before") + F.col("inside")).alias("place")), "id-places")
+    firsts = places.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    most = firsts.agg(F.max("n").alias("n"), F.max("first").alias("first")).first()
+    shift = max(0, (most["n"] or 1) - 1).bit_length()
+    if (most["first"] or 0).bit_length() + shift > 62:
+        raise ValueError("too many texts for one id")
+    keys = places.join(firsts, "id").select(F.col("id").alias("_i"), F.col("same").alias("_s"), (F.shiftleft("first", shift) + F.col("place") - F.col("first")).alias("_k"))
+    name = "_key"
+    while name in documents.columns:
+        name += "_"
+    out = documents.join(keys, (documents[id_col] == keys["_i"]) & (F.md5(F.coalesce(documents[text_col], F.lit(""))) == keys["_s"]), "left")
+    return out.select(*[documents[c] for c in documents.columns], keys["_k"].alias(name)), name, shift
+
+
+def _with_hits(documents: DataFrame, id_col: str, text_col: str, shift: int) -> tuple[DataFrame, list[str]]:
+    """(id, text, other columns as x0, x1, ..., sorted starts of windows that an earlier document has).
+
+    Ids name texts; they are compared without their lowest ``shift`` bits.
+    """
     others = [c for c in documents.columns if c not in (id_col, text_col)]
     spark = documents.sparkSession
+    smaller = lambda a, b: F.shiftright(a, shift) < F.shiftright(b, shift) if shift else F.col(a) < F.col(b) if isinstance(a, str) else a < F.col(b)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The key is never null: a filter on nulls, pushed under one exchange only, would keep it from being reused.
-    base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(others)])
+    # Rows without an id are dealt by their texts. The key is never null: a filter on nulls, pushed under one exchange only, would keep it from being reused.
+    base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 40))).alias("key"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(others)])
     dealt = base.repartition(n, "key")
     # Copies: (key, id of the first of the equal texts), from the ids and digests alone.
     digests = base.where("id is not null and text is not null").select("key", F.md5("text").alias("same"))
-    first = digests.groupBy("same").agg(F.min("key").alias("i0"), F.max("key").alias("i1")).where("i0 < i1").select("same", "i0")
-    copies = digests.join(first, "same").where("key > i0").select("key", F.lit(True).alias("copy")).distinct()
+    first = digests.groupBy("same").agg(F.min("key").alias("i0"), F.max("key").alias("i1")).where(smaller("i0", "i1")).select("same", "i0")
+    copies = digests.join(first, "same").where(smaller("i0", "key")).select("key", F.lit(True).alias("copy")).distinct()
     marked = dealt.join(copies, "key", "left")
     rows = marked.select("id", "text", "key", *[c for c in base.columns if c not in ("id", "text", "key")], "copy").mapInArrow(_anchor_rows, "anchor long, id long, times int").where("anchor is not null and id is not null")
     parts = (1 + F.floor(F.sum("times") * (WINDOW - GRAM + 1) / HOT_PIECES)).cast("int")
@@ -235,9 +278,9 @@ def _with_hits(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     pieces = dealt.join(by_document.withColumnRenamed("id", "key"), "key").select(*base.columns, "anchors", "hot").mapInArrow(_piece_rows, "anchor long, id long, start int, piece binary, parts int").where("id is not null")
     distinct = pieces.groupBy("anchor", "piece", "parts").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     distinct = distinct.select("anchor", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("piece"), "parts").cast("int")).otherwise(0).alias("part"), "piece", F.xxhash64("anchor", "piece").alias("key"), "first", "last")
-    located = distinct.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_locate, "key long, owners array<long>")
+    located = distinct.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_locate(shift), "key long, owners array<long>")
     hits = pieces.select("id", "start", F.xxhash64("anchor", "piece").alias("key")).join(located, "key")
-    starts = F.filter(F.transform("owners", lambda o, k: F.when(o < F.col("id"), F.col("start") + k)), lambda x: x.isNotNull())
+    starts = F.filter(F.transform("owners", lambda o, k: F.when(smaller(o, "id"), F.col("start") + k)), lambda x: x.isNotNull())
     hits = hits.select("id", starts.alias("starts")).where("size(starts) > 0").groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
     # A copy has the starts [-1]: all windows.
     out = marked.join(hits.withColumnRenamed("id", "key"), "key", "left").withColumn("starts", F.when(F.col("id").isNotNull(), F.when(F.col("copy"), F.array(F.lit(-1))).otherwise(F.col("starts"))))
@@ -279,21 +322,28 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row.
 
-    A null text has no words. A row without an id is never smaller or larger than another: it loses nothing. An id
-    stands for one text; repeated rows lose the same words. Other columns aren't looked at. An empty table gives none.
+    A null text has no words. A row without an id is never smaller or larger than another: it loses nothing. Ids are
+    of any type that has an order. Rows of one id with different texts are documents each, none smaller than another;
+    repeated rows lose the same words. Other columns aren't looked at. An empty table gives an empty result. A text is
+    read whole by one task.
     """
-    kind = documents.schema[id_col].dataType
-    found, _ = _with_hits(documents.select(id_col, text_col), id_col, text_col)
-    return found.mapInArrow(_report, "id long, n_words long, n_removed long, kept_sha256 string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    kind = documents.schema[id_col].dataType.simpleString()
+    keyed, key, shift = _keyed(documents.select(id_col, text_col), id_col, text_col)
+    found, others = _with_hits(keyed, key, text_col, shift)
+    own = "x0" if others else "id"  # the id itself, where it isn't the key
+    return found.select(F.col(own).cast(kind).alias("id"), "text", "starts").mapInArrow(_report, f"id {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents with repeated passages cut from the texts, each with the white space after it; other columns as they are.
 
     Null, empty and other texts without a repeated window stay as they are, byte for byte. A row without an id loses
-    nothing; repeated rows lose the same words. Other columns may have any names. An empty table gives an empty result.
+    nothing; rows of one id with different texts are documents each, none smaller than another; repeated rows lose the
+    same words. Ids are of any type that has an order. Other columns may have any names. An empty table gives an empty
+    result.
     """
-    found, others = _with_hits(documents, id_col, text_col)
+    keyed, key, shift = _keyed(documents, id_col, text_col)
+    found, others = _with_hits(keyed, key, text_col, shift)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +366,7 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(texts, pa.string()), *[batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns - 1)]], batch.schema.names[:-1])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-1])
-    out = found.mapInArrow(cut, shape).toDF(id_col, text_col, *others)
+    out = found.mapInArrow(cut, shape).toDF(key, text_col, *others)
     return out.select(*[F.col(c).cast(documents.schema[c].dataType) for c in documents.columns])
 
 
