@@ -29,30 +29,19 @@ def observations(spark: SparkSession, path: str, feature_count: int, percentiles
     return parsed.select(F.monotonically_increasing_id().alias("row_id"), "label", "weight", F.transform("features", lambda x: x.cast("string")).alias("features"), "raw")
 
 
-def sketched(model: Model, sketch: K.Sketch, noise=None) -> Model:
-    """The model with its counts as a sketch answers them: an estimate for every key seen with any label."""
-    rows = model.counts.select("table_id", "key", "label", "cnt", S.string_key(F.concat_ws("|", "key", F.col("label").cast("string"))).alias("k"))
-    keys = rows.select("table_id", "key").distinct().select("*", F.explode(F.array(*[F.lit(v) for v in model.spec.labels])).alias("label"))
-    keys = keys.withColumn("k", S.string_key(F.concat_ws("|", "key", F.col("label").cast("string"))))
-    found = sketch.query(keys, sketch.build(rows.select("table_id", "k", "cnt")), len(model.spec.tables), noise)
-    return Model(model.spec, found.select("table_id", "key", "label", F.col("estimate").alias("cnt")), model.labels, model.b)
-
-
-def _table_counts(model: Model, kinds: list[dict], scales: list[float], draws: int, seed: int, backing: bool) -> DataFrame:
-    """Counts of each table by its own kind and noise scale, as one long table."""
-    out = None
-    for t in range(len(model.spec.tables)):
-        own, kind, b = model.counts.where(F.col("table_id") == t), kinds[t], scales[t]
-        one = Model(model.spec, own, model.labels)
-        name = {"unbiased_cms": "count_median"}.get(kind["type"], kind["type"])
-        if name in ("exact", "precise"):
-            counts = N.noisy(own, b, seed=seed, draws=draws, backing=backing)
-        else:
-            each = N.noise(N.cell_key(), b, seed=seed, draws=draws) if b and not backing else None
-            counts = sketched(one, K.Sketch(kind["epsilon"], kind["delta"], name), each).counts
-            counts = N.noisy(counts, b, seed=seed, draws=draws, backing=True) if backing else counts
-        out = counts if out is None else out.unionByName(counts)
-    return out
+def _kind(conf: dict) -> K.Sketch | None:
+    """A table's sketch by its configuration; None for exact counts."""
+    if conf["type"] in ("exact", "precise"):
+        return None
+    return K.Sketch(conf["epsilon"], conf["delta"], {"unbiased_cms": "count_median"}.get(conf["type"], conf["type"]))
+
+
+def _parts(kinds: list[K.Sketch | None], scales: list[float]) -> list[K.Part]:
+    """Tables of equal kind and noise scale together."""
+    found: dict[tuple, list[int]] = {}
+    for t, key in enumerate(zip(kinds, scales, strict=True)):
+        found.setdefault(key, []).append(t)
+    return [K.Part(tuple(ts), sketch, b) for (sketch, b), ts in found.items()]
 
 
 def build(spark: SparkSession, conf: C.Registry) -> Model | W.WindowedModel:
@@ -67,22 +56,23 @@ def build(spark: SparkSession, conf: C.Registry) -> Model | W.WindowedModel:
     if seed is None and any(scales):
         raise ValueError("noiseSeed is required with noise, and must be secret for privacy")
     seed = seed or 0
-    first = kinds[0]
+    weighted = conf.option("useWeights", "boolean")
+    path = conf.get("countTableFile", "string")
+    sketches = [_kind(k) for k in kinds]
     if conf.option("windowSize", "int"):
-        if any(scales) or any(k["type"] not in ("exact", "precise") for k in kinds) or conf.option("useWeights", "boolean"):
+        if any(scales) or any(sketches) or weighted:
             raise ValueError("windowed models have exact counts, without noise or weights")
         windowed = W.WindowedModel.fit(W.with_ordinal(rows, "row_id"), spec, conf.option("windowSize", "int"))
-        storage.save_windowed(windowed, conf.get("countTableFile", "string"))
+        storage.save_windowed(windowed, path)
         return windowed
-    if all(k == first for k in kinds) and first["type"] not in ("exact", "precise") and not backing and not conf.option("useWeights", "boolean"):
+    if all(k is not None and k == sketches[0] for k in sketches) and not backing:
         # One kind of sketch for all tables: the cells are the model.
-        name = {"unbiased_cms": "count_median"}.get(first["type"], first["type"])
-        model = K.SketchModel.fit(rows, spec, K.Sketch(first["epsilon"], first["delta"], name), b=tuple(scales), seed=seed, draws=draws)
-        storage.save(model, conf.get("countTableFile", "string"))
-        return model
-    exact = Model.fit(rows, spec, use_weights=conf.option("useWeights", "boolean"))
-    model = Model(spec, _table_counts(exact, kinds, scales, draws, seed, backing), exact.labels, tuple(scales))
-    storage.save(model, conf.get("countTableFile", "string"))
+        model = K.SketchModel.fit(rows, spec, sketches[0], use_weights=weighted, b=tuple(scales), seed=seed, draws=draws)
+    elif not any(sketches) and not any(scales):
+        model = Model.fit(rows, spec, use_weights=weighted)
+    else:
+        model = K.MixedModel.fit(rows, spec, _parts(sketches, scales), use_weights=weighted, seed=seed, draws=draws, backing=backing)
+    storage.save(model, path)
     return model
 
 
@@ -116,8 +106,8 @@ def transform(spark: SparkSession, conf: C.Registry) -> DataFrame:
         points = W.with_ordinal(rows, "row_id").withColumn("window_id", W.window_of("ordinal", windowed.size))
         return _write_lines(windowed.texts(points, blocks, criteria, conf.option("decimalDigits", "int")), windowed.spec, blocks, conf)
     model = storage.load(spark, conf.get("countTableFile", "string"))
-    if "noise" in model.counts.columns:
-        model.counts = N.with_backing(model.counts, conf.option("addBackingTableNoise", "boolean"))
+    if isinstance(model, K.MixedModel) and model.backing:
+        model = model.with_noise(conf.option("addBackingTableNoise", "boolean"))
     out = _write_lines(model.texts(rows, blocks, criteria, conf.option("decimalDigits", "int")), model.spec, blocks, conf)
     if conf.option("updateCountFile", "string"):
         storage.save(storage.update(model, rows), conf.option("updateCountFile", "string"))
@@ -156,10 +146,10 @@ def discretize(spark: SparkSession, conf: C.Registry) -> DataFrame:
 
 
 def compute_noise_weights(spark: SparkSession, conf: C.Registry) -> DataFrame:
-    model = storage.load(spark, conf.get("countTableFile", "string"))
+    """Weights by the totals of the lines in the model's tables; of a windowed model in those over all windows."""
+    path = conf.get("countTableFile", "string")
+    model = storage.load_windowed(spark, path).full if conf.option("windowSize", "int") else storage.load(spark, path)
     rows = observations(spark, conf.get("transformDataFilePath", "string"), conf.get("featureCount", "int"), conf.option("percentilesFile", "string"))
-    if conf.option("windowSize", "int"):
-        raise ValueError("noise weights are of models without windows")
     totals = model.transform(rows, Blocks(probabilities=False, totals=True)).select("row_id", "totals")
     groups = D.groups_for(totals.count(), conf.option("multiGroups", "boolean"))
     found = D.noise_weights(totals, conf.get("percentile", "double"), conf.get("epsilonDP", "double"), groups=groups)

@@ -41,13 +41,14 @@ def key_of(table: tuple[int, ...], features: str = "features") -> Column:
     return F.concat_ws(SEPARATOR, *[F.get(F.col(features), F.lit(i)) for i in table]) if table else F.lit("")
 
 
-def exact_counts(observations: DataFrame, spec: Spec, *, use_weights: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., table_id, key, label, cnt). Weights are ignored unless asked for; a null weight counts 1."""
-    return _exploded(observations, spec, use_weights, by).groupBy(*by, "table_id", "key", "label").agg(F.sum("w").alias("cnt"))
+def exact_counts(observations: DataFrame, spec: Spec, *, use_weights: bool = False, by: tuple[str, ...] = (), tables: tuple[int, ...] | None = None) -> DataFrame:
+    """(by..., table_id, key, label, cnt). Weights are ignored unless asked for; a null weight counts 1. tables: only these."""
+    return exploded(observations, spec, use_weights, by, tables).groupBy(*by, "table_id", "key", "label").agg(F.sum("w").alias("cnt"))
 
 
-def _exploded(observations: DataFrame, spec: Spec, use_weights: bool, by: tuple[str, ...] = ()) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(t).alias("table_id"), key_of(table).alias("key")) for t, table in enumerate(spec.tables)])
+def exploded(observations: DataFrame, spec: Spec, use_weights: bool, by: tuple[str, ...] = (), tables: tuple[int, ...] | None = None) -> DataFrame:
+    """(by..., label, w, table_id, key): a row of each observation for each table."""
+    keys = F.array(*[F.struct(F.lit(t).alias("table_id"), key_of(table).alias("key")) for t, table in enumerate(spec.tables) if tables is None or t in tables])
     one = F.coalesce(F.col("weight"), F.lit(1.0)) if use_weights else F.lit(1.0)
     return observations.select(*by, "label", one.alias("w"), F.inline(keys))
 
@@ -99,7 +100,7 @@ class Model:
     def fit(cls, observations: DataFrame, spec: Spec, *, use_weights: bool = False) -> Model:
         """Labels are counted by themselves: a scan of one column, beside the counts' own."""
         out = cls(spec, exact_counts(observations, spec, use_weights=use_weights), label_counts(observations, use_weights=use_weights))
-        out._source = out.counts, lambda: out._sums(_exploded(observations, spec, use_weights).withColumnRenamed("w", "cnt"))
+        out._source = out.counts, lambda: out._sums(exploded(observations, spec, use_weights).withColumnRenamed("w", "cnt"))
         return out
 
     def merge(self, other: Model) -> Model:
@@ -140,6 +141,10 @@ class Model:
             self.use(Tables.write(self.wide(), len(self.spec.tables), len(self.spec.labels)))
         return self._prepared[1]
 
+    def asked(self, points: DataFrame) -> DataFrame:
+        """(table_id, key, c) of all keys that the points can ask for."""
+        return self.wide()
+
     def use(self, tables: Tables) -> None:
         """Looks up in tables that are written already, until counts are replaced."""
         self._prepared = self.counts, tables
@@ -200,10 +205,12 @@ class Model:
         found = self._looked_up(points, of_key)
         return found.select(*points.columns, *[F.concat(*[F.col(f"v{t}")[k] for t in range(len(self.spec.tables))]).alias(k) for k in names])
 
-    def transform(self, points: DataFrame, blocks: Blocks = Blocks(), criteria: Criteria = Criteria(), places: int | None = None) -> DataFrame:
+    def transform(self, points: DataFrame, blocks: Blocks = Blocks(), criteria: Criteria = Criteria(), places: int | None = None, window: int | None = None) -> DataFrame:
         """points with an array column for each block, in the order probabilities, counts, totals: by table, then by label.
 
-        places: decimals to round to, once for each key."""
+        places: decimals to round to, once for each key. A model without windows refuses to be asked for one."""
+        if window is not None:
+            raise ValueError("this model has no windows")
         change = (lambda v: v) if places is None else lambda v: F.transform(v, lambda x: F.round(x, places))
         return self._arrays(points, blocks, criteria, change)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import Model, Spec
-from tallyframe.operators.sketch import Sketch, SketchModel, dense_bytes
+from tallyframe.operators.sketch import MixedModel, Part, Sketch, SketchModel, dense_bytes
 from tallyframe.operators.tables import Tables
 from tallyframe.operators.windows import HotWindow, WindowedModel
 
@@ -19,6 +19,8 @@ def save(model: Model, path: str) -> None:
     A model of exact counts also has its tables as they are looked up, with their sizes, so that a transform of the
     loaded model aggregates nothing. Backing noise is added or left out by the reader: such a model has counts only.
     """
+    if isinstance(model, MixedModel):
+        return save_mixed(model, path)
     spark = model.counts.sparkSession
     within = "w" if isinstance(model, SketchModel) else "key"
     model.counts.repartition("table_id", F.pmod(F.xxhash64(within), F.lit(16))).write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/counts")
@@ -36,11 +38,32 @@ def _counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/counts").withColumn("table_id", F.col("table_id").cast("int"))
 
 
+def save_mixed(model: MixedModel, path: str) -> None:
+    """The counts or cells of each part, and what the parts are."""
+    for i, (p, held) in enumerate(model.parts):
+        held.repartition("table_id", F.pmod(F.xxhash64("w" if p.sketch else "key"), F.lit(16))).write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/parts/{i}")
+    model.labels.write.mode("overwrite").parquet(f"{path}/labels")
+    parts = [{"tables": p.tables, "sketch": p.sketch and [p.sketch.epsilon, p.sketch.delta, p.sketch.kind], "b": p.b, "schema": held.drop("table_id").schema.simpleString()} for p, held in model.parts]
+    meta = {"feature_count": model.spec.feature_count, "labels": model.spec.labels, "combinations": model.spec.combinations, "parts": parts, "seed": model.seed, "draws": model.draws, "backing": model.backing}
+    _save_meta(model.labels.sparkSession, meta, path)
+
+
+def _load_mixed(spark: SparkSession, path: str, spec: Spec, meta: dict) -> MixedModel:
+    parts = []
+    for i, m in enumerate(meta["parts"]):
+        part = Part(tuple(m["tables"]), Sketch(*m["sketch"]) if m["sketch"] else None, m["b"])
+        columns = m["schema"].removeprefix("struct<").removesuffix(">").replace(":", " ")
+        parts.append((part, spark.read.schema(f"{columns}, table_id int").parquet(f"{path}/parts/{i}")))
+    return MixedModel(spec, parts, spark.read.parquet(f"{path}/labels"), seed=meta["seed"], draws=meta["draws"], backing=meta["backing"])
+
+
 def load(spark: SparkSession, path: str) -> Model:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     if "window_size" in meta:
         raise ValueError(f"the model at {path} has windows")
     spec = Spec(meta["feature_count"], tuple(meta["labels"]), tuple(map(tuple, meta["combinations"])))
+    if "parts" in meta:
+        return _load_mixed(spark, path, spec, meta)
     b = tuple(meta["b"]) if isinstance(meta["b"], list) else meta["b"]
     counts, labels = _counts(spark, path), spark.read.parquet(f"{path}/labels")
     if "sketch" in meta:
@@ -53,6 +76,9 @@ def load(spark: SparkSession, path: str) -> Model:
 
 def update(model: Model, observations: DataFrame) -> Model:
     """The model with further observations, as of after a transform with the old one."""
+    if isinstance(model, MixedModel):
+        more = MixedModel.fit(observations, model.spec, [p for p, _ in model.parts], seed=model.seed, draws=model.draws, backing=True)
+        return model.merge(MixedModel(model.spec, more.parts, more.labels, seed=model.seed, draws=model.draws, backing=model.backing))
     if isinstance(model, SketchModel):
         return model.merge(SketchModel.fit(observations, model.spec, model.sketch, b=model.b, seed=model.seed, draws=model.draws))
     return model.merge(Model.fit(observations, model.spec))

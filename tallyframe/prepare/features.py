@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import scalar as S
 from tallyframe.operators.windows import ranges
+from tallyframe.privacy import ranges as R
 from tallyframe.sources import sinks
 
 
@@ -19,11 +20,19 @@ def numeric_histogram(rows: DataFrame, features: str = "features", *, fraction:
     return counted.join(bad, "feature", "left_anti")
 
 
+#: Distinct values of a feature that one task sorts at most.
+LARGE_FEATURE = 1_000_000
+
+
 def equi_depth_bounds(histogram: DataFrame, buckets: int) -> DataFrame:
     """(feature, bounds) of (feature, value, cnt): bound i is the first value with over i * (total div buckets) values up
-    to it, for i from 1 to buckets - 1; a value may be several bounds."""
-    w = Window.partitionBy("feature").orderBy("value")
-    upto = histogram.withColumn("upto", F.sum("cnt").over(w)).withColumn("step", F.expr(f"sum(cnt) over (partition by feature) div {buckets}"))
+    to it, for i from 1 to buckets - 1; a value may be several bounds. Features of very many values are summed by ranges."""
+    counted = R.written(histogram, "histogram")
+    if R.has_large(counted, ("feature",), LARGE_FEATURE):
+        upto = R.in_ranges(counted, ("feature",), "value")[0].select("feature", F.col("z").alias("value"), "cnt", "upto", F.expr(f"n div {buckets}").alias("step"))
+    else:
+        w = Window.partitionBy("feature").orderBy("value")
+        upto = counted.withColumn("upto", F.sum("cnt").over(w)).withColumn("step", F.expr(f"sum(cnt) over (partition by feature) div {buckets}"))
     # Bounds i with upto - cnt <= i * step < upto.
     before, step = F.col("upto") - F.col("cnt"), F.nullif(F.col("step"), F.lit(0))
     low = F.greatest(F.ceil(before / step), F.lit(1))
@@ -33,6 +42,17 @@ def equi_depth_bounds(histogram: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("feature").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(value, times)")))).alias("bounds"))
 
 
+def medians(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
+    """(by..., n, median) of the values that aren't null; of two middle ones their mean. Values are counted, then summed by ranges."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("cnt"))
+    placed, _ = R.in_ranges(counted, by, "v")
+    before = F.col("upto") - F.col("cnt")
+    holds = lambda place: (before <= place) & (place < F.col("upto"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = placed.where(holds(low) | holds(high)).groupBy(*by).agg(F.max("n").alias("n"), F.min("z").alias("a"), F.max("z").alias("b"))
+    return middle.select(*by, "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
 def _split(x: Column, first: Column | float, second: Column | float) -> Column:
     return F.when(x < first, "count").when(x < second, "train").otherwise("test")
 

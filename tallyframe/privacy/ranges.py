@@ -19,7 +19,7 @@ from tallyframe.operators.tables import shared_path
 PER_RANGE = 100_000
 
 
-def _written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str) -> DataFrame:
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -41,13 +41,13 @@ def in_ranges(counted: DataFrame, by: tuple[str, ...], value: str, cnt: str = "c
     before, n, next): smallest and largest value, the sum before the range and in the group, the first value after it.
     Ranges are fixed by writing them, as they are read more than once.
     """
-    held = _written(counted.select(*by, F.col(value).cast("double").alias("z"), F.col(cnt).alias("cnt")), "values")
+    held = written(counted.select(*by, F.col(value).cast("double").alias("z"), F.col(cnt).alias("cnt")), "values")
     parts = max(1, math.ceil(held.count() / (per_range or PER_RANGE)))
-    dealt = _written(held.repartitionByRange(parts, *by, "z").withColumn("part", F.spark_partition_id()), "ranges")
+    dealt = written(held.repartitionByRange(parts, *by, "z").withColumn("part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy(*by, "part").agg(F.sum("cnt").alias("size"), F.min("z").alias("first"), F.max("z").alias("last"))
     over = Window.partitionBy(*by).orderBy("part")  # a row for each range
     edges = sizes.select(*by, "part", "first", "last", (F.sum("size").over(over) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy(*by)).alias("n"), F.lead("first").over(over).alias("next"))
-    edges = _written(edges, "edges")
+    edges = written(edges, "edges")
     inside = dealt.withColumn("inside", F.sum("cnt").over(Window.partitionBy(*by, "part").orderBy("z")))
     rows = _joined(inside, edges.select(*by, "part", "before", "n", "next"), (*by, "part")).select(*by, "part", "z", "cnt", (F.col("inside") + F.col("before")).alias("upto"), "n", "next")
     return rows, edges
@@ -87,7 +87,7 @@ def sensitivity_by_range(clean: DataFrame, by: tuple[str, ...], q: float, low: f
     before = F.col("upto") - F.col("cnt")
     # Ties count once: at their last place as a left end, at their first as a right end.
     placed = rows.select(*by, "part", "z", "n", at.alias("at"), F.when(before < at, F.least("upto", at)).alias("i"), F.when(F.col("upto") >= at, F.greatest(before + 1, at)).alias("j"), ((before < at) & (F.col("upto") >= at)).alias("here"))
-    placed = _written(placed, "placed")
+    placed = written(placed, "placed")
     ends_of = [F.min(F.when(F.col(k).isNotNull(), F.struct("z", k))).alias(f"{k}_low") for k in "ij"] + [F.max(F.when(F.col(k).isNotNull(), F.struct("z", k))).alias(f"{k}_high") for k in "ij"]
     summary = placed.groupBy(*by, "part").agg(*ends_of, F.max("n").alias("n"), F.max(F.when(F.col("here"), F.col("z"))).alias("quantile"))
     flat = summary.select(*by, "part", "n", "quantile", *[F.col(f"{k}_{e}")[c].cast("double").alias(f"{k}_{e}_{c}") for k in "ij" for e in ("low", "high") for c in ("z", k)])
@@ -106,7 +106,7 @@ def sensitivity_by_range(clean: DataFrame, by: tuple[str, ...], q: float, low: f
         head = [f[c].iloc[0] for c in by] + [int(f.n.iloc[0]), float(f["quantile"].max()), floor]
         return pd.DataFrame([(*head, a, b) for a, b in out] or [(*head, -1, -1)], columns=[*by, "n", "quantile", "floor", "left", "right"])
 
-    pairs = _written(flat.groupBy(*by).applyInPandas(candidates, _schema(placed, by, "n long, quantile double, floor double, left int, right int")), "pairs")
+    pairs = written(flat.groupBy(*by).applyInPandas(candidates, _schema(placed, by, "n long, quantile double, floor double, left int, right int")), "pairs")
 
     def opened(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("z", kind="stable")
@@ -136,7 +136,7 @@ def mechanism_by_range(clean: DataFrame, by: tuple[str, ...], alpha: float, boun
     rows, _ = in_ranges(counted, by, "z", per_range=per_range)
     after = F.coalesce(F.lead("z").over(Window.partitionBy(*by, "part").orderBy("z")), "next", F.lit(float(bound)))
     gaps = rows.where("n > 1").withColumn("after", after)
-    gaps = _written(gaps.select(*by, "part", "z", "after", F.col("upto").alias("i"), F.col("n").alias("k"), ((F.col("after") - F.col("z")) * F.exp(-epsilon * F.abs(F.col("upto") - alpha * F.col("n")))).alias("weight")), "gaps")
+    gaps = written(gaps.select(*by, "part", "z", "after", F.col("upto").alias("i"), F.col("n").alias("k"), ((F.col("after") - F.col("z")) * F.exp(-epsilon * F.abs(F.col("upto") - alpha * F.col("n")))).alias("weight")), "gaps")
     sums = gaps.groupBy(*by, "part").agg(F.sum("weight").alias("w"))
     over = Window.partitionBy(*by).orderBy("part")  # a row for each range
     sums = sums.select(*by, "part", (F.sum("w").over(over) - F.col("w")).alias("before"), F.sum("w").over(over).alias("upto_w"), F.sum("w").over(Window.partitionBy(*by)).alias("whole"))

@@ -122,6 +122,55 @@ def partition_ways(rows: DataFrame, id_col: str, m: int, *, seed: int = 1) -> Da
     return with_ordinal(rows.withColumn("_h", F.xxhash64(id_col, F.lit(seed))), "_h", "_o").withColumn("part", F.pmod("_o", F.lit(m)).cast("int")).drop("_h", "_o")
 
 
+#: Draws of a group that are counted together; rounds of drawing until an error.
+DRAW_BLOCK = 4096
+ROUNDS = 40
+
+
+def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: int, *, seed: int = 1) -> DataFrame:
+    """rows with ``group``: random groups of exactly ``size`` different rows, a row in ``most`` of them at most.
+
+    Each group draws rows evenly; draws it has already, and those over a row's cap, are drawn again in further rounds.
+    Groups may share rows. With a cap of one the groups are a random partition of a part of the rows.
+    """
+    from tallyframe.operators.windows import with_ordinal
+
+    spark = rows.sparkSession
+    places = R.written(with_ordinal(rows.withColumn("_h", F.xxhash64(id_col, F.lit(seed))), "_h", "_o").drop("_h"), "places")
+    n = places.count()
+    if size > n or groups * size > most * n:
+        raise ValueError("the groups need more rows than the cap allows")
+    if most <= 1:
+        return places.withColumn("group", F.floor(F.col("_o") / max(1, size)).cast("int")).where(F.col("group") < groups).drop("_o")
+    held = None
+    need = dict.fromkeys(range(groups), size)
+    for turn in range(ROUNDS):
+        wanted = spark.createDataFrame([(g, k, k + k // 4 + 16) for g, k in need.items() if k], "g int, need long, draws long")
+        draws = wanted.select("g", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(DRAW_BLOCK).cast("long"))).alias("from"), "draws")
+        draws = draws.repartition("g", "from").select("g", "need", F.explode(F.sequence("from", F.least(F.col("from") + DRAW_BLOCK, "draws") - 1)).alias("i"))
+        drawn = draws.withColumn("o", F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "g", "i"), F.lit(n)))
+        fresh = drawn.groupBy("g", "o").agg(F.min("i").alias("i"), F.max("need").alias("need"))
+        if held is not None:
+            used = held.groupBy("o").agg(F.count("*").alias("used"))
+            fresh = fresh.join(held, ["g", "o"], "left_anti").join(used, "o", "left").na.fill(0, ["used"])
+        else:
+            fresh = fresh.withColumn("used", F.lit(0))
+        # A row's draws are at most one for each group.
+        open_ = fresh.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy("i", "g"))).where(F.col("r") + F.col("used") <= most)
+        block = open_.withColumn("block", F.floor(F.col("i") / DRAW_BLOCK))
+        sizes = block.groupBy("g", "block").agg(F.count("*").alias("n"))
+        before = sizes.select(F.col("g").alias("_g"), F.col("block").alias("_b"), (F.sum("n").over(Window.partitionBy("g").orderBy("block")) - F.col("n")).alias("before"))
+        inside = block.withColumn("r", F.row_number().over(Window.partitionBy("g", "block").orderBy("i")))
+        first = inside.join(before, (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_b"))).where(F.col("before") + F.col("r") <= F.col("need"))
+        taken = first.select("g", "o")
+        held = R.written(taken if held is None else held.unionByName(taken), "groups")
+        have = {r["g"]: r["n"] for r in held.groupBy("g").agg(F.count("*").alias("n")).collect()}  # a row for each group
+        need = {g: size - have.get(g, 0) for g in range(groups)}
+        if not any(need.values()):
+            return places.join(held, F.col("_o") == F.col("o")).withColumn("group", F.col("g")).drop("_o", "o", "g")
+    raise ValueError("the groups could not be filled under the cap")
+
+
 def sample_aggregate(rows: DataFrame, value: str, id_col: str, fn: Callable[[np.ndarray], float], *, count: int, low: float, high: float, epsilon: float, dimensions: int = 1, seed: int = 1) -> DataFrame:
     """One row (median, sensitivity, estimate): fn of random samples, aggregated by their median with smooth noise."""
     n = rows.count()
@@ -154,13 +203,20 @@ def pairwise(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def noise_weights(totals: DataFrame, percentile: float, epsilon: float, *, groups: int = 1, bound: float = 1e6, seed: int = 1) -> DataFrame:
     """(group, weights): per group and feature a private quantile of totals, as whole numbers in feature order.
 
-    totals: (row_id, totals array). Each row is in one group. The privacy budget is divided among the features.
+    totals: (row_id, totals array). A group is a random one n-th of the rows, for n groups; groups may share rows, but a
+    row is in at most the root of a group's size of them. The privacy budget is divided among the features.
     """
     n_features = totals.select(F.size("totals").alias("n")).limit(1).first()
     if n_features is None:
         return totals.sparkSession.createDataFrame([], "group int, weights string")
     n = n_features["n"]
-    dealt = partition_ways(totals, "row_id", groups, seed=seed).withColumnRenamed("part", "group")
+    if groups == 1:
+        dealt = totals.withColumn("group", F.lit(0))
+    else:
+        count = totals.count()
+        groups = min(groups, count)
+        size = count // groups
+        dealt = capped_groups(totals, "row_id", groups, size, max(1, math.isqrt(size)), seed=seed)
     long = dealt.select("group", F.posexplode("totals").alias("feature", "x"))
     found = quantile_sensitivity(long, "x", percentile, 1.0, bound, epsilon / (6 * n), by=("group", "feature"))
     u = S.uniform(F.pmod(F.col("group") * 1009 + F.col("feature"), F.lit(S.PRIME)).cast("bigint"), seed)

@@ -1,15 +1,17 @@
 """Text sources: lines with a label, optional weight and features after a bar; delimited files; sniffed gzip.
 
-Everything but the gzip sniffing is column expressions over ``spark.read.text``. A dense line is
+Everything but reading sniffed files is column expressions over ``spark.read.text``. A dense line is
 ``<label> [weight] |[namespace] v v k:v ...``.
 """
 
 from __future__ import annotations
 
-import gzip
+import re
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +34,91 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Bytes of a plain file that one task reads, and of a block in memory.
+RANGE_BYTES = 64 << 20
+BLOCK_BYTES = 1 << 20
+
+
 def lines(spark: SparkSession, path: str, *, sniff: bool = False) -> DataFrame:
-    """(value) of each line. Gzip is known by its extension, or with ``sniff`` by the first two bytes of each file."""
+    """(value) of each line. Gzip is known by its extension, or with ``sniff`` by the first two bytes of each file.
+
+    Sniffed files are read in blocks, plain ones by ranges of bytes, so that no task holds a file, whatever its size;
+    a gzip file is one stream by nature. Bytes that aren't UTF-8 are replaced, a carriage return before a line's end is cut.
+    """
     if not sniff:
         return spark.read.text(path)
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f.content:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
-                text = data.decode("utf-8", "replace").split("\n")
-                yield pd.DataFrame({"value": text[:-1] if text[-1] == "" else text})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
+    files = spark.read.format("binaryFile").load(path)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long")))
+    # Paths and lengths alone: contents are opened in the tasks.
+    ranges = files.select("path", starts.alias("start")).repartition(spark.sparkContext.defaultParallelism * 4, "path", "start")
+    bounds = RANGE_BYTES, BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, place = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with fs.open_input_file(place) as f:
+                    for found in _range_lines(f, start, *bounds):
+                        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["value"])
+
+    return ranges.mapInArrow(run, "value string")
+
+
+def _range_lines(f, start: int, size: int, block: int) -> Iterator[list[str]]:
+    """Lines of a file that begin in a range of its bytes, a block at a time; all lines of a gzip file belong to its first range."""
+    packed = f.read_at(2, 0) == b"\x1f\x8b"
+    if packed and start:
+        return
+    carried, end = b"", None if packed else start + size
+    # From the byte before: a line begins here only if that ends one.
+    at = f.seek(max(0, start - 1)) if not packed else f.seek(0)
+    skipping = start > 0
+    for data in _unpacked(f, block) if packed else iter(lambda: f.read(block), b""):
+        if skipping:
+            cut = data.find(b"\n")
+            at += len(data) if cut < 0 else cut + 1
+            if cut < 0:
+                continue
+            data, skipping = data[cut + 1 :], False
+            if end is not None and at >= end:
+                return
+        rows = (carried + data).split(b"\n")
+        carried = rows.pop()
+        if end is not None:  # where each line begins: those from end on are the next range's
+            out = []
+            for r in rows:
+                if at >= end:
+                    carried = b""
+                    break
+                out.append(r)
+                at += len(r) + 1
+            yield [_line(r) for r in out]
+            if at >= end:
+                return
+        elif rows:
+            yield [_line(r) for r in rows]
+    if carried and not skipping:
+        yield [_line(carried)]
+
+
+def _line(data: bytes) -> str:
+    return data.removesuffix(b"\r").decode("utf-8", "replace")
+
+
+def _unpacked(f, block: int) -> Iterator[bytes]:
+    """The bytes of a gzip stream of one or more members, a bounded block at a time."""
+    z, rest = zlib.decompressobj(31), b""
+    while True:
+        ended = not rest and not (rest := f.read(block))
+        # What is consumed but not yet given comes at the end.
+        out = z.flush() if ended else z.decompress(rest, block)
+        rest = z.unconsumed_tail
+        if out:
+            yield out
+        if z.eof:
+            rest, z = z.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+        if ended and not rest:
+            return
 
 
 def percentiles(rows: DataFrame) -> dict[int, list[float]]:

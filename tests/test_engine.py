@@ -620,3 +620,129 @@ def test_hot_windows_keep_bounded_state(spark, tmp_path):
     assert states.where("kind = 'view'").groupBy("batch", "group").count().agg(F.max("count")).first()[0] <= 10
     with pytest.raises(ValueError):
         H.HotWindows("o", 0, 1, 1)
+
+
+def test_capped_groups(spark):
+    """Groups of exact size of different rows, none in more than the cap, some shared; reproducible."""
+    rows = spark.range(400).select("id", F.lit("x").alias("o"))
+    for groups, size, most in ((20, 20, 4), (5, 200, 3), (9, 44, 1), (3, 400, 3), (1, 7, 2)):
+        drawn = D.capped_groups(rows.drop("o"), "id", groups, size, most, seed=3).toPandas()
+        assert drawn.groupby("group").size().tolist() == [size] * groups
+        assert not drawn.duplicated(["group", "id"]).any() and drawn.groupby("id").size().max() <= most
+        if most > 1 and groups * size >= 400:
+            assert drawn.groupby("id").size().max() > 1
+    again = D.capped_groups(rows.drop("o").repartition(7), "id", 20, 20, 4, seed=3).toPandas()
+    first = D.capped_groups(rows.drop("o"), "id", 20, 20, 4, seed=3).toPandas()
+    assert sorted(map(tuple, again[["id", "group"]].to_numpy())) == sorted(map(tuple, first[["id", "group"]].to_numpy()))
+    with pytest.raises(ValueError):
+        D.capped_groups(rows, "id", 3, 300, 2)
+
+
+@pytest.mark.parametrize("range_bytes,block", [(7, 3), (50, 1 << 20), (64 << 20, 5), (1, 1)])
+def test_sniffed_files_are_read_in_blocks(spark, tmp_path, monkeypatch, range_bytes, block):
+    import gzip
+
+    monkeypatch.setattr(text, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(text, "BLOCK_BYTES", block)
+    rows = [f"{'ü' * (i % 9)}line {i}" for i in range(60)] + ["", "", "last without an end"]
+    (tmp_path / "plain").write_text("\n".join(rows))
+    (tmp_path / "windows").write_bytes("\r\n".join(rows[:5]).encode() + b"\r\n")
+    (tmp_path / "packed").write_bytes(gzip.compress("\n".join(rows[:40]).encode() + b"\n") + gzip.compress(b"second member\n" * 50))
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "bad").write_bytes(b"\xff\n")
+    want = [*rows, *rows[:5], *rows[:40], *["second member"] * 50, "\ufffd"]
+    assert sorted(r["value"] for r in text.lines(spark, f"file://{tmp_path}", sniff=True).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+@pytest.mark.parametrize("kind", ["cms", "count_median", "count_sketch"])
+def test_cells_by_place_and_by_join(spark, monkeypatch, kind, most):
+    """Estimates by hand, with noise in cells, whichever way the cells are read."""
+    monkeypatch.setattr(K, "BROADCAST_CELLS", most)
+    s = K.Sketch(0.3, 0.1, kind)
+    rows = spark.range(200).select((F.col("id") % 2).cast("int").alias("table_id"), (F.col("id") % 37).alias("k"), F.lit(1.0).alias("cnt"))
+    cells = s.build(rows)
+    held = {(r["table_id"], r["d"], r["w"]): r["s"] for r in cells.collect()}
+    asked = spark.range(45).select((F.col("id") % 3).cast("int").alias("table_id"), F.col("id").alias("k"), F.lit("x").alias("extra"))
+    noise = lambda d, w: (d * 10 + w).cast("double") / 8
+    for n in (None, noise):
+        found = s.query(asked, cells, 3, n)
+        assert set(found.columns) == {"table_id", "k", "extra", "estimate"}
+        places = {r["id"]: [(p["d"], p["w"], p["sign"]) for p in r["p"]] for r in spark.range(45).select("id", s.places(F.col("id")).alias("p")).collect()}
+        for r in found.collect():
+            values = sorted(sign * (held.get((r["table_id"], d, w), 0.0) + ((d * 10 + w) / 8 if n else 0.0)) for d, w, sign in places[r["k"]])
+            assert r["estimate"] == pytest.approx(max(0.0, values[0] if kind == "cms" else values[s.depth // 2]))
+
+
+@pytest.mark.parametrize("block", [5, 4096])
+def test_nearest_distances(spark, block):
+    """All distances by hand: clusters, equal vectors, repeated ids and fewer others than asked for."""
+    from tallyframe.privacy import neighbours
+
+    rng = np.random.default_rng(6)
+    centers = rng.normal(0, 30, (6, 5))
+    v = np.round(centers[rng.integers(0, 6, 120)] + rng.normal(0, 1, (120, 5)), 3)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(200 + i, v[0].tolist()) for i in range(20)] + [(5, v[9].tolist()), (300, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for k in (1, 4):
+        want = sorted((i, [round(x, 9) for x in sorted(math.dist(a, b) for j, b in rows[:-1] if j != i)[:k]]) for i, a in rows[:-1])
+        got = sorted((r["id"], [round(x, 9) for x in r["distances"]]) for r in neighbours.nearest_distances(df, "vec_id", "embedding", k, pivots=4, block_rows=block).collect())
+        assert got == want
+    few = spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>")
+    assert [r["radius"] for r in neighbours.nearest_radius(few, "vec_id", "embedding", 1, 99.0).collect()] == [99.0, 99.0]
+    assert neighbours.nearest_distances(few.limit(0), "vec_id", "embedding", 2).count() == 0
+
+
+def test_models_of_mixed_kinds(spark, tmp_path):
+    """Exact and sketched tables with noise of their own: stored without the sketched tables' keys, merged and updated."""
+    rows = spark.createDataFrame([(float(i % 2), [str(i % 50), str(i % 3)], 2.0) for i in range(600)], "label double, features array<string>, weight double")
+    spec = Spec(2, (0.0, 1.0), ((0, 1),))
+    parts = [K.Part((0,), None, 4.0), K.Part((1, 2), K.Sketch(0.001, 0.01), 0.0)]
+    asked = spark.createDataFrame([(["7", "1"],), (["never", "seen"],)], "features array<string>")
+    counts = lambda m: {r["features"][0]: r["counts"] for r in m.transform(asked, Blocks(False, True)).collect()}
+    exact = counts(Model.fit(rows, spec))
+    for backing in (False, True):
+        model = K.MixedModel.fit(rows, spec, parts, seed=3, backing=backing)
+        storage.save(model, f"file://{tmp_path}/{backing}")
+        again = storage.load(spark, f"file://{tmp_path}/{backing}")
+        found = counts(again)
+        assert found["7"][2:] == exact["7"][2:] and found["never"] == [0.0] * 6 and found["7"][:2] != exact["7"][:2]
+        assert "key" not in spark.read.parquet(f"file://{tmp_path}/{backing}/parts/1").columns
+        assert again.b == (4.0, 0.0, 0.0)
+        twice = counts(storage.update(again, rows))
+        assert twice["7"][2:] == [2 * x for x in exact["7"][2:]]
+        if backing:
+            assert counts(again.with_noise(False)) == exact and counts(again.with_noise(True)) == found
+        else:
+            with pytest.raises(ValueError):
+                again.with_noise(True)
+    assert counts(K.MixedModel.fit(rows, spec, parts[1:] + [K.Part((0,), None, 0.0)], use_weights=True))["7"] == [2 * x for x in exact["7"]]
+    assert [r["cnt"] for r in again.count_for(asked, (0, 1), 1.0).orderBy(F.col("features")[0]).collect()] == [exact["7"][5], 0.0]
+    with pytest.raises(ValueError):
+        K.MixedModel.fit(rows, spec, parts[:1])
+    with pytest.raises(ValueError):
+        Model.fit(rows, spec).transform(asked, window=3)
+
+
+def test_mixed_kinds_by_command(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    lines(spark, *["1 |f 5 a"] * 20, *["-1 |f 5 b"] * 60).coalesce(1).write.text(f"{d}/in")
+    cli.run(spark, f"""{{"command": "build", "featureCount": 2, "labels": [-1, 1], "countTableConfig": {{"type": "exact"}}, "countDataFile": "{d}/in", "countTableFile": "{d}/model",
+      "perFeatureCountTableConfig": [{{"type": "exact"}}, {{"type": "cms", "epsilon": 0.01, "delta": 0.01}}], "isBackingNoise": true, "noiseLaplaceB": 3.0, "noiseSeed": 5}}""")
+    for add in ("true", "false"):
+        cli.run(spark, f"""{{"command": "transform", "featureCount": 2, "countTableFile": "{d}/model", "transformDataFilePath": "{d}/in", "outDataFile": "{d}/{add}", "featurizeWithProbabilities": false, "featurizeWithTotalCounts": true, "addBackingTableNoise": {add}}}""")
+    clean = {r["value"] for r in spark.read.text(f"{d}/false").collect()}
+    assert clean == {"1.0 |1 0:80 1:20 ", "-1.0 |1 0:80 1:60 "} and {r["value"] for r in spark.read.text(f"{d}/true").collect()} != clean
+
+
+def test_large_features_and_medians(spark, monkeypatch):
+    from tallyframe.privacy import ranges as R
+
+    rows = spark.createDataFrame([([str(float(i * 7919 % 101)), str(i % 4)],) for i in range(400)], "features array<string>")
+    whole = {r["feature"]: r["bounds"] for r in P.equi_depth_bounds(P.numeric_histogram(rows), 7).collect()}
+    monkeypatch.setattr(P, "LARGE_FEATURE", 10)
+    monkeypatch.setattr(R, "PER_RANGE", 9)
+    assert {r["feature"]: r["bounds"] for r in P.equi_depth_bounds(P.numeric_histogram(rows), 7).collect()} == whole and len(whole) == 2
+    values = [(g, v) for g, n in (("a", 51), ("b", 4), (None, 1)) for v in np.random.default_rng(n).integers(0, 30, n).astype(float).tolist()] + [("c", None)]
+    got = {r["g"]: (r["n"], r["median"]) for r in P.medians(spark.createDataFrame(values, "g string, v double"), ("g",), "v").collect()}
+    assert got == {g: (n, float(np.median([v for x, v in values if x == g]))) for g, n in (("a", 51), ("b", 4), (None, 1))}
