@@ -85,3 +85,9 @@ def compact_array(xs: Column, digits: int = 4) -> Column:
         return pd.Series(out)
 
     return run(xs)
+
+
+def scientific(x: Column) -> Column:
+    """d.dddE<n>."""
+    scale = F.floor(F.log10(F.abs(x)))
+    return F.when(x == 0, "0.000E0").otherwise(F.format_string("%1.3fE%d", x / F.pow(F.lit(10.0), scale), scale))

@@ -93,6 +93,11 @@ def string_key(text: Column | str) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(col(text)), 1, 8), 16, 10).cast("bigint"), F.lit(PRIME))
 
 
+def draw_key(text: Column | str) -> Column:
+    """A string as an integer of 60 bits, the first of its MD5: an order that is random and the same in any SQL engine."""
+    return F.conv(F.substring(F.md5(col(text)), 1, 15), 16, 10).cast("bigint")
+
+
 def spread(k: Column | str, a: Column | int, b: Column | int) -> Column:
     """(a k + b) mod PRIME: pairwise independent for random a, b."""
     lit = lambda x: F.lit(x).cast("bigint") if isinstance(x, int) else x

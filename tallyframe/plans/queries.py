@@ -558,10 +558,18 @@ def t_radius(spark, d):
     return nearest_radius(table(spark, d, "embeddings"), "vec_id", "embedding", 2, 100.0).withColumn("radius", F.round("radius", 6))
 
 
-@query()
+_SAMPLES, _TOP = 16, 600000.0
+
+
+@query(f"""WITH o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY ('0x' || substr(md5(o_orderkey::VARCHAR || '|1'), 1, 15))::BIGINT, o_orderkey) - 1 AS o, count(*) OVER () AS n FROM orders),
+s AS (SELECT v, (o + t * n) // (n // {_SAMPLES}) AS s FROM o, range(0, 4) r(t)), y AS (SELECT greatest(least(avg(v), {_TOP}), 0.0) AS v FROM s WHERE s < {_SAMPLES} GROUP BY s),
+z AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM y UNION ALL SELECT 0.0, 0 UNION ALL SELECT {_TOP}, {_SAMPLES + 1}),
+q AS (SELECT any_value(m.v) AS median, max((j.v - b.v) * exp({1.0 / 6} * (b.i - j.i + 1))) AS sensitivity FROM z b, z j, z m WHERE b.i <= {_SAMPLES // 2 + 1} AND j.i >= {_SAMPLES // 2 + 1} AND m.i = {_SAMPLES // 2 + 1})
+SELECT round(median, 3) AS median, round(sensitivity, 3) AS sensitivity, round(median + tan(pi() * ({_uniform_sql('1', 1)} - 0.5)) * sensitivity / {1.0 / 6}, 3) AS estimate FROM q""")
 def sample_aggregate(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return D.sample_aggregate(rows, "o_totalprice", "o_orderkey", lambda x: float(x.mean()), count=16, low=0.0, high=600000.0, epsilon=1.0)
+    found = D.sample_aggregate(rows, "o_totalprice", "o_orderkey", F.avg, count=_SAMPLES, low=0.0, high=_TOP, epsilon=1.0)
+    return found.select(*[F.round(c, 3).alias(c) for c in ("median", "sensitivity", "estimate")])
 
 
 @query()
@@ -671,3 +679,16 @@ y AS (SELECT *, floor(r * 10) AS d1, r * 10 - floor(r * 10) AS r1 FROM x)
 SELECT o_orderkey, CAST(n AS BIGINT)::VARCHAR || CASE WHEN r = 0 THEN '' WHEN r1 > 0 THEN '.' || d1::INT || floor(r1 * 10)::INT ELSE '.' || d1::INT END AS t FROM y""")
 def compact_format(spark, d):
     return dealt_table(spark, d, "orders").where("o_totalprice >= 1").select("o_orderkey", formats.compact_text(F.col("o_totalprice")).alias("t"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_tax / l_quantity AS x FROM lineitem),
+p AS (SELECT *, list_transform(range(0, 11), lambda k: list_reduce(list_prepend(x, list_transform(range(0, k), lambda z: 10.0::DOUBLE)), lambda a, b: a * b)) AS ys FROM x),
+s AS (SELECT *, list_position(list_transform(ys, lambda y: y >= 1), true) - 1 AS e FROM p), y AS (SELECT *, ys[e + 1] AS y FROM s),
+r0 AS (SELECT *, y - floor(y) AS r FROM y), r1 AS (SELECT *, floor(r * 10) AS d1, r * 10 - floor(r * 10) AS q1 FROM r0), r2 AS (SELECT *, floor(q1 * 10) AS d2, q1 * 10 - floor(q1 * 10) AS q2 FROM r1),
+r3 AS (SELECT *, floor(q2 * 10) AS d3, q2 * 10 - floor(q2 * 10) AS q3 FROM r2), r4 AS (SELECT *, floor(q3 * 10) AS d4 FROM r3),
+n AS (SELECT *, CASE WHEN q1 <= 0 THEN 1 WHEN q2 <= 0 THEN 2 WHEN q3 <= 0 THEN 3 ELSE 4 END AS n FROM r4),
+t AS (SELECT *, CASE WHEN n = 4 AND d2 = d3 AND d3 = d4 THEN CASE WHEN d1 = d2 THEN 2 ELSE 3 END WHEN n = 3 AND d1 = d2 AND d2 = d3 THEN 2 ELSE n END AS m FROM n)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN x <= 0 OR e IS NULL OR e < 0 THEN '0' ELSE floor(y)::INT || '.' || substr(d1::INT::VARCHAR || d2::INT || d3::INT || d4::INT, 1, m) || 'E-' || e END AS t FROM t""")
+def compact_format_small(spark, d):
+    """Numbers below 1, with their truncated digits and shortened runs."""
+    return dealt_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", formats.compact_text(F.col("l_tax") / F.col("l_quantity")).alias("t"))

@@ -88,7 +88,7 @@ def samples(rows: DataFrame, id_col: str, count: int, size: int, *, seed: int =
     With ``most``, no row is in more samples than that: rows are ranked once by hash and dealt round, which bounds
     appearances by construction instead of drawing again.
     """
-    ranked = rows.withColumn("_h", F.xxhash64(id_col, F.lit(seed)))
+    ranked = rows.withColumn("_h", S.draw_key(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))))
     n = rows.count()
     if most is not None and count * size > most * n:
         raise ValueError("the samples need more rows than the cap allows")
@@ -142,10 +142,12 @@ def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: in
         raise ValueError("the groups need more rows than the cap allows")
     if most <= 1:
         return places.withColumn("group", F.floor(F.col("_o") / max(1, size)).cast("int")).where(F.col("group") < groups).drop("_o")
-    held = None
+    held, full = None, 0
     need = dict.fromkeys(range(groups), size)
     for turn in range(ROUNDS):
-        wanted = spark.createDataFrame([(g, k, k + k // 4 + 16) for g, k in need.items() if k], "g int, need long, draws long")
+        # As many draws as should hit what is needed among the rows that are still open to the group, and some more.
+        draws_of = lambda k: int(1.25 * k * n / max(1, n - (size - k) - full)) + 16
+        wanted = spark.createDataFrame([(g, k, draws_of(k)) for g, k in need.items() if k], "g int, need long, draws long")
         draws = wanted.select("g", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(DRAW_BLOCK).cast("long"))).alias("from"), "draws")
         draws = draws.repartition("g", "from").select("g", "need", F.explode(F.sequence("from", F.least(F.col("from") + DRAW_BLOCK, "draws") - 1)).alias("i"))
         drawn = draws.withColumn("o", F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "g", "i"), F.lit(n)))
@@ -166,20 +168,20 @@ def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: in
         held = R.written(taken if held is None else held.unionByName(taken), "groups")
         have = {r["g"]: r["n"] for r in held.groupBy("g").agg(F.count("*").alias("n")).collect()}  # a row for each group
         need = {g: size - have.get(g, 0) for g in range(groups)}
+        full = held.groupBy("o").agg(F.count("*").alias("n")).where(F.col("n") >= most).count()
         if not any(need.values()):
             return places.join(held, F.col("_o") == F.col("o")).withColumn("group", F.col("g")).drop("_o", "o", "g")
     raise ValueError("the groups could not be filled under the cap")
 
 
-def sample_aggregate(rows: DataFrame, value: str, id_col: str, fn: Callable[[np.ndarray], float], *, count: int, low: float, high: float, epsilon: float, dimensions: int = 1, seed: int = 1) -> DataFrame:
-    """One row (median, sensitivity, estimate): fn of random samples, aggregated by their median with smooth noise."""
+def sample_aggregate(rows: DataFrame, value: str, id_col: str, fn: Callable[[Column], Column], *, count: int, low: float, high: float, epsilon: float, dimensions: int = 1, seed: int = 1) -> DataFrame:
+    """One row (median, sensitivity, estimate): fn of random samples, aggregated by their median with smooth noise.
+
+    fn makes an aggregate of the value's column, so that no task holds a sample."""
     n = rows.count()
     drawn = samples(rows.select(id_col, value), id_col, count, n // count, seed=seed, most=max(1, int(math.sqrt(count))))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sample": [f["sample"].iloc[0]], "y": [float(fn(f[value].to_numpy(float)))]})
-
-    results = drawn.groupBy("sample").applyInPandas(run, "sample int, y double").withColumn("g", F.lit(0))
+    results = drawn.groupBy("sample").agg(fn(F.col(value)).cast("double").alias("y")).withColumn("g", F.lit(0))
     beta = epsilon / 6
     found = quantile_sensitivity(results, "y", 0.5, low, high, beta, by=("g",))
     u = S.uniform(F.lit(seed % S.PRIME).cast("bigint"), seed)

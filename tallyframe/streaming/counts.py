@@ -1,13 +1,11 @@
-"""Counts over streams: an incremental build in micro-batches, and the hot window as keyed state."""
+"""Counts over streams: an incremental build in micro-batches, by event time, and the hot window over one sequence."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyframe.operators.counts import Spec, exact_counts, merge
 from tallyframe.operators.tables import shared_path
@@ -53,38 +51,6 @@ def watermarked_counts(stream: DataFrame, time_col: str, *, window: str, late: s
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, window), "key", "label").agg(F.count("*").cast("double").alias("cnt")).select(F.col("window.start").alias("start"), "key", "label", "cnt")
 
 
-def hot_window_updates(stream: DataFrame, *, order: str, count_table_size: int, keep: int) -> DataFrame:
-    """From a stream (group, ``order``, key, label): after each batch the merged view of each group's frozen tables.
-
-    State per group is its number of arrivals and at most keep + 1 count tables. Arrival order is by nature serial
-    within a group; groups run in parallel.
-    """
-    shape = "group string, arrivals long, key string, label double, cnt double"
-    state = "arrivals long, tables string"
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        n, tables = (held.get[0], {int(w): {tuple(k): v for k, v in t} for w, t in json.loads(held.get[1])}) if held.exists else (0, {})
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
-        rows["w"] = (rows.index + n) // count_table_size
-        for (w, key, label), cnt in rows.groupby(["w", "key", "label"]).size().items():
-            own = tables.setdefault(int(w), {})
-            own[(key, label)] = own.get((key, label), 0) + int(cnt)
-        n += len(rows)
-        now = n // count_table_size
-        tables = {w: t for w, t in tables.items() if w >= now - keep}
-        held.update((n, json.dumps([[w, [[list(k), v] for k, v in t.items()]] for w, t in tables.items()])))
-        merged: dict[tuple, int] = {}
-        for w, t in tables.items():
-            if w < now:
-                for k, v in t.items():
-                    merged[k] = merged.get(k, 0) + v
-        yield pd.DataFrame([(group[0], n, k, label, float(v)) for (k, label), v in merged.items()], columns=["group", "arrivals", "key", "label", "cnt"])
-
-    return stream.groupBy("group").applyInPandasWithState(step, shape, state, "append", GroupStateTimeout.NoTimeout)
-
-
 def hot_window_stream(spark: SparkSession, folder: str, pattern: str, observe: Callable[[DataFrame], DataFrame], *, order: str, count_table_size: int, keep: int, files: int = 100) -> DataFrame:
     """(key, label, cnt): the hot window's merged view after all that is there now, over one sequence of arrivals.
 

