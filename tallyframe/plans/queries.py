@@ -565,7 +565,7 @@ _SAMPLES, _TOP = 16, 600000.0
 s AS (SELECT v, (o + t * n) // (n // {_SAMPLES}) AS s FROM o, range(0, 4) r(t)), y AS (SELECT greatest(least(avg(v), {_TOP}), 0.0) AS v FROM s WHERE s < {_SAMPLES} GROUP BY s),
 z AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM y UNION ALL SELECT 0.0, 0 UNION ALL SELECT {_TOP}, {_SAMPLES + 1}),
 q AS (SELECT any_value(m.v) AS median, max((j.v - b.v) * exp({1.0 / 6} * (b.i - j.i + 1))) AS sensitivity FROM z b, z j, z m WHERE b.i <= {_SAMPLES // 2 + 1} AND j.i >= {_SAMPLES // 2 + 1} AND m.i = {_SAMPLES // 2 + 1})
-SELECT round(median, 3) AS median, round(sensitivity, 3) AS sensitivity, round(median + tan(pi() * ({_uniform_sql('1', 1)} - 0.5)) * sensitivity / {1.0 / 6}, 3) AS estimate FROM q""")
+SELECT round(median, 3) AS median, round(sensitivity, 3) AS sensitivity, round(median + tan(pi() * ({_uniform_sql('1::BIGINT', 1)} - 0.5)) * sensitivity / {1.0 / 6}, 3) AS estimate FROM q""")
 def sample_aggregate(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     found = D.sample_aggregate(rows, "o_totalprice", "o_orderkey", F.avg, count=_SAMPLES, low=0.0, high=_TOP, epsilon=1.0)
