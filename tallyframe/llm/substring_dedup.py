@@ -261,7 +261,7 @@ def _with_hits(documents: DataFrame, id_col: str, text_col: str, shift: int) ->
     smaller = lambda a, b: F.shiftright(a, shift) < F.shiftright(b, shift) if shift else F.col(a) < F.col(b) if isinstance(a, str) else a < F.col(b)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows without an id are dealt by their texts. The key is never null: a filter on nulls, pushed under one exchange only, would keep it from being reused.
-    base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 40))).alias("key"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(others)])
+    base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 40)), F.lit(-1)).alias("key"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(others)])
     dealt = base.repartition(n, "key")
     # Copies: (key, id of the first of the equal texts), from the ids and digests alone.
     digests = base.where("id is not null and text is not null").select("key", F.md5("text").alias("same"))
