@@ -195,13 +195,6 @@ def t_radius(distances: DataFrame, t: int, worst: float) -> DataFrame:
     return ranked.withColumn("radius", F.coalesce("radius", F.lit(worst)))
 
 
-def pairwise(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, other, distance) of all pairs of different rows. Quadratic by definition: for samples."""
-    a = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    b = rows.select(F.col(id_col).alias("other"), F.col(vector_col).alias("o"))
-    return a.join(b, F.col("id") != F.col("other")).select("id", "other", S.euclidean("v", "o").alias("distance"))
-
-
 def noise_weights(totals: DataFrame, percentile: float, epsilon: float, *, groups: int = 1, bound: float = 1e6, seed: int = 1) -> DataFrame:
     """(group, weights): per group and feature a private quantile of totals, as whole numbers in feature order.
 

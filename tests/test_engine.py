@@ -693,6 +693,27 @@ def test_nearest_distances(spark, block):
     assert neighbours.nearest_distances(few.limit(0), "vec_id", "embedding", 2).count() == 0
 
 
+def test_pairwise_by_blocks(spark, monkeypatch):
+    """All pairs by hand: dealt to many tasks, equal vectors, repeated ids, null vectors and ids."""
+    from tallyframe.privacy import neighbours
+
+    monkeypatch.setattr(neighbours, "PAIR_ROWS", 16)
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(0, 1, (60, 5)), 3) + 1e6
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(70 + i, v[0].tolist()) for i in range(20)] + [(5, v[9].tolist()), (300, None), (301, [1.0, None]), (None, v[3].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    found = neighbours.pairwise(df, "id", "v")
+    assert found.rdd.getNumPartitions() > 4
+    whole = lambda x: x is not None and None not in x
+    want = sorted((a, b, math.dist(x, y) if whole(x) and whole(y) else -1.0) for a, x in rows[:-1] for b, y in rows[:-1] if a != b)
+    got = sorted((r["id"], r["other"], -1.0 if r["distance"] is None else r["distance"]) for r in found.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9, abs=0)
+    assert neighbours.pairwise(df.limit(0), "id", "v").count() == 0
+    with pytest.raises(Exception, match="different length"):
+        neighbours.pairwise(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v").collect()
+
+
 def test_models_of_mixed_kinds(spark, tmp_path):
     """Exact and sketched tables with noise of their own: stored without the sketched tables' keys, merged and updated."""
     rows = spark.createDataFrame([(float(i % 2), [str(i % 50), str(i % 3)], 2.0) for i in range(600)], "label double, features array<string>, weight double")
