@@ -1,6 +1,7 @@
 """Golden values and invariants of the engine on small inputs."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -693,6 +694,29 @@ def test_nearest_distances(spark, block):
     assert neighbours.nearest_distances(few.limit(0), "vec_id", "embedding", 2).count() == 0
 
 
+def test_smallest_by_products():
+    """Nearest distances within arrays: exact ones, far outliers, copies, bounds, and several times faster than by differences."""
+    from tallyframe.privacy import neighbours
+
+    rng = np.random.default_rng(8)
+    v = np.vstack((rng.normal(0, 1, (300, 8)), rng.normal(0, 1e-9, (40, 8)) + 7, np.full((150, 8), 7.0), [[1e9] * 8, [-1e-30] * 8, [np.nan] * 8]))
+    ids = np.arange(len(v))
+    ids[310:330] = 310
+    d = np.array([np.sqrt(((v - x) ** 2).sum(1)) for x in v])
+    d[ids[:, None] == ids[None, :]] = np.inf
+    want = [[x for x in sorted(r[np.isfinite(r)])[:3]] for r in d]
+    assert neighbours._smallest(ids, v, ids, v, 3) == want
+    most = rng.choice([0.0, 1e-9, 1.5, np.inf], len(v))
+    assert neighbours._smallest(ids, v, ids, v, 3, most) == [[x for x in r if x < m] for r, m in zip(want, most, strict=True)]
+    v, ids = rng.normal(0, 1, (4000, 64)), np.arange(4000)
+    began = time.perf_counter()
+    for _ in neighbours._distances(v, v):
+        pass
+    by_differences = time.perf_counter() - began
+    neighbours._smallest(ids, v, ids, v, 3)
+    assert time.perf_counter() - began < 1.5 * by_differences
+
+
 def test_pairwise_by_blocks(spark, monkeypatch):
     """All pairs by hand: dealt to many tasks, equal vectors, repeated ids, null vectors and ids."""
     from tallyframe.privacy import neighbours
