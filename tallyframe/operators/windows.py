@@ -33,7 +33,8 @@ def with_ordinal(rows: DataFrame, order: str, name: str = "ordinal", parts: int
     """rows numbered from 0 by a numeric order column (ties by all columns), without a global sort.
 
     Ranges of the order column are fixed by quantiles; the rows of a range are numbered in it, after the rows of
-    the ranges before it, whose sizes are the one thing that is collected (``parts`` numbers).
+    the ranges before it, whose sizes are the one thing that is collected (``parts`` numbers). With ``parts`` there are as
+    many tasks.
     """
     part, count = ranges(rows, order, parts)
     sizes = {r["_part"]: r["n"] for r in rows.select(part.alias("_part")).groupBy("_part").agg(F.count("*").alias("n")).collect()}
@@ -44,7 +45,10 @@ def with_ordinal(rows: DataFrame, order: str, name: str = "ordinal", parts: int
     of = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_part"))
     others = [c for c in rows.columns if c != order]
     w = Window.partitionBy("_part").orderBy(order, *others)
-    return rows.withColumn("_part", part).withColumn(name, F.row_number().over(w) - 1 + of).drop("_part")
+    placed = rows.withColumn("_part", part)
+    if parts is not None:
+        placed = placed.repartition(count, "_part")
+    return placed.withColumn(name, F.row_number().over(w) - 1 + of).drop("_part")
 
 
 def window_of(ordinal: Column | str, size: int) -> Column:

@@ -125,6 +125,12 @@ def partition_ways(rows: DataFrame, id_col: str, m: int, *, seed: int = 1) -> Da
 #: Draws of a group that are counted together; rounds of drawing until an error.
 DRAW_BLOCK = 4096
 ROUNDS = 40
+#: Rows or draws of a task on average.
+TASK_ROWS = 1 << 18
+
+
+def _tasks(rows: int) -> int:
+    return min(1 << 13, math.ceil(rows / TASK_ROWS) or 1)
 
 
 def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: int, *, seed: int = 1) -> DataFrame:
@@ -136,8 +142,10 @@ def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: in
     from tallyframe.operators.windows import with_ordinal
 
     spark = rows.sparkSession
-    places = R.written(with_ordinal(rows.withColumn("_h", F.xxhash64(id_col, F.lit(seed))), "_h", "_o").drop("_h"), "places")
-    n = places.count()
+    # What is written is read several times; tasks are as many as the rows ask for, however few partitions a shuffle has.
+    held_rows = R.written(rows, "rows")
+    n = held_rows.count()
+    places = R.written(with_ordinal(held_rows.withColumn("_h", F.xxhash64(id_col, F.lit(seed))), "_h", "_o", min(1 << 11, _tasks(n))).drop("_h"), "places")
     if size > n or groups * size > most * n:
         raise ValueError("the groups need more rows than the cap allows")
     if most <= 1:
@@ -149,9 +157,10 @@ def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: in
         draws_of = lambda k: int(1.25 * k * n / max(1, n - (size - k) - full)) + 16
         wanted = spark.createDataFrame([(g, k, draws_of(k)) for g, k in need.items() if k], "g int, need long, draws long")
         draws = wanted.select("g", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(DRAW_BLOCK).cast("long"))).alias("from"), "draws")
-        draws = draws.repartition("g", "from").select("g", "need", F.explode(F.sequence("from", F.least(F.col("from") + DRAW_BLOCK, "draws") - 1)).alias("i"))
+        tasks = _tasks(sum(draws_of(k) for k in need.values() if k))
+        draws = draws.repartition(tasks, "g", "from").select("g", "need", F.explode(F.sequence("from", F.least(F.col("from") + DRAW_BLOCK, "draws") - 1)).alias("i"))
         drawn = draws.withColumn("o", F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "g", "i"), F.lit(n)))
-        fresh = drawn.groupBy("g", "o").agg(F.min("i").alias("i"), F.max("need").alias("need"))
+        fresh = drawn.repartition(tasks, "o").groupBy("g", "o").agg(F.min("i").alias("i"), F.max("need").alias("need"))
         if held is not None:
             used = held.groupBy("o").agg(F.count("*").alias("used"))
             fresh = fresh.join(held, ["g", "o"], "left_anti").join(used, "o", "left").na.fill(0, ["used"])
@@ -162,7 +171,7 @@ def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: in
         block = open_.withColumn("block", F.floor(F.col("i") / DRAW_BLOCK))
         sizes = block.groupBy("g", "block").agg(F.count("*").alias("n"))
         before = sizes.select(F.col("g").alias("_g"), F.col("block").alias("_b"), (F.sum("n").over(Window.partitionBy("g").orderBy("block")) - F.col("n")).alias("before"))
-        inside = block.withColumn("r", F.row_number().over(Window.partitionBy("g", "block").orderBy("i")))
+        inside = block.repartition(tasks, "g", "block").withColumn("r", F.row_number().over(Window.partitionBy("g", "block").orderBy("i")))
         first = inside.join(before, (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_b"))).where(F.col("before") + F.col("r") <= F.col("need"))
         taken = first.select("g", "o")
         held = R.written(taken if held is None else held.unionByName(taken), "groups")
@@ -170,7 +179,7 @@ def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: in
         need = {g: size - have.get(g, 0) for g in range(groups)}
         full = held.groupBy("o").agg(F.count("*").alias("n")).where(F.col("n") >= most).count()
         if not any(need.values()):
-            return places.join(held, F.col("_o") == F.col("o")).withColumn("group", F.col("g")).drop("_o", "o", "g")
+            return places.repartition(_tasks(n), "_o").join(held.repartition(_tasks(n), "o"), F.col("_o") == F.col("o")).withColumn("group", F.col("g")).drop("_o", "o", "g")
     raise ValueError("the groups could not be filled under the cap")
 
 

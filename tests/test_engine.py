@@ -738,6 +738,16 @@ def test_pairwise_by_blocks(spark, monkeypatch):
         neighbours.pairwise(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v").collect()
 
 
+def test_capped_groups_by_tasks(spark, tmp_path, monkeypatch):
+    """Draws, ranks and joins are dealt to as many tasks as they ask for, however few partitions a shuffle has; equal groups."""
+    rows = spark.range(3000).withColumn("x", F.col("id") * 2).coalesce(1)
+    few = sorted(map(tuple, D.capped_groups(rows, "id", 4, 750, 27, seed=3).collect()))
+    monkeypatch.setattr(D, "TASK_ROWS", 150)
+    found = D.capped_groups(rows, "id", 4, 750, 27, seed=3)
+    assert found.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, found.collect())) == few
+
+
 def test_models_of_mixed_kinds(spark, tmp_path):
     """Exact and sketched tables with noise of their own: stored without the sketched tables' keys, merged and updated."""
     rows = spark.createDataFrame([(float(i % 2), [str(i % 50), str(i % 3)], 2.0) for i in range(600)], "label double, features array<string>, weight double")
