@@ -69,13 +69,20 @@ class Route:
 def write_fan_out(rows: DataFrame, routes: list[Route], path: str) -> None:
     """One pass over rows that writes each to all outputs that want it: lines below ``path``/output=<name>, gzipped.
 
-    A condition that is null is false. An output without rows has no folder.
+    A condition that is null is false. An output without rows has no folder. A task keeps all outputs' files open, so that
+    lines needn't be sorted by output, which would spill them all.
     """
     if len({r.output for r in routes}) != len(routes):
         raise ValueError("outputs need different names")
     targets = F.array(*[F.when(r.condition, F.struct(F.lit(r.output).alias("output"), r.line.alias("value"))) for r in routes])
     sent = rows.select(F.inline_outer(F.array_compact(targets))).where("output is not null")  # outer: targets are made once
-    sent.write.mode("overwrite").partitionBy("output").option("compression", "gzip").text(path)
+    conf, key = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key, None)
+    conf.set(key, max(len(routes) + 1, int(before or 0)))  # at as many open files as this, a task sorts the rest
+    try:
+        sent.write.mode("overwrite").partitionBy("output").option("compression", "gzip").text(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

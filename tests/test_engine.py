@@ -748,6 +748,19 @@ def test_capped_groups_by_tasks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, found.collect())) == few
 
 
+def test_fan_out_without_sort(spark, tmp_path):
+    """Rows that go to several outputs aren't sorted by output; the session's setting is as it was."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    routes = [sinks.Route(f"r{i}", F.col("id") % 7 >= i, F.concat(F.lit(f"{i}:"), F.col("id").cast("string"))) for i in range(7)]
+    sinks.write_fan_out(spark.range(200), routes, f"file://{tmp_path}/o")
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    assert "Sort" not in runs.last().physicalPlanDescription()
+    assert spark.conf.get(key, None) == before
+    got = sorted((r["output"], r["value"]) for r in spark.read.text(f"file://{tmp_path}/o").collect())
+    assert got == sorted((f"r{i}", f"{i}:{n}") for i in range(7) for n in range(200) if n % 7 >= i)
+
+
 def test_models_of_mixed_kinds(spark, tmp_path):
     """Exact and sketched tables with noise of their own: stored without the sketched tables' keys, merged and updated."""
     rows = spark.createDataFrame([(float(i % 2), [str(i % 50), str(i % 3)], 2.0) for i in range(600)], "label double, features array<string>, weight double")
