@@ -10,10 +10,10 @@ where the texts are, since moving every n-gram of every text would shuffle many
 settle is merged by text and n-gram and joined with the whole tables in hash shards, order by order, and the sums are
 added. The result is the same for any ``head``.
 
-Trusted text is a sample: at most ``max_trusted`` documents labelled good (those with the smallest hash of their
-id), four fifths of which are counted. Thresholds are quantiles over all documents labelled good that gave no
-counts, by language and length band; a language or band with under MIN_QUANTILE of them takes the next wider
-group's.
+Trusted text is every document labelled good; four fifths of them, by a hash of the id, are counted. Thresholds are
+quantiles over all documents labelled good that gave no counts, by language and length band; a language or band with
+under MIN_QUANTILE of them takes the next wider group's. Whole texts are moved only if they are counted: a table of bits
+of bounded size leaves the others where they are.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ HEAD = 1 << 20
 MIN_QUANTILE = 40
 BANDS = (256, 1024)
 FOLDS = 5
+#: Bits of the table that says which texts may be counted, as a power of two; 64 of them are a row.
+BITS = 26
 
 
 def grams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,25 +249,39 @@ def perplexities(documents: DataFrame, model: KneserNey) -> DataFrame:
     return passed.select("id", "lang", "n_bytes", F.pow(F.lit(10.0), -log / F.col("size")).alias("perplexity"))
 
 
+def _counted_texts(slim: DataFrame, counted: DataFrame) -> DataFrame:
+    """(text) of the rows of slim (id, text) whose id is in counted, exact copies once."""
+    keyed = slim.where("text is not null").select("id", "text", F.unhex(F.md5("text")).alias("digest"))
+    # One row for each digest; equal rows are one row too.
+    chosen = written(keyed.select("id", "digest").join(counted, "id").groupBy("digest").agg(F.min("id").alias("id")), "chosen")
+    at = F.pmod(F.xxhash64("digest"), F.lit(1 << BITS))
+    word, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+    bits = chosen.groupBy(word.alias("word")).agg(F.bit_or(one(bit)).alias("bits"))  # 2^(BITS - 6) rows at most
+    maybe = keyed.withColumn("word", word).withColumn("bit", one(bit)).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return maybe.select("id", "digest", "text").join(chosen, ["id", "digest"]).groupBy("id", "digest").agg(F.first("text").alias("text")).select("text")
+
+
 def _band(size) -> F.Column:
     return F.when(size < BANDS[0], 0).when(size < BANDS[1], 1).otherwise(2)
 
 
-def classify(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, max_trusted: int = 8192, head: int = HEAD) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, max_trusted: int | None = None, head: int = HEAD) -> DataFrame:
     """(id, lang, n_bytes, perplexity, threshold, keep) of every row.
 
     Null and empty texts are an end alone. A null language is a language of its own. Labels count by id; a repeated
     id is good if all its rows say so. Without trusted texts all documents are kept. A quantile is the smallest
     perplexity that at least such a share doesn't exceed. Other columns aren't read. An empty table gives none.
+    ``max_trusted`` bounds the documents whose texts may be counted; without it all are.
     """
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").select("id")
-    chosen = good.orderBy(F.xxhash64("id"), "id").limit(max_trusted)
+    chosen = good if max_trusted is None else good.orderBy(F.xxhash64("id"), "id").limit(max_trusted)
     counted = chosen.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)) != 0)
     slim = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    # Exact copies of a text count once. The list of ids has at most max_trusted rows.
-    model = kneser_ney(slim.join(F.broadcast(counted), "id").groupBy(F.md5("text")).agg(F.first("text").alias("text")), head)
+    # Exact copies of a text count once.
+    model = kneser_ney(_counted_texts(slim.select("id", "text"), counted), head)
     scored = written(perplexities(slim, model).withColumn("band", _band(F.col("n_bytes"))), "perplexities")
-    held = written(scored.join(good, "id").join(F.broadcast(counted), "id", "left_anti").select("lang", "band", "perplexity"), "trusted")
+    held = written(scored.join(good, "id").join(counted, "id", "left_anti").select("lang", "band", "perplexity"), "trusted")
     of = lambda *by: held.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 100_000).alias("q"), F.max("perplexity").alias("most"))
     every = of().first()["q"]
     every = F.lit(float("inf") if every is None else float(every))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import decontaminate, quality, toxicity
 from tallyframe.llm import textbytes as tb
@@ -227,6 +228,24 @@ def test_kneser_ney_is_brute_force(spark):
     assert 10 ** model.log10(key) == pytest.approx(want, rel=1e-6)
 
 
+def test_quality_counts_all_trusted(spark):
+    """Every trusted text that isn't held out is counted, copies once, however many there are; repeated rows too."""
+    docs = spark.createDataFrame([(i, "en", f"text {i // 2}") for i in range(9000)] + [(0, "en", "text 0"), (9000, "en", None)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9001)], "doc_id long, quality int")
+    good = labels.select(F.col("doc_id").alias("id"))
+    counted = good.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(quality.FOLDS)) != 0)
+    slim = docs.select(F.col("doc_id").alias("id"), "text")
+    got = [r["text"] for r in quality._counted_texts(slim, counted).collect()]
+    assert sorted(got) == sorted({f"text {r['id'] // 2}" for r in counted.collect() if r["id"] < 9000})
+    model, seen = quality.kneser_ney, []
+    try:
+        quality.kneser_ney = lambda texts, head: seen.append(texts.count()) or model(texts, head)
+        quality.classify(docs, labels)
+    finally:
+        quality.kneser_ney = model
+    assert seen == [len(got)]
+
+
 def test_quality(spark, documents, clashing, empty):
     good = [(i, "the cat sat on the mat and " + " ".join(["dog", "cow", "hen", "pig"][(i + k) % 4] for k in range(20)), "en") for i in range(300)]
     bad = [(1000 + i, "".join(chr(33 + (i * 7 + k * 13) % 90) for k in range(150)), "en") for i in range(20)]
