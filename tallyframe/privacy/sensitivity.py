@@ -172,7 +172,8 @@ def capped_groups(rows: DataFrame, id_col: str, groups: int, size: int, most: in
         sizes = block.groupBy("g", "block").agg(F.count("*").alias("n"))
         before = sizes.select(F.col("g").alias("_g"), F.col("block").alias("_b"), (F.sum("n").over(Window.partitionBy("g").orderBy("block")) - F.col("n")).alias("before"))
         inside = block.repartition(tasks, "g", "block").withColumn("r", F.row_number().over(Window.partitionBy("g", "block").orderBy("i")))
-        first = inside.join(before, (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_b"))).where(F.col("before") + F.col("r") <= F.col("need"))
+        # Blocks of draws are few rows until they are exploded; by their size the planner would broadcast the draws.
+        first = inside.join(before.hint("merge"), (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_b"))).where(F.col("before") + F.col("r") <= F.col("need"))
         taken = first.select("g", "o")
         held = R.written(taken if held is None else held.unionByName(taken), "groups")
         have = {r["g"]: r["n"] for r in held.groupBy("g").agg(F.count("*").alias("n")).collect()}  # a row for each group

@@ -761,6 +761,24 @@ def test_fan_out_without_sort(spark, tmp_path):
     assert got == sorted((f"r{i}", f"{i}:{n}") for i in range(7) for n in range(200) if n % 7 >= i)
 
 
+def test_capped_groups_broadcast_no_draws(spark, monkeypatch):
+    """Draws look as few as their blocks to the planner; nevertheless they don't pass through the driver."""
+    plans, written = [], D.R.written
+
+    def seen(df, kind):
+        if kind == "groups":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, kind)
+
+    monkeypatch.setattr(D.R, "written", seen)
+    rows = spark.range(20_000).withColumn("x", F.col("id") * 2)
+    found = D.capped_groups(rows, "id", 4, 5000, 70, seed=3)
+    assert {r["group"]: r["n"] for r in found.groupBy("group").agg(F.countDistinct("id").alias("n")).collect()} == dict.fromkeys(range(4), 5000)
+    assert plans and "isFinalPlan=true" in plans[0] and "SortMergeJoin" in plans[0]
+    assert "BroadcastExchange" not in plans[0]
+
+
 def test_models_of_mixed_kinds(spark, tmp_path):
     """Exact and sketched tables with noise of their own: stored without the sketched tables' keys, merged and updated."""
     rows = spark.createDataFrame([(float(i % 2), [str(i % 50), str(i % 3)], 2.0) for i in range(600)], "label double, features array<string>, weight double")
