@@ -738,6 +738,25 @@ def test_pairwise_by_blocks(spark, monkeypatch):
         neighbours.pairwise(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v").collect()
 
 
+def test_pairwise_deals_rows_to_few_groups(spark, monkeypatch):
+    """Blocks grow with the rows, so that what is moved doesn't grow with their square; pairs are made some at a time."""
+    from tallyframe.privacy import neighbours
+
+    monkeypatch.setattr(neighbours, "PAIR_ROWS", 2)
+    monkeypatch.setattr(neighbours, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i % 290, x.tolist()) for i, x in enumerate(np.round(rng.normal(0, 1, (300, 4)), 2))] + [(400 + i, [0.5] * 4) for i in range(9)] + [(7, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = neighbours.pairwise(df, "id", "v", 3)
+    most = neighbours.PAIR_BLOCKS
+    assert found.rdd.getNumPartitions() == most * (most + 1) // 2
+    got = sorted((r["id"], r["other"], -1.0 if r["distance"] is None else r["distance"]) for r in found.collect())
+    want = sorted((a, b, math.floor(math.dist(x, y) * 1000 + 0.5) / 1000 if x and y else -1.0) for a, x in rows for b, y in rows if a != b)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=0, abs=1e-12)
+    assert neighbours._rounded(np.array([0.0, 2.0000005, 1e300, np.inf]), 6).tolist() == [0.0, 2.000001, 1e300, np.inf]
+
+
 def test_capped_groups_by_tasks(spark, tmp_path, monkeypatch):
     """Draws, ranks and joins are dealt to as many tasks as they ask for, however few partitions a shuffle has; equal groups."""
     rows = spark.range(3000).withColumn("x", F.col("id") * 2).coalesce(1)
